@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from lexmill.llm import simhash
+from lexmill.llm import mixing, sharding, simhash
 from lexmill.llm.common import documents
 
 
+def op2_kd_tree_shards(spark, sf_dir):
+    return sharding.kd_shards(documents(spark, sf_dir), 40)
+
+
 def op8_simhash_ball(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_water_filling(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_water_filling": mixing.ORACLE_SQL}

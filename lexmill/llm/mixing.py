@@ -115,7 +115,7 @@ b AS (SELECT *, coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(weight)
 f AS (SELECT *, cap_before + fills_at * (all_weight - weight_before) <= total AS filled FROM b),
 t AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE weight * ((total - coalesce(sum(CASE WHEN filled THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT filled THEN weight END) OVER ()) END AS target FROM f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
-x AS (SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS goal,
+x AS (SELECT d.doc_id, d.source, d.size, d.u, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS goal,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 m AS (SELECT *, ahead + size <= goal AS more FROM x),

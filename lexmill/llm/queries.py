@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from lexmill.llm import mixing, sharding, simhash
-from lexmill.llm.common import documents
+import uuid
+
+from lexmill.llm import bitplane, mixing, rollups, sharding, simhash
+from lexmill.llm.common import documents, shared_dir
+
+
+def vocabulary() -> str:
+    """The public byte-level BPE vocabulary, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_kd_tree_shards(spark, sf_dir):
     return sharding.kd_shards(documents(spark, sf_dir), 40)
 
 
+def op3_token_rollups(spark, sf_dir):
+    return rollups.corpus_rollup(documents(spark, sf_dir), vocabulary(), "byte_bpe_50k", f"{shared_dir(spark)}/lexmill/rollup-{uuid.uuid4().hex}")
+
+
+def op7_bit_planes(spark, sf_dir):
+    return bitplane.encode_and_read(documents(spark, sf_dir), vocabulary())
+
+
 def op8_simhash_ball(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from lexmill.llm import bitplane, mixing, rollups, sharding, simhash
-from lexmill.llm.common import documents, shared_dir
+from lexmill.llm import bitplane, language, media, mixing, quality, rollups, sharding, simhash, toxicity
+from lexmill.llm.common import documents, labels, shared_dir
 
 
 def vocabulary() -> str:
@@ -23,6 +23,18 @@ def op3_token_rollups(spark, sf_dir):
     return rollups.corpus_rollup(documents(spark, sf_dir), vocabulary(), "byte_bpe_50k", f"{shared_dir(spark)}/lexmill/rollup-{uuid.uuid4().hex}")
 
 
+def op4_mpeg_audio(spark, sf_dir):
+    return media.text_media(documents(spark, sf_dir))
+
+
+def op5_rank_order_language(spark, sf_dir):
+    return language.predicted_languages(documents(spark, sf_dir))
+
+
+def op6_nnpu_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op7_bit_planes(spark, sf_dir):
     return bitplane.encode_and_read(documents(spark, sf_dir), vocabulary())
 
@@ -31,6 +43,10 @@ def op8_simhash_ball(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_compression_quality(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_water_filling(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 

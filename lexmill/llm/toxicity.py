@@ -26,6 +26,9 @@ THRESHOLD = 0.3
 POSITIVES = 3_000
 UNLABELLED = 9_000
 VOCABULARY = 600
+#: The prior over its estimate: near copies, which leave the training texts, are the less toxic part of a corpus,
+#: and too low a prior counts hidden toxic texts as clean.
+PRIOR_MARGIN = 1.2
 #: Words of the positives that compete for the vocabulary, the most frequent ones.
 CANDIDATES = 60_000
 #: A word counts for the vocabulary from this many positives and this share of them on: a few copies of one
@@ -107,8 +110,27 @@ def choose_words(a: np.ndarray, b: np.ndarray, n: int, k: int, names: list[str])
     return np.array(sorted(np.flatnonzero((a >= max(LEAST_POSITIVES, LEAST_SHARE * n)) & (contrast >= LEAST_CONTRAST)), key=lambda w: (-contrast[w], names[w]))[:VOCABULARY], dtype=np.int64)
 
 
+def distinct_texts(texts: list[np.ndarray], bands: int = 8, rows: int = 4, seed: int = 42) -> list[np.ndarray]:
+    """One text of each group of near copies (words alike by a min-hash band); a text without words stays."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(1, 1 << 31, bands * rows, dtype=np.int64) | 1, rng.integers(0, 1 << 31, bands * rows, dtype=np.int64)
+    seen: set[tuple] = set()
+    kept = []
+    for t in texts:
+        if len(t):
+            least = ((t[:, None] * a + b) % 2_147_483_647).min(axis=0)
+            keys = {(k, *least[k * rows : (k + 1) * rows].tolist()) for k in range(bands)}
+            known = not seen.isdisjoint(keys)
+            seen |= keys
+            if known:
+                continue
+        kept.append(t)
+    return kept
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float) -> Model:
-    """A model from the texts' word numbers; ``names`` are the words."""
+    """A model from the texts' word numbers; ``names`` are the words. Near copies of a text count once."""
+    positive, unlabelled = distinct_texts(positive), distinct_texts(unlabelled)
     if not positive or not unlabelled:
         base = min(max(prior, 1e-3), 1 - 1e-3)
         return Model({}, float(np.log(base / (1 - base))))
@@ -138,12 +160,12 @@ def learn(docs: DataFrame, toxic: DataFrame, positives: int = POSITIVES, unlabel
     """A model from ``docs`` (doc_id, text) and ``toxic`` (doc_id, toxic 0/1/null), both without held-out rows.
 
     Positives are rows marked 1; unlabelled are all rows of ``docs``, whatever their label. ``prior`` is the toxic
-    share; by default its estimate is the share among the labelled rows.
+    share; by default the share among the labelled rows.
     """
     marks = toxic.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = marks.agg(F.avg("toxic")).first()[0]
-    prior = min(max(prior if prior is not None else 0.05, 0.005), 0.9)
+    prior = min(max(PRIOR_MARGIN * (prior if prior is not None else 0.05), 0.005), 0.9)
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
     kinds = ids.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").withColumn("positive", F.lit(True))
     chosen = staged(bounded_sample(kinds, "positive", positives).unionByName(bounded_sample(ids.withColumn("positive", F.lit(False)), "positive", unlabelled)), "toxicity-sample")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from lexmill.llm import bitplane, language, media, mixing, quality, rollups, sharding, simhash, toxicity
-from lexmill.llm.common import documents, labels, shared_dir
+from lexmill.llm import bitplane, decontaminate, language, media, mixing, quality, rollups, sharding, simhash, toxicity
+from lexmill.llm.common import benchmark, documents, labels, shared_dir
 
 
 def vocabulary() -> str:
@@ -15,6 +15,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_latent_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op2_kd_tree_shards(spark, sf_dir):
     return sharding.kd_shards(documents(spark, sf_dir), 40)
 

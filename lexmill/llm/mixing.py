@@ -65,40 +65,77 @@ def _cut(rows: DataFrame, digit: str, goal: str) -> DataFrame:
     return sums.where(reached).groupBy("source").agg(F.min_by(F.struct(digit, "before"), digit).alias("cut")).select("source", F.col(f"cut.{digit}").alias(f"{digit}_cut"), F.col("cut.before").alias(f"{digit}_before"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row per row of ``docs``.
+def _draw(seed: int) -> Column:
+    """32 seeded bits of doc_id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("long")
 
-    size: words of the text (null or empty: 0). taken: words the mix takes of the document, repeats counted;
-    0, once, or as often as ``max_epochs`` allows. Null source: a source of its own, last in order. Null doc_id:
-    hashed as its own value. Repeated rows count each; if the gap's document is repeated, all its rows are taken. An empty table gives an empty result; sources without
-    words get target 0. Other columns are ignored. Reruns agree: nothing depends on the order of rows.
-    """
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("long")
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), u.alias("u")), "mix-rows")
+
+def _in_order() -> Column:
+    """Rows of a source in the order in which a fractional repetition takes them, null doc_id last."""
+    return F.struct(F.col("u"), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("size"))
+
+
+def _within() -> Column:
+    """True for the rows that the fractional repetition takes, before the gap is closed."""
+    on_cut = (F.col("high") == F.col("high_cut")) & (F.col("low") == F.col("low_cut"))
+    before = (F.col("high") < F.col("high_cut")) | ((F.col("high") == F.col("high_cut")) & (F.col("low") < F.col("low_cut")))
+    return F.coalesce(before | (on_cut & (_in_order() <= F.col("cut_row"))), F.lit(False))
+
+
+def _drawn(docs: DataFrame, seed: int) -> DataFrame:
+    """The columns source, size, u, high and low that the plan and its application look at."""
+    return docs.withColumn("u", _draw(seed)).withColumn("high", F.shiftright("u", 20)).withColumn("low", F.shiftright("u", 8).bitwiseAND(4095))
+
+
+def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42) -> tuple[DataFrame, bool]:
+    """One staged row per source: its target and which of its documents how often; and if they are few."""
+    rows = staged(_drawn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), seed), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = staged(water_fill(sizes, weights, share, max_epochs), "mix-sources")
     few = sources.count() <= BROADCAST_SOURCES
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = sources.withColumn("whole", whole).withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
-    digits = rows.withColumn("high", F.shiftright("u", 20)).withColumn("low", F.shiftright("u", 8).bitwiseAND(4095))
-    first = staged(_with_sources(plan, _cut(_with_sources(digits, plan.select("source", "goal"), few), "high", "goal"), few).withColumn("rest", F.col("goal") - F.col("high_before")), "mix-cuts")
-    at_cut = _with_sources(digits, first.select("source", "high_cut", "rest"), few).where("high = high_cut")
+    first = staged(_with_sources(plan, _cut(_with_sources(rows, plan.select("source", "goal"), few), "high", "goal"), few).withColumn("rest", F.col("goal") - F.col("high_before")), "mix-cuts")
+    at_cut = _with_sources(rows, first.select("source", "high_cut", "rest"), few).where("high = high_cut")
     second = staged(_with_sources(first, _cut(at_cut, "low", "rest"), few).withColumn("last", F.col("rest") - F.col("low_before")), "mix-cuts")
-    placed = _with_sources(digits, second, few)
-    on_cut = F.coalesce((F.col("high") == F.col("high_cut")) & (F.col("low") == F.col("low_cut")), F.lit(False))
-    before = (F.col("high") < F.col("high_cut")) | ((F.col("high") == F.col("high_cut")) & (F.col("low") < F.col("low_cut")))
-    clear = placed.where(~on_cut).withColumn("more", F.coalesce(before, F.lit(False))).withColumn("upto", F.lit(None).cast("long"))
-    close = _running(placed.where(on_cut), "size", ["source"], ["u", F.col("doc_id").asc_nulls_last(), "size"], "ahead")
-    close = close.withColumn("upto", F.col("ahead") + F.col("size")).withColumn("more", F.col("upto") <= F.col("last")).drop("ahead")
-    picked = staged(clear.unionByName(close).select("doc_id", "source", "size", "u", "source_size", "target", "whole", "last", "more", "upto"), "mix-picked")
-    used = picked.where("more").groupBy("source").agg(F.max("upto").alias("upto"))
-    gaps = _with_sources(second, used, few).select("source", (F.col("last") - F.coalesce("upto", F.lit(0))).alias("gap"))
+    close = _with_sources(rows, second.select("source", "high_cut", "low_cut", "last"), few).where("high = high_cut and low = low_cut").withColumn("row", _in_order())
+    close = _running(close, "size", ["source"], ["row"], "ahead").withColumn("upto", F.col("ahead") + F.col("size")).where("upto <= last")
+    cut = close.groupBy("source").agg(F.max("row").alias("cut_row"), F.max("upto").alias("upto"))
+    third = staged(_with_sources(second, cut, few).withColumn("gap", F.col("last") - F.coalesce("upto", F.lit(0))), "mix-cuts")
+    left = _with_sources(rows, third.select("source", "high_cut", "low_cut", "cut_row", "gap"), few).where(~_within())
     off = F.abs(F.col("size") - F.col("gap"))
-    best = _with_sources(picked.where("not more").drop("upto"), gaps, few).where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "u", "doc_id", "size")).alias("fill")).select("source", "fill")
-    fill = (F.col("u") == F.col("fill.u")) & F.col("doc_id").eqNullSafe(F.col("fill.doc_id")) & (F.col("size") == F.col("fill.size"))
-    more = F.col("more") | F.coalesce(fill, F.lit(False))
-    times = F.col("whole") + more.cast("long")
-    return _with_sources(picked, staged(best, "mix-fill"), few).select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+    fill = left.where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), _in_order().alias("row"))).alias("best")).select("source", F.col("best.row").alias("fill"))
+    return staged(_with_sources(third, fill, few).select("source", "source_size", "target", "whole", "high_cut", "low_cut", "cut_row", "fill"), "mix-plan"), few
+
+
+def repeated(docs: DataFrame, plan: DataFrame, few: bool, seed: int = 42) -> DataFrame:
+    """``docs`` with source_size, target, size and times (how often the mix takes the document); no shuffle if few."""
+    if clash := {"size", "u", "high", "low", "source_size", "target", "times"} & set(docs.columns):
+        raise ValueError(f"rename the columns {sorted(clash)} first")
+    rows = _with_sources(_drawn(docs.withColumn("size", word_count(F.col("text"))), seed), plan, few)
+    times = F.col("whole") + (_within() | F.coalesce(_in_order() == F.col("fill"), F.lit(False))).cast("long")
+    return rows.select(*docs.columns, "size", "source_size", "target", times.alias("times"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 42) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, times: one row per row of ``docs``.
+
+    size: words of the text (null or empty: 0). taken: words the mix takes of the document, repeats counted;
+    0, once, or as often as ``max_epochs`` allows. Null source: a source of its own, last in order. Null doc_id:
+    hashed as its own value. Repeated rows count each, but those that share a doc_id and size are taken or left
+    together. An empty table gives an empty result; sources without words get target 0. Other columns are
+    ignored. Reruns agree: nothing depends on the order of rows.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    plan, few = mix_plan(own, weights, share, max_epochs, seed)
+    return repeated(own, plan, few, seed).select("doc_id", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` (all columns), each as often as the mix takes it."""
+    plan, few = mix_plan(docs, **how)
+    times = repeated(docs, plan, few, how.get("seed", 42))
+    return times.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
 
 
 #: The same rows in DuckDB: the fixpoint in closed form, and each source's documents ordered as a whole.

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import staged
@@ -94,12 +94,17 @@ def _fingerprint_batches(batches):
     for b in batches:
         texts = b.column(1).cast(pa.binary())
         found = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.int64())], ["doc_id", "text_key", "fp"])
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.lit(SEED), F.col("text").cast("string"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document; fp is the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """(doc_id, text_key, fp): one row per document; fp is the fingerprint as a signed long, text_key a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_key().alias("text_key"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, text_key long, fp long")
 
 
 def _spread(variants: np.ndarray, ranges: int) -> np.ndarray:
@@ -207,6 +212,14 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged (doc_id, text_key, fp) of every row, and (fp, root) of every fingerprint."""
+    rows = staged(fingerprints(docs), "fingerprints")
+    distinct = staged(rows.select("fp").distinct(), "distinct-fingerprints")
+    roots = connected(ball_links(distinct, distinct.count()))
+    return rows, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable through links).
 
@@ -214,10 +227,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id gets its group's least id, null if the group has none. Repeated rows are repeated. Columns other
     than doc_id and text are ignored; an empty table gives an empty result.
     """
-    rows = staged(fingerprints(docs), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected(ball_links(distinct.select("fp"), distinct.count()))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(component, "root").select("fp", "component_id")
+    rows, placed = _components(docs)
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(placed, "fp")
+    component = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = least.join(component, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row (all columns) of each near-duplicate group: that of the least doc_id, null last, then by text.
+
+    Repeated rows are copies too: one of them stays.
+    """
+    rows, placed = _components(docs)
+    own = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).join(placed, "fp")
+    kept = staged(own.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "kept-documents")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (_text_key() == kept["_key"])
+    out = docs.join(kept, same, "left_semi")
+    if rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return out
+    return out.withColumn("_key", _text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")

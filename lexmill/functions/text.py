@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import values as V
 
 #: Every character that counts as white space, for a regular expression class.
-WS = r"\s\x0B\xA0  -     　﻿"
+WS = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 #: A word boundary between ASCII word characters, whatever the Java version.
 AB = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -39,7 +39,7 @@ def clean(x: Column) -> Column:
 
 
 def unaccent(x: Column) -> Column:
-    return F.regexp_replace(F.translate(x, ACCENTED, PLAIN), r"[̀-ͯ]", "")
+    return F.regexp_replace(F.translate(x, ACCENTED, PLAIN), r"[\x{300}-\x{36F}]", "")
 
 
 def fold_upper(x: Column) -> Column:

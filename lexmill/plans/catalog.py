@@ -1,11 +1,243 @@
-"""Every registered query by name, and its DuckDB SQL."""
+"""Every document query by name, and the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lexmill.functions import text as T
+from lexmill.functions import values as V
+from lexmill.operators import blocks as B
+from lexmill.operators import fields as D
+from lexmill.operators import layout as L
+from lexmill.operators import merge as M
+from lexmill.operators import references as R
+from lexmill.operators import validation as W
+from lexmill.plans import inputs
+from lexmill.plans.oracle import ORACLE
+
+YEAR = 2026
+
+
+def _documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _refs(spark, sf_dir):
+    return R.normalized(inputs.spark_frame(spark, sf_dir, inputs.REFERENCES))
+
+
+def _works(spark, sf_dir):
+    return inputs.spark_frame(spark, sf_dir, inputs.WORKS)
+
+
+def _marks(spark, sf_dir):
+    df = D.annotated(B.text_blocks(_works(spark, sf_dir)))
+    return df.withColumn("lines", F.filter("marks", lambda m: m["text"] != "")).withColumn("cover", D.cover_lines(F.col("marks")))
+
+
+def _records(spark, sf_dir):
+    return inputs.spark_frame(spark, sf_dir, inputs.RECORDS)
+
+
+def _word_blocks(spark, sf_dir):
+    return B.docx_blocks(inputs.spark_frame(spark, sf_dir, inputs.WORD_FILES))
+
+
+# text functions on whole documents
+
+
+def fold_upper(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(T.fold_upper(F.col("text")).cast("binary")).alias("folded"))
+
+
+def fold_lower(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(T.fold_lower(F.col("text")).cast("binary")).alias("folded"))
+
+
+def clean_values(spark, sf_dir):
+    text = F.col("text")
+    return _documents(spark, sf_dir).select("doc_id", F.md5(T.clean(text).cast("binary")).alias("cleaned"), F.md5(T.clean_text(text).cast("binary")).alias("kept_lines"), F.md5(T.join_lines(F.split(text, "\n")).cast("binary")).alias("joined"), F.md5(T.escape_xml(text).cast("binary")).alias("escaped"), T.has_value(text).alias("filled"))
+
+
+def inline_markup(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(T.strip_inline_markup(F.col("text")).cast("binary")).alias("plain"), F.md5(T.strip_block_marker(F.col("text")).cast("binary")).alias("unmarked"))
+
+
+def lines_split(spark, sf_dir):
+    return B.exploded(B.text_blocks(_documents(spark, sf_dir))).select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "block_type", F.col("level").cast("long").alias("level"), "text")
+
+
+def long_paragraphs(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", W.unmarked_long_quote(F.col("text")).alias("long_quote"), W.image_without_caption(F.col("text")).alias("no_caption"), W.holds_secret(F.col("text")).alias("secret"))
+
+
+# bibliography
+
+
+def ref_split(spark, sf_dir):
+    return R.split_references(_records(spark, sf_dir), "referencias").select("doc_id", F.col("ref_idx").cast("long").alias("ref_idx"), "original")
+
+
+def ref_type(spark, sf_dir):
+    return _refs(spark, sf_dir).select("doc_id", "ref_key", "ref_type", "confidence")
+
+
+def ref_highlight(spark, sf_dir):
+    return _refs(spark, sf_dir).select("doc_id", "ref_key", "text", "highlight")
+
+
+def ref_warnings(spark, sf_dir):
+    return _refs(spark, sf_dir).select("ref_key", F.explode("warnings").alias("warning"))
+
+
+def ref_runs(spark, sf_dir):
+    return _refs(spark, sf_dir).select("ref_key", F.posexplode("runs").alias("run_idx", "r")).select("ref_key", F.col("run_idx").cast("long").alias("run_idx"), F.col("r.text").alias("text"), F.coalesce("r.bold", F.lit(False)).alias("bold"), F.coalesce("r.italics", F.lit(False)).alias("italics"))
+
+
+def ref_issue_counts(spark, sf_dir):
+    return R.issue_counts(_refs(spark, sf_dir)).select("doc_id", "code", "n")
+
+
+# fields
+
+
+def _field(make):
+    return lambda spark, sf_dir: _marks(spark, sf_dir).select("doc_id", *make())
+
+
+def _resumo():
+    text, words = D.resumo(F.col("marks"))
+    return text.alias("resumo"), words.alias("keywords")
+
+
+def _abstract():
+    text, words = D.abstract(F.col("marks"))
+    return text.alias("abstract"), words.alias("keywords")
+
+
+def _cover_year():
+    year, sure = D.cover_year(F.col("cover"), YEAR)
+    return year.alias("year"), sure.alias("confidence")
+
+
+def _cover_author():
+    author = D.cover_author(F.col("cover"))
+    return author.alias("author"), F.when(author == "", 0).otherwise(D.occurrences(F.col("lines"), author)).cast("long").alias("times")
+
+
+def section_carry(spark, sf_dir):
+    rows = B.carry_sections(B.exploded(B.text_blocks(_works(spark, sf_dir))))
+    return rows.select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "section")
+
+
+def detected_fields(spark, sf_dir):
+    """Every field in long form; its parts are held against SQL one by one."""
+    found = D.detect_fields(B.text_blocks(_works(spark, sf_dir)), YEAR)
+    pairs = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("value"), F.element_at("confidence", F.lit(k)).alias("confidence")) for k in V.FIELD_KEYS])
+    return found.select("doc_id", F.inline(pairs))
+
+
+# validation, merge
+
+
+def work_issues(spark, sf_dir):
+    return W.work_issues(_records(spark, sf_dir)).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "severity", "code", "n")
+
+
+def blocking_works(spark, sf_dir):
+    return W.blocking(W.work_issues(_records(spark, sf_dir)))
+
+
+def import_merge(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    known = lambda cond: F.create_map(*[x for k in V.FIELD_KEYS for x in (F.lit(k), F.when(cond, "alta").otherwise("nao-identificado"))])
+    now = records.where("doc_id % 3 <> 0").withColumn("confidence", known(F.col("doc_id") % 2 == 0))
+    new = records.where("doc_id % 3 <> 1").withColumn("title", F.concat(F.lit("novo "), "title")).withColumn("author", F.lit("Novo Autor")).withColumn("confidence", known(F.col("doc_id") % 5 == 0))
+    merged = M.import_merge(now, new, ("title", "author"))
+    return merged.select("doc_id", "title", "author", F.element_at("confidence", F.lit("title")).alias("title_confidence"))
+
+
+# layout
+
+
+def editor_blocks(spark, sf_dir):
+    return L.editor_blocks(_records(spark, sf_dir)).select("doc_id", F.col("idx").cast("long").alias("idx"), "type", "text")
+
+
+def body_blocks(spark, sf_dir):
+    made = L.body_blocks(_records(spark, sf_dir)).select("doc_id", F.posexplode("body").alias("idx", "b"))
+    return made.select("doc_id", F.col("idx").cast("long").alias("idx"), "b.type", "b.text")
+
+
+def ref_union(spark, sf_dir):
+    return L.all_references(_records(spark, sf_dir)).select("doc_id", F.posexplode("all_refs").alias("idx", "reference")).withColumn("idx", F.col("idx").cast("long"))
+
+
+def start_page(spark, sf_dir):
+    works = L.with_summary(L.all_references(L.body_blocks(_records(spark, sf_dir))))
+    return works.select("doc_id", "has_summary", L.start_page().cast("long").alias("start_page"))
+
+
+def safe_file_name(spark, sf_dir):
+    return _records(spark, sf_dir).select("doc_id", T.safe_file_name(F.col("title")).alias("file_name"))
+
+
+def layout_rows(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    for k in V.FIELD_KEYS:
+        records = records if k in records.columns else records.withColumn(k, F.lit(""))
+    return L.layout_rows(records, YEAR).withColumn("seq", F.col("seq").cast("long")).withColumn("start_page", F.col("start_page").cast("long"))
+
+
+def rendered_files(spark, sf_dir):
+    """The size of every rendered Word file; tests open the files."""
+    return L.render(L.layout_runs(layout_rows(spark, sf_dir))).select("doc_id", F.length("docx").cast("long").alias("n_bytes"))
+
+
+# Word files
+
+
+def docx_blocks(spark, sf_dir):
+    rows = B.exploded(_word_blocks(spark, sf_dir))
+    said = B.block_text(F.struct("block_type", "text", "rows", "rel_id"))
+    return rows.select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "block_type", F.col("level").cast("long").alias("level"), said.alias("text"), F.coalesce("section", F.lit("-")).alias("section"))
+
+
+def docx_text(spark, sf_dir):
+    return _word_blocks(spark, sf_dir).select("doc_id", "text", "has_numbering")
+
+
+def image_asset_merge(spark, sf_dir):
+    files = inputs.spark_frame(spark, sf_dir, inputs.WORD_FILES)
+    rels = files.select("doc_id", F.explode(B.relationships(F.col("rels_xml"))).alias("rel_id", "target"))
+    media = files.select("doc_id", F.explode(F.array(F.lit("media/a.png"), F.lit("media/c.webp"))).alias("target"), F.lit(None).cast("binary").alias("data"))
+    return B.image_assets(rels, media).select("doc_id", "rel_id", "target", "file_name", "extension", "mime_type")
+
 
 def queries() -> dict:
-    return {}
+    plain = (
+        fold_upper, fold_lower, clean_values, inline_markup, lines_split, long_paragraphs, ref_split, ref_type, ref_highlight, ref_warnings, ref_runs,
+        ref_issue_counts, section_carry, detected_fields, work_issues, blocking_works, import_merge, editor_blocks, body_blocks, ref_union, start_page,
+        safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
+    )
+    marks = F.col
+    by_field = {
+        "section_span_resumo": _resumo,
+        "section_span_abstract": _abstract,
+        "section_span_intro": lambda: (D.introduction(marks("marks")).alias("introduction"),),
+        "section_span_conclusion": lambda: (D.conclusion(marks("marks")).alias("conclusion"),),
+        "section_span_refs": lambda: (D.references(marks("marks")).alias("reference_list"),),
+        "annex_after_refs": lambda: (D.annexes(marks("marks")).alias("annexes"), D.appendices(marks("marks")).alias("appendices")),
+        "editor_seed_text": lambda: (D.editor_text(marks("marks")).alias("editor_text"),),
+        "cover_year": _cover_year,
+        "cover_author": _cover_author,
+        "cover_title": lambda: (D.cover_title(marks("cover"), D.cover_author(marks("cover"))).alias("title"),),
+        "label_lookup": lambda: tuple(D.label_value(marks("text"), k).alias(k) for k in V.LABELS),
+        "next_line_label": lambda: (D.following_label(marks("lines"), ("ORIENTADOR", "ORIENTADORA")).alias("advisor"),),
+        "work_type": lambda: (D.work_type(T.fold_upper(marks("text"))).alias("work_type"),),
+    }
+    return {f.__name__: f for f in plain} | {name: _field(make) for name, make in by_field.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in ORACLE.items() if name in queries()}

@@ -28,6 +28,11 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, PLAIN = _accent_table()
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it or the optimizer moves it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim(x: Column) -> Column:
     """White space of any kind off both ends."""
     return F.regexp_replace(x, f"^[{WS}]+|[{WS}]+$", "")

@@ -51,10 +51,9 @@ def first(marks: Column, test) -> Column:
 
 def span(marks: Column, start: Column, stop) -> Column:
     """The text after ``start`` up to the first mark that stops it; empty without a start."""
-    after = F.filter(marks, lambda m: m["i"] > start)
-    end = F.coalesce(first(after, stop), F.lit(_NEVER))
-    inside = F.filter(after, lambda m: (m["i"] < end) & (m["text"] != ""))
-    return F.when(start.isNull(), "").otherwise(T.join_lines(F.transform(inside, lambda m: m["text"])))
+    inside = lambda after, end: T.join_lines(F.transform(F.filter(after, lambda m: (m["i"] < end) & (m["text"] != "")), lambda m: m["text"]))
+    said = lambda at: T.let(F.filter(marks, lambda m: m["i"] > at), lambda after: T.let(F.coalesce(first(after, stop), F.lit(_NEVER)), lambda end: inside(after, end)))
+    return T.let(start, lambda at: F.when(at.isNull(), "").otherwise(said(at)))
 
 
 def label_value(text: Column, key: str) -> Column:
@@ -68,9 +67,9 @@ def work_type(folded: Column) -> Column:
 
 def cover_lines(marks: Column) -> Column:
     """Text lines before the first page break, or of the first blocks; images left out."""
-    end = F.coalesce(first(marks, lambda m: m["type"] == "pageBreak"), F.lit(V.COVER_BLOCKS))
-    inside = F.filter(marks, lambda m: (m["i"] < end) & (m["text"] != "") & ~F.startswith(m["text"], F.lit("[Imagem detectada")))
-    return F.transform(inside, lambda m, k: F.struct(k.alias("i"), m["text"].alias("text"), m["norm"].alias("norm")))
+    shown = lambda m, end: (m["i"] < end) & (m["text"] != "") & ~F.startswith(m["text"], F.lit("[Imagem detectada"))
+    inside = lambda end: F.filter(marks, lambda m: shown(m, end))
+    return T.let(F.coalesce(first(marks, lambda m: m["type"] == "pageBreak"), F.lit(V.COVER_BLOCKS)), lambda end: F.transform(inside(end), lambda m, k: F.struct(k.alias("i"), m["text"].alias("text"), m["norm"].alias("norm"))))
 
 
 def is_author_name(x: Column, folded: Column) -> Column:
@@ -86,14 +85,15 @@ def cover_year(cover: Column, as_of_year: int) -> tuple[Column, Column]:
     safe = F.filter(cover, lambda c: ~c["text"].rlike(rf"(?iu){T.AB}{V.UNSAFE_YEAR}{T.AB}"))
     years = lambda c: F.transform(F.regexp_extract_all(c["text"], F.lit(rf"{T.AB}((?:19|20)\d{{2}}){T.AB}"), F.lit(1)), lambda y: F.struct(y.alias("year"), (T.trim(c["text"]) == y).alias("whole")))
     last = F.try_element_at(F.flatten(F.transform(safe, years)), F.lit(-1))
-    by_label = F.try_element_at(labelled, F.lit(1))
-    return F.coalesce(by_label, last["year"], F.lit(str(as_of_year))), F.when(by_label.isNotNull() | last["whole"], "alta").when(last.isNotNull(), "media").otherwise("baixa")
+    found = F.struct(F.try_element_at(labelled, F.lit(1)).alias("label"), last.alias("last"))
+    judged = lambda f: F.struct(F.coalesce(f["label"], f["last"]["year"], F.lit(str(as_of_year))).alias("year"), F.when(f["label"].isNotNull() | f["last"]["whole"], "alta").when(f["last"].isNotNull(), "media").otherwise("baixa").alias("sure"))
+    out = T.let(found, judged)
+    return out["year"], out["sure"]
 
 
 def occurrences(lines: Column, value: Column) -> Column:
     """How many annotated lines equal the value when folded."""
-    folded = T.fold_upper(value)
-    return F.size(F.filter(lines, lambda m: m["norm"] == folded))
+    return T.let(T.fold_upper(value), lambda folded: F.size(F.filter(lines, lambda m: m["norm"] == folded)))
 
 
 def cover_author(cover: Column) -> Column:
@@ -102,12 +102,11 @@ def cover_author(cover: Column) -> Column:
 
 def cover_title(cover: Column, author: Column) -> Column:
     """The cover's lines after the author's up to a place or year, generic ones left out."""
-    folded = T.fold_upper(author)
-    start = F.when(author == "", F.lit(None)).otherwise(F.try_element_at(F.filter(cover, lambda c: c["norm"] == folded), F.lit(1))["i"])
-    after = F.filter(cover, lambda c: c["i"] > F.coalesce(start, F.lit(-1)))
-    end = F.coalesce(first(after, lambda c: T.is_location(c["norm"]) | T.is_year(c["text"])), F.lit(_NEVER))
-    inside = F.filter(after, lambda c: (c["i"] < end) & ~T.is_generic_cover_line(c["norm"]))
-    return T.clean(F.array_join(F.transform(inside, lambda c: c["text"]), " "))
+    place = lambda folded: F.coalesce(F.when(folded != "", F.try_element_at(F.filter(cover, lambda c: c["norm"] == folded), F.lit(1))["i"]), F.lit(-1))
+    ends = lambda after: F.coalesce(first(after, lambda c: T.is_location(c["norm"]) | T.is_year(c["text"])), F.lit(_NEVER))
+    inside = lambda after, end: F.filter(after, lambda c: (c["i"] < end) & ~T.is_generic_cover_line(c["norm"]))
+    said = lambda after: T.let(ends(after), lambda end: T.clean(F.array_join(F.transform(inside(after, end), lambda c: c["text"]), " ")))
+    return T.let(T.fold_upper(author), lambda folded: T.let(place(folded), lambda at: T.let(F.filter(cover, lambda c: c["i"] > at), said)))
 
 
 def following_label(lines: Column, labels: tuple[str, ...]) -> Column:
@@ -115,18 +114,20 @@ def following_label(lines: Column, labels: tuple[str, ...]) -> Column:
     inline = lambda m: m["norm"].rlike("^(?:" + "|".join(labels) + "):")
     numbered = F.transform(lines, lambda m, k: F.struct(m["text"].alias("text"), m["norm"].alias("norm"), F.try_element_at(lines, k + 2)["text"].alias("next"), F.try_element_at(lines, k + 2)["base"].alias("next_base")))
     hit = F.try_element_at(F.filter(numbered, lambda m: inline(m) | (m["norm"].isin(*labels) & m["next"].isNotNull() & ~m["next_base"].isin(*labels))), F.lit(1))
-    return F.coalesce(T.clean(F.when(inline(hit), F.substring(hit["text"], F.position(F.lit(":"), hit["text"]) + 1, F.length(hit["text"]))).otherwise(hit["next"])), F.lit(""))
+    value = lambda h: F.when(inline(h), F.substring(h["text"], F.position(F.lit(":"), h["text"]) + 1, F.length(h["text"]))).otherwise(h["next"])
+    return F.coalesce(T.clean(T.let(hit, value)), F.lit(""))
 
 
 def _keyword_section(marks: Column, heading: str, keyword: str, stop) -> tuple[Column, Column]:
     """(text, keywords) of a section that a keyword line closes. ``stop`` gets a mark and its place in the section."""
-    start = first(marks, lambda m: m["base"] == heading)
-    inside = F.filter(marks, lambda m: (m["i"] > start) & (m["text"] != ""))
     words = lambda m: F.regexp_extract(m["text"], keyword, 1)
-    placed = F.transform(inside, lambda m, k: F.struct(k.alias("i"), m["text"].alias("text"), words(m).alias("words"), ((words(m) != "") | stop(m, k)).alias("ends")))
-    end = F.try_element_at(F.filter(placed, lambda p: p["ends"]), F.lit(1))
-    kept = F.filter(placed, lambda p: p["i"] < F.coalesce(end["i"], F.lit(_NEVER)))
-    return F.when(start.isNull(), "").otherwise(T.join_lines(F.transform(kept, lambda p: p["text"]))), F.coalesce(T.clean(end["words"]), F.lit(""))
+    inside = lambda at: F.filter(marks, lambda m: (m["i"] > at) & (m["text"] != ""))
+    placed = lambda at: F.transform(inside(at), lambda m, k: F.struct(k.alias("i"), m["text"].alias("text"), words(m).alias("words"), ((words(m) != "") | stop(m, k)).alias("ends")))
+    end = lambda p: F.try_element_at(F.filter(p, lambda x: x["ends"]), F.lit(1))
+    kept = lambda p, e: F.filter(p, lambda x: x["i"] < F.coalesce(e["i"], F.lit(_NEVER)))
+    closed = lambda p: T.let(end(p), lambda e: F.struct(T.join_lines(F.transform(kept(p, e), lambda x: x["text"])).alias("text"), F.coalesce(T.clean(e["words"]), F.lit("")).alias("words")))
+    out = T.let(first(marks, lambda m: m["base"] == heading), lambda at: F.when(at.isNull(), F.struct(F.lit("").alias("text"), F.lit("").alias("words"))).otherwise(T.let(placed(at), closed)))
+    return out["text"], out["words"]
 
 
 def resumo(marks: Column) -> tuple[Column, Column]:
@@ -150,13 +151,11 @@ def references(marks: Column) -> Column:
 
 
 def annexes(marks: Column) -> Column:
-    at = first(marks, is_references)
-    return span(marks, first(marks, lambda m: (m["i"] > at) & is_annex(m)), is_appendix)
+    return T.let(first(marks, is_references), lambda at: span(marks, first(marks, lambda m: (m["i"] > at) & is_annex(m)), is_appendix))
 
 
 def appendices(marks: Column) -> Column:
-    at = first(marks, is_references)
-    return span(marks, first(marks, lambda m: (m["i"] > at) & is_appendix(m)), is_annex)
+    return T.let(first(marks, is_references), lambda at: span(marks, first(marks, lambda m: (m["i"] > at) & is_appendix(m)), is_annex))
 
 
 def pre_textual(marks: Column, heading: str) -> Column:
@@ -165,11 +164,11 @@ def pre_textual(marks: Column, heading: str) -> Column:
 
 def editor_text(marks: Column) -> Column:
     """The body as marked lines: from the introduction to references, annexes or appendices."""
-    start = first(marks, is_introduction)
-    end = F.coalesce(first(F.filter(marks, lambda m: m["i"] >= start), lambda m: is_references(m) | is_annex(m) | is_appendix(m)), F.lit(_NEVER))
-    inside = F.filter(marks, lambda m: (m["i"] >= start) & (m["i"] < end) & (m["type"] != "pageBreak") & (m["text"] != ""))
     line = lambda m: F.when(m["type"] == "heading", F.concat(F.when(m["level"] <= 1, "# ").otherwise("## "), m["own"])).when(m["type"] == "longQuote", F.concat(F.lit("> "), m["own"])).otherwise(m["text"])
-    return F.when(start.isNull(), "").otherwise(T.trim(F.array_join(F.transform(inside, line), "\n\n")))
+    ends = lambda after: F.coalesce(first(after, lambda m: is_references(m) | is_annex(m) | is_appendix(m)), F.lit(_NEVER))
+    inside = lambda after, end: F.filter(after, lambda m: (m["i"] < end) & (m["type"] != "pageBreak") & (m["text"] != ""))
+    said = lambda after: T.let(ends(after), lambda end: T.trim(F.array_join(F.transform(inside(after, end), line), "\n\n")))
+    return T.let(first(marks, is_introduction), lambda at: F.when(at.isNull(), "").otherwise(T.let(F.filter(marks, lambda m: m["i"] >= at), said)))
 
 
 def detect_fields(docs: DataFrame, as_of_year: int) -> DataFrame:

@@ -64,19 +64,21 @@ def with_et_al(runs: Column) -> Column:
 
 def highlighted_runs(text: Column, highlight: Column) -> Column:
     """The text with the first occurrence of the highlight (any case) in bold, and et al. in italics."""
-    at = F.coalesce(F.position(F.lower(highlight), F.lower(text)), F.lit(0))
-    size = F.length(highlight)
-    none = F.lit(None)
-    cut = F.array(_run(F.substring(text, F.lit(1), at - 1), none, none), _run(F.substring(text, at, size), F.lit(True), none), _run(F.substring(text, at + size, F.length(text)), none, none))
-    return with_et_al(F.when(at > 0, cut).otherwise(F.array(_run(text, none, none))))
+    none, size = F.lit(None), F.length(highlight)
+    cut = lambda at: F.array(_run(F.substring(text, F.lit(1), at - 1), none, none), _run(F.substring(text, at, size), F.lit(True), none), _run(F.substring(text, at + size, F.length(text)), none, none))
+    runs = T.let(F.coalesce(F.position(F.lower(highlight), F.lower(text)), F.lit(0)), lambda at: F.when(at > 0, cut(at)).otherwise(F.array(_run(text, none, none))))
+    return with_et_al(runs)
 
 
 def _splits(x: Column) -> Column:
     """(left, right) of a clean text at every dot followed by a space."""
-    parts = F.split(x, r"\. ")
-    count = F.size(parts)
-    cut = lambda k: F.struct(T.trim(F.array_join(F.slice(parts, 1, k), ". ")).alias("left"), T.clean(F.array_join(F.slice(parts, k + 1, F.greatest(count - k, F.lit(0))), ". ")).alias("right"))
-    return F.when(count > 1, F.transform(F.sequence(F.lit(1), count - 1), cut)).otherwise(F.array().cast("array<struct<left:string,right:string>>"))
+
+    def pairs(parts: Column) -> Column:
+        count = F.size(parts)
+        cut = lambda k: F.struct(T.trim(F.array_join(F.slice(parts, 1, k), ". ")).alias("left"), T.clean(F.array_join(F.slice(parts, k + 1, F.greatest(count - k, F.lit(0))), ". ")).alias("right"))
+        return F.when(count > 1, F.transform(F.sequence(F.lit(1), count - 1), cut)).otherwise(F.array().cast("array<struct<left:string,right:string>>"))
+
+    return T.let(F.split(x, r"\. "), pairs)
 
 
 def _first(candidates: Column, fits) -> Column:
@@ -92,52 +94,82 @@ def _is_article_tail(x: Column) -> Column:
     return F.contains(x, F.lit(",")) & (F.length(periodical) >= 4) & periodical.rlike(r"^\p{Lu}") & x.rlike(r"(?i),\s*(?:v|n|p)\.\s*")
 
 
-def normalized(refs: DataFrame, original: str = "original") -> DataFrame:
-    """``refs`` with text, ref_type, highlight, confidence, runs and warnings (codes, in fixed order).
+def _named(**parts: Column) -> Column:
+    return F.struct(*[c.alias(k) for k, c in parts.items()])
 
-    A null reference counts as empty: type desconhecido, confidence baixa, the one warning ``empty``.
-    """
-    df = refs.withColumn("_marked", marked_runs(T.clean(F.coalesce(F.col(original), F.lit("")))))
-    df = df.withColumn("_manual", F.element_at(F.concat(F.transform(F.filter("_marked", lambda r: r["bold"].isNotNull() & (T.trim(r["text"]) != "")), lambda r: T.trim(r["text"])), F.array(F.lit(None).cast("string"))), 1))
-    df = df.withColumn("text", T.clean(F.array_join(F.transform("_marked", lambda r: r["text"]), "")))
-    df = df.withColumn("_folded", T.fold_lower(F.col("text")))
-    author = _first(_splits(F.col("text")), lambda c: ~c["right"].rlike(r"(?i)^et\s+al\.") & _is_author(c["left"]) & (F.length(c["right"]) > 3))
-    df = df.withColumn("_rest", author["right"]).withColumn("_cuts", _splits(F.coalesce("_rest", F.lit(""))))
-    df = df.withColumn("_article", T.before_comma(_first(F.col("_cuts"), lambda c: _is_article_tail(c["right"]))["right"]))
-    rest = T.fold_lower(F.coalesce("_rest", F.lit("")))
-    ahead = F.length(F.regexp_extract(rest, rf"(?s)^(.*?){V.ACADEMIC_MARK}", 1))
-    title = T.strip_trailing_data(F.substring(F.col("_rest"), F.lit(1), ahead))
-    df = df.withColumn("_academic", F.when(rest.rlike(V.ACADEMIC_MARK) & (F.length(title) > 3), title))
-    df = df.withColumn("_book", _first(F.col("_cuts"), lambda c: (F.length(c["left"]) > 3) & c["right"].rlike(V.PUBLICATION))["left"])
-    folded = F.col("_folded")
-    kind = (
-        F.when(F.col("text") == "", "desconhecido")
+
+def _read(marked: Column) -> Column:
+    """Of a line's marked runs: the plain text, its folded form, the manual highlight and what follows the author."""
+    manual = F.try_element_at(F.filter(marked, lambda r: r["bold"].isNotNull() & (T.trim(r["text"]) != "")), F.lit(1))["text"]
+    text = T.clean(F.array_join(F.transform(marked, lambda r: r["text"]), ""))
+    author = lambda t: _first(_splits(t), lambda c: ~c["right"].rlike(r"(?i)^et\s+al\.") & _is_author(c["left"]) & (F.length(c["right"]) > 3))
+    return T.let(text, lambda t: _named(marked=marked, manual=T.trim(manual), text=t, folded=T.fold_lower(t), rest=author(t)["right"]))
+
+
+def _titles(s: Column) -> Column:
+    """The title that each kind of work would have: the article's periodical, the thesis' and the book's title."""
+    rest = F.coalesce(s["rest"], F.lit(""))
+
+    def found(cuts: Column, folded: Column) -> Column:
+        article = T.before_comma(_first(cuts, lambda c: _is_article_tail(c["right"]))["right"])
+        ahead = F.length(F.regexp_extract(folded, rf"(?s)^(.*?){V.ACADEMIC_MARK}", 1))
+        title = T.strip_trailing_data(F.substring(rest, F.lit(1), ahead))
+        academic = T.let(title, lambda t: F.when(folded.rlike(V.ACADEMIC_MARK) & (F.length(t) > 3), t))
+        book = _first(cuts, lambda c: (F.length(c["left"]) > 3) & c["right"].rlike(V.PUBLICATION))["left"]
+        return _named(article=article, academic=academic, book=book)
+
+    return T.let(_splits(rest), lambda cuts: T.let(T.fold_lower(rest), lambda folded: found(cuts, folded)))
+
+
+def _kind(s: Column, t: Column) -> Column:
+    """The reference type, the first that fits in fixed order."""
+    folded = s["folded"]
+    return (
+        F.when(s["text"] == "", "desconhecido")
         .when(is_legislation(folded), "legislacao")
-        .when(F.col("_rest").isNull(), "desconhecido")
-        .when(F.col("_article").isNotNull(), "artigo")
-        .when(F.col("_academic").isNotNull() | folded.rlike(V.ACADEMIC_WORDS), "tese-dissertacao")
+        .when(s["rest"].isNull(), "desconhecido")
+        .when(t["article"].isNotNull(), "artigo")
+        .when(t["academic"].isNotNull() | folded.rlike(V.ACADEMIC_WORDS), "tese-dissertacao")
         .when(folded.rlike(V.INSTITUTION_START), "documento-institucional")
         .when(folded.rlike(V.ELECTRONIC), "site")
-        .when(F.col("_book").isNotNull(), "livro")
+        .when(t["book"].isNotNull(), "livro")
         .otherwise("desconhecido")
     )
-    df = df.withColumn("ref_type", kind)
-    found = F.when(F.col("ref_type") == "artigo", F.col("_article")).when(F.col("ref_type") == "tese-dissertacao", F.col("_academic")).when(F.col("ref_type").isin("documento-institucional", "site", "livro"), F.col("_book"))
-    df = df.withColumn("_found", found).withColumn("highlight", F.coalesce("_manual", "_found"))
-    sure = F.when(F.col("_manual").isNotNull(), "alta").when((F.col("ref_type") != "site") & F.col("_found").isNotNull(), "media").otherwise("baixa")
-    online = folded.rlike("(https?://|disponivel em:)") & ~folded.rlike("acesso em:")
-    unsure = F.when(F.col("ref_type") == "legislacao", "normative-kept").when(F.col("ref_type") == "desconhecido", "title-not-found").when((F.col("ref_type") == "tese-dissertacao") & F.col("_found").isNull(), "academic-kept").when((F.col("ref_type") == "documento-institucional") & F.col("_found").isNull(), "institutional-kept")
+
+
+def _title_of(kind: Column, t: Column) -> Column:
+    return F.when(kind == "artigo", t["article"]).when(kind == "tese-dissertacao", t["academic"]).when(kind.isin("documento-institucional", "site", "livro"), t["book"])
+
+
+def _result(s: Column, kind: Column, found: Column) -> Column:
+    text, folded, manual, empty = s["text"], s["folded"], s["manual"], s["text"] == ""
+    sure = F.when(empty, "baixa").when(manual.isNotNull(), "alta").when((kind != "site") & found.isNotNull(), "media").otherwise("baixa")
+    unsure = F.when(kind == "legislacao", "normative-kept").when(kind == "desconhecido", "title-not-found").when((kind == "tese-dissertacao") & found.isNull(), "academic-kept").when((kind == "documento-institucional") & found.isNull(), "institutional-kept")
     warnings = F.array(
-        F.when(F.length("text") < V.SHORT_REFERENCE, "short"),
-        F.when(~T.has_year(F.col("text")), "no-year"),
-        F.when(online, "no-access-date"),
+        F.when(F.length(text) < V.SHORT_REFERENCE, "short"),
+        F.when(~T.has_year(text), "no-year"),
+        F.when(folded.rlike("(https?://|disponivel em:)") & ~folded.rlike("acesso em:"), "no-access-date"),
         unsure,
-        F.when(F.col("highlight").isNull(), "no-highlight"),
+        F.when(F.coalesce(manual, found).isNull(), "no-highlight"),
     )
-    df = df.withColumn("confidence", F.when(F.col("text") == "", "baixa").otherwise(sure))
-    df = df.withColumn("warnings", F.when(F.col("text") == "", F.array(F.lit("empty"))).otherwise(F.filter(warnings, lambda w: w.isNotNull())))
-    runs = F.when(F.col("text") == "", F.array().cast(f"array<{RUN}>")).when(F.col("_manual").isNotNull(), with_et_al(F.col("_marked"))).otherwise(highlighted_runs(F.col("text"), F.col("_found")))
-    return df.withColumn("runs", runs).drop("_marked", "_manual", "_folded", "_rest", "_cuts", "_article", "_academic", "_book", "_found")
+    runs = F.when(empty, F.array().cast(f"array<{RUN}>")).when(manual.isNotNull(), with_et_al(s["marked"])).otherwise(highlighted_runs(text, found))
+    told = F.when(empty, F.array(F.lit("empty"))).otherwise(F.filter(warnings, lambda w: w.isNotNull()))
+    return _named(text=text, ref_type=kind, highlight=F.coalesce(manual, found), confidence=sure, runs=runs, warnings=told)
+
+
+def normalize(reference: Column) -> Column:
+    """text, ref_type, highlight, confidence, runs and warnings of one reference as a struct: a single expression."""
+    judged = lambda s, t: T.let(_kind(s, t), lambda kind: T.let(_title_of(kind, t), lambda found: _result(s, kind, found)))
+    return T.let(marked_runs(T.clean(F.coalesce(reference, F.lit("")))), lambda marked: T.let(_read(marked), lambda s: T.let(_titles(s), lambda t: judged(s, t))))
+
+
+def normalized(refs: DataFrame, original: str = "original") -> DataFrame:
+    """``refs`` with text, ref_type, highlight, confidence, runs and warnings (codes, in fixed order).
+
+    A null reference counts as empty: type desconhecido, confidence baixa, the one warning ``empty``.
+    """
+    parts = ("text", "ref_type", "highlight", "confidence", "runs", "warnings")
+    return refs.withColumn("_n", normalize(F.col(original))).select(*[c for c in refs.columns if c not in parts], *[F.col(f"_n.{c}").alias(c) for c in parts])
 
 
 def _issue_conditions() -> list[tuple[str, Column]]:

@@ -87,11 +87,11 @@ def ref_highlight(spark, sf_dir):
 
 
 def ref_warnings(spark, sf_dir):
-    return _refs(spark, sf_dir).select("ref_key", F.explode("warnings").alias("warning"))
+    return _refs(spark, sf_dir).select("ref_key", F.explode_outer("warnings").alias("warning")).where("warning is not null")
 
 
 def ref_runs(spark, sf_dir):
-    return _refs(spark, sf_dir).select("ref_key", F.posexplode("runs").alias("run_idx", "r")).select("ref_key", F.col("run_idx").cast("long").alias("run_idx"), F.col("r.text").alias("text"), F.coalesce("r.bold", F.lit(False)).alias("bold"), F.coalesce("r.italics", F.lit(False)).alias("italics"))
+    return _refs(spark, sf_dir).select("ref_key", F.posexplode_outer("runs").alias("run_idx", "r")).where("r is not null").select("ref_key", F.col("run_idx").cast("long").alias("run_idx"), F.col("r.text").alias("text"), F.coalesce("r.bold", F.lit(False)).alias("bold"), F.coalesce("r.italics", F.lit(False)).alias("italics"))
 
 
 def ref_issue_counts(spark, sf_dir):

@@ -142,7 +142,7 @@ al AS (SELECT doc_id, ordinal, severity, code, NULL::BIGINT AS n FROM ({_OWN_ISS
   SELECT doc_id, CASE code WHEN 'reference-too-short' THEN 7 WHEN 'reference-year-missing' THEN 8 WHEN 'reference-access-missing' THEN 9 WHEN 'reference-highlight-missing' THEN 10 ELSE 11 END, 'warning', code, n FROM ri)
 """
 _COVER = rf"""
-cv AS (SELECT doc_id, i, text, norm FROM b WHERE i < 20),
+cv AS (SELECT doc_id, i, text, norm FROM b WHERE i BETWEEN 0 AND 19),
 """
 _LOCATION = r"(norm IN ('LAVRAS', 'LAVRAS - MG') OR regexp_matches(norm, '^LAVRAS\b'))"
 _GENERIC = "(norm IN ('UNIVERSIDADE FEDERAL DE LAVRAS', 'UFLA', 'AUTOR', 'TITULO', 'LOCAL', 'ANO') OR length(norm) < 2)"
@@ -166,7 +166,7 @@ _XML_TEXT = rf"""array_to_string(list_transform(regexp_extract_all(xml, '(?s)<w:
 _DOCX = rf"""
 WITH w AS ({_WORD}),
 el AS (SELECT doc_id, unnest(regexp_extract_all(regexp_extract(document_xml, '(?s)<w:body\b[^>]*>(.*?)</w:body>', 1), '(?s)<w:p\b.*?</w:p>|<w:tbl\b.*?</w:tbl>')) AS xml, unnest(range(0, len(regexp_extract_all(regexp_extract(document_xml, '(?s)<w:body\b[^>]*>(.*?)</w:body>', 1), '(?s)<w:p\b.*?</w:p>|<w:tbl\b.*?</w:tbl>')))) AS k FROM w),
-tx AS (SELECT doc_id, k, xml, starts_with(xml, '<w:tbl') AS tbl, {_XML_TEXT} AS text FROM el),
+tx AS (SELECT doc_id, k, xml, starts_with(xml, '<w:tbl') AS tbl, {_trim(_XML_TEXT)} AS text FROM el),
 hd AS (SELECT *, {_fold("text")} AS norm, CASE WHEN tbl OR text = '' THEN NULL WHEN contains(xml, 'pStyle') THEN 1 WHEN regexp_matches({_fold("text")}, '^\d+(\.\d+)*\s+\S+') THEN len(string_split(regexp_extract({_fold("text")}, '^(\d+(\.\d+)*)\s+\S+', 1), '.')) WHEN {_fold("text")} IN ('RESUMO', 'REFERENCIAS') THEN 1 END::BIGINT AS level FROM tx),
 sc AS (SELECT *, coalesce(last_value(CASE WHEN level IS NULL THEN NULL WHEN norm = 'REFERENCIAS' THEN 'post-textual' WHEN regexp_matches(norm, '^\d+(\.\d+)*\s+\S+') THEN 'textual' WHEN norm = 'RESUMO' THEN 'pre-textual' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'pre-textual') AS section FROM hd),
 bl AS (
@@ -228,7 +228,7 @@ ORACLE: dict[str, str] = {
     + ","
     + _COVER
     + _AUTHOR
-    + rf"""st AS (SELECT doc_id, coalesce(at, -1) AS at FROM works LEFT JOIN au USING (doc_id)), en AS (SELECT cv.doc_id, min(i) AS at FROM cv JOIN st USING (doc_id) WHERE i > st.at AND ({_LOCATION} OR {_IS_YEAR}) GROUP BY cv.doc_id),
+    + rf"""st AS (SELECT doc_id, coalesce(au.at, -1) AS at FROM works LEFT JOIN au USING (doc_id)), en AS (SELECT cv.doc_id, min(i) AS at FROM cv JOIN st USING (doc_id) WHERE i > st.at AND ({_LOCATION} OR {_IS_YEAR}) GROUP BY cv.doc_id),
       x AS (SELECT cv.doc_id, string_agg(text, ' ' ORDER BY i) AS said FROM cv JOIN st USING (doc_id) LEFT JOIN en USING (doc_id) WHERE i > st.at AND i < coalesce(en.at, 1000000) AND NOT {_GENERIC} GROUP BY cv.doc_id)
       SELECT doc_id, coalesce({_clean("said")}, '') AS title FROM works LEFT JOIN x USING (doc_id)""",
     "label_lookup": f"WITH works AS ({_WORKS}) SELECT doc_id, {_label('autor(?:a)?|discente|aluno(?:a)?')} AS author, {_label('t[íi]tulo')} AS title, {_label('subt[íi]tulo')} AS subtitle, {_label('curso')} AS course, {_label('programa')} AS program, {_label('local|cidade')} AS location, {_label('orientador(?:a)?')} AS advisor, {_label('coorientador(?:a)?')} AS coadvisor FROM works",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -53,10 +53,13 @@ def split_remainder(doc_id: Column, folds: int) -> Column:
 def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int = 42) -> DataFrame:
     """At most ``per_label`` rows of each value of ``label``, those with the least seeded hash of doc_id.
 
-    Only (doc_id, label) is ranked; the rank limit is applied in each task before the shuffle
-    (window group limit), so no task holds more than ``per_label`` rows of a value.
+    Rows are counted by label first (labels are non-null and few: a model holds something for each), and only hashes
+    under a bar that about twice as many rows pass are ranked, so no task sees more than that of a label.
     """
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id"))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= per_label).drop("_rank")
+    counts = rows.groupBy(label).agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return rows
+    bars = F.create_map(*[F.lit(x) for r in counts for x in (r[label], (2.0 * per_label + 100) / r["n"])])
+    near = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"))).where(F.col("_h") / F.lit(2.0**64) + F.lit(0.5) < F.element_at(bars, F.col(label)))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "doc_id"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= per_label).select(*rows.columns)

@@ -160,3 +160,33 @@ def test_part_borders_lose_no_leak(spark, monkeypatch):
     for lead in range(0, 140, 7):
         text = " ".join([*(word() for _ in range(lead)), *passage, *(word() for _ in range(90))])
         assert [h.item_id for h in decontaminate.Searcher(index).hits(text)] == [1]
+
+
+def test_short_and_reworded_passages_of_a_large_benchmark_equal_brute_force(spark, monkeypatch):
+    """Over 500 passages, short ones and some of 60 to 80 % of their words, within dense text of the same words."""
+    import random
+
+    monkeypatch.setattr(decontaminate, "FIT_DOCUMENTS", 20)
+    monkeypatch.setattr(decontaminate, "MAX_RANK", 64)
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("bcdfgaeiou") for _ in range(7)) for _ in range(3000)]
+    filler = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, filler(rng.randint(11, 24))) for k in range(520)]
+    texts = []
+    for k in range(120):
+        words = list(items[k][1])
+        gone = set(rng.sample(range(len(words) - 3), int(len(words) * rng.choice([0, 0.2, 0.3, 0.38]))))
+        texts.append(" ".join([*filler(80), *(f"new{j}x" if j in gone else w for j, w in enumerate(words)), *filler(80)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    expected = set()
+    for d, text in enumerate(texts):
+        words = decontaminate.bare_words(text)
+        arounds = [words[max(0, at - 32) : at + 96] for at in range(0, len(words), 32)]
+        for item, passage in items:
+            pattern, answer = decontaminate.Pattern(passage), set(passage[-5:])
+            for around in arounds:
+                share, held = pattern.common(around) / len(passage), len(answer & set(around)) / len(answer)
+                if share >= 0.8 or (share >= 0.6 and held >= 0.6):
+                    expected.add((d, item))
+    assert len(expected) >= 110 and {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()} == expected

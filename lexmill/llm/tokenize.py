@@ -61,14 +61,19 @@ class _Recent(dict):
 
 
 class TextTokenizer:
-    """``ids(text)``: the ids of a whole text as little-endian unsigned 32-bit integers, special tokens as plain text."""
+    """``ids(text)``: the ids of a whole text as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str):
+    Added tokens such as <|endoftext|> in a text are plain text, or with ``added_tokens`` the ids that the library gives
+    them by default; a text that holds one then goes through the library's whole pipeline.
+    """
+
+    def __init__(self, path: str, added_tokens: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.model = self.tokenizer.model
         # the pattern of byte-level pre-tokenization, a fixed value of the vocabulary
         self.pretokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -97,6 +102,8 @@ class TextTokenizer:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(map(text.__contains__, self.added)):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if any(map(text.__contains__, _DOUBLED)):
             return b"".join(map(self.pieces.__getitem__, _CUT.split(text)))
         first, *rest = text.split(" ")
@@ -107,7 +114,7 @@ _loaded: dict[str, TextTokenizer] = {}
 
 
 def loaded(path: str) -> TextTokenizer:
-    """One tokenizer for each worker process."""
+    """One tokenizer for each worker process, with the library's ids of added tokens."""
     if path not in _loaded:
-        _loaded[path] = TextTokenizer(path)
+        _loaded[path] = TextTokenizer(path, added_tokens=True)
     return _loaded[path]

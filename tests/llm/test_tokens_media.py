@@ -148,3 +148,17 @@ def test_corpus_rollup(documents, no_docs, library, tmp_path):
     found = rollups.corpus_rollup(documents, vocabulary(), "v1", f"file://{tmp_path}/a")
     assert {(r.source, r.lang): (r.docs, r.tokens, r["bytes"]) for r in found.collect()} == expected
     assert rollups.corpus_rollup(no_docs, vocabulary(), "v1", f"file://{tmp_path}/b").count() == 0
+
+
+def test_added_tokens_get_the_ids_of_the_library(spark):
+    from lexmill.llm.tokenize import loaded
+
+    plain = Tokenizer.from_file(vocabulary())
+    texts = ["abc <|endoftext|> def", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b\n", "<|endoftext|", "no token", ""]
+    ids = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [39305, 220, 50256, 825]
+    assert [np.frombuffer(loaded(vocabulary()).ids(t), dtype="<u4").tolist() for t in texts] == ids
+    docs = spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    found = sorted((tuple(r) for r in bitplane.encode_and_read(docs, vocabulary()).collect()), key=lambda r: r[1])
+    assert found == list(_expected(list(enumerate(texts)), lambda t: plain.encode(t, add_special_tokens=False).ids))
+    assert {r.doc_id: r.tokens for r in rollups.token_counts(docs, vocabulary()).collect()} == {k: len(x) for k, x in enumerate(ids)}

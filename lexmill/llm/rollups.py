@@ -31,15 +31,17 @@ def _count(path: str):
         for b in batches:
             texts = b.column(3)
             tokens = [len(ids(t.as_py())) // 4 for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(tokens, pa.int64())], ["doc_id", "source", "lang", "bytes", "tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(tokens, pa.int64()), *b.columns[5:]], ["doc_id", "source", "lang", "bytes", "tokens", *b.schema.names[5:]])
 
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, source, lang, bytes, tokens of every whole text; null or empty text: 0."""
+def token_counts(docs: DataFrame, tokenizer: str, keyed: bool = False) -> DataFrame:
+    """doc_id, source, lang, bytes, tokens of every whole text; null or empty text: 0. ``keyed``: and k, the text's md5."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    return rows.mapInArrow(_count(tokenizer), "doc_id long, source string, lang string, bytes long, tokens long")
+    if keyed:
+        rows = rows.withColumn("k", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return rows.mapInArrow(_count(tokenizer), "doc_id long, source string, lang string, bytes long, tokens long" + (", k string" if keyed else ""))
 
 
 def _delta(sign: int, tokens: str, size: str) -> Column:
@@ -50,12 +52,13 @@ def signed(changes: DataFrame) -> DataFrame:
     """The signed deltas, one row per key, of changes (change, source, lang, tokenizer_version, tokens, bytes, old_tokens, old_bytes).
 
     change: ``insert``, ``delete`` (of the count in tokens and bytes) or ``revise``. Any other value, or null, is an
-    error. A null key part is a key of its own; a null count is 0. Keys whose deltas cancel stay, with zeros.
+    error. A column ``times`` says how many equal changes a row stands for. A null key part is a key of its own; a null count is 0. Keys whose deltas cancel stay, with zeros.
     """
     revised = F.struct(F.lit(0).cast("long").alias("docs"), (F.coalesce("tokens", F.lit(0)) - F.coalesce("old_tokens", F.lit(0))).cast("long").alias("tokens"), (F.coalesce("bytes", F.lit(0)) - F.coalesce("old_bytes", F.lit(0))).cast("long").alias("bytes"))
     kind = F.when(F.col("change") == "insert", _delta(1, "tokens", "bytes")).when(F.col("change") == "delete", _delta(-1, "tokens", "bytes")).when(F.col("change") == "revise", revised)
     kind = kind.otherwise(F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce("change", F.lit("null")))).cast("struct<docs:bigint,tokens:bigint,bytes:bigint>"))
-    return changes.select(*KEYS, kind.alias("d")).groupBy(*KEYS).agg(*[F.sum(f"d.{m}").alias(m) for m in MEASURES])
+    times = F.col("times") if "times" in changes.columns else F.lit(1)
+    return changes.select(*KEYS, kind.alias("d"), times.alias("n")).groupBy(*KEYS).agg(*[F.sum(F.col(f"d.{m}") * F.col("n")).alias(m) for m in MEASURES])
 
 
 class Rollup:
@@ -117,18 +120,19 @@ def corpus_rollup(docs: DataFrame, tokenizer: str, version: str, path: str) -> D
     """The totals of a corpus after three batches: every document in, repeated texts out, every count revised.
 
     ``load`` inserts all documents. ``repeats`` deletes each document whose text an earlier one (lower doc_id, null
-    last) has. ``ends`` revises the remaining counts by the id that ends each document. Each batch is sent twice.
+    last) has; of rows equal in doc_id, source, lang and text one stays. ``ends`` revises the remaining counts by the id that ends each document. Each batch is sent twice.
     """
-    text_key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    counted = staged(token_counts(docs, tokenizer), "token-counts")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_key.alias("k"))
-    first = keyed.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang")).alias("kept")).select("kept.doc_id", "kept.source", "kept.lang")
-    first = staged(first, "first-copies")
-    same = [counted[c].eqNullSafe(first[c]) for c in ("doc_id", "source", "lang")]
-    stay = counted.join(first, [same[0], same[1], same[2]], "left_semi")
-    gone = counted.join(first, [same[0], same[1], same[2]], "left_anti")
+    counted = staged(token_counts(docs, tokenizer, keyed=True), "token-counts")
+    # rows equal in all of these have the same counts, but for a null and an empty text, which both have none
+    equal = counted.groupBy("doc_id", "source", "lang", "k").agg(F.first("tokens").alias("tokens"), F.first("bytes").alias("bytes"), F.count("*").alias("n"))
+    first = counted.groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang")).alias("kept")).select("kept.doc_id", "kept.source", "kept.lang", "k")
+    # joined on all four, so that the copies of one text don't meet in one task
+    same = [equal[c].eqNullSafe(first[c]) for c in ("doc_id", "source", "lang", "k")]
+    equal = staged(equal.join(first.withColumn("found", F.lit(True)), same, "left").select(*[equal[c] for c in equal.columns], F.col("found").isNotNull().alias("stays")), "first-copies")
+    stay = equal.where("stays").withColumn("times", F.lit(1))
+    gone = equal.withColumn("times", F.col("n") - F.col("stays").cast("long")).where("times > 0")
     version_of = F.lit(version).alias("tokenizer_version")
-    change = lambda rows, kind, more=0: rows.select(F.lit(kind).alias("change"), "source", "lang", version_of, (F.col("tokens") + more).alias("tokens"), "bytes", F.col("tokens").alias("old_tokens"), F.col("bytes").alias("old_bytes"))
+    change = lambda rows, kind, more=0: rows.select(F.lit(kind).alias("change"), "source", "lang", version_of, (F.col("tokens") + more).alias("tokens"), "bytes", F.col("tokens").alias("old_tokens"), F.col("bytes").alias("old_bytes"), *[c for c in rows.columns if c == "times"])
     rollup = Rollup(docs.sparkSession, path)
     for name, rows in (("load", change(counted, "insert")), ("repeats", change(gone, "delete")), ("ends", change(stay, "revise", 1))):
         deltas = signed(rows)

@@ -162,3 +162,12 @@ def test_added_tokens_get_the_ids_of_the_library(spark):
     found = sorted((tuple(r) for r in bitplane.encode_and_read(docs, vocabulary()).collect()), key=lambda r: r[1])
     assert found == list(_expected(list(enumerate(texts)), lambda t: plain.encode(t, add_special_tokens=False).ids))
     assert {r.doc_id: r.tokens for r in rollups.token_counts(docs, vocabulary()).collect()} == {k: len(x) for k, x in enumerate(ids)}
+
+
+def test_one_of_equal_rows_and_of_null_ids_stays(spark, tmp_path):
+    rows = [(None, "one", "en", "a"), (None, "two words", "en", "a"), (1, "two words", "en", "a"), (None, "two words", "en", "a"), (2, "three", "en", "a"), (2, "three", "en", "a"), (None, "one", "en", "a"), (3, None, None, None), (3, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    plain = Tokenizer.from_file(vocabulary())
+    tokens = sum(len(plain.encode(t, add_special_tokens=False).ids) + 1 for t in ("one", "two words", "three"))
+    found = rollups.corpus_rollup(docs, vocabulary(), "v1", f"file://{tmp_path}/r").collect()
+    assert {(r.source, r.docs, r.tokens, r["bytes"]) for r in found} == {("a", 3, tokens, 17), (None, 1, 1, 0)}

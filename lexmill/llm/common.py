@@ -2,35 +2,83 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Label values up to which a table of one row for each (about 50 bytes) is broadcast; beyond, the join shuffles.
+BROADCAST_LABELS = 50_000
+#: Buckets of the hash in which a sample's rows are ranked apart.
+RANK_BUCKETS = 64
+
 _own: dict[str, str] = {}
+_folders: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder every executor sees, from spark.checkpoint.dir. Unset: a temporary one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own[app] = "file://" + tempfile.mkdtemp(prefix="lexmill-")
     return _own[app]
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+def _remove(jvm, conf, path: str) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Removes the staged tables of every application of this process, if its JVM still answers."""
+    for path, (jvm, conf) in _folders.items():
+        try:
+            _remove(jvm, conf, path)
+        except Exception as e:  # the JVM may be gone; then the folder stays
+            print(f"left {path}: {type(e).__name__}")
+
+
+def workspace(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/lexmill/{spark.sparkContext.applicationId}"
+    _folders.setdefault(path, (spark._jvm, spark._jsc.hadoopConfiguration()))
+    return path
+
+
+def staged(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs no earlier stage. Reads stay prunable, unlike checkpoint().
+    Cuts the lineage: a lost executor costs no earlier stage. Reads stay prunable, unlike checkpoint(). The table
+    stays until ``discarded`` or the end of the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexmill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexmill_path = path
+    return out
+
+
+def discarded(table: DataFrame) -> None:
+    """Removes a staged table that nothing will read again."""
+    spark = table.sparkSession
+    _remove(spark._jvm, spark._jsc.hadoopConfiguration(), table._lexmill_path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a working column that ``df`` doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +101,17 @@ def split_remainder(doc_id: Column, folds: int) -> Column:
 def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int = 42) -> DataFrame:
     """At most ``per_label`` rows of each value of ``label``, those with the least seeded hash of doc_id.
 
-    Rows are counted by label first (labels are non-null and few: a model holds something for each), and only hashes
-    under a bar that about twice as many rows pass are ranked, so no task sees more than that of a label.
+    ``rows`` has doc_id, no column that starts with ``sample_`` and non-null labels. They are counted by label first, and
+    only hashes under a bar that about twice as many rows pass are ranked, in RANK_BUCKETS ranges of the hash each on its
+    own. Labels may be many: their counts are broadcast only up to BROADCAST_LABELS.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("n")).collect()
-    if not counts:
-        return rows
-    bars = F.create_map(*[F.lit(x) for r in counts for x in (r[label], (2.0 * per_label + 100) / r["n"])])
-    near = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"))).where(F.col("_h") / F.lit(2.0**64) + F.lit(0.5) < F.element_at(bars, F.col(label)))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "doc_id"))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= per_label).select(*rows.columns)
+    counts = staged(rows.groupBy(F.col(label).alias("sample_label")).agg(F.count("*").alias("sample_n")), "label-counts")
+    few = counts.count() <= BROADCAST_LABELS
+    share = (F.xxhash64(F.lit(seed), F.col("doc_id")) / F.lit(2.0**64) + F.lit(0.5)) * F.col("sample_n") / F.lit(2.0 * per_label + 100)
+    near = rows.join(F.broadcast(counts) if few else counts, F.col(label) == F.col("sample_label")).withColumn("sample_share", share).where("sample_share < 1")
+    near = near.withColumn("sample_bucket", F.floor(F.col("sample_share") * RANK_BUCKETS))
+    by = ["sample_label", "sample_bucket"]
+    before = F.sum("n").over(Window.partitionBy("sample_label").orderBy("sample_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = near.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.coalesce(before, F.lit(0)).alias("sample_before")).where(F.col("sample_before") < per_label)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("sample_share", "doc_id"))
+    return near.withColumn("sample_rank", rank).join(starts, by).where(F.col("sample_rank") + F.col("sample_before") <= per_label).select(*rows.columns)

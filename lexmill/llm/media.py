@@ -3,8 +3,8 @@
 ``encode`` stores a byte payload losslessly in a valid variable-bitrate MPEG-1 Layer III stream (mono, 48 kHz): an
 ID3v2 tag, a Xing frame with frame count, byte count and seek table, then frames whose side information is empty
 (silence to a player), CRC-protected, with the payload in the bytes that follow it. ``probe`` reads any MPEG audio bytes:
-it skips tags, finds frame headers again after damage, parses the variable-bitrate table, verifies the
-checksums, and gives the exact duration and the offset of every frame.
+it skips tags, finds frame headers again after damage, parses the variable-bitrate table (Xing, Info or VBRI),
+verifies the checksums of all three layers, and gives the exact duration and the offset of every frame.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import staged
+
 UNIT = 192
 PAYLOAD_OWNER = b"lexmill/payload\0"
 
@@ -33,6 +35,10 @@ BITRATES = {
     (True, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Bits of a subband's allocation in Layer II, as (subbands, bits) runs: at low rates, at high rates, and of MPEG-2.
+LOW_ALLOCATION = ((2, 4), (10, 3))
+HIGH_ALLOCATION = ((11, 4), (12, 3), (7, 2))
+HALF_ALLOCATION = ((4, 4), (7, 3), (19, 2))
 
 
 @dataclass(frozen=True)
@@ -45,6 +51,7 @@ class Header:
     bitrate: int
     sample_rate: int
     mono: bool
+    bound: int
     size: int
     samples: int
     side: int
@@ -65,7 +72,9 @@ def header(word: int) -> Header | None:
     size = (12_000 * kbps // sample_rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // sample_rate + pad
     mono, protected = word >> 6 & 3 == 3, not word >> 16 & 1
     side = 0 if layer != 3 else (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return Header(version, layer, protected, kbps, sample_rate, mono, size, samples, side, 4 + 2 * protected + side)
+    # from this subband on both channels share their allocation
+    bound = 4 * (word >> 4 & 3) + 4 if word >> 6 & 3 == 1 else 32
+    return Header(version, layer, protected, kbps, sample_rate, mono, bound, size, samples, side, 4 + 2 * protected + side)
 
 
 def _crc_table() -> list[int]:
@@ -82,14 +91,53 @@ _CRC = _crc_table()
 
 
 @lru_cache(4096)
-def frame_crc(data: bytes) -> int:
-    """CRC-16 with polynomial 0x8005 from 0xFFFF, over the last two header bytes and the side information."""
+def frame_crc(data: bytes, bits: int = 0) -> int:
+    """CRC-16 with polynomial 0x8005 from 0xFFFF over the bytes, the last of which counts with its first ``bits`` bits, if given."""
     crc = 0xFFFF
-    for x in data:
+    for x in data[:-1] if bits else data:
         crc = crc << 8 & 0xFFFF ^ _CRC[crc >> 8 ^ x]
+    for k in range(bits):
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15 ^ data[-1] >> 7 - k) & 1 else crc << 1) & 0xFFFF
     return crc
 
 
+def allocation(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of a Layer I or II frame."""
+    if h.layer == 1:
+        return [4] * 32
+    each = h.bitrate if h.mono else h.bitrate // 2
+    if h.version != 3:
+        runs, limit = HALF_ALLOCATION, 30
+    elif each < 56:
+        runs, limit = LOW_ALLOCATION, 12 if h.sample_rate == 32000 else 8
+    else:
+        runs, limit = HIGH_ALLOCATION, 30 if each >= 96 and h.sample_rate != 48000 else 27
+    return [bits for n, bits in runs for _ in range(n)][:limit]
+
+
+def protected_bits(frame: bytes, h: Header) -> int:
+    """How many bits after the checksum it covers: side information, or allocation and, in Layer II, the choice of scale factors."""
+    if h.layer == 3:
+        return 8 * h.side
+    at, chosen, bits = 0, 0, int.from_bytes(frame[6:], "big")
+    total = 8 * (len(frame) - 6)
+    for band, width in enumerate(allocation(h)):
+        shared = h.mono or band >= h.bound
+        for _ in range(1 if shared else 2):
+            used = bits >> max(0, total - at - width) & ((1 << width) - 1)
+            at += width
+            # a shared allocation chooses scale factors for each channel
+            chosen += 2 * (2 if shared and not h.mono else 1) if used and h.layer == 2 else 0
+    return at + chosen
+
+
+def checksum_holds(frame: bytes, h: Header) -> bool:
+    bits = protected_bits(frame, h)
+    whole, rest = divmod(bits, 8)
+    covered = frame[6 : 6 + whole + (rest > 0)]
+    return len(covered) * 8 >= bits and int.from_bytes(frame[4:6], "big") == frame_crc(frame[2:4] + covered, rest)
+
+
 @lru_cache(32)
 def _frame_start(index: int) -> tuple[bytes, int]:
     """Header, checksum and empty side information of a frame with this bitrate index; its size."""
@@ -131,7 +179,8 @@ def encode(payload: bytes) -> bytes:
 
 @dataclass
 class Probe:
-    """What a stream holds. offsets: of each audio frame from the first byte; seek: its table of 100 fractions of 256."""
+    """What a stream holds. offsets: of each audio frame from the first byte; seek: its table of 100 fractions of 256, or
+    a VBRI frame's sizes of equal runs of frames as little-endian unsigned 32-bit integers."""
 
     tags: list[str] = field(default_factory=list)
     payload_length: int | None = None
@@ -181,30 +230,30 @@ def _id3v2(data: bytes, out: Probe) -> int:
 
 
 def _vbr_table(frame: bytes, h: Header, out: Probe) -> bool:
-    """True if the frame is a Xing, Info or VBRI frame rather than audio."""
+    """True if the frame is a Xing, Info or VBRI frame rather than audio. What a short frame has no room for is left out."""
     at = h.body
-    if frame[at : at + 4] in (b"Xing", b"Info"):
+    if frame[at : at + 4] in (b"Xing", b"Info") and at + 8 <= len(frame):
         out.vbr = frame[at : at + 4].decode("ascii")
-        (flags,) = struct.unpack_from(">I", frame, at + 4)
+        flags = int.from_bytes(frame[at + 4 : at + 8], "big")
         at += 8
-        if flags & 1:
-            (out.vbr_frames,) = struct.unpack_from(">I", frame, at)
-            at += 4
-        if flags & 2:
-            (out.vbr_bytes,) = struct.unpack_from(">I", frame, at)
-            at += 4
+        for bit, name in ((1, "vbr_frames"), (2, "vbr_bytes")):
+            if flags & bit and at + 4 <= len(frame):
+                setattr(out, name, int.from_bytes(frame[at : at + 4], "big"))
+                at += 4
         if flags & 4:
             out.seek = frame[at : at + 100]
         return True
-    if frame[36:40] == b"VBRI":
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
         out.vbr = "VBRI"
-        out.vbr_bytes, out.vbr_frames = struct.unpack_from(">II", frame, 46)
+        out.vbr_bytes, out.vbr_frames, count, scale, width, _ = struct.unpack_from(">IIHHHH", frame, 46)
+        table = [int.from_bytes(frame[at : at + width], "big") * scale for at in range(62, min(len(frame), 62 + count * width) - width + 1, width)] if width else []
+        out.seek = struct.pack(f"<{len(table)}I", *(x & 0xFFFFFFFF for x in table))
         return True
     return False
 
 
 def probe(data: bytes) -> Probe:
-    """Everything about a stream. Bytes that belong to no frame count as skipped; null-safe for any input."""
+    """Everything about a stream; any bytes will do. Those that belong to no frame count as skipped."""
     out = Probe()
     end = len(data)
     if end >= 128 and data[-128:-125] == b"TAG":
@@ -215,8 +264,8 @@ def probe(data: bytes) -> Probe:
     while at + 4 <= end:
         h = header(int.from_bytes(data[at : at + 4], "big"))
         fits = h is not None and at + h.size <= end
-        if fits and lost and at + h.size + 4 <= end:
-            # a header found by search counts only if another one of its kind follows its frame
+        if fits and lost and at + h.size != end:
+            # a header found by search counts only if another one of its kind follows its frame, or the end does
             n = header(int.from_bytes(data[at + h.size : at + h.size + 4], "big"))
             fits = n is not None and (n.version, n.layer, n.sample_rate) == (h.version, h.layer, h.sample_rate)
         if not fits:
@@ -227,9 +276,9 @@ def probe(data: bytes) -> Probe:
             at = nxt
             continue
         lost = False
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.crc_checked += 1
-            out.crc_wrong += int.from_bytes(data[at + 4 : at + 6], "big") != frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side])
+            out.crc_wrong += not checksum_holds(data[at : at + h.size], h)
         if not (first and h.layer == 3 and _vbr_table(data[at : at + h.size], h, out)):
             out.offsets.append(at)
             out.headers.append(h)
@@ -304,9 +353,9 @@ def measured(media: DataFrame) -> DataFrame:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Stores every text of ``docs`` and measures what was stored: one row per row, repeated rows included.
+    """Stores every text of ``docs`` in the shared folder and measures what it reads back: one row per row, repeated rows included.
 
     Null text counts as empty; null doc_id stays null; other columns are ignored; an empty table gives an
     empty result. Equal texts give equal values.
     """
-    return measured(media_column(docs))
+    return measured(staged(media_column(docs), "media", compression="zstd"))

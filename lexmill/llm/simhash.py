@@ -15,8 +15,8 @@ members are within 2 of each other and within 3 of every far member, so a bucket
 connected through it: its links are a star, never all pairs. Buckets are bounded by geometry (at most 2,081
 distinct fingerprints), so no key is hot. Each collision is verified by its popcount before it counts.
 
-Variants travel as packed arrays of 10 bytes a variant, grouped by a hash range of the variant; the ranges
-grow in number with the input, not in size.
+Variants travel as packed arrays of 10 bytes a variant, grouped by a hash range of the variant; the ranges, the
+tasks that emit them and the tasks that read them grow in number with the input, not in size.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import staged
+from lexmill.llm.common import discarded, staged
 
 SEED = 42
 RADIUS = 3
@@ -35,6 +35,11 @@ FLUSH = 2048
 #: Variants that one hash range should hold.
 RANGE_VARIANTS = 1_500_000
 LEAST_RANGES = 64
+#: Distinct fingerprints that one task emits the variants of, and hash ranges that one task reads; beyond MOST_READERS
+#: tasks each reads more ranges, one after another.
+FINGERPRINTS_PER_TASK = 8192
+RANGES_PER_TASK = 2
+MOST_READERS = 50_000
 #: Bytes of a text hashed at once; a longer text goes through in pieces.
 PIECE = 1 << 20
 
@@ -133,7 +138,7 @@ def _emit(ranges: int):
             fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for s in range(0, len(fps), FLUSH):
                 ids, variants, codes = zip(*_ball(fps[s : s + FLUSH], ranges), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(variants, pa.binary()), pa.array(codes, pa.binary())], ["range_id", "variants", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(variants, pa.binary()), pa.array(codes, pa.binary())], ["range_id", "variants", "codes"])
 
     return run
 
@@ -187,29 +192,33 @@ def _meet(table: pa.Table) -> pa.Table:
 def ball_links(fps: DataFrame, count: int) -> DataFrame:
     """(a, b): verified links between distinct fingerprints, a spanning forest of each hash range's links."""
     ranges = max(LEAST_RANGES, -(-count * 561 // RANGE_VARIANTS))
-    return fps.mapInArrow(_emit(ranges), "range_id long, variants binary, codes binary").groupBy("range_id").applyInArrow(_meet, "a long, b long").distinct()
+    emitted = fps.repartition(max(1, -(-count // FINGERPRINTS_PER_TASK))).mapInArrow(_emit(ranges), "range_id int, variants binary, codes binary")
+    # dealt by the ranges' numbers, equally many to each task; grouping by range deals nothing again
+    dealt = emitted.repartitionById(min(MOST_READERS, -(-ranges // RANGES_PER_TASK)), F.col("range_id"))
+    return dealt.groupBy("range_id").applyInArrow(_meet, "a long, b long").distinct()
 
 
-def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """(node, root): the least reachable node of each node that has a link, by alternating large and small stars.
 
     Minima are partial aggregates and the joins back are plain equi-joins that AQE can split, so a hub with
-    very many neighbours stays spread. Every round is staged in the shared folder.
+    very many neighbours stays spread. Every round is staged in the shared folder, and the round before removed. Rounds
+    go on until nothing changes; each one more than halves the depth of the trees, so they grow as a logarithm.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, before = staged(edges, "edges"), None
-    for _ in range(most_rounds):
+    while True:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = staged(small, "edges")
+        old, edges = edges, staged(small, "edges")
+        discarded(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-    raise RuntimeError("the components did not settle")
 
 
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,9 +250,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     rows, placed = _components(docs)
     own = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")).join(placed, "fp")
-    kept = staged(own.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "kept-documents")
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (_text_key() == kept["_key"])
-    out = docs.join(kept, same, "left_semi")
-    if rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return out
-    return out.withColumn("_key", _text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    kept = staged(own.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key")), "kept-documents")
+    # the documents' own columns travel as one, so that no name of theirs can clash
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _text_key().alias("key"))
+    out = named.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    if not rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = out.dropDuplicates(["id", "key"])
+    return out.select("row.*")

@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +85,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def chunks(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """A string column's rows in slices of about ``size`` bytes, a longer row alone; nulls as empty strings."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, first = np.cumsum(sizes), 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] - sizes[first] + size, "right")))
+        yield column.slice(first, last - first)
+        first = last
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -98,8 +113,8 @@ def split_remainder(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int = 42) -> DataFrame:
-    """At most ``per_label`` rows of each value of ``label``, those with the least seeded hash of doc_id.
+def bounded_sample(rows: DataFrame, label: str, per_label: int | dict, seed: int = 42) -> DataFrame:
+    """At most ``per_label`` rows of each value of ``label`` (or a number by value), those with the least seeded hash of doc_id.
 
     ``rows`` has doc_id, no column that starts with ``sample_`` and non-null labels. They are counted by label first, and
     only hashes under a bar that about twice as many rows pass are ranked, in RANK_BUCKETS ranges of the hash each on its
@@ -107,11 +122,12 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int = 42)
     """
     counts = staged(rows.groupBy(F.col(label).alias("sample_label")).agg(F.count("*").alias("sample_n")), "label-counts")
     few = counts.count() <= BROADCAST_LABELS
-    share = (F.xxhash64(F.lit(seed), F.col("doc_id")) / F.lit(2.0**64) + F.lit(0.5)) * F.col("sample_n") / F.lit(2.0 * per_label + 100)
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in per_label.items() for x in pair]), F.col("sample_label")) if isinstance(per_label, dict) else F.lit(per_label)
+    share = (F.xxhash64(F.lit(seed), F.col("doc_id")) / F.lit(2.0**64) + F.lit(0.5)) * F.col("sample_n") / (most * 2.0 + 100)
     near = rows.join(F.broadcast(counts) if few else counts, F.col(label) == F.col("sample_label")).withColumn("sample_share", share).where("sample_share < 1")
     near = near.withColumn("sample_bucket", F.floor(F.col("sample_share") * RANK_BUCKETS))
     by = ["sample_label", "sample_bucket"]
     before = F.sum("n").over(Window.partitionBy("sample_label").orderBy("sample_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = near.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.coalesce(before, F.lit(0)).alias("sample_before")).where(F.col("sample_before") < per_label)
+    starts = near.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.coalesce(before, F.lit(0)).alias("sample_before")).where(F.col("sample_before") < most)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("sample_share", "doc_id"))
-    return near.withColumn("sample_rank", rank).join(starts, by).where(F.col("sample_rank") + F.col("sample_before") <= per_label).select(*rows.columns)
+    return near.withColumn("sample_rank", rank).join(starts, by).where(F.col("sample_rank") + F.col("sample_before") <= most).select(*rows.columns)

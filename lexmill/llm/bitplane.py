@@ -113,24 +113,25 @@ def _encode(path: str, end_id: int, mode: str, shard_ids: int):
 
         from lexmill.llm.tokenize import loaded
 
-        ids_of, end = loaded(path).ids, struct.pack("<I", end_id)
+        of, end = loaded(path), np.array([end_id], dtype="<u4")
         place, part = TaskContext.get().partitionId(), 0
         docs, lengths, held, count = [], [], [], 0
 
         def shard():
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.concatenate(held)
             return pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int32()), "part": pa.array([part], pa.int32()), "n_docs": pa.array([len(docs)], pa.int64()), "n_ids": pa.array([count], pa.int64()), "shard": pa.array([encode_shard(docs, lengths, ids, mode)], pa.binary())})
 
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                packed = ids_of(text.as_py()) + end
-                docs.append(doc_id.as_py())
-                lengths.append(len(packed) // 4)
-                held.append(packed)
-                count += len(packed) // 4
-                if count >= shard_ids:
-                    yield shard()
-                    docs, lengths, held, count, part = [], [], [], 0, part + 1
+            places = iter(b.column(0).to_pylist())
+            for ids, sizes in of.batches(b.column(1)):
+                for at, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+                    docs.append(next(places))
+                    lengths.append(size + 1)
+                    held += (ids[at : at + size], end)
+                    count += size + 1
+                    if count >= shard_ids:
+                        yield shard()
+                        docs, lengths, held, count, part = [], [], [], 0, part + 1
         if docs:
             yield shard()
 
@@ -141,11 +142,13 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, mode: str = "
     """place, part, n_docs, n_ids, shard: the shards of all documents, staged in the shared folder.
 
     ``tokenizer`` is a vocabulary file that every executor has. Documents are ranged and sorted by doc_id (null
-    first, then by text), encoded whole, and closed into shards; (place, part) orders the shards.
+    first), then by a hash of the text and their place in the input, so that rows of one doc_id, be they a third of the
+    table, still spread over ranges; encoded whole, and closed into shards. (place, part) orders the shards.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ranged.mapInArrow(_encode(tokenizer, end_id, mode, shard_ids), "place int, part int, n_docs long, n_ids long, shard binary"), "shards")
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ranged = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
+    return staged(ranged.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id, mode, shard_ids), "place int, part int, n_docs long, n_ids long, shard binary"), "shards")
 
 
 def _decode(batches):
@@ -173,6 +176,6 @@ def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 0, mode: str
     """doc_id, start, n_tokens, ids_crc32: one row per row of ``docs``, read back from the written shards.
 
     Null or empty text: the end id alone. Null doc_id: first in order. Rows that share a doc_id keep one row
-    each, ordered by text. Other columns are ignored; an empty table gives an empty result.
+    each, ordered by the text's hash. Other columns are ignored; an empty table gives an empty result.
     """
     return read_shards(write_shards(docs, tokenizer, end_id, mode))

@@ -12,18 +12,30 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from lexmill.llm.common import chunks
 
 #: Pieces and pre-tokens kept in each generation (two generations live), and the longest piece kept.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 KEPT_WORDS = 200_000
 LONGEST = 64
+#: Bytes of texts cut into pieces at once.
+CHUNK = 8 << 20
 
 #: White space of any kind, each with a space after it: where a text isn't simply cut before its spaces.
 _DOUBLED = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+_ANY_DOUBLED = "[" + "".join(f"\\x{{{ord(x[0]):x}}}" for x in _DOUBLED) + "] "
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _PLAIN = re.compile("[ \n\t!-~¡-ɏ]*")
 #: The commonest shape, two pre-tokens or one: letters after at most one space, then ASCII punctuation.
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+_WORD_AND_REST = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]{1,60})(?P<rest>[!-/:-@\[-`{-~]*)$"
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -49,7 +61,7 @@ class _Recent(dict):
         self.make, self.kept, self.old = make, kept, {}
 
     def __missing__(self, key):
-        found = self.old.pop(key, None)
+        found = self.old.pop(key, None) if self.old else None
         if found is None:
             found = self.make(key)
         if len(key) <= LONGEST:
@@ -80,14 +92,15 @@ class TextTokenizer:
         self.chars = _byte_chars()
         self.words = _Recent(self._word, KEPT_WORDS)
         self.pieces = _Recent(self._piece, KEPT_WORDS)
+        self.latest: dict[str, bytes] = {}
         self.spaced = _Recent(lambda piece: self._piece(f" {piece}"), KEPT_PIECES)
 
+    def _mapped(self, word: str) -> str:
+        """A pre-token's bytes as the vocabulary's characters."""
+        return word.replace(" ", self.chars[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.chars)
+
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            mapped = word.replace(" ", self.chars[32])
-        else:
-            mapped = word.encode().decode("latin-1").translate(self.chars)
-        return _packed([t.id for t in self.model.tokenize(mapped)])
+        return _packed([t.id for t in self.model.tokenize(self._mapped(word))])
 
     def _piece(self, piece: str) -> bytes:
         words = self.words
@@ -109,6 +122,67 @@ class TextTokenizer:
         first, *rest = text.split(" ")
         return self.pieces[first] + b"".join(map(self.spaced.__getitem__, rest))
 
+    def batches(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts one after another, ids of each text) of a column's rows in order, about CHUNK bytes at a time."""
+        for texts in chunks(column, CHUNK):
+            odd = pc.match_substring_regex(texts, _ANY_DOUBLED)
+            for token in self.added:
+                odd = pc.or_(odd, pc.match_substring(texts, token))
+            # texts that aren't simply cut before their spaces count as one piece
+            split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+            starts = split.offsets.to_numpy()
+            starts, flat = starts - starts[0], split.flatten()
+            pieces = flat.dictionary_encode()
+            pool, sizes = self._spaced_pieces(pieces.dictionary)
+            whole = [self.ids(t) for t in texts.filter(odd).to_pylist()][::-1]
+            first = [whole.pop() if o else self.pieces[x] for o, x in zip(odd.to_pylist(), flat.take(pa.array(starts[:-1])).to_pylist(), strict=True)]
+            code = pieces.indices.to_numpy().astype(np.int64)
+            code[starts[:-1]] = np.arange(len(first)) + len(sizes)
+            ids, each = _taken(np.concatenate([pool, np.frombuffer(b"".join(first), dtype="<u4")]), np.concatenate([sizes, _sizes(first)]), code)
+            yield ids, np.diff(np.concatenate([[0], np.cumsum(each)])[starts])
+
+    def _spaced_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, ids of each piece) of different pieces that follow a space.
+
+        Most are a word and punctuation, and words repeat with other punctuation, so the two are looked up apart.
+        """
+        parts = pc.extract_regex(pieces, _WORD_AND_REST)
+        usual = parts.is_valid().to_numpy(zero_copy_only=False)
+        held = [pc.struct_field(parts.filter(pa.array(usual)), k).dictionary_encode() for k in (0, 1)]
+        rest = [self.spaced[x] for x in pieces.filter(pa.array(~usual)).to_pylist()]
+        known = [b"", *self._spaced_words(held[0].dictionary.to_pylist()), *map(self.pieces.__getitem__, held[1].dictionary.to_pylist()), *rest]
+        code = np.zeros((len(pieces), 2), dtype=np.int64)
+        code[usual, 0] = held[0].indices.to_numpy() + 1
+        code[usual, 1] = held[1].indices.to_numpy() + 1 + len(held[0].dictionary)
+        code[~usual, 0] = np.arange(len(rest)) + len(known) - len(rest)
+        ids, each = _taken(np.frombuffer(b"".join(known), dtype="<u4"), _sizes(known), code.ravel())
+        return ids, each.reshape(-1, 2).sum(axis=1)
+
+
+    def _spaced_words(self, words: list[str]) -> list[bytes]:
+        """The ids of different words of letters, each after a space."""
+        if len(self.latest) > KEPT_WORDS:
+            self.latest.clear()
+        found = list(map(self.latest.get, words))
+        new = [k for k, x in enumerate(found) if x is None]
+        tokenize, mapped, space = self.model.tokenize, self._mapped, self.chars[32]
+        ids = [[t.id for t in tokenize(space + words[k] if words[k].isascii() else mapped(f" {words[k]}"))] for k in new]
+        packed, start = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes(), 0
+        for k, x in zip(new, ids, strict=True):
+            found[k] = self.latest[words[k]] = packed[start : (start := start + 4 * len(x))]
+        return found
+
+
+def _sizes(packed: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+
+
+def _taken(pool: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the entries that ``code`` names, one after another, and the size of each) of entries that lie in the pool one after another."""
+    each = sizes[code]
+    upto = np.cumsum(each)
+    return pool[np.repeat((np.cumsum(sizes) - sizes)[code] - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)], each
+
 
 _loaded: dict[str, TextTokenizer] = {}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from lexmill.llm import bitplane, decontaminate, language, media, mixing, quality, rollups, sharding, simhash, toxicity
-from lexmill.llm.common import benchmark, documents, labels, shared_dir
+from lexmill.llm.common import benchmark, documents, labels, workspace
 
 
 def vocabulary() -> str:
@@ -24,7 +24,7 @@ def op2_kd_tree_shards(spark, sf_dir):
 
 
 def op3_token_rollups(spark, sf_dir):
-    return rollups.corpus_rollup(documents(spark, sf_dir), vocabulary(), "byte_bpe_50k", f"{shared_dir(spark)}/lexmill/rollup-{uuid.uuid4().hex}")
+    return rollups.corpus_rollup(documents(spark, sf_dir), vocabulary(), "byte_bpe_50k", f"{workspace(spark)}/rollup-{uuid.uuid4().hex}")
 
 
 def op4_mpeg_audio(spark, sf_dir):

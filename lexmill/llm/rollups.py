@@ -4,16 +4,22 @@ A rollup holds additive totals (documents, tokens, bytes) by source, language an
 changes becomes signed deltas: an insert adds, a delete subtracts, a revised count subtracts the old one and
 adds the new one. Only the deltas, one row per touched key, are stored with the batch; totals are their sum.
 
-Commits are idempotent: a batch lives in a folder of its own name and counts once its _SUCCESS marker is there, so a
-batch sent twice, or again after a crash half-way, counts once. ``compact`` folds all committed batches into one
-snapshot that names them.
+Commits are idempotent. A writer puts its deltas into a folder of its own and then names that folder in the batch's
+marker, a small file that is renamed into place only if the batch has none: of several writers, or after a crash
+half-way, exactly one folder counts. Whether a batch is committed is one look for its marker. ``compact`` folds the
+committed deltas into one snapshot; the folders it folded go at the next compaction, so readers of the snapshot before
+still find them, and what has to be listed is what came since. A snapshot counts once its own marker is there.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 
+import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +33,9 @@ def _count(path: str):
     def run(batches):
         from lexmill.llm.tokenize import loaded
 
-        ids = loaded(path).ids
+        of = loaded(path)
         for b in batches:
-            texts = b.column(3)
-            tokens = [len(ids(t.as_py())) // 4 for t in texts]
+            tokens = np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in of.batches(b.column(3)))])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(tokens, pa.int64()), *b.columns[5:]], ["doc_id", "source", "lang", "bytes", "tokens", *b.schema.names[5:]])
 
     return run
@@ -62,58 +67,106 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """A rollup in a folder that driver and executors share, by any path that Spark can write."""
+    """A rollup in a folder that driver and executors share, by any path that Spark can write.
+
+    deltas/batch=<name>/<attempt>: written deltas. batches/<name>: the marker, which holds the attempt that counts.
+    snapshots/<number>: totals, folded (the names of the batches it folded itself) and its marker.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.hadoop = spark._jvm.org.apache.hadoop.fs
 
     def _fs(self, path: str):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
-
-    def _done(self, path: str) -> bool:
-        fs, marker = self._fs(f"{path}/_SUCCESS")
-        return fs.exists(marker)
-
-    def _folders(self, kind: str) -> list[str]:
-        fs, pattern = self._fs(f"{self.path}/{kind}=*")
-        return sorted(str(s.getPath()) for s in fs.globStatus(pattern) or [] if self._done(str(s.getPath())))
-
-    def _folded(self, snapshot: str) -> set[str]:
-        return {r[0] for r in self.spark.read.parquet(f"{snapshot}/batches").collect()} if self._done(f"{snapshot}/batches") else set()
+        at = self.hadoop.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._fs(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _read(self, path: str) -> str | None:
+        fs, at = self._fs(path)
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _mark(self, path: str, content: str) -> bool:
+        """The content under this path, whole, unless there is a file already; True if this call put it there."""
+        own = f"{path}.{uuid.uuid4().hex}.new"
+        fs, at = self._fs(own)
+        stream = fs.create(at, True)
+        stream.write(content.encode())
+        stream.close()
+        context = self.hadoop.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            # without the option to overwrite, a rename onto a file fails
+            context.rename(at, self.hadoop.Path(path), self.spark.sparkContext._gateway.new_array(self.hadoop.Options.Rename, 0))
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        finally:
+            fs.delete(at, False)
 
-    def committed(self) -> set[str]:
-        """The names of the batches that count, folded ones too."""
-        found = {p.rsplit("=", 1)[1] for p in self._folders("batch")}
-        return found.union(*[self._folded(s) for s in self._folders("snapshot")[-1:]])
+    def committed(self, batch: str) -> bool:
+        return self._read(f"{self.path}/batches/{batch}") is not None
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """True if the batch was added, False if it had been committed before."""
+        """True if the batch was added, False if it had been committed before, or another writer was first."""
         if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
             raise ValueError("a batch name has letters, digits, - and _ only")
-        if batch in self.committed():
+        if self.committed(batch):
             return False
-        deltas.select(*KEYS, *MEASURES).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return True
+        attempt = uuid.uuid4().hex
+        deltas.select(*KEYS, *MEASURES).write.parquet(f"{self.path}/deltas/batch={batch}/{attempt}")
+        return self._mark(f"{self.path}/batches/{batch}", attempt)
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer_version and the totals, without keys that no document is left in."""
+    def _snapshot(self) -> int:
+        """The number of the latest whole snapshot, -1 without any."""
+        numbers = [int(n) for n in self._names("snapshots") if self._read(f"{self.path}/snapshots/{n}/marker") is not None]
+        return max(numbers, default=-1)
+
+    def _folded(self, number: int) -> set[str]:
+        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{number:08d}/folded").collect()} if number >= 0 else set()
+
+    def _open(self, number: int) -> dict[str, str]:
+        """Path of the deltas, by batch, of committed batches that the snapshot doesn't hold."""
+        names = [n.removeprefix("batch=") for n in self._names("deltas")]
+        attempts = {n: self._read(f"{self.path}/batches/{n}") for n in sorted(set(names) - self._folded(number))}
+        return {n: f"{self.path}/deltas/batch={n}/{a}" for n, a in attempts.items() if a is not None}
+
+    def _sum(self, number: int, paths: list[str]) -> DataFrame:
         schema = "source string, lang string, tokenizer_version string, docs long, tokens long, bytes long"
-        snapshots = self._folders("snapshot")[-1:]
-        folded = set().union(*[self._folded(s) for s in snapshots])
-        paths = [f"{s}/totals" for s in snapshots] + [p for p in self._folders("batch") if p.rsplit("=", 1)[1] not in folded]
+        paths = paths + ([f"{self.path}/snapshots/{number:08d}/totals"] if number >= 0 else [])
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES]).where(F.col("docs") != 0)
-
-    def compact(self) -> str:
-        """Folds everything committed into the next snapshot; the marker is written last, after both its parts."""
-        names, number = sorted(self.committed()), len(self._folders("snapshot"))
-        target = f"{self.path}/snapshot={number:08d}"
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{target}/totals")
-        self.spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")).alias("batch")).write.mode("overwrite").parquet(f"{target}/batches")
-        fs, marker = self._fs(f"{target}/_SUCCESS")
-        fs.create(marker, True).close()
-        return target
+        return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer_version and the totals, without keys that no document is left in."""
+        number = self._snapshot()
+        return self._sum(number, list(self._open(number).values())).where("docs <> 0")
+
+    def compact(self) -> int:
+        """Folds what is committed into the next snapshot and gives its number. One compaction runs at a time."""
+        last = self._snapshot()
+        # gone before the next snapshot counts: that one no longer lists them
+        for batch in sorted(self._folded(last)):
+            fs, at = self._fs(f"{self.path}/deltas/batch={batch}")
+            fs.delete(at, True)
+        found = self._open(last)
+        target = f"{self.path}/snapshots/{last + 1:08d}"
+        self._sum(last, list(found.values())).write.mode("overwrite").parquet(f"{target}/totals")
+        # named in the listing of folders, a name for each batch since the snapshot before
+        names = F.from_json(F.lit(json.dumps(sorted(found))), "array<string>")
+        self.spark.range(1).select(F.explode(names).alias("batch")).write.mode("overwrite").parquet(f"{target}/folded")
+        self._mark(f"{target}/marker", "whole")
+        return last + 1
 
 
 def corpus_rollup(docs: DataFrame, tokenizer: str, version: str, path: str) -> DataFrame:

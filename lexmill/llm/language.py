@@ -5,7 +5,8 @@ distance of a text to a language is out-of-place: for each n-gram of the text's
 its rank in the language's profile, or the profile length if it isn't there. The nearest language wins.
 
 N-grams of one to three characters run over lower-cased letters; everything else is a blank, and blanks in a row
-count once. An n-gram is its hash among 2^16 for each length, so counting a text is sorting integers.
+count once. An n-gram is its hash among 2^16 for each length, so counting a text is sorting integers. A long text is
+counted in parts whose n-grams run across the cuts, so its counts are those of the whole text.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from lexmill.llm.common import bounded_sample, split_remainder, staged
+from lexmill.llm.common import bounded_sample, fresh, split_remainder, staged
 
 UNDETERMINED = "und"
 #: Length of a profile, and the longest n-gram.
@@ -25,8 +27,10 @@ PROFILE = 300
 LONGEST = 3
 #: Documents of each language that a profile is learned from, at most (those of least seeded hash).
 SAMPLE_PER_LANGUAGE = 1_000
-#: Characters counted at once; counts of a longer text's parts are added up.
+#: Characters counted at once.
 PART = 1 << 20
+#: Languages up to which a text is compared with all of them by one dense table (0.4 MB a language); beyond, by lists.
+DENSE_LANGUAGES = 64
 
 _SPACE = 1 << 16
 
@@ -43,38 +47,42 @@ def _letter_table() -> np.ndarray:
 _letters: list[np.ndarray] = []
 
 
-def _codes(text: str) -> np.ndarray:
-    """Letter codes with single blanks between words and at both ends."""
+def _codes(text: str, before: np.ndarray, last: bool) -> np.ndarray:
+    """Letter codes with single blanks between words: the codes ``before``, then the text's, a blank at the end if ``last``.
+
+    The two forms of a small sigma, which lower() chooses by what follows, count as one; all else is letter by letter.
+    """
     if not _letters:
         _letters.append(_letter_table())
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    codes = np.concatenate(([np.uint32(0)], _letters[0][points], [np.uint32(0)]))
-    keep = np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]
-    return codes[keep]
+    points = np.frombuffer(text.lower().replace("ς", "σ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    codes = np.concatenate((before, _letters[0][points], np.zeros(int(last), dtype=np.uint32)))
+    return codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]]
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """The hashed n-grams of all lengths, blanks alone left out."""
+def _grams(codes: np.ndarray, known: int) -> np.ndarray:
+    """The hashed n-grams of all lengths that end after the first ``known`` codes, blanks alone left out."""
     out = []
     with np.errstate(over="ignore"):
         mixed = codes.astype(np.uint32)
         for n in range(1, LONGEST + 1):
             if n > 1:
                 mixed = mixed[:-1] * np.uint32(0x9E3779B1) + codes[n - 1 :]
-            if not len(mixed):
-                break
-            hashed = ((mixed * np.uint32(0x85EBCA6B)) >> np.uint32(16)) + np.uint32((n - 1) * _SPACE)
-            out.append(hashed[codes != 0] if n == 1 else hashed)
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+            new = mixed[max(0, known - n + 1) :]
+            hashed = ((new * np.uint32(0x85EBCA6B)) >> np.uint32(16)) + np.uint32((n - 1) * _SPACE)
+            out.append(hashed[codes[known:] != 0] if n == 1 else hashed)
+    return np.concatenate(out)
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams in ascending order, their counts) of a whole text."""
+    blank = np.zeros(1, dtype=np.uint32)
     if len(text) <= PART:
-        return np.unique(_grams(_codes(text)), return_counts=True)
-    total = np.zeros(LONGEST * _SPACE, dtype=np.int64)
+        return np.unique(_grams(_codes(text, blank, True), 1), return_counts=True)
+    total, before = np.zeros(LONGEST * _SPACE, dtype=np.int64), blank
     for s in range(0, len(text), PART):
-        total += np.bincount(_grams(_codes(text[s : s + PART])), minlength=len(total))
+        codes = _codes(text[s : s + PART], before, s + PART >= len(text))
+        total += np.bincount(_grams(codes, len(before)), minlength=len(total))
+        before = codes[-(LONGEST - 1) :]
     found = np.flatnonzero(total)
     return found.astype(np.uint32), total[found]
 
@@ -89,22 +97,37 @@ def profile(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Profiles:
-    """The languages' profiles as rank tables; ``identify`` gives (language, score) of a text."""
+    """The languages' profiles; ``identify`` gives (language, score) of a text. 2 kB a language, and a table if they are few."""
 
     def __init__(self, ranked: dict[str, list[int]]):
         self.languages = sorted(ranked)
-        self.ranks = np.full((len(ranked), LONGEST * _SPACE), -1, dtype=np.int16)
-        for k, lang in enumerate(self.languages):
-            self.ranks[k, np.array(ranked[lang], dtype=np.int64)] = np.arange(len(ranked[lang]), dtype=np.int16)
+        grams = np.concatenate([np.zeros(0, dtype=np.int64), *[np.array(ranked[x], dtype=np.int64) for x in self.languages]])
+        ranks = np.concatenate([np.zeros(0, dtype=np.int16), *[np.arange(len(ranked[x]), dtype=np.int16) for x in self.languages]])
+        owners = np.repeat(np.arange(len(self.languages)), [len(ranked[x]) for x in self.languages]).astype(np.int32)
+        order = np.argsort(grams, kind="stable")
+        # by n-gram: which languages have it, at which rank
+        self.owners, self.ranks = owners[order], ranks[order]
+        self.ends = np.cumsum(np.bincount(grams, minlength=LONGEST * _SPACE)).astype(np.int64)
+        self.table = None
+        if len(ranked) <= DENSE_LANGUAGES:
+            self.table = np.full((len(ranked), LONGEST * _SPACE), -1, dtype=np.int16)
+            self.table[owners, grams] = ranks
 
     def distances(self, text: str) -> np.ndarray | None:
         """Out-of-place distance to each language, from 0 to 1; None if the text has no letter."""
         mine = profile(*gram_counts(text))
         if not len(mine):
             return None
-        theirs = self.ranks[:, mine].astype(np.int64)
-        places = np.abs(theirs - np.arange(len(mine)))
-        return np.where(theirs < 0, PROFILE, np.minimum(places, PROFILE)).mean(axis=1) / PROFILE
+        if self.table is not None:
+            theirs = self.table[:, mine].astype(np.int64)
+            places = np.abs(theirs - np.arange(len(mine)))
+            return np.where(theirs < 0, PROFILE, np.minimum(places, PROFILE)).sum(axis=1) / (len(mine) * PROFILE)
+        ends = self.ends[mine]
+        sizes = ends - np.where(mine > 0, self.ends[mine.astype(np.int64) - 1], 0)
+        at = np.repeat(ends - sizes, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        places = np.abs(self.ranks[at].astype(np.int64) - np.repeat(np.arange(len(mine)), sizes))
+        saved = np.bincount(self.owners[at], weights=PROFILE - np.minimum(places, PROFILE), minlength=len(self.languages))
+        return (len(mine) * PROFILE - saved) / (len(mine) * PROFILE)
 
     def identify(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages:
@@ -142,24 +165,22 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` (all columns) with lang_pred and score, one row per row; the text alone decides.
+    """``docs`` (all columns) with the columns lang_pred and score, one row per row; the text alone decides.
 
-    Null text, no letter, or no language learned: lang_pred ``und``, score 0. Score: one minus the distance.
+    Null text, no letter, or no language learned: lang_pred ``und``, score 0. Score: one minus the distance. Columns of
+    these names that ``docs`` has already stay, and the new ones get underscores (``common.fresh``).
     """
+    names = [fresh(docs, n) for n in ("lang_pred", "score")]
     model = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
         for b in batches:
             found = [model.value.identify(t.as_py()) for t in b.column(b.num_columns - 1)]
-            names, scores = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
-
-    if {"lang_pred", "score", "_text"} & set(docs.columns):
-        raise ValueError("rename the columns lang_pred, score and _text first")
-    from pyspark.sql.types import DoubleType, StringType, StructType
+            best, scores = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], *names])
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
+    return docs.withColumn(fresh(docs, "searched"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def predicted_languages(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

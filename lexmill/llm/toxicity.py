@@ -4,13 +4,18 @@ Confirmed toxic documents are the positives; everything else is unlabelled, a mi
 text. The linear classifier minimises the non-negative risk estimate
 ``prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))`` with the logistic loss: positives correct the unlabelled
 risk for the toxic documents hidden in it, and when the corrected part turns negative (overfitting) the step goes
-the other way. Features are which words and word beginnings (4 and 5 letters) of a bounded vocabulary a text
+the other way. A logistic curve over the fitted scores, on the labelled texts among the unlabelled, makes them
+probabilities: it moves no text past another. Features are which words and word beginnings (4 and 5 letters) of a bounded vocabulary a text
 holds; words are runs of letters, lower case.
+
+The training texts' words stay on the executors: the driver gets a min-hash of each text to tell near copies by, the
+vocabulary that distributed counts choose, and which of its words each text holds.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import bounded_sample, split_remainder, staged
+from lexmill.llm.quality import fit_curve
 
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
@@ -26,11 +32,8 @@ THRESHOLD = 0.3
 POSITIVES = 3_000
 UNLABELLED = 9_000
 VOCABULARY = 600
-#: The prior over its estimate: near copies, which leave the training texts, are the less toxic part of a corpus,
-#: and too low a prior counts hidden toxic texts as clean.
-PRIOR_MARGIN = 1.2
-#: Words of the positives that compete for the vocabulary, the most frequent ones.
-CANDIDATES = 60_000
+#: Labelled texts that the prior is estimated from at least; where fewer are left without near copies, from all labels.
+LEAST_LABELLED = 100
 #: A word counts for the vocabulary from this many positives and this share of them on: a few copies of one
 #: text don't suffice.
 LEAST_POSITIVES = 3
@@ -39,6 +42,8 @@ LEAST_SHARE = 0.01
 LEAST_CONTRAST = 6.0
 #: Characters searched for words at once.
 PART = 1 << 20
+#: Min-hash of a text: texts alike in all values of a band are near copies.
+BANDS, BAND = 8, 4
 
 
 def _features(found: set[str]) -> set[str]:
@@ -100,93 +105,116 @@ class Model:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def choose_words(a: np.ndarray, b: np.ndarray, n: int, k: int, names: list[str]) -> np.ndarray:
-    """The words whose document shares differ most between n positives and k unlabelled texts, in standard errors.
-
-    a, b: documents with each word. At most VOCABULARY words.
-    """
-    mean = np.clip((a + b) / (n + k), 1e-9, 1 - 1e-9)
-    contrast = (a / n - b / k) / np.sqrt(mean * (1 - mean) * (1 / n + 1 / k))
-    return np.array(sorted(np.flatnonzero((a >= max(LEAST_POSITIVES, LEAST_SHARE * n)) & (contrast >= LEAST_CONTRAST)), key=lambda w: (-contrast[w], names[w]))[:VOCABULARY], dtype=np.int64)
+def min_hash(found: set[str]) -> bytes:
+    """BANDS hashes, each of BAND least values of seeded hashes of the words; empty without words."""
+    if not found:
+        return b""
+    words = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found], dtype=np.uint64)
+    rng = np.random.default_rng(42)
+    a, b = rng.integers(1, 1 << 31, BANDS * BAND, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 31, BANDS * BAND, dtype=np.uint64)
+    least = np.full(BANDS * BAND, 4_294_967_290, dtype=np.uint64)
+    for s in range(0, len(words), 4096):
+        np.minimum(least, ((words[s : s + 4096, None] * a + b) % np.uint64(4_294_967_291)).min(axis=0), out=least)
+    least = least.astype("<u4")
+    return b"".join(zlib.crc32(row.tobytes()).to_bytes(4, "little") for row in least.reshape(BANDS, BAND))
 
 
-def distinct_texts(texts: list[np.ndarray], bands: int = 8, rows: int = 4, seed: int = 42) -> list[np.ndarray]:
-    """One text of each group of near copies (words alike by a min-hash band); a text without words stays."""
-    rng = np.random.default_rng(seed)
-    a, b = rng.integers(1, 1 << 31, bands * rows, dtype=np.int64) | 1, rng.integers(0, 1 << 31, bands * rows, dtype=np.int64)
+def distinct(hashes: list[bytes]) -> list[int]:
+    """The places of one text of each group of near copies, the first; a text without words stays."""
     seen: set[tuple] = set()
     kept = []
-    for t in texts:
-        if len(t):
-            least = ((t[:, None] * a + b) % 2_147_483_647).min(axis=0)
-            keys = {(k, *least[k * rows : (k + 1) * rows].tolist()) for k in range(bands)}
-            known = not seen.isdisjoint(keys)
-            seen |= keys
-            if known:
-                continue
-        kept.append(t)
+    for k, x in enumerate(hashes):
+        bands = {(at, x[at : at + 4]) for at in range(0, len(x), 4)}
+        if seen.isdisjoint(bands):
+            kept.append(k)
+        seen |= bands
     return kept
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: list[str], prior: float) -> Model:
-    """A model from the texts' word numbers; ``names`` are the words. Near copies of a text count once."""
-    positive, unlabelled = distinct_texts(positive), distinct_texts(unlabelled)
-    if not positive or not unlabelled:
-        base = min(max(prior, 1e-3), 1 - 1e-3)
-        return Model({}, float(np.log(base / (1 - base))))
-    holds = lambda texts: np.bincount(np.concatenate(texts), minlength=len(names)).astype(float)
-    chosen = choose_words(holds(positive), holds(unlabelled), len(positive), len(unlabelled), names)
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-
-    def rows(texts):
-        x = np.zeros((len(texts), len(chosen)), dtype=np.float32)
-        for r, t in enumerate(texts):
-            at = place[t]
-            x[r, at[at >= 0]] = 1
-        return x
+def vocabulary(rows: DataFrame, positives: int, unlabelled: int) -> list[str]:
+    """The words whose document shares differ most between positives and unlabelled texts, in standard errors.
 
-    w = fit_nnpu(rows(positive), rows(unlabelled), prior)
-    return Model({names[k]: float(x) for k, x in zip(chosen, w, strict=False) if x}, float(w[-1]))
+    ``rows`` (positive, words) has as many texts of either kind as given. At most VOCABULARY words.
+    """
+    counts = rows.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("positive").alias("a"), F.count_if(~F.col("positive")).alias("b"))
+    mean = (F.col("a") + F.col("b")) / (positives + unlabelled)
+    spread = F.sqrt(mean * (1 - mean) * (1 / positives + 1 / unlabelled))
+    contrast = F.when(spread > 0, (F.col("a") / positives - F.col("b") / unlabelled) / spread).otherwise(0.0)
+    able = counts.where(F.col("a") >= max(LEAST_POSITIVES, LEAST_SHARE * positives)).withColumn("contrast", contrast).where(F.col("contrast") >= LEAST_CONTRAST)
+    return [r["word"] for r in able.orderBy(F.desc("contrast"), "word").limit(VOCABULARY).collect()]
 
 
 def _word_rows(batches):
     for b in batches:
-        found = [sorted(words(t.as_py())) for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string()))], ["doc_id", "positive", "words"])
+        found = [words(t.as_py()) for t in b.column(3)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([min_hash(x) for x in found], pa.binary()), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], [*b.schema.names[:3], "hash", "words"])
+
+
+def _constant(share: float | None) -> Model:
+    base = min(max(share if share is not None else 0.05, 1e-3), 1 - 1e-3)
+    return Model({}, float(np.log(base / (1 - base))))
 
 
 def learn(docs: DataFrame, toxic: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
     """A model from ``docs`` (doc_id, text) and ``toxic`` (doc_id, toxic 0/1/null), both without held-out rows.
 
-    Positives are rows marked 1; unlabelled are all rows of ``docs``, whatever their label. ``prior`` is the toxic
-    share; by default the share among the labelled rows.
+    Positives are rows marked 1; unlabelled are all rows of ``docs``, whatever their label. Near copies of a text count
+    once. ``prior`` is the toxic share of the unlabelled texts; by default that of those labelled ones that are left
+    without near copies, or of all labels if these are fewer than LEAST_LABELLED.
     """
     marks = toxic.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = docs.where("doc_id is not null").select("doc_id").distinct().join(marks, "doc_id", "left")
+    kinds = ids.withColumn("positive", F.explode(F.when(F.col("toxic") == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    chosen = staged(bounded_sample(kinds, "positive", {True: positives, False: unlabelled}), "toxicity-sample")
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "positive", "toxic", "text")
+    rows = staged(found.mapInArrow(_word_rows, "doc_id long, positive boolean, toxic int, hash binary, words array<string>"), "toxicity-words")
+    # at most POSITIVES + UNLABELLED rows of some 50 bytes, but for repeated doc_ids
+    table = rows.select("doc_id", "positive", "toxic", "hash").toArrow().sort_by([("positive", "ascending"), ("doc_id", "ascending"), ("hash", "ascending")]).to_pylist()
+    texts = {kind: [r for r in table if r["positive"] == kind] for kind in (True, False)}
+    texts = {kind: [x[k] for k in distinct([r["hash"] for r in x])] for kind, x in texts.items()}
+    share = marks.agg(F.avg("toxic")).first()[0]
+    if not texts[True] or not texts[False]:
+        return _constant(prior if prior is not None else share)
     if prior is None:
-        prior = marks.agg(F.avg("toxic")).first()[0]
-    prior = min(max(PRIOR_MARGIN * (prior if prior is not None else 0.05), 0.005), 0.9)
-    ids = docs.where("doc_id is not null").select("doc_id").distinct()
-    kinds = ids.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").withColumn("positive", F.lit(True))
-    chosen = staged(bounded_sample(kinds, "positive", positives).unionByName(bounded_sample(ids.withColumn("positive", F.lit(False)), "positive", unlabelled)), "toxicity-sample")
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "positive", "text")
-    rows = staged(found.mapInArrow(_word_rows, "doc_id long, positive boolean, words array<string>"), "toxicity-words")
-    # only words that several positives share can be chosen; the rest stay on the executors
-    shared = rows.where("positive").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_POSITIVES)
-    names = sorted(r["word"] for r in shared.orderBy(F.desc("n"), "word").limit(CANDIDATES).collect())
+        known = [r["toxic"] for r in texts[False] if r["toxic"] is not None]
+        prior = float(np.mean(known)) if len(known) >= LEAST_LABELLED else share
+    prior = min(max(prior, 0.005), 0.9)
+    # texts that share a doc_id and a hash are equal in words
+    wanted = {(r["positive"], r["doc_id"], r["hash"]) for x in texts.values() for r in x}
+    keep = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def once(batches):
+        for b in batches:
+            held = [k in keep.value for k in zip(*(b.column(n).to_pylist() for n in ("positive", "doc_id", "hash")), strict=True)]
+            yield b.filter(pa.array(held, pa.bool_()))
+
+    rows = rows.mapInArrow(once, rows.schema).dropDuplicates(["positive", "doc_id", "hash"])
+    names = vocabulary(rows, len(texts[True]), len(texts[False]))
     number = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(names)})
 
-    def numbered(batches):
+    def held(batches):
         for b in batches:
             get = number.value.get
-            found = [[k for k in map(get, x) if k is not None] for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "positive", "words"])
-
-    # at most POSITIVES + UNLABELLED rows
-    table = rows.mapInArrow(numbered, "doc_id long, positive boolean, words array<int>").toArrow().sort_by([("positive", "ascending"), ("doc_id", "ascending")])
-    lists, positive = table.column("words").to_pylist(), table.column("positive").to_pylist()
-    texts = {kind: [np.array(x, dtype=np.int64) for x, p in zip(lists, positive, strict=True) if p == kind] for kind in (True, False)}
-    return train(texts[True], texts[False], names, prior)
+            bits = np.zeros((b.num_rows, len(number.value)), dtype=np.uint8)
+            for r, x in enumerate(b.column("words").to_pylist()):
+                bits[r, [k for k in map(get, x) if k is not None]] = 1
+            packed = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in ("positive", "doc_id", "hash", "toxic")] + [packed], ["positive", "doc_id", "hash", "toxic", "bits"])
+
+    table = rows.mapInArrow(held, "positive boolean, doc_id long, hash binary, toxic int, bits binary").toArrow().sort_by([("doc_id", "ascending"), ("hash", "ascending")])
+    bits = np.stack([np.frombuffer(x, dtype=np.uint8) for x in table.column("bits").to_pylist()])
+    features = np.unpackbits(bits, axis=1, count=len(names)).astype(np.float32) if names else np.zeros((len(bits), 0), dtype=np.float32)
+    positive = table.column("positive").to_numpy(zero_copy_only=False)
+    w = fit_nnpu(features[positive], features[~positive], prior)
+    # the sign and order of the scores are the fit's; labelled texts among the unlabelled make probabilities of them
+    marked = ~positive & table.column("toxic").is_valid().to_numpy(zero_copy_only=False)
+    y = table.column("toxic").fill_null(0).to_numpy()[marked].astype(float)
+    if len(y) >= LEAST_LABELLED and 0 < y.sum() < len(y):
+        scale, slope, bias = fit_curve(features[marked] @ w[:-1] + w[-1], y, np.ones(len(y)))
+        if slope > 0:
+            w *= slope / scale
+            w[-1] += bias
+    return Model({n: float(x) for n, x in zip(names, w, strict=False) if x}, float(w[-1]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -211,6 +239,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2)
     out = lambda rows: F.coalesce(split_remainder(rows["doc_id"], folds) == held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("held_out", out(rows))
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     model = learn(rows.where("not held_out"), marks.where(~out(marks)))
     return scored(rows, model)

@@ -1,6 +1,10 @@
-import numpy as np
+import itertools
+from collections import Counter
+
 import duckdb
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from lexmill.llm import mixing, sharding, simhash
 
@@ -143,6 +147,53 @@ def test_mix_equals_its_sql(documents):
     assert [tuple(r) for r in mixing.mix(documents).select(columns).orderBy("doc_id").collect()] == theirs
 
 
+def _same_as_sql(docs):
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "times"]
+    theirs = con.execute(f"SELECT {', '.join(columns)} FROM ({mixing.ORACLE_SQL})").fetchall()
+    rows = [tuple(r) for r in mixing.mix(docs).select(columns).collect()]
+    assert sorted(rows, key=repr) == sorted(theirs, key=repr)
+    return rows
+
+
+def test_mix_splits_equal_rows(spark, odd_docs):
+    """A third of the rows without an id or with one id, and equal rows on the cut and in the gap."""
+    _same_as_sql(odd_docs)
+    schema = "doc_id long, text string, source string"
+    for n in (3, 40, 301):
+        rows = [(None, "a b c", "hot")] * n + [(5, "d e", "hot")] * n + [(k, "f " * (k % 9), "hot") for k in range(n)] + [(k, "g " * (k % 5), "cold") for k in range(n // 3)] + [(1, "", None)] * 3
+        docs = spark.createDataFrame(rows, schema).repartition(5)
+        found = _same_as_sql(docs)
+        taken = sum(r[5] for r in found if r[1] == "hot")
+        assert abs(taken - next(r[4] for r in found if r[1] == "hot")) <= 4.5
+        again = Counter(tuple(r) for r in mixing.mixed(docs).collect())
+        assert again == Counter({(k, t, s): n for (k, t, s), n in _times(docs, found).items() if n})
+
+
+def _times(docs, found):
+    """How often the mix takes each distinct row, by doc_id, text and source; sizes tell its texts apart here."""
+    out = Counter()
+    for doc_id, source, size, _, _, _, times in found:
+        out[doc_id, source, size] += times
+    rows = {tuple(r) for r in docs.collect()}
+    return {(k, t, s): out[k, s, len((t or "").split())] for k, t, s in rows}
+
+
+CLASHING = ("size", "u", "key", "row", "high", "low", "times", "target", "source_size", "part", "score", "lang_pred", "searched", "_copy", "_key", "col", "kept_id", "whole", "edge", "fill")
+
+
+def test_names_of_other_columns_do_not_clash(odd_docs):
+    docs = odd_docs
+    for k, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.lit(k))
+    for found in (mixing.mixed(docs), simhash.deduplicated(docs)):
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert rows and all(r[name] == k for r in rows for k, name in enumerate(CLASHING))
+    assert mixing.mix(docs).count() == odd_docs.count() == sharding.kd_shards(docs, 3).count() == simhash.near_duplicates(docs).count()
+
+
 def test_mixed_rows_repeat(odd_docs):
     times = {(r.doc_id, r.size): r.times for r in mixing.mix(odd_docs).collect()}
     found = mixing.mixed(odd_docs)
@@ -171,6 +222,45 @@ def test_shards(odd_docs, documents, no_docs):
     assert sharding.kd_shards(no_docs, 40).count() == 0
 
 
+def _brute_tree(points, shards):
+    whole = {d: max(1, max(p[d] for p in points) - min(p[d] for p in points)) for d in ("length", "source", "lang")}
+    out, todo = [], [(points, 0, shards)]
+    while todo:
+        rows, first, leaves = todo.pop()
+        if leaves == 1 or not rows:
+            out += [(p.doc_id, p.size, p.text_crc32, first) for p in rows]
+            continue
+        widest = max(whole, key=lambda d: (max(p[d] for p in rows) - min(p[d] for p in rows)) / whole[d])
+        place = lambda p, d=widest: (p[d], p.tie, p.spread)
+        goal, before = sum(p.size for p in rows) * (leaves // 2) / leaves, 0
+        for at, group in itertools.groupby(sorted(rows, key=place), key=place):
+            held = sum(p.size for p in group)
+            if before + held >= goal:
+                break
+            before += held
+        inclusive = goal - before >= held / 2
+        left = [p for p in rows if place(p) < at or (inclusive and place(p) == at)]
+        right = [p for p in rows if not (place(p) < at or (inclusive and place(p) == at))]
+        todo += [(left, first, leaves // 2), (right, first + leaves // 2, leaves - leaves // 2)]
+    return sorted(out, key=repr)
+
+
+def test_shards_equal_a_brute_force_tree(documents, odd_docs):
+    for docs, shards in ((documents, 40), (documents, 7), (documents, 300), (odd_docs, 5)):
+        points = sharding.metadata(docs).collect()
+        found = sharding.kd_shards(docs, shards).select("doc_id", "size", "text_crc32", "shard").collect()
+        assert sorted(map(tuple, found), key=repr) == _brute_tree(points, shards)
+
+
+def test_equal_rows_and_many_shards(spark):
+    docs = spark.createDataFrame([(1, "same text", "en", "s")] * 3000 + [(k, "x" * (k % 50), "en", "t") for k in range(3000)], "doc_id long, text string, lang string, source string")
+    rows = sharding.kd_shards(docs, 1500).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert len(rows) == 6000 and len(sizes) >= 1400 and max(sizes.values()) <= 4 * sum(sizes.values()) / 1500
+
+
 def test_a_hot_point_is_split(spark):
     docs = spark.createDataFrame([(k, "same text", "en", "s") for k in range(2000)], "doc_id long, text string, lang string, source string")
     counts = [r["count"] for r in sharding.kd_shards(docs, 40).groupBy("shard").count().collect()]

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -18,3 +20,23 @@ def test_stages_take_effect_in_order(spark, sf_dir, documents):
 def test_language_stage_rejects_only_texts_without_language(spark, sf_dir, odd_docs):
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, odd_docs, sf_dir).collect()}
     assert not kept & {3, 4, 5, 6} and {1, 7, 9, 10, 11} <= kept
+
+
+def test_stages_take_any_columns_and_no_rows(spark, sf_dir, documents, no_docs):
+    clashing = documents
+    for k, name in enumerate(("lang_pred", "score", "size", "times", "key", "row", "target", "searched")):
+        clashing = clashing.withColumn(name, F.lit(k))
+    for docs in (clashing, no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            found = corpus_pipeline.staged(stage(spark, docs, sf_dir), f"test-{name}")
+            assert (found.count() > 0) == (docs is clashing), name
+            if name != "token_id_output":
+                assert found.columns == docs.columns
+                assert docs is no_docs or found.where("score <> 1 or lang_pred <> 0 or target <> 6").isEmpty()
+            docs = found if docs is clashing and name != "token_id_output" else docs
+            if docs is not no_docs:
+                clashing = docs
+
+
+def test_the_run_keeps_no_stage_but_the_last(spark, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import bitplane, decontaminate, language, mixing, simhash
-from lexmill.llm.common import benchmark, documents, staged
+from lexmill.llm.common import benchmark, discarded, documents, staged
 from lexmill.llm.queries import vocabulary
 
 #: Least closeness (one minus the out-of-place distance) to any learned language; clean text is far above.
@@ -20,7 +20,8 @@ LEAST_LANGUAGE_SCORE = 0.2
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or close to no learned language, go."""
     found = language.identify(docs, language.learn(docs))
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = found.columns[-2:]
+    return found.where((F.col(lang) != language.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows; each stage's table goes once the next one is written."""
+    docs, table = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if table is not None:
+            discarded(table)
+        table = docs
     return docs

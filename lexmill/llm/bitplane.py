@@ -134,6 +134,8 @@ def _encode(path: str, end_id: int, mode: str, shard_ids: int):
                         docs, lengths, held, count, part = [], [], [], 0, part + 1
         if docs:
             yield shard()
+        # a worker is used again; what Arrow keeps for later would add up with what the next stage needs
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -87,7 +87,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def chunks(column: pa.Array, size: int) -> Iterator[pa.Array]:
     """A string column's rows in slices of about ``size`` bytes, a longer row alone; nulls as empty strings."""
-    column = pc.fill_null(column.cast(pa.string()), "")
+    column = column.cast(pa.string())
+    column = pc.fill_null(column, "") if column.null_count else column
     sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     upto, first = np.cumsum(sizes), 0
     while first < len(column):

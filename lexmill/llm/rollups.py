@@ -37,6 +37,7 @@ def _count(path: str):
         for b in batches:
             tokens = np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in of.batches(b.column(3)))])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(tokens, pa.int64()), *b.columns[5:]], ["doc_id", "source", "lang", "bytes", "tokens", *b.schema.names[5:]])
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -22,11 +22,11 @@ import pyarrow.compute as pc
 from lexmill.llm.common import chunks
 
 #: Pieces and pre-tokens kept in each generation (two generations live), and the longest piece kept.
-KEPT_PIECES = 200_000
-KEPT_WORDS = 200_000
+KEPT_PIECES = 50_000
+KEPT_WORDS = 100_000
 LONGEST = 64
 #: Bytes of texts cut into pieces at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 #: White space of any kind, each with a space after it: where a text isn't simply cut before its spaces.
 _DOUBLED = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
@@ -90,8 +90,8 @@ class TextTokenizer:
         # the pattern of byte-level pre-tokenization, a fixed value of the vocabulary
         self.pretokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.chars = _byte_chars()
-        self.words = _Recent(self._word, KEPT_WORDS)
-        self.pieces = _Recent(self._piece, KEPT_WORDS)
+        self.words = _Recent(self._word, KEPT_PIECES)
+        self.pieces = _Recent(self._piece, KEPT_PIECES)
         self.latest: dict[str, bytes] = {}
         self.spaced = _Recent(lambda piece: self._piece(f" {piece}"), KEPT_PIECES)
 
@@ -181,7 +181,11 @@ def _taken(pool: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.nd
     """(the entries that ``code`` names, one after another, and the size of each) of entries that lie in the pool one after another."""
     each = sizes[code]
     upto = np.cumsum(each)
-    return pool[np.repeat((np.cumsum(sizes) - sizes)[code] - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)], each
+    total = int(upto[-1]) if len(upto) else 0
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    at = np.repeat(((np.cumsum(sizes) - sizes)[code] - (upto - each)).astype(kind), each)
+    at += np.arange(total, dtype=kind)
+    return pool[at], each
 
 
 _loaded: dict[str, TextTokenizer] = {}

@@ -1,7 +1,8 @@
 """Bibliography: split, classify, highlight and validate reference strings.
 
-Everything is a column expression over one reference string, so a corpus is one projection: no shuffle, no UDF.
-Candidate splits of a reference are its prefixes up to each ``. ``; the first that fits wins.
+Everything is a chain of projections over one reference string: no shuffle, no UDF. A reference is split at a dot and a
+space; the first split that fits wins, which a lazy pattern finds in one pass. Each step is a column of its own, so what
+a query doesn't ask for is pruned.
 """
 
 from __future__ import annotations
@@ -70,106 +71,92 @@ def highlighted_runs(text: Column, highlight: Column) -> Column:
     return with_et_al(runs)
 
 
-def _splits(x: Column) -> Column:
-    """(left, right) of a clean text at every dot followed by a space."""
+#: What follows the author: the text after the first sentence break past the first comma that no "et al." follows.
+_AFTER_AUTHOR = r"(?s)^\p{Lu}[^,]*[^,\s]\s*,.*?\. (?!(?i:et\s+al\.))(.{4,})$"
+#: A periodical: the words before the first comma of a sentence that goes on with volume, number or pages.
+_PERIODICAL = r"(?s)^.*?\. (?=.*,\s*[vnpVNP]\.)(\p{Lu}[^,]{2,}[^,\s])\s*,"
+#: A book's title: what stands before place, publisher and year.
+_BOOK = rf"(?s)^(.{{3,}}?\S)\s*\. (?={V.PUBLICATION.removeprefix('^')})"
 
-    def pairs(parts: Column) -> Column:
-        count = F.size(parts)
-        cut = lambda k: F.struct(T.trim(F.array_join(F.slice(parts, 1, k), ". ")).alias("left"), T.clean(F.array_join(F.slice(parts, k + 1, F.greatest(count - k, F.lit(0))), ". ")).alias("right"))
-        return F.when(count > 1, F.transform(F.sequence(F.lit(1), count - 1), cut)).otherwise(F.array().cast("array<struct<left:string,right:string>>"))
 
-    return T.let(F.split(x, r"\. "), pairs)
+def _part(x: Column, pattern: str) -> Column:
+    """The first group of a match, null without one."""
+    return F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
 
 
-def _first(candidates: Column, fits) -> Column:
-    return F.try_element_at(F.filter(candidates, fits), F.lit(1))
+def _academic(rest: Column, folded: Column) -> Column:
+    """A thesis' title: what stands before the kind of work, null if it is too short."""
+    ahead = F.length(F.regexp_extract(folded, rf"(?s)^(.*?){V.ACADEMIC_MARK}", 1))
+    title = T.strip_trailing_data(F.substring(rest, F.lit(1), ahead))
+    return F.when(folded.rlike(V.ACADEMIC_MARK), F.regexp_extract(title, r"(?s)^(.{4,})$", 1))
 
 
-def _is_author(x: Column) -> Column:
-    return F.contains(x, F.lit(",")) & x.rlike(r"^\p{Lu}") & (F.length(T.before_comma(x)) >= 2)
-
-
-def _is_article_tail(x: Column) -> Column:
-    periodical = T.before_comma(x)
-    return F.contains(x, F.lit(",")) & (F.length(periodical) >= 4) & periodical.rlike(r"^\p{Lu}") & x.rlike(r"(?i),\s*(?:v|n|p)\.\s*")
-
-
-def _named(**parts: Column) -> Column:
-    return F.struct(*[c.alias(k) for k, c in parts.items()])
-
-
-def _read(marked: Column) -> Column:
-    """Of a line's marked runs: the plain text, its folded form, the manual highlight and what follows the author."""
-    manual = F.try_element_at(F.filter(marked, lambda r: r["bold"].isNotNull() & (T.trim(r["text"]) != "")), F.lit(1))["text"]
-    text = T.clean(F.array_join(F.transform(marked, lambda r: r["text"]), ""))
-    author = lambda t: _first(_splits(t), lambda c: ~c["right"].rlike(r"(?i)^et\s+al\.") & _is_author(c["left"]) & (F.length(c["right"]) > 3))
-    return T.let(text, lambda t: _named(marked=marked, manual=T.trim(manual), text=t, folded=T.fold_lower(t), rest=author(t)["right"]))
-
-
-def _titles(s: Column) -> Column:
-    """The title that each kind of work would have: the article's periodical, the thesis' and the book's title."""
-    rest = F.coalesce(s["rest"], F.lit(""))
-
-    def found(cuts: Column, folded: Column) -> Column:
-        article = T.before_comma(_first(cuts, lambda c: _is_article_tail(c["right"]))["right"])
-        ahead = F.length(F.regexp_extract(folded, rf"(?s)^(.*?){V.ACADEMIC_MARK}", 1))
-        title = T.strip_trailing_data(F.substring(rest, F.lit(1), ahead))
-        academic = T.let(title, lambda t: F.when(folded.rlike(V.ACADEMIC_MARK) & (F.length(t) > 3), t))
-        book = _first(cuts, lambda c: (F.length(c["left"]) > 3) & c["right"].rlike(V.PUBLICATION))["left"]
-        return _named(article=article, academic=academic, book=book)
-
-    return T.let(_splits(rest), lambda cuts: T.let(T.fold_lower(rest), lambda folded: found(cuts, folded)))
-
-
-def _kind(s: Column, t: Column) -> Column:
+def _kind() -> Column:
     """The reference type, the first that fits in fixed order."""
-    folded = s["folded"]
+    folded = F.col("_folded")
     return (
-        F.when(s["text"] == "", "desconhecido")
+        F.when(F.col("_text") == "", "desconhecido")
         .when(is_legislation(folded), "legislacao")
-        .when(s["rest"].isNull(), "desconhecido")
-        .when(t["article"].isNotNull(), "artigo")
-        .when(t["academic"].isNotNull() | folded.rlike(V.ACADEMIC_WORDS), "tese-dissertacao")
+        .when(F.col("_rest").isNull(), "desconhecido")
+        .when(F.col("_article").isNotNull(), "artigo")
+        .when(F.col("_academic").isNotNull() | folded.rlike(V.ACADEMIC_WORDS), "tese-dissertacao")
         .when(folded.rlike(V.INSTITUTION_START), "documento-institucional")
         .when(folded.rlike(V.ELECTRONIC), "site")
-        .when(t["book"].isNotNull(), "livro")
+        .when(F.col("_book").isNotNull(), "livro")
         .otherwise("desconhecido")
     )
 
 
-def _title_of(kind: Column, t: Column) -> Column:
-    return F.when(kind == "artigo", t["article"]).when(kind == "tese-dissertacao", t["academic"]).when(kind.isin("documento-institucional", "site", "livro"), t["book"])
+def _title() -> Column:
+    """The title that the kind of work calls for."""
+    kind = F.col("_kind")
+    return F.when(kind == "artigo", F.col("_article")).when(kind == "tese-dissertacao", F.col("_academic")).when(kind.isin("documento-institucional", "site", "livro"), F.col("_book"))
 
 
-def _result(s: Column, kind: Column, found: Column) -> Column:
-    text, folded, manual, empty = s["text"], s["folded"], s["manual"], s["text"] == ""
-    sure = F.when(empty, "baixa").when(manual.isNotNull(), "alta").when((kind != "site") & found.isNotNull(), "media").otherwise("baixa")
+def _warnings() -> Column:
+    text, folded, kind, found = F.col("_text"), F.col("_folded"), F.col("_kind"), F.col("_found")
     unsure = F.when(kind == "legislacao", "normative-kept").when(kind == "desconhecido", "title-not-found").when((kind == "tese-dissertacao") & found.isNull(), "academic-kept").when((kind == "documento-institucional") & found.isNull(), "institutional-kept")
-    warnings = F.array(
+    told = F.array(
         F.when(F.length(text) < V.SHORT_REFERENCE, "short"),
         F.when(~T.has_year(text), "no-year"),
         F.when(folded.rlike("(https?://|disponivel em:)") & ~folded.rlike("acesso em:"), "no-access-date"),
         unsure,
-        F.when(F.coalesce(manual, found).isNull(), "no-highlight"),
+        F.when(F.coalesce(F.col("_manual"), found).isNull(), "no-highlight"),
     )
-    runs = F.when(empty, F.array().cast(f"array<{RUN}>")).when(manual.isNotNull(), with_et_al(s["marked"])).otherwise(highlighted_runs(text, found))
-    told = F.when(empty, F.array(F.lit("empty"))).otherwise(F.filter(warnings, lambda w: w.isNotNull()))
-    return _named(text=text, ref_type=kind, highlight=F.coalesce(manual, found), confidence=sure, runs=runs, warnings=told)
-
-
-def normalize(reference: Column) -> Column:
-    """text, ref_type, highlight, confidence, runs and warnings of one reference as a struct: a single expression."""
-    judged = lambda s, t: T.let(_kind(s, t), lambda kind: T.let(_title_of(kind, t), lambda found: _result(s, kind, found)))
-    return T.let(marked_runs(T.clean(F.coalesce(reference, F.lit("")))), lambda marked: T.let(_read(marked), lambda s: T.let(_titles(s), lambda t: judged(s, t))))
+    return F.when(text == "", F.array(F.lit("empty"))).otherwise(F.array_compact(told))
 
 
 def normalized(refs: DataFrame, original: str = "original") -> DataFrame:
     """``refs`` with text, ref_type, highlight, confidence, runs and warnings (codes, in fixed order).
 
-    A null reference counts as empty: type desconhecido, confidence baixa, the one warning ``empty``.
+    A null reference counts as empty: type desconhecido, confidence baixa, the one warning ``empty``. ``refs`` has no
+    columns that start with an underscore.
     """
-    parts = ("text", "ref_type", "highlight", "confidence", "runs", "warnings")
-    return refs.withColumn("_n", normalize(F.col(original))).select(*[c for c in refs.columns if c not in parts], *[F.col(f"_n.{c}").alias(c) for c in parts])
+    text, manual, kind, found, empty = F.col("_text"), F.col("_manual"), F.col("_kind"), F.col("_found"), F.col("_text") == ""
+    starred = F.contains(F.col("_clean"), F.lit("*"))
+    bold = F.try_element_at(F.filter("_marked", lambda r: r["bold"].isNotNull() & (T.trim(r["text"]) != "")), F.lit(1))["text"]
+    steps = [
+        ("_clean", T.clean(F.coalesce(F.col(original), F.lit("")))),
+        # most references hold no mark, and then they are their text
+        ("_marked", F.when(starred, marked_runs(F.col("_clean")))),
+        ("_text", F.when(starred, T.clean(F.array_join(F.transform("_marked", lambda r: r["text"]), ""))).otherwise(F.col("_clean"))),
+        ("_manual", F.when(starred, T.trim(bold))),
+        ("_folded", T.fold_lower(text)),
+        ("_rest", _part(text, _AFTER_AUTHOR)),
+        ("_article", _part(F.col("_rest"), _PERIODICAL)),
+        ("_rest_folded", T.fold_lower(F.col("_rest"))),
+        ("_academic", F.nullif(_academic(F.col("_rest"), F.col("_rest_folded")), F.lit(""))),
+        ("_book", _part(F.col("_rest"), _BOOK)),
+        ("_kind", _kind()),
+        ("_found", _title()),
+    ]
+    df = refs
+    for name, column in steps:
+        df = df.withColumn(name, column)
+    sure = F.when(empty, "baixa").when(manual.isNotNull(), "alta").when((kind != "site") & found.isNotNull(), "media").otherwise("baixa")
+    runs = F.when(empty, F.array().cast(f"array<{RUN}>")).when(manual.isNotNull(), with_et_al(F.col("_marked"))).otherwise(highlighted_runs(text, found))
+    parts = {"text": text, "ref_type": kind, "highlight": F.coalesce(manual, found), "confidence": sure, "runs": runs, "warnings": _warnings()}
+    return df.select(*[c for c in refs.columns if c not in parts], *[c.alias(k) for k, c in parts.items()])
 
 
 def _issue_conditions() -> list[tuple[str, Column]]:

@@ -26,17 +26,22 @@ def is_text_heading(folded: Column) -> Column:
     return folded.rlike(r"^\d+(?:\.\d+)*\s+\S+") | T.heading_base(folded).isin(*V.TEXT_HEADINGS)
 
 
+#: Lines that may fold to a heading: a number leads, or few ASCII letters after a first one that some heading has, or
+#: letters that folding changes. No other line can, so no other is folded.
+_MAYBE_HEADING = r"(?s)^(?:[0-9]|[rRaAiI].{0,10}$|(?=[rRaAiI]|\P{ASCII}).*\P{ASCII})"
+
+
 def text_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with blocks: a heading or paragraph for each non-blank line. Null text: no blocks."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), T.trim), lambda x: x != "")
-    pairs = F.transform(lines, lambda x: F.struct(x.alias("text"), T.fold_upper(x).alias("folded")))
 
-    def build(p: Column) -> Column:
-        heading = is_text_heading(p["folded"])
-        level = F.when(heading, F.when(p["folded"].rlike(r"^\d+\.\d+\s+"), 2).otherwise(1))
-        return block(F.when(heading, "heading").otherwise("paragraph"), level=level, text=p["text"], raw_text=p["text"])
+    def build(x: Column) -> Column:
+        plain = block(F.lit("paragraph"), text=x, raw_text=x)
+        level = lambda f: F.when(is_text_heading(f), F.when(f.rlike(r"^\d+\.\d+\s+"), 2).otherwise(1))
+        folded = T.let(T.let(T.fold_upper(x), level), lambda n: F.when(n.isNull(), plain).otherwise(block(F.lit("heading"), level=n, text=x, raw_text=x)))
+        return F.when(x.rlike(_MAYBE_HEADING), folded).otherwise(plain)
 
-    return docs.withColumn("_pairs", pairs).withColumn("blocks", F.transform("_pairs", build)).drop("_pairs")
+    return docs.withColumn("blocks", F.transform(lines, build))
 
 
 def block_text(b: Column) -> Column:
@@ -66,9 +71,10 @@ def heading_section(folded: Column) -> Column:
 
 def carry_sections(rows: DataFrame) -> DataFrame:
     """Block rows with the section each is in: that of the last heading that opened one, first ``pre-textual``."""
-    opened = F.when(F.col("block_type") == "heading", heading_section(T.fold_upper(F.col("text"))))
     w = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("section", F.coalesce(F.last(opened, ignorenulls=True).over(w), F.lit("pre-textual")))
+    # folded once, in a column of its own
+    opened = rows.withColumn("_folded", F.when(F.col("block_type") == "heading", T.fold_upper(F.col("text")))).withColumn("_opened", heading_section(F.col("_folded")))
+    return opened.withColumn("section", F.coalesce(F.last("_opened", ignorenulls=True).over(w), F.lit("pre-textual"))).drop("_folded", "_opened")
 
 
 def heading_level(folded_text: Column, folded_style: Column) -> Column:
@@ -112,8 +118,10 @@ def style_names(xml: Column) -> Column:
 
 
 def _as_map(pairs: Column) -> Column:
-    last = F.filter(pairs, lambda p, k: ~F.exists(F.slice(pairs, k + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    """Key and value pairs as a map; of equal keys the last one counts. Sorted, so that equal keys are neighbours."""
+    placed = F.array_sort(F.transform(pairs, lambda p, k: F.struct(p["k"].alias("k"), (-k).alias("at"), p["v"].alias("v"))))
+    first = lambda s: F.filter(s, lambda p, k: (k == 0) | (F.get(s, F.greatest(k - 1, F.lit(0)))["k"] != p["k"]))
+    return F.map_from_entries(F.transform(T.let(placed, first), lambda p: F.struct(p["k"], p["v"])))
 
 
 def image_ids(xml: Column, rels: Column) -> Column:

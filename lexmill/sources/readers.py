@@ -6,7 +6,9 @@ Kinds are told by the lower-cased suffix. A broken file gives a row with an erro
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ from lexmill.operators.blocks import docx_blocks, text_blocks
 TEXT_KINDS = ("txt", "md")
 _MAIN, _STYLES, _RELS, _NUMBERS = "word/document.xml", "word/styles.xml", "word/_rels/document.xml.rels", "word/numbering.xml"
 _MEDIA = "word/media/"
+#: What a damaged archive raises, be it in its directory, a part's data or the way it is packed.
+_BROKEN = (zipfile.BadZipFile, zlib.error, struct.error, OSError, EOFError, RuntimeError, ValueError)
 
 
 def _key(df: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def unzip(content: bytes | None) -> dict:
             read = lambda n: z.read(n).decode("utf-8", "replace") if n in names else ""
             out |= {"document_xml": read(_MAIN), "styles_xml": read(_STYLES), "rels_xml": read(_RELS), "has_numbering": _NUMBERS in names}
             out["media"] = [n.removeprefix("word/") for n in z.namelist() if n.startswith(_MEDIA) and not n.endswith("/")]
-    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError) as e:
+    except _BROKEN as e:
         return out | {"error": f"unreadable archive: {type(e).__name__}"}
     return out
 
@@ -73,7 +77,7 @@ def docx_media(found: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         rows += [(doc_id, n.removeprefix("word/"), z.read(n)) for n in z.namelist() if n.startswith(_MEDIA) and not n.endswith("/")]
-                except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
+                except _BROKEN:
                     continue
             yield pd.DataFrame(rows, columns=["doc_id", "target", "data"])
 

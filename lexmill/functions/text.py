@@ -162,6 +162,32 @@ def safe_file_name(title: Column, fallback: str = "trabalho") -> Column:
     return F.concat(F.when(name == "", fallback).otherwise(name), F.lit(".docx"))
 
 
-def mark_lines(x: Column, first: int, last: int, prefix: str) -> Column:
-    """Lines first to last (from 0) with their block mark replaced by ``prefix``; an empty prefix clears marks."""
-    return F.array_join(F.transform(F.split(x, "\n"), lambda line, k: F.when(k.between(first, last), F.concat(F.lit(prefix), strip_block_marker(line))).otherwise(line)), "\n")
+def _each_line(x: Column, first: Column, last: Column, change) -> Column:
+    """Lines first to last (from 0) changed, the others as they are."""
+    return F.array_join(F.transform(F.split(x, "\n"), lambda line, k: F.when(k.between(first, last), change(line)).otherwise(line)), "\n")
+
+
+def selected_lines(x: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """First and last line (from 0) that a selection from character ``start`` to before ``end`` touches."""
+    breaks = lambda n: F.length(F.substring(x, F.lit(1), n)) - F.length(F.replace(F.substring(x, F.lit(1), n), F.lit("\n"), F.lit("")))
+    return breaks(start), breaks(end)
+
+
+def mark_lines(x: Column, first: Column | int, last: Column | int, prefix: str) -> Column:
+    """Lines first to last (from 0) with their block mark replaced by ``prefix``; blank lines get none."""
+
+    def change(line: Column) -> Column:
+        return let(strip_block_marker(line), lambda bare: F.when(trim(bare) != "", F.concat(F.lit(prefix), bare)).otherwise(bare))
+
+    return _each_line(x, first, last, change)
+
+
+def clear_lines(x: Column, first: Column | int, last: Column | int) -> Column:
+    """Lines first to last (from 0) without block and inline marks."""
+    return _each_line(x, first, last, lambda line: strip_inline_markup(strip_block_marker(line)))
+
+
+def wrap_selection(x: Column, start: Column, end: Column, mark: str) -> Column:
+    """The characters from ``start`` to before ``end`` between two marks (``*`` or ``**``); an empty selection gets both marks."""
+    piece = F.substring(x, start + 1, end - start)
+    return F.concat(F.substring(x, F.lit(1), start), F.lit(mark), piece, F.lit(mark), F.substring(x, end + 1, F.length(x)))

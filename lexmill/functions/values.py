@@ -61,3 +61,14 @@ SHORT_REFERENCE = 25
 LONG_QUOTE_CHARS = 450
 LONG_QUOTE_INDENT = 2200
 MIME_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp"}
+
+#: Texts that every laid-out document holds, or holds where a field is empty.
+INSTITUTION = "UNIVERSIDADE FEDERAL DE LAVRAS"
+DEFAULT_AUTHOR = "AUTOR"
+DEFAULT_TITLE = "TÍTULO DO TRABALHO"
+DEFAULT_LOCATION = "LAVRAS - MG"
+DEFAULT_NATURE = "Trabalho apresentado à Universidade Federal de Lavras como requisito acadêmico, conforme dados revisados pelo usuário."
+CATALOGUE_CARD = "Espaço reservado para ficha catalográfica elaborada pela Biblioteca Universitária da UFLA."
+IMPACT_PLACE = "Espaço reservado aos indicadores de impacto."
+IMPACT_PLACE_ENGLISH = "Reserved space for impact indicators."
+SUMMARY_NOTE = "Após abrir no Word, atualize o sumário com F9 para recalcular páginas."

@@ -19,21 +19,30 @@ from lexmill.functions import values as V
 from lexmill.operators import references as R
 
 _PREFIXES = (("heading2", "## "), ("heading3", "### "), ("heading1", "# "), ("longQuote", "> "))
-#: Style: size in half-points, alignment, line spacing in 1/240 lines, space after, left and first-line indent in twips.
+#: Style: size in half-points, alignment, bold, line spacing in 1/240 lines, space before and after, left and
+#: first-line indent in twips. Texts of a style in LITERAL hold no inline marks.
 STYLES = {
-    "cover": (24, "center", 360, 0, 0, 0),
-    "title": (24, "center", 360, 240, 0, 0),
-    "heading1": (24, "left", 360, 240, 0, 0),
-    "heading2": (24, "left", 360, 240, 0, 0),
-    "heading3": (24, "left", 360, 240, 0, 0),
-    "paragraph": (24, "both", 360, 120, 0, 850),
-    "simple": (24, "both", 240, 120, 0, 0),
-    "longQuote": (22, "both", 240, 120, 2268, 0),
-    "reference": (24, "left", 240, 120, 0, 0),
-    "nature": (24, "both", 240, 0, 4535, 0),
-    "pageBreak": (24, "left", 240, 0, 0, 0),
-    "toc": (24, "left", 240, 0, 0, 0),
+    "cover": (24, "center", False, 240, 0, 240, 0, 0),
+    "coverBold": (24, "center", True, 240, 0, 240, 0, 0),
+    "logo": (24, "center", False, 240, 0, 240, 0, 0),
+    "space": (24, "left", False, 240, 0, 0, 0, 0),
+    "title": (24, "center", True, 360, 240, 240, 0, 0),
+    "sectionTitle": (24, "center", True, 360, 240, 240, 0, 0),
+    "heading1": (24, "left", True, 360, 240, 180, 0, 0),
+    "heading2": (24, "left", True, 360, 180, 120, 0, 0),
+    "heading3": (24, "left", True, 360, 120, 100, 0, 0),
+    "paragraph": (24, "both", False, 360, 0, 120, 0, 850),
+    "simple": (24, "both", False, 240, 0, 120, 0, 0),
+    "nature": (24, "both", False, 240, 0, 180, 2268, 0),
+    "longQuote": (22, "both", False, 240, 0, 120, 2268, 0),
+    "reference": (24, "left", False, 240, 0, 120, 0, 0),
+    "toc": (24, "left", False, 240, 0, 0, 0, 0),
+    "note": (22, "center", False, 240, 120, 120, 0, 0),
+    "pageBreak": (24, "left", False, 240, 0, 0, 0, 0),
 }
+LITERAL = ("cover", "coverBold", "title", "sectionTitle", "heading1", "heading2", "heading3", "note")
+#: Level of a style's hidden entry in the table of contents.
+LEVELS = {"sectionTitle": 1, "heading1": 1, "heading2": 2, "heading3": 3}
 #: Page size and margins (top, right, bottom, left) in twips.
 PAGE = (11906, 16838)
 MARGINS = (1701, 1134, 1134, 1701)
@@ -105,41 +114,77 @@ def start_page() -> Column:
     return out
 
 
-def layout_rows(works: DataFrame, as_of_year: int) -> DataFrame:
-    """doc_id, seq, part (front or body), style, text: every paragraph of the final document, in order."""
-    df = with_summary(all_references(body_blocks(works)))
+def _row(part: str, style: str, text: Column | str = "", before: int | None = None) -> Column:
+    text = text if isinstance(text, Column) else F.lit(text)
+    return F.struct(F.lit(part).alias("part"), F.lit(style).alias("style"), F.lit(before).cast("long").alias("before"), text.alias("text"))
+
+
+def _front(as_of_year: int, logo: bool) -> Column:
+    """Cover, title page, the pages before the text, and the table of contents."""
+    row = lambda style, text="", before=None: _row("front", style, text, before)
+    none = F.array().cast("array<struct<part:string,style:string,before:bigint,text:string>>")
+    own = lambda k: F.coalesce(F.col(k), F.lit(""))
     text = lambda k, default="": F.coalesce(F.nullif(F.col(k), F.lit("")), F.lit(default))
-    row = lambda part, style, t: F.struct(F.lit(part).alias("part"), style.alias("style") if isinstance(style, Column) else F.lit(style).alias("style"), (t if isinstance(t, Column) else F.lit(t)).alias("text"))
-    kind = "array<struct<part:string,style:string,text:string>>"
-    if_ = lambda c, rows: F.when(c, rows).otherwise(F.array().cast(kind))
-    simple = lambda part, x: F.transform(paragraphs(x), lambda p: row(part, "simple", p))
-    section = lambda title, k, c=None: if_(T.has_value(F.col(k)) if c is None else c, F.concat(F.array(row("front", "pageBreak", ""), row("front", "title", title)), simple("front", F.col(k))))
+    given = lambda k, rows: F.when(own(k) != "", rows).otherwise(none)
+    simple = lambda x: F.transform(paragraphs(x), lambda p: row("simple", p))
+    page = lambda title: F.array(row("pageBreak"), row("sectionTitle", F.upper(F.lit(title))))
+    optional = lambda title, x: F.when(T.has_value(x), F.concat(page(title), simple(x))).otherwise(none)
     impact = F.coalesce("work_type", F.lit("")).isin(*V.IMPACT_TYPES)
-    year, place = text("year", str(as_of_year)), text("location", "LAVRAS - MG")
-    cover = F.array(row("front", "cover", text("author", "AUTOR")), row("front", "cover", text("title", "TÍTULO DO TRABALHO")), row("front", "cover", text("subtitle")), row("front", "cover", place), row("front", "cover", year))
-    title_page = F.array(row("front", "pageBreak", ""), row("front", "cover", text("author", "AUTOR")), row("front", "cover", text("title", "TÍTULO DO TRABALHO")), row("front", "nature", text("workNature")), row("front", "nature", text("advisor")), row("front", "nature", text("coadvisor")), row("front", "cover", place), row("front", "cover", year))
-    words = lambda label, k: if_(T.has_value(F.col(k)), F.array(row("front", "simple", F.concat(F.lit(label), F.col(k)))))
-    always = F.lit(True)
-    front = F.concat(
-        cover, title_page,
-        section("Dedicatória", "dedicatoria"), section("Agradecimentos", "agradecimentos"), section("Epígrafe", "epigrafe"),
-        section("Resumo", "resumo", always), words("Palavras-chave: ", "palavrasChave"),
-        section("Abstract", "abstractText", always), words("Keywords: ", "keywords"),
-        section("Indicadores de impacto", "indicadoresImpacto", T.has_value(F.col("indicadoresImpacto")) | impact),
-        section("Impact indicators", "impactIndicators", T.has_value(F.col("impactIndicators")) | impact),
-        if_(F.col("has_summary"), F.array(row("front", "pageBreak", ""), row("front", "title", "Sumário"), row("front", "toc", "TOC \\f \\h \\z"))),
+    forced = lambda k, place: F.when(own(k) != "", own(k)).when(impact, place).otherwise("")
+    named = F.array(row("coverBold", F.upper(text("title", V.DEFAULT_TITLE))))
+    subtitle = given("subtitle", F.array(row("coverBold", F.upper(own("subtitle")))))
+    where = F.array(row("cover", text("location", V.DEFAULT_LOCATION)), row("cover", text("year", str(as_of_year))))
+    author = row("cover", text("author", V.DEFAULT_AUTHOR))
+    details = [given(k, simple(F.concat(F.lit(label), own(k)))) for k, label in (("course", "Curso: "), ("program", "Programa: "), ("advisor", "Orientador(a): "), ("coadvisor", "Coorientador(a): "))]
+    words = lambda k, label: given(k, F.array(row("simple", F.concat(F.lit(label), own(k)))))
+    whole = lambda title, k: F.concat(page(title), F.array(row("simple", text(k, " "))))
+    return F.concat(
+        F.array(row("logo") if logo else row("coverBold", V.INSTITUTION), row("space", before=1200), author, row("space", before=1800)), named, subtitle, F.array(row("space", before=2200)), where,
+        F.array(row("pageBreak"), author, row("space", before=1500)), named, subtitle, F.array(row("space", before=900), row("nature", text("workNature", V.DEFAULT_NATURE))), *details, F.array(row("space", before=1500)), where,
+        page("Ficha catalográfica"), F.array(row("simple", V.CATALOGUE_CARD)),
+        optional("Dedicatória", own("dedicatoria")), optional("Agradecimentos", own("agradecimentos")), optional("Epígrafe", own("epigrafe")),
+        whole("Resumo", "resumo"), words("palavrasChave", "Palavras-chave: "),
+        whole("Abstract", "abstractText"), words("keywords", "Keywords: "),
+        optional("Indicadores de impacto", forced("indicadoresImpacto", V.IMPACT_PLACE)), optional("Impact indicators", forced("impactIndicators", V.IMPACT_PLACE_ENGLISH)),
+        F.when(F.col("has_summary"), F.array(row("pageBreak"), row("title", F.upper(F.lit("Sumário"))), row("toc", "TOC \\f \\h \\z"), row("note", V.SUMMARY_NOTE))).otherwise(none),
     )
-    closing = lambda title, k: if_(text(k) != "", F.concat(F.array(row("body", "pageBreak", ""), row("body", "heading1", title)), simple("body", F.col(k))))
-    body = F.concat(F.transform("body", lambda b: row("body", b["type"], b["text"])), F.array(row("body", "pageBreak", ""), row("body", "heading1", "Referências")), F.transform("all_refs", lambda r: row("body", "reference", r)), closing("Anexos", "anexos"), closing("Apêndices", "apendices"))
-    rows = F.filter(F.concat(front, body), lambda r: (r["text"] != "") | (r["style"] == "pageBreak"))
+
+
+def _text() -> Column:
+    """The body's blocks, a new page before every main heading but a first one, then references, annexes and appendices."""
+    row = lambda style, text="": _row("body", style, text)
+    none = F.array().cast("array<struct<part:string,style:string,before:bigint,text:string>>")
+    styled = lambda b: F.struct(F.lit("body").alias("part"), b["type"].alias("style"), F.lit(None).cast("long").alias("before"), F.when(b["type"] == "heading1", F.upper(b["text"])).otherwise(b["text"]).alias("text"))
+    blocks = F.flatten(F.transform("body", lambda b, k: F.when((b["type"] == "heading1") & (k > 0), F.array(row("pageBreak"), styled(b))).otherwise(F.array(styled(b)))))
+    page = lambda title: F.array(row("pageBreak"), row("sectionTitle", F.upper(F.lit(title))))
+    closing = lambda title, k: F.when(F.coalesce(F.col(k), F.lit("")) != "", F.concat(page(title), F.transform(paragraphs(F.col(k)), lambda p: row("simple", p)))).otherwise(none)
+    return F.concat(blocks, page("Referências"), F.transform("all_refs", lambda r: row("reference", r)), closing("Anexos", "anexos"), closing("Apêndices", "apendices"))
+
+
+def layout_rows(works: DataFrame, as_of_year: int, logo: bool = False) -> DataFrame:
+    """doc_id, start_page, seq, part (front or body), style, before, text: every paragraph of the final document, in order.
+
+    before: the space that a blank line leaves, else null and the style's. With ``logo`` the cover starts with the place of
+    an image, else with the institution's name.
+    """
+    df = with_summary(all_references(body_blocks(works)))
+    rows = F.concat(_front(as_of_year, logo), _text())
     return df.select("doc_id", start_page().alias("start_page"), F.posexplode(rows).alias("seq", "r")).select("doc_id", "start_page", "seq", "r.*")
 
 
+def _line_runs(x: Column) -> Column:
+    """Runs of a text whose marks end with their line; line feeds are runs of their own."""
+    plain = lambda t: F.array(F.struct(t.alias("text"), F.lit(None).cast("boolean").alias("bold"), F.lit(None).cast("boolean").alias("italics")))
+    lines = F.transform(F.split(x, "\n"), lambda line, k: F.when(k > 0, F.concat(plain(F.lit("\n")), R.marked_runs(line))).otherwise(R.marked_runs(line)))
+    return F.when(F.contains(x, F.lit("*")), F.flatten(lines)).otherwise(plain(x))
+
+
 def layout_runs(rows: DataFrame) -> DataFrame:
-    """Layout rows with runs: references normalized, other text by its inline marks."""
-    refs = R.normalized(rows.withColumn("_in", F.when(F.col("style") == "reference", F.col("text"))).withColumnRenamed("text", "_own"), "_in")
-    runs = F.when(F.col("style") == "reference", F.col("runs")).when(F.col("style") == "pageBreak", F.array().cast(f"array<{R.RUN}>")).otherwise(R.marked_runs(F.col("_own")))
-    return refs.withColumn("runs", runs).select(*[F.col("_own").alias("text") if c == "text" else F.col(c) for c in rows.columns], "runs")
+    """Layout rows with runs: references normalized, other text by its inline marks, titles as they are."""
+    refs = R.normalized(rows.withColumn("reference", F.when(F.col("style") == "reference", F.col("text"))).withColumnRenamed("text", "own"), "reference")
+    whole = F.array(F.struct(F.col("own").alias("text"), F.lit(None).cast("boolean").alias("bold"), F.lit(None).cast("boolean").alias("italics")))
+    runs = F.when(F.col("style") == "reference", F.col("runs")).when(F.col("style").isin("pageBreak", "space", "logo", "toc"), F.array().cast(f"array<{R.RUN}>")).when(F.col("style").isin(*LITERAL), whole).otherwise(_line_runs(F.col("own")))
+    return refs.withColumn("runs", runs).select(*[F.col("own").alias("text") if c == "text" else F.col(c) for c in rows.columns], "runs")
 
 
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
@@ -163,17 +208,30 @@ def _field(instruction: str, hidden: bool = False) -> str:
     return char("begin") + f'<w:r>{props}<w:instrText xml:space="preserve"> {instruction} </w:instrText></w:r>' + char("separate") + char("end")
 
 
-def paragraph_xml(style: str, text: str, runs: list, listed: bool) -> str:
+def paragraph_xml(style: str, text: str, runs: list, listed: bool, before: int | None = None, image: str = "") -> str:
     """One layout row as a paragraph. ``listed`` headings carry a hidden entry for the table of contents, no heading style."""
-    size, align, line, after, left, first = STYLES.get(style, STYLES["paragraph"])
+    size, align, bold, line, above, after, left, first = STYLES.get(style, STYLES["paragraph"])
     if style == "pageBreak":
         return '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
-    body = _field(text) if style == "toc" else "".join(_run_xml(r["text"], size, r["bold"] or style.startswith("heading") or style == "title", r["italics"]) for r in runs)
-    entry = _field(f"TC &quot;{_xml(text)}&quot; \\l {style[-1]}", hidden=True) if listed and style.startswith("heading") else ""
-    props = f'<w:pPr><w:spacing w:line="{line}" w:lineRule="auto" w:after="{after}"/><w:ind w:left="{left}" w:firstLine="{first}"/><w:jc w:val="{align}"/></w:pPr>'
+    body = _field(text) if style == "toc" else image if style == "logo" else "".join(_run_xml(r["text"], size, r["bold"] or bold, r["italics"] or style == "note") for r in runs)
+    entry = _field(f"TC &quot;{_xml(text.strip())}&quot; \\l {LEVELS[style]}", hidden=True) if listed and style in LEVELS and text.strip() else ""
+    props = f'<w:pPr><w:spacing w:before="{above if before is None else before}" w:line="{line}" w:lineRule="auto" w:after="{after}"/><w:ind w:left="{left}" w:firstLine="{first}"/><w:jc w:val="{align}"/></w:pPr>'
     return f"<w:p>{props}{entry}{body}</w:p>"
 
 
+#: Size of the logo in pixels, and English metric units of a pixel.
+LOGO_SIZE = (170, 62)
+_PIXEL = 9525
+
+
+def _image(width: int, height: int) -> str:
+    """A run that shows the image of relationship rId3."""
+    size = f'cx="{width * _PIXEL}" cy="{height * _PIXEL}"'
+    drawn = "http://schemas.openxmlformats.org/drawingml/2006"
+    shape = f'<pic:pic xmlns:pic="{drawn}/picture"><pic:nvPicPr><pic:cNvPr id="1" name="logo"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="rId3"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext {size}/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic>'
+    return f'<w:r><w:drawing><wp:inline xmlns:wp="{drawn}/wordprocessingDrawing"><wp:extent {size}/><wp:docPr id="1" name="logo" descr="{V.INSTITUTION}"/><a:graphic xmlns:a="{drawn}/main"><a:graphicData uri="{drawn}/picture">{shape}</a:graphicData></a:graphic></wp:inline></w:drawing></w:r>'
+
+
 _NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 _DECL = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
@@ -189,12 +247,15 @@ def _section(start: int | None) -> str:
     return f'<w:sectPr>{header}<w:pgSz w:w="{PAGE[0]}" w:h="{PAGE[1]}"/><w:pgMar w:top="{top}" w:right="{right}" w:bottom="{bottom}" w:left="{left}" w:header="1134" w:footer="1134"/>{number}</w:sectPr>'
 
 
-def docx_bytes(rows: list[dict], start: int) -> bytes:
-    """A Word file of layout rows: an unnumbered front section and a body section numbered from ``start``."""
-    front, body, listed = [], [], False
+def docx_bytes(rows: list[dict], start: int, logo: bytes | None = None, logo_size: tuple[int, int] = LOGO_SIZE) -> bytes:
+    """A Word file of layout rows: an unnumbered front section and a body section numbered from ``start``.
+
+    ``logo`` is a PNG or JPEG file for the place that ``layout_rows`` left for it.
+    """
+    front, body, listed, image = [], [], False, _image(*logo_size) if logo else ""
     for r in rows:
-        listed = listed or r["style"] == "toc"
-        (front if r["part"] == "front" else body).append(paragraph_xml(r["style"], r["text"], r["runs"], listed))
+        (front if r["part"] == "front" else body).append(paragraph_xml(r["style"], r["text"], r["runs"], listed, r["before"], image))
+        listed = listed or r["style"] == "note"
     document = f"{_DECL}<w:document {_NS}><w:body>{''.join(front)}<w:p><w:pPr>{_section(None)}</w:pPr></w:p>{''.join(body)}{_section(start)}</w:body></w:document>"
     files = {
         "[Content_Types].xml": f'{_DECL}<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{_WORD}.document.main+xml"/><Override PartName="/word/header1.xml" ContentType="{_WORD}.header+xml"/><Override PartName="/word/settings.xml" ContentType="{_WORD}.settings+xml"/></Types>',
@@ -204,22 +265,34 @@ def docx_bytes(rows: list[dict], start: int) -> bytes:
         "word/header1.xml": f'{_DECL}<w:hdr {_NS}><w:p><w:pPr><w:jc w:val="right"/></w:pPr>{_field("PAGE")}</w:p></w:hdr>',
         "word/settings.xml": f'{_DECL}<w:settings {_NS}><w:updateFields w:val="true"/></w:settings>',
     }
+    files = {name: data.encode() for name, data in files.items()}
+    if logo:
+        kind = "png" if logo.startswith(b"\x89PNG") else "jpeg"
+        files[f"word/media/logo.{kind}"] = logo
+        for name, end, more in (("[Content_Types].xml", b"</Types>", f'<Default Extension="{kind}" ContentType="image/{kind}"/>'), ("word/_rels/document.xml.rels", b"</Relationships>", f'<Relationship Id="rId3" Type="{_OFFICE}/image" Target="media/logo.{kind}"/>')):
+            files[name] = files[name].replace(end, more.encode() + end)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, data in files.items():
             # a fixed time keeps equal rows equal bytes
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data.encode(), zipfile.ZIP_DEFLATED)
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
-def render(rows: DataFrame) -> DataFrame:
+def _plain(row) -> dict:
+    """A layout row as it comes through pandas, whose whole numbers may be floats and whose nulls may be no numbers."""
+    before = row["before"]
+    return {k: row[k] for k in ("part", "style", "text", "runs")} | {"before": None if before is None or before != before else int(before)}
+
+
+def render(rows: DataFrame, logo: bytes | None = None, logo_size: tuple[int, int] = LOGO_SIZE) -> DataFrame:
     """doc_id, docx: one Word file per document of layout rows with runs."""
-    packed = F.array_sort(F.collect_list(F.struct("seq", "part", "style", "text", "runs")))
+    packed = F.array_sort(F.collect_list(F.struct("seq", "part", "style", "before", "text", "runs")))
     docs = rows.groupBy("doc_id").agg(F.max("start_page").alias("start_page"), packed.alias("rows"))
 
     def write(batches):
         for b in batches:
-            made = [docx_bytes([{"part": r["part"], "style": r["style"], "text": r["text"], "runs": list(r["runs"])} for r in rows], int(start)) for rows, start in zip(b["rows"], b["start_page"], strict=True)]
+            made = [docx_bytes([_plain(r) for r in rows], int(start), logo, logo_size) for rows, start in zip(b["rows"], b["start_page"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "docx": made})
 
     return docs.mapInPandas(write, "doc_id long, docx binary")

@@ -9,9 +9,9 @@ from lexmill.functions import text as T
 from lexmill.operators.layout import layout_rows, layout_runs, render
 
 
-def rendered(works: DataFrame, as_of_year: int) -> DataFrame:
-    """doc_id, file_name, docx of every work record."""
-    files = render(layout_runs(layout_rows(works, as_of_year)))
+def rendered(works: DataFrame, as_of_year: int, logo: bytes | None = None) -> DataFrame:
+    """doc_id, file_name, docx of every work record; ``logo`` is a PNG or JPEG file for the covers, or the institution's name stands there."""
+    files = render(layout_runs(layout_rows(works, as_of_year, logo is not None)), logo)
     return works.select("doc_id", T.safe_file_name(F.col("title")).alias("file_name")).join(files, "doc_id")
 
 

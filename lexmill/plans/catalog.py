@@ -14,6 +14,7 @@ from lexmill.operators import references as R
 from lexmill.operators import validation as W
 from lexmill.plans import inputs
 from lexmill.plans.oracle import ORACLE
+from lexmill.sources import readers
 
 YEAR = 2026
 
@@ -130,13 +131,21 @@ def section_carry(spark, sf_dir):
     return rows.select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "section")
 
 
-def detected_fields(spark, sf_dir):
-    """Every field in long form; its parts are held against SQL one by one."""
-    found = D.detect_fields(B.text_blocks(_works(spark, sf_dir)), YEAR)
+def _long(found):
     pairs = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("value"), F.element_at("confidence", F.lit(k)).alias("confidence")) for k in V.FIELD_KEYS])
     return found.select("doc_id", F.inline(pairs))
 
 
+def detected_fields(spark, sf_dir):
+    """Every field of the texts, with its confidence, in long form."""
+    return _long(D.detect_fields(B.text_blocks(_works(spark, sf_dir)), YEAR))
+
+
+def docx_fields(spark, sf_dir):
+    """Every field of the Word files, in long form: page breaks end covers, tables and images are in sections."""
+    return _long(D.detect_fields(_word_blocks(spark, sf_dir), YEAR))
+
+
 # validation, merge
 
 
@@ -148,13 +157,66 @@ def blocking_works(spark, sf_dir):
     return W.blocking(W.work_issues(_records(spark, sf_dir)))
 
 
-def import_merge(spark, sf_dir):
+def issue_messages(spark, sf_dir):
+    return W.with_messages(W.work_issues(_records(spark, sf_dir))).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "code", "message")
+
+
+def _full_records(spark, sf_dir):
+    """Records with every field, empty where the input has none."""
     records = _records(spark, sf_dir)
-    known = lambda cond: F.create_map(*[x for k in V.FIELD_KEYS for x in (F.lit(k), F.when(cond, "alta").otherwise("nao-identificado"))])
-    now = records.where("doc_id % 3 <> 0").withColumn("confidence", known(F.col("doc_id") % 2 == 0))
-    new = records.where("doc_id % 3 <> 1").withColumn("title", F.concat(F.lit("novo "), "title")).withColumn("author", F.lit("Novo Autor")).withColumn("confidence", known(F.col("doc_id") % 5 == 0))
-    merged = M.import_merge(now, new, ("title", "author"))
-    return merged.select("doc_id", "title", "author", F.element_at("confidence", F.lit("title")).alias("title_confidence"))
+    return records.select("*", *[F.lit("").alias(k) for k in V.FIELD_KEYS if k not in records.columns])
+
+
+def _known(cond):
+    """The same confidence for every field."""
+    return F.create_map(*[x for k in V.FIELD_KEYS for x in (F.lit(k), F.when(cond, "alta").otherwise("nao-identificado"))])
+
+
+def import_merge(spark, sf_dir):
+    """All fields of all records merged with a second version of each, gaps on either side, in long form."""
+    records, key = _full_records(spark, sf_dir), F.col("doc_id")
+    now = records.withColumns({"title": F.when(key % 3 == 0, "").otherwise(F.col("title")), "author": F.when(key % 3 == 1, "").otherwise(F.col("author")), "confidence": _known(key % 2 == 0)})
+    new = records.withColumns({"title": F.concat(F.lit("novo "), "title"), "author": F.lit("Novo Autor"), "advisor": F.lit("Nova Orientadora"), "resumo": F.lit(""), "work_type": F.lit("tese"), "confidence": _known(key % 5 == 0)})
+    merged = M.import_merge(now, new)
+    return _long(merged).unionByName(merged.select("doc_id", F.lit("work_type").alias("field"), F.col("work_type").alias("value"), F.lit("-").alias("confidence")))
+
+
+def manual_edits(spark, sf_dir):
+    """Every record with one field edited."""
+    records = _full_records(spark, sf_dir).withColumn("confidence", _known(F.col("doc_id") % 2 == 0))
+    field = F.element_at(F.array(F.lit("epigrafe"), F.lit("title"), F.lit("advisor")), (F.col("doc_id") % 3 + 1).cast("int"))
+    edits = records.select("doc_id", field.alias("field"), F.concat(F.lit("editado "), F.col("doc_id")).alias("value"))
+    return _long(M.manual_edits(records, edits))
+
+
+def editor_seed(spark, sf_dir):
+    """What the editor starts with, of own, imported, introduction and title texts, each of which some records lack."""
+    key = F.col("doc_id")
+    texts = _records(spark, sf_dir).withColumns({"editor": F.when(key % 3 == 0, "").when(key % 3 == 1, " \n").otherwise(F.col("editor_text")), "imported": F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("importado "), key))})
+    return texts.select("doc_id", M.editor_seed("editor", "imported", "introducao", "title").alias("editor_text"))
+
+
+def selection_edits(spark, sf_dir):
+    """A selection in each editor text quoted, cleared of marks and put in bold."""
+    x, start = F.col("editor_text"), (F.col("doc_id") % 7).cast("int")
+    rows = _records(spark, sf_dir).select("doc_id", "editor_text", start.alias("start"), (start + F.col("doc_id") % 40).cast("int").alias("end"))
+    first, last = T.selected_lines(x, F.col("start"), F.col("end"))
+    rows = rows.withColumns({"first": first, "last": last})
+    at = F.col("first"), F.col("last")
+    return rows.select("doc_id", T.mark_lines(x, *at, "> ").alias("quoted"), T.clear_lines(x, *at).alias("cleared"), T.wrap_selection(x, F.col("start"), F.col("end"), "**").alias("bold"))
+
+
+# files
+
+
+def file_kinds(spark, sf_dir):
+    """The documents as files of four kinds: text and Markdown are read, a Word file that is none and other kinds rejected."""
+    name = F.concat(F.lit("in/"), F.col("doc_id"), F.element_at(F.array(*[F.lit(x) for x in (".txt", ".MD", ".docx", ".pdf")]), (F.col("doc_id") % 4 + 1).cast("int")))
+    found = _documents(spark, sf_dir).select("doc_id", name.alias("path"), F.col("text").cast("binary").alias("content"))
+    found = found.withColumn("kind", F.lower(F.substring_index("path", ".", -1)))
+    read = readers.text_documents(found).select("doc_id", "kind", F.lit("text").alias("outcome"), F.size("blocks").cast("long").alias("n_blocks"))
+    rejected = readers.rejected(found).select("doc_id", F.lower(F.substring_index("path", ".", -1)).alias("kind"), F.col("reason").alias("outcome"), F.lit(None).cast("long").alias("n_blocks"))
+    return read.unionByName(rejected)
 
 
 # layout
@@ -183,15 +245,17 @@ def safe_file_name(spark, sf_dir):
 
 
 def layout_rows(spark, sf_dir):
-    records = _records(spark, sf_dir)
-    for k in V.FIELD_KEYS:
-        records = records if k in records.columns else records.withColumn(k, F.lit(""))
-    return L.layout_rows(records, YEAR).withColumn("seq", F.col("seq").cast("long")).withColumn("start_page", F.col("start_page").cast("long"))
+    return L.layout_rows(_full_records(spark, sf_dir), YEAR).withColumns({"seq": F.col("seq").cast("long"), "start_page": F.col("start_page").cast("long")})
 
 
 def rendered_files(spark, sf_dir):
-    """The size of every rendered Word file; tests open the files."""
-    return L.render(L.layout_runs(layout_rows(spark, sf_dir))).select("doc_id", F.length("docx").cast("long").alias("n_bytes"))
+    """Every record as a Word file, read back: its paragraphs, page breaks, entries for the contents, and a digest of its text."""
+    files = L.render(L.layout_runs(layout_rows(spark, sf_dir))).select("doc_id", F.lit("docx").alias("kind"), F.lit("made").alias("path"), F.col("docx").alias("content"))
+    xml = F.col("document_xml")
+    count = lambda pattern: F.regexp_count(xml, F.lit(pattern)).cast("long")
+    said = F.array_join(F.regexp_extract_all(xml, F.lit('<w:t xml:space="preserve">([^<]*)</w:t>'), F.lit(1)), "")
+    parts = readers.docx_parts(files)
+    return parts.select("doc_id", count("<w:p>").alias("paragraphs"), count('<w:br w:type="page"/>').alias("page_breaks"), count(" TC &quot;").alias("entries"), F.md5(T.decode_xml(said).cast("binary")).alias("said"))
 
 
 # Word files
@@ -214,10 +278,15 @@ def image_asset_merge(spark, sf_dir):
     return B.image_assets(rels, media).select("doc_id", "rel_id", "target", "file_name", "extension", "mime_type")
 
 
+def first_images(spark, sf_dir):
+    return B.first_images(B.exploded(_word_blocks(spark, sf_dir)), image_asset_merge(spark, sf_dir))
+
+
 def queries() -> dict:
     plain = (
         fold_upper, fold_lower, clean_values, inline_markup, lines_split, long_paragraphs, ref_split, ref_type, ref_highlight, ref_warnings, ref_runs,
-        ref_issue_counts, section_carry, detected_fields, work_issues, blocking_works, import_merge, editor_blocks, body_blocks, ref_union, start_page,
+        ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
+        selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
     )
     marks = F.col

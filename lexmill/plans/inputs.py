@@ -38,7 +38,11 @@ SELECT c_custkey AS doc_id, concat_ws(chr(10),
     WHEN 1 THEN concat('Dissertação de ', 1980 + c_custkey % 40, ' para o curso') WHEN 2 THEN 'Monografia de curso' WHEN 3 THEN 'Artigo de revista' ELSE NULL END,
   CASE c_custkey % 3 WHEN 0 THEN concat('Orientador', chr(10), 'João Lima') WHEN 1 THEN 'Orientadora: Eva Reis' ELSE NULL END,
   CASE WHEN c_custkey % 4 = 3 THEN concat('Maria ', CASE c_custkey % 3 WHEN 0 THEN 'Silva' WHEN 1 THEN 'Souza' ELSE 'Costa Lima' END) ELSE NULL END,
+  CASE c_custkey % 5 WHEN 2 THEN 'Coorientador: Rui Dias' WHEN 3 THEN concat('Coorientadora', chr(10), 'Ana Dias') ELSE NULL END,
   CASE WHEN c_custkey % 7 = 0 THEN 'APÊNDICES' ELSE NULL END,
+  CASE WHEN c_custkey % 4 = 2 THEN concat_ws(chr(10), 'AGRADECIMENTOS', 'Aos meus pais', 'e amigos.') ELSE NULL END,
+  CASE WHEN c_custkey % 6 = 1 THEN concat_ws(chr(10), 'INDICADORES DE IMPACTO', 'Muito impacto.', 'CONCLUSÃO') ELSE NULL END,
+  CASE WHEN c_custkey % 9 = 3 THEN concat_ws(chr(10), 'IMPACT INDICATORS', 'Much impact.') ELSE NULL END,
   CASE WHEN c_custkey % 6 <> 5 THEN concat_ws(chr(10), 'RESUMO', concat('Resumo de ', c_name, '.'), CASE WHEN c_custkey % 2 = 0 THEN '  Segunda   linha. ' ELSE NULL END,
     CASE WHEN c_custkey % 3 <> 0 THEN concat('Palavras-chave: solo; ', c_mktsegment, '.') ELSE NULL END) ELSE NULL END,
   CASE WHEN c_custkey % 5 <> 4 THEN concat_ws(chr(10), 'ABSTRACT', concat('About ', c_name, '.'), CASE WHEN c_custkey % 2 = 0 THEN 'Keywords: soil.' ELSE NULL END) ELSE NULL END,
@@ -57,7 +61,7 @@ SELECT c_custkey AS doc_id,
   CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE concat('Título nº ', c_custkey, ' -- É bom') END AS title,
   CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Instituto de Física' WHEN 2 THEN 'Ana MG Souza' ELSE 'Ana Souza' END AS author,
   CASE WHEN c_custkey % 3 = 0 THEN 'João Lima' ELSE '' END AS advisor,
-  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Resumo' END AS resumo,
+  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('Resumo', chr(10), 'em *duas* linhas') END AS resumo,
   CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Abstract' END AS abstractText,
   CASE WHEN c_custkey % 6 = 5 THEN '' ELSE concat('Intro', chr(10), 'dois') END AS introducao,
   CASE WHEN c_custkey % 4 = 2 THEN 'Fim' ELSE '' END AS conclusao,
@@ -70,6 +74,15 @@ SELECT c_custkey AS doc_id,
   CASE WHEN c_custkey % 5 = 1 THEN 'Impacto' ELSE '' END AS indicadoresImpacto,
   '' AS impactIndicators,
   CASE WHEN c_custkey % 12 = 0 THEN '2 imagens' ELSE '' END AS imageWarnings,
+  CASE WHEN c_custkey % 5 = 0 THEN concat('Um subtítulo ', c_custkey) ELSE '' END AS subtitle,
+  CASE WHEN c_custkey % 3 = 0 THEN 'Tese de teste' ELSE '' END AS workNature,
+  CASE WHEN c_custkey % 4 = 1 THEN 'Agronomia' ELSE '' END AS course,
+  CASE WHEN c_custkey % 6 = 2 THEN 'Ecologia' ELSE '' END AS program,
+  CASE WHEN c_custkey % 8 = 3 THEN 'Eva Reis' ELSE '' END AS coadvisor,
+  CASE WHEN c_custkey % 2 = 0 THEN 'Natal' ELSE '' END AS location,
+  CASE WHEN c_custkey % 3 = 1 THEN '2020' ELSE '' END AS year,
+  CASE WHEN c_custkey % 4 = 3 THEN 'solo; rio' ELSE '' END AS palavrasChave,
+  CASE WHEN c_custkey % 5 = 2 THEN 'soil' ELSE '' END AS keywords,
   concat_ws(chr(10), CASE WHEN c_custkey % 3 = 0 THEN '# 1 Introdução' ELSE NULL END, 'Parágrafo com **negrito**', '', '## Dados', '> Citação longa', '### Nota', '  [ref] NETO, A. Extra. Natal: Sol, 2011.',
     CASE WHEN c_custkey % 4 = 0 THEN '![fig](x.png)' ELSE NULL END, CASE WHEN c_custkey % 8 = 0 THEN 'Figura 1 - Mapa' ELSE NULL END,
     CASE WHEN c_custkey % 5 = 0 THEN concat(chr(10), repeat('palavra ', 60), '(SILVA, 2010)', chr(10)) ELSE NULL END,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexmill.functions import values as V
+from lexmill.operators.validation import MESSAGES
 from lexmill.plans import inputs
 
 _REFS, _WORKS, _RECORDS, _WORD = map(inputs.duckdb, (inputs.REFERENCES, inputs.WORKS, inputs.RECORDS, inputs.WORD_FILES))
@@ -27,7 +29,7 @@ def _in(*names: str) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-_HEADINGS = _in("RESUMO", "ABSTRACT", "REFERENCIAS", "ANEXOS", "APENDICES", "INTRODUCAO")
+_HEADINGS = _in(*V.TEXT_HEADINGS)
 
 
 def _blocks(source: str) -> str:
@@ -43,7 +45,7 @@ _W = f"WITH works AS ({_WORKS}), {_blocks('works')}"
 _REF = "base = 'REFERENCIAS'"
 _ANNEX = r"(base = 'ANEXOS' OR regexp_matches(base, '^ANEXO\s+[A-Z0-9]'))"
 _APPENDIX = r"(base = 'APENDICES' OR regexp_matches(base, '^APENDICE\s+[A-Z0-9]'))"
-_PRIMARY = r"((block_type = 'heading' AND level <= 1) OR regexp_matches(norm, '^\d+\s+\S+') OR base IN ('REFERENCIAS', 'ANEXOS', 'APENDICES', 'CONCLUSAO', 'CONSIDERACOES FINAIS'))"
+_PRIMARY = r"((block_type = 'heading' AND level <= 1) OR regexp_matches(norm, '^\d+\s+\S+') OR base IN " + _in(*V.UNNUMBERED_HEADINGS) + ")"
 
 
 def _span(name: str, start: str, stop: str, after_refs: bool = False) -> str:
@@ -145,8 +147,8 @@ _COVER = rf"""
 cv AS (SELECT doc_id, i, text, norm FROM b WHERE i BETWEEN 0 AND 19),
 """
 _LOCATION = r"(norm IN ('LAVRAS', 'LAVRAS - MG') OR regexp_matches(norm, '^LAVRAS\b'))"
-_GENERIC = "(norm IN ('UNIVERSIDADE FEDERAL DE LAVRAS', 'UFLA', 'AUTOR', 'TITULO', 'LOCAL', 'ANO') OR length(norm) < 2)"
-_TERMS = "UNIVERSIDADE|UFLA|INSTITUTO|DEPARTAMENTO|FACULDADE|ESCOLA|PROGRAMA|PÓS-GRADUAÇÃO|POS-GRADUACAO|GRADUAÇÃO|GRADUACAO|CURSO|ÁREA DE CONCENTRAÇÃO|AREA DE CONCENTRACAO|LINHA DE PESQUISA|LAVRAS|MINAS GERAIS|MG|BRASIL|FICHA CATALOGRÁFICA|FICHA CATALOGRAFICA|RESUMO|ABSTRACT|SUMÁRIO|SUMARIO|ORIENTADOR"
+_GENERIC = f"(norm IN {_in(*V.GENERIC_COVER_LINES)} OR length(norm) < 2)"
+_TERMS = "|".join(V.INSTITUTIONAL_TERMS)
 _IS_YEAR = r"regexp_matches(text, '^(19|20)\d{2}$')"
 _AUTHOR = rf"""
 au AS (SELECT doc_id, arg_min(text, i) AS author, min(i) AS at, arg_min(norm, i) AS anorm FROM cv WHERE norm = 'NOME E SOBRENOME DO AUTOR' OR (NOT {_GENERIC} AND NOT {_LOCATION} AND NOT {_IS_YEAR} AND NOT regexp_matches(text, '[:;]|\d')
@@ -258,3 +260,173 @@ ORACLE: dict[str, str] = {
     "docx_text": _DOCX + "SELECT doc_id, string_agg(text, chr(10) ORDER BY k, m) FILTER (block_type <> 'pageBreak') AS text, doc_id % 2 = 0 AS has_numbering FROM bl GROUP BY doc_id",
     "image_asset_merge": "SELECT s_suppkey AS doc_id, x.rel_id, x.target, x.file_name, x.extension, x.mime_type FROM supplier, (VALUES ('rId1', 'media/a.png', 'a.png', 'png', 'image/png'), ('rId2', 'media/b.JPG', 'b.JPG', 'jpg', 'image/jpeg'), (NULL, 'media/c.webp', 'c.webp', 'webp', 'image/webp')) AS x(rel_id, target, file_name, extension, mime_type)",
 }
+
+
+def _rows(order: int, part: str, style: str, text: str, where: str = "true", before: int | None = None) -> str:
+    """One layout row of each record."""
+    return f"SELECT doc_id, {order} AS p, 0 AS k, '{part}' AS part, '{style}' AS style, {before or 'NULL'}::BIGINT AS before, {text} AS text FROM w WHERE {where}"
+
+
+def _lines_of(order: int, part: str, style: str, text: str, where: str = "true") -> str:
+    """One layout row for each non-blank line of a text."""
+    lines = rf"SELECT doc_id, unnest(string_split_regex({text}, '\n+')) AS raw, generate_subscripts(string_split_regex({text}, '\n+'), 1) AS k FROM w WHERE {where}"
+    return f"SELECT doc_id, {order}, k, '{part}', '{style}', NULL::BIGINT, trim(raw) FROM ({lines}) WHERE trim(raw) <> ''"
+
+
+def _layout() -> str:
+    quoted = lambda x: f"'{x}'"
+    rows: list[str] = []
+    one = lambda *a, **kw: rows.append(_rows(len(rows), "front", *a, **kw))
+    many = lambda text, where="true": rows.append(_lines_of(len(rows), "front", "simple", text, where))
+
+    def page(title: str, where: str = "true", style: str = "sectionTitle") -> None:
+        one("pageBreak", "''", where)
+        one(style, quoted(title.upper()), where)
+
+    def names(lead: int, gap: int) -> None:
+        one("cover", f"coalesce(nullif(author, ''), '{V.DEFAULT_AUTHOR}')")
+        one("space", "''", before=lead)
+        one("coverBold", f"upper(coalesce(nullif(title, ''), '{V.DEFAULT_TITLE}'))")
+        one("coverBold", "upper(subtitle)", "subtitle <> ''")
+        one("space", "''", before=gap)
+
+    def place() -> None:
+        one("cover", f"coalesce(nullif(location, ''), '{V.DEFAULT_LOCATION}')")
+        one("cover", "coalesce(nullif(year, ''), '2026')")
+
+    one("coverBold", quoted(V.INSTITUTION))
+    one("space", "''", before=1200)
+    names(1800, 2200)
+    place()
+    one("pageBreak", "''")
+    names(1500, 900)
+    one("nature", f"coalesce(nullif(workNature, ''), '{V.DEFAULT_NATURE}')")
+    for field, label in (("course", "Curso: "), ("program", "Programa: "), ("advisor", "Orientador(a): "), ("coadvisor", "Coorientador(a): ")):
+        one("simple", f"'{label}' || {field}", f"{field} <> ''")
+    one("space", "''", before=1500)
+    place()
+    page("Ficha catalográfica")
+    one("simple", quoted(V.CATALOGUE_CARD))
+    for title, field in (("Dedicatória", "dedicatoria"), ("Agradecimentos", "agradecimentos"), ("Epígrafe", "epigrafe")):
+        page(title, f"trim({field}) <> ''")
+        many(field)
+    for title, field, words, label in (("Resumo", "resumo", "palavrasChave", "Palavras-chave: "), ("Abstract", "abstractText", "keywords", "Keywords: ")):
+        page(title)
+        one("simple", f"coalesce(nullif({field}, ''), ' ')")
+        one("simple", f"'{label}' || {words}", f"{words} <> ''")
+    for title, field, filler in (("Indicadores de impacto", "indicadoresImpacto", V.IMPACT_PLACE), ("Impact indicators", "impactIndicators", V.IMPACT_PLACE_ENGLISH)):
+        said = f"CASE WHEN {field} <> '' THEN {field} WHEN work_type IN ('tese', 'dissertacao') THEN '{filler}' ELSE '' END"
+        page(title, f"trim({said}) <> ''")
+        many(said)
+    # every record has a heading in its editor text, so every one has a summary
+    page("Sumário", style="title")
+    one("toc", r"'TOC \f \h \z'")
+    one("note", quoted(V.SUMMARY_NOTE))
+    heads = "SELECT doc_id, 1000 + idx AS p, 0 AS k, 'body' AS part, 'pageBreak' AS style, NULL::BIGINT AS before, '' AS text FROM bb WHERE type = 'heading1' AND idx > 0"
+    rows.append(heads)
+    rows.append("SELECT doc_id, 1000 + idx, 1, 'body', type, NULL::BIGINT, CASE WHEN type = 'heading1' THEN upper(text) ELSE text END FROM bb")
+    for order, title, where in ((2000, "REFERÊNCIAS", "true"), (4000, "ANEXOS", "anexos <> ''"), (5000, "APÊNDICES", "apendices <> ''")):
+        rows.append(_rows(order, "body", "pageBreak", "''", where))
+        rows.append(_rows(order + 1, "body", "sectionTitle", quoted(title), where))
+    rows.append("SELECT doc_id, 3000, idx, 'body', 'reference', NULL::BIGINT, reference FROM ru")
+    rows.append(_lines_of(4002, "body", "simple", "anexos"))
+    rows.append(_lines_of(5002, "body", "simple", "apendices"))
+    return f"""WITH w AS ({_RECORDS}), bb AS ({ORACLE["body_blocks"]}), ru AS ({ORACLE["ref_union"]}), sp AS ({ORACLE["start_page"]}), al AS ({" UNION ALL ".join(rows)})
+      SELECT doc_id, start_page, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) - 1 AS seq, part, style, before, text FROM al JOIN sp USING (doc_id)"""
+
+
+def _detected() -> str:
+    """All fields of the texts, put together from their parts."""
+    other = ORACLE["next_line_label"].replace("ORIENTADOR", "COORIENTADOR")
+    spans = {"agradecimentos": "AGRADECIMENTOS", "indicadoresImpacto": "INDICADORES DE IMPACTO", "impactIndicators": "IMPACT INDICATORS"}
+    values = {
+        "author": "author", "title": "title", "subtitle": "lab.subtitle", "workNature": "coalesce(wn.nature, '')", "course": "lab.course",
+        "program": "coalesce(nullif(lab.program, ''), trim(regexp_extract(wn.nature, '(?i)programa de p[óo]s-gradua[cç][aã]o em ([^,]+)', 1)), '')",
+        "advisor": "coalesce(nullif(lab.advisor, ''), nl.advisor)", "coadvisor": "coalesce(nullif(lab.coadvisor, ''), nc.advisor)",
+        "location": "coalesce(nullif(lab.location, ''), lo.place, '')", "year": "cy.year", "resumo": "rs.resumo", "palavrasChave": "rs.keywords",
+        "abstractText": "ab.abstract", "keywords": "ab.keywords", "introducao": "it.introduction", "conclusao": "cc.conclusion", "referencias": "rf.reference_list",
+        "anexos": "ax.annexes", "apendices": "ax.appendices", **{k: f"{k}.{k}" for k in spans},
+    }
+    sure = {k: "'alta'" for k in ("subtitle", "course", "resumo", "abstractText", "introducao", "referencias")} | {k: f"CASE WHEN lab.{k} <> '' THEN 'alta' ELSE 'media' END" for k in ("program", "location")}
+    sure |= {k: f"CASE WHEN lab.{k} <> '' OR {k}_times > 1 THEN 'alta' ELSE 'media' END" for k in ("author", "title")} | {"year": "cy.confidence"}
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS field, f_{k} AS value, CASE WHEN f_{k} = '' THEN 'nao-identificado' ELSE s_{k} END AS confidence FROM wide" for k in values)
+    empty = " UNION ALL ".join(f"SELECT doc_id, '{k}', '', 'nao-identificado' FROM wide" for k in V.FIELD_KEYS if k not in values)
+    columns = ", ".join(f"{x} AS f_{k}, {sure.get(k, repr('media'))} AS s_{k}" for k, x in values.items())
+    parts = {
+        "lab": "label_lookup", "cy": "cover_year", "ca": "cover_author", "nl": "next_line_label", "rs": "section_span_resumo", "ab": "section_span_abstract",
+        "it": "section_span_intro", "cc": "section_span_conclusion", "rf": "section_span_refs", "ax": "annex_after_refs",
+    }
+    tables = ", ".join(f"{k} AS ({ORACLE[name]})" for k, name in parts.items())
+    tables += f", nc AS ({other}), " + ", ".join(f"{k} AS ({_W}, {_span(k, f'base = {name!r}', f'{_PRIMARY} AND base <> {name!r}')})" for k, name in spans.items())
+    joins = " ".join(f"JOIN {k} USING (doc_id)" for k in [*list(parts), "nc", *spans] if k not in ("lab", "ca"))
+    return f"""{_W}, {_COVER.strip().rstrip(",")}, {tables},
+      wn AS (SELECT doc_id, arg_min(text, i) AS nature FROM b WHERE regexp_matches(text, '(?i){V.WORK_NATURE}') GROUP BY doc_id),
+      lo AS (SELECT doc_id, arg_min(text, i) AS place FROM cv WHERE {_LOCATION} GROUP BY doc_id),
+      an AS (SELECT doc_id, coalesce(nullif(lab.author, ''), ca.author) AS author FROM lab JOIN ca USING (doc_id)),
+      st AS (SELECT an.doc_id, coalesce(min(cv.i), -1) AS at FROM an LEFT JOIN cv ON cv.doc_id = an.doc_id AND cv.norm = {_fold("an.author")} AND an.author <> '' GROUP BY an.doc_id),
+      en AS (SELECT cv.doc_id, min(i) AS at FROM cv JOIN st USING (doc_id) WHERE i > st.at AND ({_LOCATION} OR {_IS_YEAR}) GROUP BY cv.doc_id),
+      ct AS (SELECT cv.doc_id, string_agg(text, ' ' ORDER BY i) AS said FROM cv JOIN st USING (doc_id) LEFT JOIN en USING (doc_id) WHERE i > st.at AND i < coalesce(en.at, 1000000) AND NOT {_GENERIC} GROUP BY cv.doc_id),
+      tn AS (SELECT doc_id, coalesce(nullif(lab.title, ''), {_clean("said")}, '') AS title FROM lab LEFT JOIN ct USING (doc_id)),
+      oa AS (SELECT an.doc_id, an.author, count(b.i) AS author_times FROM an LEFT JOIN b ON b.doc_id = an.doc_id AND b.norm = {_fold("an.author")} GROUP BY ALL),
+      ot AS (SELECT tn.doc_id, tn.title, count(b.i) AS title_times FROM tn LEFT JOIN b ON b.doc_id = tn.doc_id AND b.norm = {_fold("tn.title")} GROUP BY ALL),
+      wide AS (SELECT doc_id, {columns.replace("author AS f_author", "oa.author AS f_author").replace("title AS f_title", "ot.title AS f_title", 1)} FROM lab JOIN oa USING (doc_id) JOIN ot USING (doc_id) {joins} LEFT JOIN wn USING (doc_id) LEFT JOIN lo USING (doc_id))
+      {rows} UNION ALL {empty}"""
+
+
+def _docx_fields() -> str:
+    """The Word files differ in four ways only, so their fields follow from the key."""
+    image = "CASE WHEN k % 4 IN (1, 2) THEN chr(10) || '[Imagem detectada: rId' || (k % 4) || ']' ELSE '' END"
+    found = {
+        "author": ("'Trecho' || chr(10) || 'citado'", "media"), "title": ("'1.2 Dados'", "media"), "year": ("'2026'", "baixa"), "referencias": ("'Item'", "alta"),
+        "resumo": (f"CASE WHEN k % 2 = 0 THEN concat_ws(chr(10), 'Nome & ' || s_name || ' fim é', 'Trecho citado', '1.2 Dados', 'a ' || k) || {image} ELSE '' END", "alta"),
+        "imageWarnings": ("CASE WHEN k % 4 IN (1, 2) THEN '1 imagem(ns) no original; revise posição e legenda.' ELSE '' END", "media"),
+    }
+    one = lambda k: found.get(k, ("''", ""))
+    return "WITH w AS (SELECT s_suppkey AS k, s_name FROM supplier), x AS (" + " UNION ALL ".join(f"SELECT k AS doc_id, '{k}' AS field, {one(k)[0]} AS value, '{one(k)[1]}' AS sure FROM w" for k in V.FIELD_KEYS) + ") SELECT doc_id, field, value, CASE WHEN value = '' THEN 'nao-identificado' ELSE sure END AS confidence FROM x"
+
+
+_GIVEN = _RECORDS.split("FROM customer", maxsplit=1)[0]
+
+
+def _field_or_empty(k: str) -> str:
+    return k if f" AS {k}" in _GIVEN else "''"
+
+
+def _merged() -> str:
+    now = {"title": "CASE WHEN doc_id % 3 = 0 THEN '' ELSE title END", "author": "CASE WHEN doc_id % 3 = 1 THEN '' ELSE author END"}
+    new = {"title": "'novo ' || title", "author": "'Novo Autor'", "advisor": "'Nova Orientadora'", "resumo": "''"}
+    sure = "CASE WHEN doc_id % 5 = 0 OR doc_id % 2 = 0 THEN 'alta' ELSE 'nao-identificado' END"
+    rows = [f"SELECT doc_id, '{k}' AS field, coalesce(nullif({now.get(k, _field_or_empty(k))}, ''), {new.get(k, _field_or_empty(k))}) AS value, {sure} AS confidence FROM w" for k in V.FIELD_KEYS]
+    return f"WITH w AS ({_RECORDS}) {' UNION ALL '.join(rows)} UNION ALL SELECT doc_id, 'work_type', coalesce(nullif(work_type, ''), 'tese'), '-' FROM w"
+
+
+def _edited() -> str:
+    rest = {"epigrafe": 0, "title": 1, "advisor": 2}
+    value = lambda k: f"CASE WHEN doc_id % 3 = {rest[k]} THEN 'editado ' || doc_id ELSE {_field_or_empty(k)} END" if k in rest else _field_or_empty(k)
+    sure = lambda k: f"WHEN doc_id % 3 = {rest[k]} THEN 'baixa'" if k in rest else ""
+    return f"WITH w AS ({_RECORDS}) " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS field, {value(k)} AS value, CASE WHEN doc_id % 2 = 0 THEN 'alta' {sure(k)} ELSE 'nao-identificado' END AS confidence FROM w" for k in V.FIELD_KEYS)
+
+
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(x, '^#{1,2}\s+', ''), '^>\s+', ''), '(?i)^\[REF\]\s+', '')"
+_PLAIN = rf"regexp_replace(regexp_replace({_BARE}, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g')"
+_CHANGED = "array_to_string(list_transform(string_split(t, chr(10)), lambda x, i: CASE WHEN i - 1 BETWEEN l0 AND l1 THEN {0} ELSE x END), chr(10))"
+
+ORACLE |= {
+    "layout_rows": _layout(),
+    "rendered_files": rf"""SELECT doc_id, count(*) + 1 AS paragraphs, count(*) FILTER (style = 'pageBreak') AS page_breaks, count(*) FILTER (part = 'body' AND style IN ('sectionTitle', 'heading1', 'heading2', 'heading3')) AS entries,
+      md5(replace(string_agg(regexp_replace(regexp_replace(text, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '' ORDER BY seq) FILTER (style <> 'toc'), chr(10), '')) AS said FROM ({_layout()}) GROUP BY doc_id""",
+    "detected_fields": _detected(),
+    "docx_fields": _docx_fields(),
+    "import_merge": _merged(),
+    "manual_edits": _edited(),
+    "issue_messages": _ALL_ISSUES + "SELECT doc_id, ordinal::BIGINT AS ordinal, code, replace(CASE code " + " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in MESSAGES.items()) + " END, '{n}', coalesce(n::VARCHAR, '')) AS message FROM al",
+    "editor_seed": f"WITH w AS ({_RECORDS}) SELECT doc_id, CASE WHEN doc_id % 3 = 2 AND trim(editor_text) <> '' THEN editor_text WHEN doc_id % 2 = 1 THEN 'importado ' || doc_id WHEN introducao <> '' THEN introducao ELSE title END AS editor_text FROM w",
+    "selection_edits": rf"""WITH w AS ({_RECORDS}), s AS (SELECT doc_id, editor_text AS t, doc_id % 7 AS s0, doc_id % 7 + doc_id % 40 AS s1 FROM w),
+      l AS (SELECT *, length(left(t, s0)) - length(replace(left(t, s0), chr(10), '')) AS l0, length(left(t, s1)) - length(replace(left(t, s1), chr(10), '')) AS l1 FROM s)
+      SELECT doc_id, {_CHANGED.format(f"CASE WHEN trim({_BARE}) <> '' THEN '> ' || {_BARE} ELSE {_BARE} END")} AS quoted,
+        {_CHANGED.format(_PLAIN)} AS cleared,
+        left(t, s0) || '**' || substr(t, s0 + 1, s1 - s0) || '**' || substr(t, s1 + 1) AS bold FROM l""",
+    "file_kinds": f"""WITH {_blocks('documents')}, n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id)
+      SELECT d.doc_id, ['txt', 'md', 'docx', 'pdf'][d.doc_id % 4 + 1] AS kind, ['text', 'text', 'unreadable archive: BadZipFile', 'unsupported format'][d.doc_id % 4 + 1] AS outcome, CASE WHEN d.doc_id % 4 < 2 THEN coalesce(n.n, 0) END AS n_blocks FROM documents d LEFT JOIN n USING (doc_id)""",
+    "first_images": "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 4 = 2 THEN 'media/b.JPG' ELSE 'media/a.png' END AS target FROM supplier",
+}

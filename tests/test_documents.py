@@ -107,7 +107,10 @@ def test_merge_and_edit(spark):
     new = _fields(spark, WORK)
     merged = M.import_merge(now, new)
     r = merged.first()
-    assert r.author == "Ana Souza" and r.title == "Ana Souza" or r.title
+    # the first text has no year or title of its own but for the label line that its cover begins with
+    old, other = now.first(), new.first()
+    assert r.author == "Ana Souza" and r.title == (old.title or other.title) and r.resumo == "Linha um." and r.work_type == "tese"
+    assert r.confidence["author"] == other.confidence["author"] and r.confidence["epigrafe"] == "nao-identificado"
     edited = M.manual_edits(merged, spark.createDataFrame([(1, "epigrafe", "verso")], "doc_id long, field string, value string")).first()
     assert edited.epigrafe == "verso" and edited.confidence["epigrafe"] == "baixa"
 
@@ -132,6 +135,8 @@ def test_rendered_file_reads_back(spark, tmp_path):
     with zipfile.ZipFile(io.BytesIO(row.docx)) as z:
         xml = z.read("word/document.xml").decode()
     assert "TC &quot;1 INTRODUÇÃO&quot; \\l 1" in xml and "TOC \\f \\h \\z" in xml and 'w:left="1701"' in xml and "Heading1" not in xml
+    assert "TC &quot;REFERÊNCIAS&quot; \\l 1" in xml and "TC &quot;RESUMO" not in xml and "ESTUDO DO CERRADO" in xml and "Orientador(a): João Souza" in xml
+    assert 'w:before="2200"' in xml and xml.count('w:br w:type="page"') >= 8 and 'w:before="240" w:line="360" w:lineRule="auto" w:after="180"' in xml
     (tmp_path / "a.docx").write_bytes(row.docx)
     (tmp_path / "b.docx").write_bytes(b"not a zip")
     (tmp_path / "c.pdf").write_bytes(b"x")
@@ -166,3 +171,52 @@ def test_file_stream(spark, tmp_path):
         frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("fields").first().author == "Maria da Silva"
     assert spark.table("refs").first().ref_type == "livro"
+
+
+def test_parsed_texts_of_a_rendered_file(spark):
+    """The layout's order: name of the institution, cover, title page, pages before the text, body, references."""
+    rows = [(r.style, r.text) for r in L.layout_rows(_fields(spark, WORK), 2026).orderBy("seq").collect()]
+    assert rows[0] == ("coverBold", "UNIVERSIDADE FEDERAL DE LAVRAS") and rows[4] == ("coverBold", "ESTUDO DO CERRADO")
+    titles = [t for s, t in rows if s in ("sectionTitle", "title", "heading1")]
+    assert titles[:5] == ["FICHA CATALOGRÁFICA", "RESUMO", "ABSTRACT", "INDICADORES DE IMPACTO", "IMPACT INDICATORS"] and titles[5:7] == ["SUMÁRIO", "1 INTRODUÇÃO"] and titles[-3:] == ["REFERÊNCIAS", "ANEXOS", "APÊNDICES"]
+    at = rows.index(("heading1", "1 INTRODUÇÃO"))
+    assert rows[at - 1][0] == "note" and all(rows[k - 1][0] == "pageBreak" for k, r in enumerate(rows) if r[0] in ("heading1", "sectionTitle") and k > at)
+
+
+def test_logo_stands_on_the_cover(spark):
+    logo = b"\x89PNG\r\n\x1a\nnot really"
+    row = writers.rendered(_fields(spark, WORK), 2026, logo).first()
+    with zipfile.ZipFile(io.BytesIO(row.docx)) as z:
+        assert z.read("word/media/logo.png") == logo and "image/png" in z.read("[Content_Types].xml").decode()
+        xml = z.read("word/document.xml").decode()
+    assert 'r:embed="rId3"' in xml and "UNIVERSIDADE FEDERAL DE LAVRAS</w:t>" not in xml
+
+
+def test_damaged_archives_are_rejected(spark):
+    """Whatever bytes of a Word file change, reading it gives parts or an error."""
+    import random
+
+    row = writers.rendered(_fields(spark, WORK), 2026).first()
+    rng, seen = random.Random(3), set()
+    for _ in range(400):
+        data = bytearray(row.docx)
+        for _ in range(3):
+            data[rng.randrange(len(data))] ^= 1 << rng.randrange(8)
+        seen.add(readers.unzip(bytes(data))["error"])
+    assert any(e and "error" in e for e in seen)
+
+
+def test_only_lines_that_fold_to_headings_are_folded(spark):
+    texts = ["resumo", " Resumo ", "rESUMO E MAIS", "INTRODUÇÃO", "Introduc\u0327a\u0303o", "anexos", "Âpêndices", "ABSTRACT", "1 x", "1.1 y", "1.1.1 z", "12", "Referências", "a", "Ⅰ RESUMO", "\u0301RESUMO", "– RESUMO", "Zebra", "- ANEXOS"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.blocks[0].block_type == "heading" for r in B.text_blocks(rows).collect()}
+    expected = {r.doc_id: r.h for r in rows.select("doc_id", B.is_text_heading(T.fold_upper(F.col("text"))).alias("h")).collect()}
+    assert found == expected and sum(expected.values()) >= 9
+
+
+def test_selections(spark):
+    row = spark.createDataFrame([("# a\n\nb *c*\nd",)], "x string").select(
+        T.mark_lines(F.col("x"), 0, 2, "> ").alias("quoted"), T.clear_lines(F.col("x"), 0, 2).alias("cleared"), T.wrap_selection(F.col("x"), F.lit(2), F.lit(3), "**").alias("bold"), T.wrap_selection(F.col("x"), F.lit(0), F.lit(0), "*").alias("none"),
+        F.struct(*T.selected_lines(F.col("x"), F.lit(4), F.lit(6))).alias("lines"),
+    ).first()
+    assert (row.quoted, row.cleared, row.bold, row.none, tuple(row.lines)) == ("> a\n\n> b *c*\nd", "a\n\nb c\nd", "# **a**\n\nb *c*\nd", "**# a\n\nb *c*\nd", (1, 2))

@@ -40,3 +40,60 @@ def test_stages_take_any_columns_and_no_rows(spark, sf_dir, documents, no_docs):
 
 def test_the_run_keeps_no_stage_but_the_last(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_the_pipeline_equals_brute_force(spark, sf_dir, documents):
+    """Every stage done over again in plain Python on its own input, the mix in SQL."""
+    import zlib
+    from collections import Counter
+
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from lexmill.llm import decontaminate, mixing
+    from lexmill.llm.common import benchmark
+    from lexmill.llm.queries import vocabulary
+    from test_dedup_mix_shards import _brute_components, _brute_fingerprint
+    from test_models import _plain_counts, _plain_profile
+
+    docs = sorted((r.doc_id, r.text, r.lang, r.source) for r in documents.collect())
+    counts = {d[0]: _plain_counts(d[1]) for d in docs}
+    learned = {}
+    for d in docs:
+        learned.setdefault(d[2], Counter()).update(counts[d[0]])
+    ranks = [{g: p for p, g in enumerate(_plain_profile(c))} for c in learned.values()]
+
+    def closeness(k):
+        mine = _plain_profile(counts[k])
+        return max(1 - sum(min(300, abs(at[g] - p)) if g in at else 300 for p, g in enumerate(mine)) / (300 * len(mine)) for at in ranks) if mine else 0
+
+    docs = [d for d in docs if closeness(d[0]) >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+    groups = _brute_components([d[0] for d in docs], [_brute_fingerprint(d[1]) for d in docs])
+    docs = [d for d, least in zip(docs, groups, strict=True) if d[0] == least]
+    passages = decontaminate.passages([(r.item_id, r.text) for r in benchmark(spark, sf_dir).collect()])
+
+    def leaks(text):
+        words = decontaminate.bare_words(text)
+        for at in range(0, len(words), 32):
+            around = words[max(0, at - 32) : at + 96]
+            for p in passages:
+                if sum(w in around for w in set(p.words)) < 0.3 * len(set(p.words)):
+                    continue
+                share, held = decontaminate.Pattern(p.words).common(around) / len(p.words), len(set(p.words[-5:]) & set(around)) / len(set(p.words[-5:]))
+                if share >= 0.8 or (share >= 0.6 and held >= 0.6):
+                    return True
+        return False
+
+    docs = [d for d in docs if not leaks(d[1])]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [d[0] for d in docs], "text": [d[1] for d in docs], "source": [d[3] for d in docs]}))
+    times = dict(con.execute(f"SELECT doc_id, times FROM ({mixing.ORACLE_SQL})").fetchall())
+    library, start, expected = Tokenizer.from_file(vocabulary()), 0, []
+    for d in docs:
+        ids = np.array([*library.encode(d[1], add_special_tokens=False).ids, 0], dtype="<u4")
+        for _ in range(times[d[0]]):
+            expected.append((d[0], start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == expected

@@ -13,7 +13,8 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain, pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,12 @@ from lexmill.llm.common import chunks
 
 #: Pieces and pre-tokens kept in each generation (two generations live), and the longest piece kept.
 KEPT_PIECES = 50_000
-KEPT_WORDS = 100_000
+KEPT_WORDS = 300_000
 LONGEST = 64
+#: New words whose tokens are objects at once.
+STEP_WORDS = 8192
 #: Bytes of texts cut into pieces at once.
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 
 #: White space of any kind, each with a space after it: where a text isn't simply cut before its spaces.
 _DOUBLED = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
@@ -164,13 +167,16 @@ class TextTokenizer:
         if len(self.latest) > KEPT_WORDS:
             self.latest.clear()
         found = list(map(self.latest.get, words))
-        new = [k for k, x in enumerate(found) if x is None]
-        tokenize, mapped, space = self.model.tokenize, self._mapped, self.chars[32]
-        ids = [[t.id for t in tokenize(space + words[k] if words[k].isascii() else mapped(f" {words[k]}"))] for k in new]
-        packed, start = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes(), 0
-        for k, x in zip(new, ids, strict=True):
-            found[k] = self.latest[words[k]] = packed[start : (start := start + 4 * len(x))]
-        return found
+        new = [w for w, x in zip(words, found, strict=True) if x is None]
+        space, made = self.chars[32], []
+        for s in range(0, len(new), STEP_WORDS):
+            tokens = [self.model.tokenize(space + w if w.isascii() else self._mapped(f" {w}")) for w in new[s : s + STEP_WORDS]]
+            packed = np.fromiter(map(_ID, chain.from_iterable(tokens)), dtype="<u4").tobytes()
+            ends = [0, *accumulate(4 * len(t) for t in tokens)]
+            made += [packed[a:b] for a, b in pairwise(ends)]
+        self.latest.update(zip(new, made, strict=True))
+        each = iter(made)
+        return [next(each) if x is None else x for x in found]
 
 
 def _sizes(packed: list[bytes]) -> np.ndarray:
@@ -188,6 +194,7 @@ def _taken(pool: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.nd
     return pool[at], each
 
 
+_ID = attrgetter("id")
 _loaded: dict[str, TextTokenizer] = {}
 
 

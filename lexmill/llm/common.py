@@ -109,6 +109,10 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def split_remainder(doc_id: Column, folds: int) -> Column:
     """crc32 of doc_id as text, modulo ``folds``: the documented hold-out rule."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from lexmill.llm import bitplane, decontaminate, language, media, mixing, quality, rollups, sharding, simhash, toxicity
-from lexmill.llm.common import benchmark, documents, labels, workspace
+from lexmill.llm import bitplane, chat, decontaminate, language, media, mixing, quality, rollups, sharding, simhash, toxicity
+from lexmill.llm.common import benchmark, conversations, documents, labels, workspace
 
 
 def vocabulary() -> str:
@@ -55,9 +55,13 @@ def op10_water_filling(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_prefix_targets(spark, sf_dir):
+    return chat.chat_digests(conversations(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_water_filling": mixing.ORACLE_SQL}
+    return {"op10_water_filling": mixing.ORACLE_SQL, "op11_prefix_targets": chat.ORACLE_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from lexmill.llm import bitplane, chat, decontaminate, language, media, mixing, quality, rollups, sharding, simhash, toxicity
+from lexmill.llm import bitplane, chat, decontaminate, divergence, language, media, mixing, quality, rollups, sharding, simhash, toxicity
 from lexmill.llm.common import benchmark, conversations, documents, labels, workspace
 
 
@@ -59,9 +59,13 @@ def op11_prefix_targets(spark, sf_dir):
     return chat.chat_digests(conversations(spark, sf_dir))
 
 
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_water_filling": mixing.ORACLE_SQL, "op11_prefix_targets": chat.ORACLE_SQL}
+    return {"op10_water_filling": mixing.ORACLE_SQL, "op11_prefix_targets": chat.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}

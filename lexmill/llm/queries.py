@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from lexmill.llm import bitplane, chat, decontaminate, divergence, language, media, mixing, quality, rollups, sharding, simhash, toxicity
+from lexmill.llm import bitplane, chat, decontaminate, divergence, language, media, mixing, quality, repair, rollups, sharding, simhash, toxicity
 from lexmill.llm.common import benchmark, conversations, documents, labels, workspace
 
 
@@ -63,6 +63,10 @@ def op12_source_divergence(spark, sf_dir):
     return divergence.divergence(documents(spark, sf_dir))
 
 
+def op13_structure_repair(spark, sf_dir):
+    return repair.repairs(conversations(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import staged
+from lexmill.llm.common import chunks, staged
 
 SCALE = 1_000_000_000
 #: Documents of a language that must hold a term.
@@ -34,8 +35,8 @@ LEAST_DOCUMENTS = 3
 #: Terms a group is reported with.
 TOP_TERMS = 200
 #: Bytes of a text cut into terms at once; entries a task counts or sums before it hands them on.
-SLICE = 1 << 20
-ENTRIES = 1 << 18
+SLICE = 1 << 22
+ENTRIES = 1 << 20
 PAIRS = 1 << 20
 
 _COUNTS = "lang string, source string, term string, n long, docs long"
@@ -54,34 +55,74 @@ def _slices(text: bytes) -> Iterator[bytes]:
         first = last
 
 
+def _of_texts(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(group, term, occurrences, documents) of the terms of a slice of texts, whose groups are numbered."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().translate(_TERM_BYTES), np.uint8)
+    offsets = offsets - offsets[0]
+    inside = data != 32
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    # a text that begins with a term begins one, whatever the text before ends with
+    ahead = offsets[:-1][np.diff(offsets) > 0]
+    starts[ahead] = inside[ahead]
+    place = np.flatnonzero(starts)
+    bounds = np.concatenate([np.cumsum(inside, dtype=np.int32)[place] - 1, [np.count_nonzero(inside)]]).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
+    doc = np.searchsorted(offsets, place, "right") - 1
+    key = (group[doc] * len(terms.dictionary) + terms.indices.to_numpy()) * len(texts) + doc
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    n, key = np.diff(np.append(first, len(key))), key[first] // len(texts)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, docs = key[first], np.diff(np.append(first, len(key)))
+    # per key the occurrences: the runs between the first rows of two keys
+    n = np.add.reduceat(n, first) if len(first) else n
+    return key // max(1, len(terms.dictionary)), terms.dictionary.take(pa.array(key % max(1, len(terms.dictionary)))), n, docs
+
+
+def _of_long_text(text: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The same for one text over SLICE, which is cut into terms a slice at a time."""
+    found: Counter = Counter()
+    for part in _slices(text):
+        found.update(part.translate(_TERM_BYTES).split())
+    return np.zeros(len(found), np.int64), pa.array(found, pa.binary()), np.fromiter(found.values(), np.int64, len(found)), np.ones(len(found), np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms of whole texts, summed by (lang, source) within the task; an entry without term stands for the group itself."""
-    counts: Counter = Counter()
-    docs: Counter = Counter()
+    names, measures = ["lang", "source", "term"], ["n", "docs"]
+    held: list[pa.RecordBatch] = []
+
+    def add(groups: list[pa.Array], group: np.ndarray, terms: pa.Array, n: np.ndarray, docs: np.ndarray) -> None:
+        held.append(pa.RecordBatch.from_arrays([*[g.take(pa.array(group)) for g in groups], terms.cast(pa.string()), pa.array(n), pa.array(docs)], names=names + measures))
 
-    def out() -> pa.RecordBatch:
-        keys = list(docs)
-        lang, source, term = zip(*keys, strict=True)
-        term = [t if t is None else t.decode() for t in term]
-        cols = [lang, source, term, [counts[k] for k in keys], [docs[k] for k in keys]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int64()] * 2, strict=True)], names=["lang", "source", "term", "n", "docs"])
+    def summed() -> pa.Table:
+        found = pa.Table.from_batches(held).group_by(names, use_threads=False).aggregate([(m, "sum") for m in measures])
+        return found.select([*names, *[f"{m}_sum" for m in measures]]).rename_columns([*names, *measures])
 
     for batch in batches:
-        for text, lang, source in zip(*(batch.column(k) for k in range(3)), strict=True):
-            lang, source = lang.as_py(), source.as_py()
-            found: Counter = Counter()
-            for part in _slices(text.cast(pa.binary()).as_py()):
-                found.update(part.translate(_TERM_BYTES).split())
-            docs[lang, source, None] += 1
-            for term, n in found.items():
-                counts[lang, source, term] += n
-                docs[lang, source, term] += 1
-            if len(docs) > ENTRIES:
-                yield out()
-                counts.clear()
-                docs.clear()
-    if docs:
-        yield out()
+        lang, source = (batch.column(k).dictionary_encode() for k in (1, 2))
+        both, group = np.unique(lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(), return_inverse=True)
+        groups = [x.dictionary.take(pa.array(k)) for x, k in ((lang, both // max(1, len(source.dictionary))), (source, both % max(1, len(source.dictionary))))]
+        add(groups, np.arange(len(both)), pa.nulls(len(both), pa.binary()), np.zeros(len(both), np.int64), np.bincount(group, minlength=len(both)))
+        at = 0
+        for texts in chunks(batch.column(0), SLICE):
+            own, texts = group[at : at + len(texts)], texts.cast(pa.binary())
+            at += len(texts)
+            if len(texts) == 1 and pc.binary_length(texts)[0].as_py() > SLICE:
+                _, *found = _of_long_text(texts[0].as_py())
+                add(groups, np.repeat(own, len(found[0])), *found)
+            elif pc.sum(pc.binary_length(texts)).as_py():
+                add(groups, *_of_texts(texts, own.astype(np.int64)))
+            if sum(map(len, held)) > ENTRIES:
+                found = summed()
+                held[:] = found.to_batches()
+                if len(found) > ENTRIES // 2:
+                    yield from held
+                    held.clear()
+    if held:
+        yield from summed().to_batches()
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
@@ -105,46 +146,52 @@ def _shared_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     Rows are vectors of one language each: lang, m, entries array<struct<source, p, p0>>, p0 the share of a zero.
     """
-    names: dict[str, int] = {}
+    names: dict[tuple, int] = {}
     keys, values, waiting = [], [], 0
-    kind = np.dtype([("lang", np.int64), ("source", np.int64), ("item", np.int64)])
 
     def summed() -> tuple[np.ndarray, np.ndarray]:
-        key, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, place, np.concatenate(values))
-        return key, total
+        key, total = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[first], np.add.reduceat(total[order], first)
 
     def rows(key: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-        known = pa.array(list(names), pa.string())
-        return pa.RecordBatch.from_arrays([*[known.take(pa.array(key[c])) for c in kind.names], pa.array(total)], names=[*kind.names, "value"])
+        langs, sources = (pa.array(c, pa.string()) for c in zip(*names, strict=True))
+        s, t = pa.array(key >> 31), pa.array(key & (1 << 31) - 1)
+        return pa.RecordBatch.from_arrays([langs.take(s), sources.take(s), sources.take(t), pa.array(total)], names=["lang", "source", "item", "value"])
 
-    code = lambda name: names.setdefault(name, len(names))
     for batch in batches:
-        vectors = batch.column("entries")
+        vectors, weight = batch.column("entries"), batch.column("m").to_numpy()
         offsets, entries = vectors.offsets.to_numpy(), vectors.values
-        sources = entries.field("source").dictionary_encode()
-        own = np.array([code(x) for x in sources.dictionary.to_pylist()], np.int64)[sources.indices.to_numpy()]
         p, p0 = (entries.field(c).to_numpy() for c in ("p", "p0"))
-        for lang, m, lo, hi in zip(batch.column("lang").to_pylist(), batch.column("m").to_pylist(), offsets, offsets[1:], strict=False):
-            step = max(1, PAIRS // (hi - lo))
-            for first in range(lo, hi, step):
-                part = slice(first, min(first + step, hi))
-                a, a0, b, b0 = p[part, None], p0[part, None], p[None, lo:hi], p0[None, lo:hi]
-                value = m * ((a - b) ** 2 // b - (a - b0) ** 2 // b0 - (a0 - b) ** 2 // b + (a0 - b0) ** 2 // b0)
-                source, item = np.broadcast_arrays(own[part, None], own[None, lo:hi])
-                apart = source != item
-                key = np.empty(int(apart.sum()), kind)
-                key["lang"], key["source"], key["item"] = code(lang), source[apart], item[apart]
-                keys.append(key)
-                values.append(value[apart])
-                waiting += len(key)
-                if waiting > 2 * PAIRS:
-                    key, total = summed()
-                    keys, values, waiting = [key], [total], len(key)
-                    if waiting > PAIRS:
-                        yield rows(key, total)
-                        keys, values, waiting = [], [], 0
+        own = entries.field("source").dictionary_encode()
+        lang = batch.column("lang").dictionary_encode()
+        code = {k: np.array([names.setdefault((x, y), len(names)) for y in own.dictionary.to_pylist()], np.int64) for k, x in enumerate(lang.dictionary.to_pylist())}
+        own, lang, sizes = own.indices.to_numpy(), lang.indices.to_numpy(), np.diff(offsets)
+        # vectors of one language and length at once
+        for of, k in np.unique(np.stack([lang, sizes]), axis=1).T:
+            same = np.flatnonzero((lang == of) & (sizes == k))
+            per = max(1, PAIRS // (k * k))
+            for at in range(0, len(same), per):
+                some = same[at : at + per]
+                place = offsets[some][:, None] + np.arange(k)
+                step = max(1, PAIRS // (len(some) * k))
+                for first in range(0, k, step):
+                    x, y = place[:, first : first + step, None], place[:, None, :]
+                    a, a0, b, b0 = p[x], p0[x], p[y], p0[y]
+                    value = weight[some][:, None, None] * ((a - b) ** 2 // b - (a - b0) ** 2 // b0 - (a0 - b) ** 2 // b + (a0 - b0) ** 2 // b0)
+                    key = (code[of][own[x]] << 31) + code[of][own[y]]
+                    apart = np.broadcast_to(x != y, value.shape)
+                    keys.append(key[apart])
+                    values.append(value[apart])
+                    waiting += len(keys[-1])
+                    if waiting > 2 * PAIRS:
+                        held = summed()
+                        keys, values, waiting = [held[0]], [held[1]], len(held[0])
+                        if waiting > PAIRS:
+                            yield rows(*held)
+                            keys, values, waiting = [], [], 0
     if waiting:
         yield rows(*summed())
 

@@ -51,8 +51,8 @@ class Template:
 
     def escaped(self, text: Column) -> Column:
         """``text`` without control strings."""
-        broken = [rf"(?<={re.escape(c[0])})(?={re.escape(c[1:])})" for c in self.controls]
-        return F.regexp_replace(text, "|".join([*broken, r"(?=\\)"]), r"\\")
+        broken = [f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in self.controls]
+        return F.regexp_replace(text, "|".join([*broken, r"\\"]), r"$0\\")
 
     def unescaped(self, text: Column) -> Column:
         return F.regexp_replace(text, r"(?s)\\(.)", "$1")
@@ -89,10 +89,10 @@ def pieces(conversations: DataFrame, template: Template = CHAT) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select("conv_id", F.floor(F.col("turn") / SECTION).alias("section"), "turn", text("role").alias("role"), text("text").alias("text"))
     by = Window.partitionBy("conv_id", "section").orderBy("turn", "role", "text")
-    reply = F.when(F.col("role") == REPLY, F.length(template.escaped(F.col("text"))))
-    rows = rows.select("conv_id", "section", "turn", "role", "text", template.piece(F.col("role"), F.col("text")).alias("piece"), reply.alias("reply_chars"))
+    rows = rows.select("conv_id", "section", "turn", "role", "text", template.piece(F.col("role"), F.col("text")).alias("piece"))
+    reply = F.when(F.col("role") == REPLY, F.length("piece") - len(template.end)).alias("reply_chars")
     before = F.sum(F.length("piece").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("conv_id", "section", F.row_number().over(by).alias("place"), F.coalesce(before, F.lit(0)).alias("start"), "piece", "reply_chars")
+    return rows.select("conv_id", "section", F.row_number().over(by).alias("place"), F.coalesce(before, F.lit(0)).alias("start"), "piece", reply)
 
 
 def examples(stored: DataFrame) -> DataFrame:
@@ -146,15 +146,16 @@ def chat_digests(conversations: DataFrame, template: Template = CHAT) -> DataFra
     conversation's text in one value; the stored tables don't.
     """
     stored, marks = formatted(planted(conversations), template)
-    key = [F.col("conv_id").alias("c"), F.col("section").alias("s"), F.col("place").alias("p"), "loss_start", "loss_chars", "stop"]
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("section").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p"))
-    learned = F.when(F.col("c").isNotNull() | F.col("p").isNotNull(), F.expr("substring(piece, 1, int(loss_chars))"))
-    rows = stored.join(marks.select(*key), same, "left").select("conv_id", "section", "place", "piece", learned.alias("learned"), "stop")
-    parts = F.array_sort(F.collect_list(F.struct("section", "place", "piece", "learned")))
-    whole = rows.groupBy("conv_id").agg(parts.alias("parts"), F.coalesce(F.sum("stop"), F.lit(0)).alias("expanded_chars"), F.count("stop").alias("n_examples"))
+    parts = F.array_sort(F.collect_list(F.struct("section", "place", "piece")))
+    whole = stored.groupBy("conv_id").agg(F.transform(parts, lambda p: p.piece).alias("pieces"))
+    spans = F.array_sort(F.collect_list(F.struct("turns", "loss_chars"))).alias("spans")
+    marked = marks.groupBy(F.col("conv_id").alias("c")).agg(spans, F.sum("stop").alias("expanded_chars"), F.count("*").alias("n_examples"))
+    whole = whole.join(marked, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    learned = F.transform("spans", lambda m: F.substring(F.element_at("pieces", m.turns.cast("int")), F.lit(1), m.loss_chars.cast("int")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     whole = whole.select(
-        "conv_id", "n_examples", "expanded_chars", F.concat_ws("", F.transform("parts", lambda p: p.piece)).alias("text"),
-        template.unescaped(F.concat_ws("", F.transform("parts", lambda p: p.learned))).alias("learned"),
+        "conv_id", zero("n_examples"), zero("expanded_chars"), F.concat_ws("", "pieces").alias("text"),
+        F.coalesce(template.unescaped(F.concat_ws("", learned)), F.lit("")).alias("learned"),
     )
     whole = whole.select("*", template.turns(F.col("text")).alias("said"))
     lines = F.concat_ws("", F.transform("said", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))

@@ -70,9 +70,13 @@ def _cut(rows: DataFrame, digit: str, goal: str) -> DataFrame:
 
 
 def _key(seed: int) -> Column:
-    """A seeded hash of doc_id and text as 32 hexadecimal digits; the order in which a fractional repetition takes rows."""
-    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
+    """A seeded hash of doc_id and text as 32 hexadecimal digits; the order in which a fractional repetition takes rows.
+
+    Null for a text without words: it adds nothing to a sum, so no fractional repetition takes it.
+    """
+    text = F.md5(F.col("text").cast("string").cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
+    return F.when(F.col("text").cast("string").rlike(WORD), key)
 
 
 def _digit(k: int) -> Column:
@@ -87,7 +91,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     be broadcast. loose: some row of an edge or a fill isn't taken although an equal one is.
     """
     rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _key(seed).alias("key")), "mix-rows")
-    digits = rows.select("source", "size", "key", _digit(0).alias("high"), _digit(1).alias("low"))
+    digits = rows.select("source", "size", "key", _digit(0).alias("high"), _digit(1).alias("low")).where("key IS NOT NULL")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = staged(water_fill(sizes, weights, share, max_epochs), "mix-sources")
     few = sources.count() <= BROADCAST_SOURCES
@@ -99,7 +103,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     close = _with_sources(digits, second.select("source", "high_cut", "low_cut", "last"), few).where("high = high_cut and low = low_cut")
     close = close.groupBy("source", "last", "key").agg(F.first("size").alias("size"), F.count("*").alias("n")).withColumn("held", F.col("size") * F.col("n"))
     close = _running(close, "held", ["source"], ["key"], "ahead").withColumn("room", F.col("last") - F.col("ahead")).where("room >= 0")
-    fit = F.when(F.col("size") == 0, F.col("n")).otherwise(F.least("n", F.floor(F.col("room") / F.col("size"))))
+    fit = F.least("n", F.floor(F.col("room") / F.col("size")))
     close = close.withColumn("fit", fit - F.when(fit * F.col("size") > F.col("room"), 1).otherwise(0)).where("fit > 0")
     cut = close.groupBy("source").agg(F.max(F.struct("key", "fit", "n", (F.col("ahead") + F.col("fit") * F.col("size")).alias("upto"))).alias("cut"))
     prefix = F.concat(*[F.lpad(F.lower(F.hex(c)), 3, "0") for c in ("high_cut", "low_cut")])
@@ -147,7 +151,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     size: words of the text (null or empty: 0). taken: words the mix takes of the document, repeats counted;
     0, once, or as often as ``max_epochs`` allows. Null source: a source of its own, last in order. Null doc_id:
     hashed as its own value, with the text. Repeated rows count each, and each is taken or left on its own. An empty
-    table gives an empty result; sources without words get target 0. Other columns are ignored. Reruns agree: nothing
+    table gives an empty result; sources without words get target 0. Texts without words come with the whole repetitions
+    of their source alone, never with the fractional one. Other columns are ignored. Reruns agree: nothing
     depends on the order of rows, but which of rows equal in id and text counts as the first.
     """
     rows, *plan = mix_plan(docs, weights, share, max_epochs, seed)
@@ -180,7 +185,7 @@ n AS (SELECT d.*, row_number() OVER (PARTITION BY source, key) AS copy FROM d),
 x AS (SELECT n.doc_id, n.source, n.size, n.key, n.copy, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS goal,
              coalesce(sum(n.size) OVER (PARTITION BY n.source ORDER BY n.key, n.copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
       FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source),
-m AS (SELECT *, ahead + size <= goal AS more FROM x),
+m AS (SELECT *, size > 0 AND ahead + size <= goal AS more FROM x),
 g AS (SELECT source, any_value(goal) - coalesce(max(CASE WHEN more THEN ahead + size END), 0) AS gap FROM m GROUP BY source),
 c AS (SELECT m.source, arg_min(struct_pack(key := key, copy := copy), struct_pack(o := abs(size - gap), key := key, copy := copy)) AS fill
       FROM m JOIN g ON m.source IS NOT DISTINCT FROM g.source WHERE NOT more AND abs(size - gap) < gap GROUP BY m.source),

@@ -171,6 +171,19 @@ def test_mix_splits_equal_rows(spark, odd_docs):
         assert again == Counter({(k, t, s): n for (k, t, s), n in _times(docs, found).items() if n})
 
 
+def test_empty_texts_come_with_whole_repetitions_alone(spark):
+    """Hundreds of texts without words in a source that is clamped, one that isn't and one that has nothing else."""
+    schema = "doc_id long, text string, source string"
+    rows = [(k, None if k % 3 else " ", "few") for k in range(400)] + [(1000 + k, "a b c", "few") for k in range(3)]
+    rows += [(2000 + k, "", "many") for k in range(300)] + [(3000 + k, "d " * (k % 7), "many") for k in range(500)] + [(None, None, "none")] * 200
+    docs = spark.createDataFrame(rows, schema).repartition(6)
+    found = _same_as_sql(docs)
+    assert {r[6] for r in found if r[1] == "few"} == {2} and {r[6] for r in found if r[1] == "none"} == {0}
+    assert len({r[6] for r in found if r[1] == "many" and r[2] == 0}) == 1 < len({r[6] for r in found if r[1] == "many"})
+    again = Counter(tuple(r) for r in mixing.mixed(docs).collect())
+    assert sum(n for (k, _, _), n in again.items() if k is not None and k < 400) == 800
+
+
 def _times(docs, found):
     """How often the mix takes each distinct row, by doc_id, text and source; sizes tell its texts apart here."""
     out = Counter()

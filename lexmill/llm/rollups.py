@@ -96,6 +96,10 @@ class Rollup:
         finally:
             stream.close()
 
+    def _exists(self, path: str) -> bool:
+        fs, at = self._fs(path)
+        return fs.exists(at)
+
     def _mark(self, path: str, content: str) -> bool:
         """The content under this path, whole, unless there is a file already; True if this call put it there."""
         own = f"{path}.{uuid.uuid4().hex}.new"
@@ -125,8 +129,13 @@ class Rollup:
         if self.committed(batch):
             return False
         attempt = uuid.uuid4().hex
-        deltas.select(*KEYS, *MEASURES).write.parquet(f"{self.path}/deltas/batch={batch}/{attempt}")
-        return self._mark(f"{self.path}/batches/{batch}", attempt)
+        own = f"{self.path}/deltas/batch={batch}/{attempt}"
+        deltas.select(*KEYS, *MEASURES).write.parquet(own)
+        won = self._mark(f"{self.path}/batches/{batch}", attempt)
+        if not won:
+            fs, at = self._fs(own)
+            fs.delete(at, True)
+        return won
 
     def _snapshot(self) -> int:
         """The number of the latest whole snapshot, -1 without any."""
@@ -137,10 +146,15 @@ class Rollup:
         return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/snapshots/{number:08d}/folded").collect()} if number >= 0 else set()
 
     def _open(self, number: int) -> dict[str, str]:
-        """Path of the deltas, by batch, of committed batches that the snapshot doesn't hold."""
+        """Path of the deltas, by batch, of committed batches that no snapshot up to this one holds.
+
+        A folder alone says nothing: a late writer may bring one back whose batch was folded long ago. The attempt that
+        the marker names lies there until its batch is folded, and never again.
+        """
         names = [n.removeprefix("batch=") for n in self._names("deltas")]
         attempts = {n: self._read(f"{self.path}/batches/{n}") for n in sorted(set(names) - self._folded(number))}
-        return {n: f"{self.path}/deltas/batch={n}/{a}" for n, a in attempts.items() if a is not None}
+        paths = {n: f"{self.path}/deltas/batch={n}/{a}" for n, a in attempts.items() if a is not None}
+        return {n: path for n, path in paths.items() if self._exists(path)}
 
     def _sum(self, number: int, paths: list[str]) -> DataFrame:
         schema = "source string, lang string, tokenizer_version string, docs long, tokens long, bytes long"

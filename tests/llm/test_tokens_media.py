@@ -228,6 +228,25 @@ def test_batches_count_once(spark, tmp_path):
     assert store.commit("b4", batch) and store.totals().first().docs == 5
 
 
+def test_a_late_losing_writer_changes_nothing(spark, tmp_path):
+    """Its folder comes back after the batch was folded and dropped, with the marker of the attempt that won."""
+    schema = "source string, lang string, tokenizer_version string, docs long, tokens long, bytes long"
+    batch = spark.createDataFrame([("a", "en", "v1", 2, 20, 200)], schema)
+    store = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    assert store.commit("b", batch)
+    for _ in range(2):
+        store.compact()
+    assert not (tmp_path / "r" / "deltas" / "batch=b").exists()
+    late = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    late.committed = lambda _: False  # it had looked before the other one committed
+    assert not late.commit("b", batch)
+    batch.write.parquet(f"file://{tmp_path}/r/deltas/batch=b/of-a-writer-that-died")
+    for _ in range(3):
+        assert [tuple(r) for r in store.totals().collect()] == [("a", "en", "v1", 2, 20, 200)]
+        store.compact()
+    assert store.commit("c", batch) and store.totals().first().docs == 4
+
+
 def test_one_of_two_writers_of_a_batch_counts(spark, tmp_path):
     schema = "source string, lang string, tokenizer_version string, docs long, tokens long, bytes long"
     one, two = rollups.Rollup(spark, f"file://{tmp_path}/r"), rollups.Rollup(spark, f"file://{tmp_path}/r")

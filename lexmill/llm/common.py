@@ -118,6 +118,16 @@ def split_remainder(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def one_text_each(docs: DataFrame, chosen: DataFrame, *by: str) -> DataFrame:
+    """The rows of ``chosen`` with one text of ``docs`` each, of those that agree in ``by`` the one of least md5.
+
+    Partial aggregates hold one text a row of ``chosen``, so however many rows of ``docs`` share an id, neither a task
+    nor the driver gets more texts than that.
+    """
+    texts = docs.select(*by, F.col("text").cast("string").alias("text")).join(chosen, [*by])
+    return texts.groupBy(*chosen.columns).agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
+
+
 def bounded_sample(rows: DataFrame, label: str, per_label: int | dict, seed: int = 42) -> DataFrame:
     """At most ``per_label`` rows of each value of ``label`` (or a number by value), those with the least seeded hash of doc_id.
 

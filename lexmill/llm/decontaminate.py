@@ -8,9 +8,10 @@
    documented sample of documents plus all benchmark passages give the latent space.
 3. Search: every block of every document is projected. Windows of two blocks, moved by one, are compared with all
    passages by cosine, and by how much of a passage's vector they hold; TF-IDF is linear, so a window is the sum
-   of its blocks. Short passages in long windows, and passages that the space doesn't hold, can fall below both bars,
-   so windows that hold enough of a passage's rarest words to pass the check are candidates too. That count is exact:
-   whatever the check would accept is a candidate.
+   of its blocks. Both bars lie low: the check decides what a candidate is worth. A scan searches for no more passages
+   than the space has dimensions for, so that it holds each of them; more passages take more scans. With ``exact``
+   windows that hold enough of a passage's rarest words to pass the check are candidates too; whatever the check would
+   accept then is one, and what the latent search alone finds of it is its recall.
 4. Check: for each candidate the longest common subsequence of the passage's words with the window (and a block on
    either side) must cover enough of the passage. A near-verbatim match decides alone; a paraphrase must also
    hold the passage's answer, its closing words.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexmill.llm.common import chunks, fresh, staged
+from lexmill.llm.common import chunks, fresh, one_text_each, staged
 
 BLOCK = 32
 #: Share of blocks from which on a word is left out, and the rarest words that each passage keeps anyway.
@@ -39,10 +40,11 @@ COMMON = 0.01
 KEPT_PER_PASSAGE = 8
 #: Documents that the SVD is fitted on at most (those of least seeded hash); every block is indexed.
 FIT_DOCUMENTS = 2_000
-#: Dimensions of the latent space: as many as passages and OVERSAMPLE more, at most MAX_RANK. Of more passages the
-#: space holds the leading directions only; the count of rare words doesn't depend on it.
-MAX_RANK = 512
+#: Dimensions of the latent space beyond one for each passage of the scan.
 OVERSAMPLE = 16
+#: Benchmark passages searched for in one scan; more passages take more scans. A scan's index, words by dimensions, is
+#: broadcast: with passages of a window's length it has at most 496 * 64 * 512 numbers, 65 MB.
+PASSAGES_PER_SCAN = 496
 #: How much more a passage counts in the fit than a block of the sample, so that the space holds the passages first.
 PASSAGE_WEIGHT = 30.0
 POWER_PASSES = 2
@@ -58,8 +60,6 @@ VERBATIM = 0.8
 PARAPHRASE = 0.6
 ANSWER_WORDS = 5
 ANSWER = 0.6
-#: Benchmark passages searched for in one scan; more passages take more scans.
-PASSAGES_PER_SCAN = 2_000
 #: Bytes of texts numbered at once; a longer text is numbered in parts of about as many characters.
 CHUNK = 4 << 20
 #: Partitions of the fit's sample, and values of one slice of a matrix on its way through a shuffle.
@@ -68,6 +68,8 @@ SLICE = 1 << 20
 #: Words projected, and cosines compared, at once.
 STEP_WORDS = 8192
 STEP_COSINES = 2_000_000
+#: Blocks whose vectors are held at once.
+STEP_BLOCKS = 1 << 14
 #: Empty blocks after each text of a stream: a window and the block on either side never hold two texts.
 GAP = 2
 
@@ -249,12 +251,14 @@ def _fit(docs: DataFrame, found: list[Passage], number: dict[str, int], idf: np.
     """
     spark = docs.sparkSession
     size = len(number)
-    rank = min(MAX_RANK, size, len(found) + OVERSAMPLE)
+    rank = min(size, len(found) + OVERSAMPLE)
     width = min(size, rank + OVERSAMPLE)
     own = [(r, number[w]) for r, p in enumerate(found) for w in p.words if w in number]
     own_rows, own_ids = np.array([x[0] for x in own], dtype=np.int64), np.array([x[1] for x in own], dtype=np.int64)
-    chosen = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(42), F.col("doc_id").cast("long")).alias("h")).orderBy("h", "doc_id").limit(FIT_DOCUMENTS).select("doc_id").distinct()
-    sample = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text").repartition(FIT_PARTITIONS), "decontamination-sample")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64(F.lit(42), "doc_id").alias("h")).distinct()
+    chosen = staged(known.orderBy("h", "doc_id").limit(FIT_DOCUMENTS).select("doc_id"), "decontamination-ids")
+    sample = staged(one_text_each(docs, chosen, "doc_id").select("text").repartition(FIT_PARTITIONS), "decontamination-sample")
     rows_each = max(1, SLICE // width)
 
     def pass_over(basis: np.ndarray) -> np.ndarray:
@@ -392,8 +396,8 @@ class Hit:
 class Searcher:
     """Finds the passages in texts; one in each worker."""
 
-    def __init__(self, index: Index):
-        self.index, self.numbering = index, Numbering(index.number)
+    def __init__(self, index: Index, exact: bool = False):
+        self.index, self.numbering, self.exact = index, Numbering(index.number), exact
         sequences = [[index.number[w] for w in p.words] for p in index.passages]
         self.patterns = [Pattern(x) for x in sequences]
         self.answers = [set(x[-ANSWER_WORDS:]) for x in sequences]
@@ -425,11 +429,26 @@ class Searcher:
         return np.concatenate(out)
 
     def _hits(self, stream: np.ndarray, base: np.ndarray, inside: np.ndarray) -> list[list[Hit]]:
-        """The best hit of each item in each text of a stream."""
+        """The best hit of each item in each text of a stream, the vectors of STEP_BLOCKS blocks at a time."""
         width, best = len(self.patterns), {}
-        blocks, able = self._latent(stream, inside)
-        pairs = np.union1d(self._close(blocks, able), self.rare.pairs(stream, inside))
-        window, passage = pairs // width, pairs % width
+        counted = self.rare.pairs(stream, inside) if self.exact else np.zeros(0, dtype=np.int64)
+        for first in range(0, len(inside), STEP_BLOCKS):
+            # a window is a block and the next one; the last blocks of a stream are in no text
+            stop = min(first + STEP_BLOCKS + 1, len(inside))
+            own = inside[first:stop].copy()
+            own[STEP_BLOCKS:] = False
+            blocks, able = self._latent(stream[first * BLOCK : stop * BLOCK], own)
+            low, high = np.searchsorted(counted, [first * width, (first + STEP_BLOCKS) * width])
+            pairs = np.union1d(self._close(blocks, able) + first * width, counted[low:high])
+            self._check(pairs, blocks, first, stream, base, best)
+        out: list[list[Hit]] = [[] for _ in base]
+        for text, item_id in sorted(best):
+            out[text].append(best[text, item_id])
+        return out
+
+    def _check(self, pairs: np.ndarray, blocks: np.ndarray, first: int, stream: np.ndarray, base: np.ndarray, best: dict) -> None:
+        """Puts what holds its passage into ``best``; ``blocks`` are the vectors from block ``first`` on."""
+        window, passage = pairs // len(self.patterns), pairs % len(self.patterns)
         last, words, different, text = -1, [], set(), 0
         for k, p in zip(window.tolist(), passage.tolist(), strict=True):
             if k != last:
@@ -443,15 +462,11 @@ class Searcher:
             lcs = pattern.common(words, int(least * pattern.size)) / pattern.size
             if lcs < least:
                 continue
-            around = blocks[k] + blocks[k + 1]
+            around = blocks[k - first] + blocks[k - first + 1]
             cosine = float(around @ self.index.vectors[p] / max(np.linalg.norm(around), 1e-9))
             old = best.get((text, item.item_id))
             if old is None or (lcs, cosine) > (old.lcs, old.cosine):
                 best[text, item.item_id] = Hit(item.item_id, item.part, cosine, lcs, held, (k - int(base[text])) * BLOCK)
-        out: list[list[Hit]] = [[] for _ in base]
-        for text, item_id in sorted(best):
-            out[text].append(best[text, item_id])
-        return out
 
     def found(self, column: pa.Array) -> Iterator[list[Hit]]:
         """The best hit of each item in each text of a column, in order."""
@@ -482,19 +497,20 @@ def _scans(docs: DataFrame, benchmark: DataFrame):
 _HITS = "doc_id long, item_id long, cosine double, lcs double, answer double, word_start long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer, word_start: one row per document and benchmark item found in it.
 
     lcs: share of the passage's words in the common subsequence; answer: share of its closing words present;
     word_start: about where. Null or empty text: no row. Null doc_id: null in the row. Repeated rows are repeated.
-    Other columns are ignored; an empty table, or a benchmark without words, gives an empty result.
+    Other columns are ignored; an empty table, or a benchmark without words, gives an empty result. ``exact``: with
+    candidates by rare words beside the latent search.
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     result = None
     for shared in _scans(docs, benchmark):
 
         def run(batches, shared=shared):
-            search = Searcher(shared.value)
+            search = Searcher(shared.value, exact)
             for b in batches:
                 rows = [(d, h.item_id, h.cosine, h.lcs, h.answer, h.word_start) for d, found in zip(b.column(0).to_pylist(), search.found(b.column(1)), strict=True) for h in found]
                 if rows:
@@ -507,12 +523,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame([], _HITS) if result is None else result
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, exact: bool = False) -> DataFrame:
     """The rows of ``docs`` (all columns) in whose text no benchmark passage was found."""
     for shared in _scans(docs, benchmark):
 
         def run(batches, shared=shared):
-            search = Searcher(shared.value)
+            search = Searcher(shared.value, exact)
             for b in batches:
                 clean = [not found for found in search.found(b.column(b.num_columns - 1))]
                 yield b.filter(pa.array(clean, pa.bool_())).select(range(b.num_columns - 1))

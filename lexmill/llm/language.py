@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from lexmill.llm.common import bounded_sample, fresh, split_remainder, staged
+from lexmill.llm.common import bounded_sample, fresh, one_text_each, split_remainder, staged
 
 UNDETERMINED = "und"
 #: Length of a profile, and the longest n-gram.
@@ -148,14 +148,14 @@ def _sample_grams(batches) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
-    """Profiles of every non-null lang, from at most ``per_language`` documents of each.
+    """Profiles of every non-null lang, from at most ``per_language`` documents of each, one text an id.
 
     Only the ids are ranked; the sampled texts are counted where they are read, and the counts added up by
     (lang, n-gram). The driver gets PROFILE rows for each language.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where("lang is not null and doc_id is not null")
-    chosen = staged(bounded_sample(known, "lang", per_language).select("doc_id").distinct(), "language-sample")
-    texts = docs.where("lang is not null and text is not null").join(chosen, "doc_id", "left_semi").select("lang", "text")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("lang is not null and doc_id is not null")
+    chosen = staged(bounded_sample(known.select("doc_id", "lang").distinct(), "lang", per_language), "language-sample")
+    texts = one_text_each(known, chosen, "doc_id", "lang").select("lang", "text").where("text is not null")
     counted = texts.mapInArrow(_sample_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked: dict[str, list[int]] = {}

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import bounded_sample, split_remainder, staged
+from lexmill.llm.common import bounded_sample, one_text_each, split_remainder, staged
 
 THRESHOLD = 0.3
 BLOCK = 2048
@@ -114,7 +114,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     # the seeded hash that chooses the rows also deals them: every other one trains the curve
     chosen = bounded_sample(docs.select("doc_id").distinct().join(marks, "doc_id"), "good", rows_per_class)
     chosen = staged(chosen.withColumn("curve", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)) == 1), "quality-sample")
-    texts = staged(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id"), "quality-texts")
+    texts = staged(one_text_each(docs, chosen, "doc_id"), "quality-texts")
     table = texts.where("not curve").select("doc_id", "good", "text").mapInArrow(_sampled_blocks, "doc_id long, good int, k int, block binary").toArrow().sort_by([("doc_id", "ascending"), ("k", "ascending")])
     samples: dict[int, list[bytes]] = {0: [], 1: []}
     for kind, block in zip(table.column("good").to_pylist(), table.column("block").to_pylist(), strict=True):

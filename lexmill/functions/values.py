@@ -60,6 +60,15 @@ COVER_BLOCKS = 20
 SHORT_REFERENCE = 25
 LONG_QUOTE_CHARS = 450
 LONG_QUOTE_INDENT = 2200
+CITED = r"\([A-ZÁÉÍÓÚÂÊÔÃÕÇ][^)]*,\s*(?:19|20)\d{2}"
+#: Form of paragraphs: sizes in half points, lines in 240ths, margins in twips.
+SERIF_FONTS = ("Times New Roman", "Times", "Liberation Serif", "DejaVu Serif", "Nimbus Roman", "Nimbus Roman No9 L", "Droid Serif", "Computer Modern Serif")
+QUOTE_SIZE = 22
+BODY_SIZE = 24
+SINGLE_LINE = 240
+BODY_LINE = 360
+MARGINS = {"top": 1701, "left": 1701, "bottom": 1134, "right": 1134}
+MARGIN_SLACK = 6
 MIME_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp"}
 
 #: Texts that every laid-out document holds, or holds where a field is empty.

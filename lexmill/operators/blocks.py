@@ -148,15 +148,25 @@ def paragraph_runs(xml: Column) -> Column:
     return F.filter(runs, lambda r: r["text"] != "")
 
 
+def body_xml(xml: Column) -> Column:
+    """What the body element of a document part holds; the whole part without one."""
+    body = r"(?s)<w:body\b[^>]*>(.*?)</w:body>"
+    return F.when(xml.rlike(body), F.regexp_extract(xml, body, 1)).otherwise(xml)
+
+
+def body_elements(body: Column) -> Column:
+    """The XML of its paragraphs and tables, in order."""
+    return _all(body, r"(?s)<w:p\b.*?</w:p>|<w:tbl\b.*?</w:tbl>")
+
+
 def docx_blocks(parts: DataFrame) -> DataFrame:
     """doc_id, text, blocks, rels, has_numbering of (doc_id, document_xml, styles_xml, rels_xml, has_numbering).
 
     Elements become rows only to carry the section forward; the blocks of a document are collected in order.
     """
-    body = F.regexp_extract(F.col("document_xml"), r"(?s)<w:body\b[^>]*>(.*?)</w:body>", 1)
-    df = parts.withColumn("rels", relationships(F.col("rels_xml"))).withColumn("styles", style_names(F.col("styles_xml"))).withColumn("body", F.when(F.col("document_xml").rlike(r"(?s)<w:body\b[^>]*>.*?</w:body>"), body).otherwise(F.col("document_xml")))
+    df = parts.withColumn("rels", relationships(F.col("rels_xml"))).withColumn("styles", style_names(F.col("styles_xml"))).withColumn("body", body_xml(F.col("document_xml")))
     keep = df.select("doc_id", "rels", "has_numbering")
-    el = df.select("doc_id", "rels", "styles", F.posexplode(_all(F.col("body"), r"(?s)<w:p\b.*?</w:p>|<w:tbl\b.*?</w:tbl>")).alias("idx", "xml"))
+    el = df.select("doc_id", "rels", "styles", F.posexplode(body_elements(F.col("body"))).alias("idx", "xml"))
     el = el.withColumn("is_table", F.startswith("xml", F.lit("<w:tbl"))).withColumn("raw_text", xml_raw_text(F.col("xml"))).withColumn("text", T.clean_text(F.col("raw_text")))
     style = F.regexp_extract("xml", r'<w:pStyle\b[^>]*w:val="([^"]+)"', 1)
     el = el.withColumn("style_id", F.when(style != "", style)).withColumn("style_name", F.try_element_at("styles", F.col("style_id")))

@@ -70,7 +70,7 @@ def image_without_caption(x: Column) -> Column:
 
 
 def unmarked_long_quote(x: Column) -> Column:
-    cited = lambda p: p.rlike(r"\([A-ZÁÉÍÓÚÂÊÔÃÕÇ][^)]*,\s*(19|20)\d{2}")
+    cited = lambda p: p.rlike(V.CITED)
     return F.exists(F.transform(F.split(x, r"\n{2,}"), T.trim), lambda p: (F.length(p) > V.LONG_QUOTE_CHARS) & cited(p) & ~F.startswith(p, F.lit(">")))
 
 

@@ -8,6 +8,7 @@ from lexmill.functions import text as T
 from lexmill.functions import values as V
 from lexmill.operators import blocks as B
 from lexmill.operators import fields as D
+from lexmill.operators import formatting as FM
 from lexmill.operators import layout as L
 from lexmill.operators import merge as M
 from lexmill.operators import references as R
@@ -282,12 +283,45 @@ def first_images(spark, sf_dir):
     return B.first_images(B.exploded(_word_blocks(spark, sf_dir)), image_asset_merge(spark, sf_dir))
 
 
+# form
+
+
+def _styled(spark, sf_dir):
+    return inputs.spark_frame(spark, sf_dir, inputs.STYLED_FILES)
+
+
+def _longs(df, *names):
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def style_sheets(spark, sf_dir):
+    rows = FM.effective_styles(_styled(spark, sf_dir)).where("style_id IS NOT NULL").select("sheet", "style_id", "style_name", "marks.*")
+    return _longs(rows, "indent", "first_line", "line", "size")
+
+
+def run_formats(spark, sf_dir):
+    files = _styled(spark, sf_dir)
+    return _longs(FM.run_formats(FM.paragraphs(files), files), "idx", "run_idx", "start", "size")
+
+
+def paragraph_formats(spark, sf_dir):
+    rows = FM.paragraph_formats(_styled(spark, sf_dir))
+    joined = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("fonts", "sizes", "colors")]
+    return _longs(rows.select("doc_id", "idx", "style_id", "kind", "part", "indent", "first_line", "line", "line_rule", "align", "page_before", "bold", *joined), "idx", "indent", "first_line", "line")
+
+
+def format_breaches(spark, sf_dir):
+    files = _styled(spark, sf_dir)
+    return _longs(FM.breaches(FM.paragraph_formats(files)).unionByName(FM.margin_breaches(files).withColumnRenamed("section", "idx")), "idx", "rule")
+
+
 def queries() -> dict:
     plain = (
         fold_upper, fold_lower, clean_values, inline_markup, lines_split, long_paragraphs, ref_split, ref_type, ref_highlight, ref_warnings, ref_runs,
         ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
         selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
+        style_sheets, run_formats, paragraph_formats, format_breaches,
     )
     marks = F.col
     by_field = {

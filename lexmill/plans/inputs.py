@@ -106,6 +106,39 @@ SELECT s_suppkey AS doc_id, concat('<w:document><w:body>',
 FROM {supplier}
 """
 
+#: Word files whose looks come from direct marks, character and paragraph styles, chains of styles (one a circle in some
+#: sheets), a default style or none, and defaults or none.
+STYLED_FILES = """
+SELECT c_custkey AS doc_id, concat('<w:document><w:body>',
+  '<w:p><w:pPr><w:pStyle w:val="', CASE c_custkey % 3 WHEN 0 THEN 'Titulo1' WHEN 1 THEN 'Heading1' ELSE 'Nada' END, '"/></w:pPr><w:r><w:t>RESUMO</w:t></w:r></w:p>',
+  '<w:p><w:pPr><w:pStyle w:val="Corpo"/>', CASE WHEN c_custkey % 4 = 0 THEN '<w:spacing w:before="0" w:line="240" w:lineRule="auto"/>' WHEN c_custkey % 4 = 1 THEN '<w:spacing w:line="300" w:lineRule="exact"/>' ELSE '' END,
+  '<w:rPr><w:b/><w:color w:val="00FF00"/></w:rPr></w:pPr><w:r><w:t>Resumo de ', c_name, '.</w:t></w:r></w:p>',
+  '<w:p><w:pPr><w:pStyle w:val="Titulo1"/>', CASE WHEN c_custkey % 2 = 0 THEN '<w:pageBreakBefore/>' ELSE '<w:pageBreakBefore w:val="0"/>' END, '</w:pPr><w:r><w:t xml:space="preserve">1 </w:t></w:r><w:r>',
+  CASE WHEN c_custkey % 5 = 0 THEN '<w:rPr><w:b w:val="false"/></w:rPr>' ELSE '' END, '<w:t>INTRODUÇÃO</w:t></w:r></w:p>',
+  '<w:p>', CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN '<w:pPr><w:pStyle w:val="Corpo"/></w:pPr>' WHEN 2 THEN '<w:pPr><w:pStyle w:val="Roda"/></w:pPr>' WHEN 3 THEN '<w:pPr><w:pStyle w:val="Nada"/><w:jc w:val="center"/></w:pPr>'
+    WHEN 4 THEN '<w:pPr><w:pStyle w:val="Texto"/><w:ind w:firstLine="709" w:left="-10"/></w:pPr>' WHEN 5 THEN '<w:pPr><w:ind w:hanging="360" w:start="360"/></w:pPr>' ELSE '<w:pPr><w:pStyle w:val="Dobra"/></w:pPr>' END,
+  '<w:r><w:rPr><w:rStyle w:val="', CASE c_custkey % 3 WHEN 0 THEN 'Realce' WHEN 1 THEN 'Forte' ELSE 'Falta' END, '"/></w:rPr><w:t xml:space="preserve">Texto </w:t></w:r><w:r>',
+  CASE c_custkey % 6 WHEN 0 THEN '<w:rPr><w:rFonts w:ascii="Arial" w:hAnsi="Arial"/><w:sz w:val="20"/></w:rPr>' WHEN 1 THEN '<w:rPr><w:color w:val="0000ff"/><w:u w:val="single"/></w:rPr>' WHEN 2 THEN '<w:rPr><w:i/><w:u w:val="none"/></w:rPr>' ELSE '' END, '<w:t>de ', c_mktsegment, '</w:t><w:tab/></w:r><w:r><w:t></w:t></w:r></w:p>',
+  '<w:tbl><w:tr><w:tc><w:p><w:r><w:t>celula</w:t></w:r></w:p></w:tc></w:tr></w:tbl>',
+  '<w:p><w:pPr><w:pStyle w:val="', CASE WHEN c_custkey % 2 = 0 THEN 'CitacaoLonga' ELSE 'Citacao' END, '"/>', CASE WHEN c_custkey % 3 = 0 THEN '<w:ind w:left="2268"/>' ELSE '' END, '</w:pPr><w:r><w:t>Trecho citado (SILVA, 2010)</w:t></w:r></w:p>',
+  '<w:p><w:pPr><w:pStyle w:val="Corpo"/></w:pPr><w:r><w:t>', CASE WHEN c_custkey % 8 = 0 THEN concat(repeat('palavra ', 60), '(SOUZA, 2011)') ELSE 'curto' END, '</w:t></w:r></w:p>',
+  '<w:p><w:pPr><w:pStyle w:val="Titulo1"/></w:pPr><w:r><w:t>REFERÊNCIAS</w:t></w:r></w:p><w:p><w:pPr><w:pStyle w:val="Lista"/></w:pPr><w:r><w:t>SILVA, A. Obra.</w:t></w:r></w:p>',
+  '<w:sectPr><w:pgSz w:w="11906"/><w:pgMar w:top="', CASE WHEN c_custkey % 5 = 0 THEN '1417' ELSE '1701' END, '" w:right="1134" w:bottom="1134" w:left="', CASE WHEN c_custkey % 7 = 0 THEN '1134' ELSE '1700' END, '"/></w:sectPr></w:body></w:document>') AS document_xml,
+  concat('<w:styles>', CASE WHEN c_custkey % 4 <> 3 THEN '<w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Calibri" w:hAnsi="Calibri"/><w:sz w:val="22"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:line="259" w:lineRule="auto"/></w:pPr></w:pPrDefault></w:docDefaults>' ELSE '' END,
+  CASE WHEN c_custkey % 10 <> 9 THEN '<w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/><w:rPr><w:rFonts w:ascii="Times New Roman"/><w:sz w:val="24"/></w:rPr></w:style>' ELSE '' END,
+  '<w:style w:type="paragraph" w:styleId="Texto"><w:name w:val="Texto base"/><w:basedOn w:val="Normal"/><w:pPr><w:spacing w:line="360" w:lineRule="auto"/><w:jc w:val="both"/></w:pPr></w:style>',
+  '<w:style w:type="paragraph" w:styleId="Corpo"><w:name w:val="Corpo"/><w:basedOn w:val="Texto"/><w:pPr><w:ind w:firstLine="709"/></w:pPr></w:style>',
+  '<w:style w:type="paragraph" w:styleId="Citacao"><w:name w:val="Citacao direta"/><w:basedOn w:val="Corpo"/><w:pPr><w:ind w:left="1134" w:firstLine="0"/></w:pPr><w:rPr><w:sz w:val="22"/></w:rPr></w:style>',
+  '<w:style w:type="paragraph" w:styleId="CitacaoLonga"><w:name w:val="Citacao longa"/><w:basedOn w:val="Citacao"/><w:pPr><w:spacing w:line="240"/><w:ind w:left="2268"/></w:pPr></w:style>',
+  '<w:style w:type="paragraph" w:styleId="Titulo1"><w:name w:val="heading 1"/><w:basedOn w:val="Texto"/><w:rPr><w:b/><w:sz w:val="', CASE WHEN c_custkey % 3 = 0 THEN '28' ELSE '24' END, '"/></w:rPr></w:style>',
+  '<w:style w:type="paragraph" w:styleId="Lista"><w:name w:val="Lista"/><w:basedOn w:val="', CASE WHEN c_custkey % 2 = 0 THEN 'Corpo' ELSE 'Sumiu' END, '"/></w:style>',
+  '<w:style w:type="paragraph" w:styleId="Roda"><w:name w:val="Roda"/><w:basedOn w:val="Gira"/><w:rPr><w:sz w:val="26"/></w:rPr></w:style><w:style w:type="paragraph" w:styleId="Gira"><w:name w:val="Gira"/><w:basedOn w:val="', CASE WHEN c_custkey % 2 = 0 THEN 'Roda' ELSE 'Corpo' END, '"/><w:rPr><w:color w:val="0070C0"/></w:rPr></w:style>',
+  '<w:style w:type="paragraph" w:styleId="Dobra"><w:name w:val="Velha"/><w:rPr><w:sz w:val="30"/></w:rPr></w:style><w:style w:type="paragraph" w:styleId="Dobra"><w:name w:val="Nova"/><w:basedOn w:val="Corpo"/></w:style>',
+  '<w:style w:type="character" w:styleId="Realce"><w:name w:val="Realce"/><w:rPr><w:i/><w:color w:val="FF0000"/></w:rPr></w:style>',
+  '<w:style w:type="character" w:styleId="Forte"><w:name w:val="Forte"/><w:basedOn w:val="Realce"/><w:rPr><w:b w:val="1"/><w:rFonts w:hAnsi="Droid Serif"/></w:rPr></w:style></w:styles>') AS styles_xml
+FROM {customer}
+"""
+
 
 def duckdb(sql: str) -> str:
     """The SQL over DuckDB's views."""

@@ -262,6 +262,87 @@ ORACLE: dict[str, str] = {
 }
 
 
+def _style_marks(paragraph: str, run: str) -> dict[str, str]:
+    """The marks that the XML inside a pPr and an rPr sets."""
+    got = lambda x, pattern: f"nullif(regexp_extract({x}, '{pattern}', 1), '')"
+    switch = lambda tag: f"CASE WHEN regexp_matches({run}, '<w:{tag}[ />]') THEN NOT regexp_matches({run}, '<w:{tag} w:val=\"(false|0|none)\"') END"
+    return {
+        "indent": f"""CAST({got(paragraph, '<w:ind [^>]*w:(?:left|start)="(-?[0-9]+)"')} AS BIGINT)""",
+        "first_line": f"""coalesce(-CAST({got(paragraph, 'w:hanging="([0-9]+)"')} AS BIGINT), CAST({got(paragraph, 'w:firstLine="([0-9]+)"')} AS BIGINT))""",
+        "line": f"""CAST({got(paragraph, 'w:line="([0-9]+)"')} AS BIGINT)""",
+        "line_rule": got(paragraph, 'w:lineRule="([a-z]+)"'),
+        "align": got(paragraph, '<w:jc w:val="([a-z]+)"'),
+        "page_before": f"""CASE WHEN contains({paragraph}, 'pageBreakBefore') THEN NOT contains({paragraph}, 'pageBreakBefore w:val="0"') END""",
+        "font": got(run, '<w:rFonts [^>]*w:(?:ascii|hAnsi)="([^"]+)"'),
+        "size": f"""CAST({got(run, '<w:sz w:val="([0-9]+)"')} AS BIGINT)""",
+        "bold": switch("b"),
+        "italic": switch("i"),
+        "underline": switch("u"),
+        "color": f"""upper({got(run, '<w:color w:val="([0-9A-Za-z]+)"')})""",
+    }
+
+
+_MARKS = tuple(_style_marks("p", "r"))
+_PLAIN_MARKS = {"indent": "0", "first_line": "0", "line": "240", "line_rule": "'auto'", "align": "'left'", "page_before": "false", "font": "'Times New Roman'", "size": "20", "bold": "false", "italic": "false", "underline": "false", "color": "'auto'"}
+_OWN_MARKS = ", ".join(f"{sql} AS {m}" for m, sql in _style_marks("p", "r").items())
+_ELEMENTS = r"regexp_extract_all(regexp_extract(document_xml, '(?s)<w:body>(.*?)</w:body>', 1), '(?s)<w:p>.*?</w:p>|<w:tbl>.*?</w:tbl>')"
+
+
+def _looks(values: str, at: str) -> str:
+    """Each mark of a style from the nearest that sets it, up the chain."""
+    return ", ".join(f"arg_min(a.{m}, {at}) FILTER (a.{m} IS NOT NULL) AS {m}" for m in _MARKS)
+
+
+#: Style chains walked up by recursion; a style met again ends its chain.
+_STYLED = rf"""
+WITH RECURSIVE w AS ({inputs.duckdb(inputs.STYLED_FILES)}),
+sheets AS (SELECT DISTINCT md5(styles_xml) AS sheet, styles_xml FROM w),
+tags AS (SELECT sheet, unnest(regexp_extract_all(styles_xml, '(?s)<w:style .*?</w:style>')) AS x, unnest(range(len(regexp_extract_all(styles_xml, '(?s)<w:style .*?</w:style>')))) AS k FROM sheets),
+named AS (SELECT sheet, k, regexp_extract(x, 'w:styleId="([^"]+)"', 1) AS id, regexp_extract(x, '<w:name w:val="([^"]+)"', 1) AS name, nullif(regexp_extract(x, '<w:basedOn w:val="([^"]+)"', 1), '') AS up, contains(x, 'w:default="1"') AS standard,
+  regexp_extract(x, '(?s)<w:pPr>(.*?)</w:pPr>', 1) AS p, regexp_extract(x, '(?s)<w:rPr>(.*?)</w:rPr>', 1) AS r FROM tags),
+st AS (SELECT sheet, id, name, up, standard, {_OWN_MARKS} FROM named QUALIFY row_number() OVER (PARTITION BY sheet, id ORDER BY k DESC) = 1),
+chain AS (SELECT sheet, id, id AS above, up, 0 AS far, [id] AS path FROM st
+  UNION ALL SELECT c.sheet, c.id, s.id, s.up, c.far + 1, list_append(c.path, s.id) FROM chain c JOIN st s ON s.sheet = c.sheet AND s.id = c.up WHERE NOT list_contains(c.path, s.id)),
+eff AS (SELECT c.sheet, c.id, any_value(a.name) FILTER (c.far = 0) AS name, bool_or(a.standard) FILTER (c.far = 0) AS standard, {_looks("a", "c.far")} FROM chain c JOIN st a ON a.sheet = c.sheet AND a.id = c.above GROUP BY c.sheet, c.id),
+base AS (SELECT sheet, {_OWN_MARKS} FROM (SELECT sheet, regexp_extract(styles_xml, '(?s)<w:pPrDefault><w:pPr>(.*?)</w:pPr>', 1) AS p, regexp_extract(styles_xml, '(?s)<w:rPrDefault><w:rPr>(.*?)</w:rPr>', 1) AS r FROM sheets)),
+els AS (SELECT doc_id, md5(styles_xml) AS sheet, unnest({_ELEMENTS}) AS xml, unnest(range(len({_ELEMENTS}))) AS idx FROM w),
+par AS (SELECT doc_id, sheet, idx, xml, nullif(regexp_extract(xml, '<w:pStyle w:val="([^"]+)"', 1), '') AS asked, regexp_replace(regexp_extract(xml, '(?s)<w:pPr>(.*?)</w:pPr>', 1), '(?s)<w:rPr>.*?</w:rPr>', '') AS p, '' AS r FROM els WHERE NOT starts_with(xml, '<w:tbl')),
+own AS (SELECT *, {_OWN_MARKS} FROM par),
+pf AS (SELECT o.doc_id, o.sheet, o.idx, o.xml, o.asked, coalesce(e.id, d.id) AS style_id, coalesce(e.name, d.name) AS style_name, {", ".join(f"coalesce(o.{m}, CASE WHEN e.id IS NOT NULL THEN e.{m} ELSE d.{m} END, b.{m}, {plain}) AS {m}" for m, plain in _PLAIN_MARKS.items())}
+  FROM own o JOIN base b USING (sheet) LEFT JOIN eff e ON e.sheet = o.sheet AND e.id = o.asked LEFT JOIN eff d ON d.sheet = o.sheet AND d.standard),
+rx AS (SELECT *, regexp_extract_all(regexp_replace(xml, '(?s)<w:pPr>.*?</w:pPr>', ''), '(?s)<w:r>.*?</w:r>') AS rs FROM pf),
+rr AS (SELECT doc_id, sheet, idx, unnest(rs) AS x, unnest(range(len(rs))) AS run_idx, {", ".join(f"{m} AS under_{m}" for m in ("font", "size", "bold", "italic", "underline", "color"))} FROM rx),
+rt AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(x, '<w:tab/>', ' ', 'g'), '(?s)<w:rPr>.*?</w:rPr>', ''), '<[^>]+>', '', 'g') AS text, nullif(regexp_extract(x, '<w:rStyle w:val="([^"]+)"', 1), '') AS char_style, '' AS p, regexp_extract(x, '(?s)<w:rPr>(.*?)</w:rPr>', 1) AS r FROM rr),
+ro AS (SELECT *, {_OWN_MARKS} FROM rt WHERE text <> ''),
+rf AS (SELECT o.doc_id, o.idx, o.run_idx, coalesce(sum(length(o.text)) OVER (PARTITION BY o.doc_id, o.idx ORDER BY o.run_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, o.text,
+  {", ".join(f"coalesce(o.{m}, e.{m}, o.under_{m}) AS {m}" for m in ("font", "size", "bold", "italic", "underline", "color"))} FROM ro o LEFT JOIN eff e ON e.sheet = o.sheet AND e.id = o.char_style),
+lk AS (SELECT doc_id, idx, list_sort(list_distinct(list(font))) AS fonts, list_sort(list_distinct(list(size))) AS sizes, list_sort(list_distinct(list(color))) AS colors, bool_and(bold) AS all_bold, {_trim("string_agg(text, '' ORDER BY run_idx)")} AS text FROM rf GROUP BY doc_id, idx),
+fo AS (SELECT pf.* EXCLUDE (bold), lk.* EXCLUDE (doc_id, idx), {_fold("text")} AS norm, {_fold("concat(coalesce(asked, pf.style_id, ''), ' ', coalesce(style_name, ''))")} AS style FROM pf JOIN lk USING (doc_id, idx) WHERE lk.text <> ''),
+le AS (SELECT *, CASE WHEN regexp_matches(style, '\b(HEADING|TITULO) ?1\b') OR regexp_matches(norm, '^\d+\s+\S+') OR norm IN ('RESUMO', 'REFERENCIAS') THEN 1 END AS level,
+  regexp_matches(style, 'CITACAO|QUOTE') OR coalesce(try_cast(regexp_extract(xml, '<w:ind w:left="(\d+)"', 1) AS BIGINT), 0) >= 2200 OR (length(text) > 450 AND regexp_matches(text, '\([A-Z][^)]*,\s*(19|20)\d\d')) AS quote FROM fo),
+ki AS (SELECT *, CASE WHEN level IS NOT NULL THEN 'heading' WHEN quote THEN 'longQuote' ELSE 'paragraph' END AS kind,
+  coalesce(last_value(CASE WHEN level IS NOT NULL THEN regexp_replace(norm, '^\d+(\.\d+)*\s+', '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING), '') AS part FROM le),
+ju AS (SELECT *, CASE WHEN line_rule = 'auto' THEN line ELSE -line END AS spacing, part IN ('RESUMO', 'ABSTRACT', 'REFERENCIAS') AS single,
+  array_to_string(list_filter(fonts, lambda f: lower(f) NOT IN ({", ".join(f"'{f.lower()}'" for f in V.SERIF_FONTS)})), ' ') AS odd_fonts,
+  array_to_string(list_filter(sizes, lambda z: z <> 22), ' ') AS not_11, array_to_string(list_filter(sizes, lambda z: z <> 24), ' ') AS not_12, array_to_string(list_filter(colors, lambda c: c NOT IN ('auto', '000000')), ' ') AS odd_colors FROM ki)
+"""
+
+ORACLE |= {
+    "style_sheets": _STYLED + f"SELECT sheet, id AS style_id, name AS style_name, {', '.join(_MARKS)} FROM eff",
+    "run_formats": _STYLED + "SELECT * FROM rf",
+    "paragraph_formats": _STYLED
+    + "SELECT doc_id, idx, style_id, kind, part, indent, first_line, line, line_rule, align, page_before, all_bold AS bold, array_to_string(fonts, ' ') AS fonts, array_to_string(sizes, ' ') AS sizes, array_to_string(colors, ' ') AS colors FROM ki",
+    "format_breaches": _STYLED
+    + r""", told AS (SELECT doc_id, idx, unnest([CASE WHEN kind = 'longQuote' AND indent < 2200 THEN {'rule': 29, 'found': indent::VARCHAR} END, CASE WHEN kind = 'longQuote' AND not_11 <> '' THEN {'rule': 30, 'found': not_11} END,
+      CASE WHEN kind = 'longQuote' AND spacing <> 240 THEN {'rule': 31, 'found': spacing::VARCHAR} END, CASE WHEN kind = 'paragraph' AND NOT single AND spacing <> 360 THEN {'rule': 32, 'found': spacing::VARCHAR} END,
+      CASE WHEN kind = 'paragraph' AND single AND spacing <> 240 THEN {'rule': 33, 'found': spacing::VARCHAR} END, CASE WHEN kind = 'heading' AND NOT all_bold THEN {'rule': 35, 'found': 'false'} END,
+      CASE WHEN level = 1 AND NOT page_before AND idx > 0 THEN {'rule': 36, 'found': 'false'} END, CASE WHEN odd_colors <> '' THEN {'rule': 46, 'found': odd_colors} END, CASE WHEN odd_fonts <> '' THEN {'rule': 48, 'found': odd_fonts} END,
+      CASE WHEN kind <> 'longQuote' AND not_12 <> '' THEN {'rule': 49, 'found': not_12} END]) AS t FROM ju)
+    SELECT doc_id, idx, t.rule::BIGINT AS rule, t.found AS found FROM told WHERE t IS NOT NULL
+    UNION ALL SELECT doc_id, 0, 47, concat_ws(',', t, l, b, r) FROM (SELECT doc_id, regexp_extract(document_xml, 'w:top="(\d+)"', 1)::BIGINT AS t, regexp_extract(document_xml, 'w:left="(\d+)"/></w:sectPr>', 1)::BIGINT AS l, 1134 AS b, 1134 AS r FROM w) WHERE abs(t - 1701) > 6 OR abs(l - 1701) > 6""",
+}
+
+
 def _rows(order: int, part: str, style: str, text: str, where: str = "true", before: int | None = None) -> str:
     """One layout row of each record."""
     return f"SELECT doc_id, {order} AS p, 0 AS k, '{part}' AS part, '{style}' AS style, {before or 'NULL'}::BIGINT AS before, {text} AS text FROM w WHERE {where}"

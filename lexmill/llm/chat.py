@@ -146,17 +146,15 @@ def chat_digests(conversations: DataFrame, template: Template = CHAT) -> DataFra
     conversation's text in one value; the stored tables don't.
     """
     stored, marks = formatted(planted(conversations), template)
-    parts = F.array_sort(F.collect_list(F.struct("section", "place", "piece")))
-    whole = stored.groupBy("conv_id").agg(F.transform(parts, lambda p: p.piece).alias("pieces"))
-    spans = F.array_sort(F.collect_list(F.struct("turns", "loss_chars"))).alias("spans")
-    marked = marks.groupBy(F.col("conv_id").alias("c")).agg(spans, F.sum("stop").alias("expanded_chars"), F.count("*").alias("n_examples"))
-    whole = whole.join(marked, F.col("conv_id").eqNullSafe(F.col("c")), "left")
-    learned = F.transform("spans", lambda m: F.substring(F.element_at("pieces", m.turns.cast("int")), F.lit(1), m.loss_chars.cast("int")))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    whole = whole.select(
-        "conv_id", zero("n_examples"), zero("expanded_chars"), F.concat_ws("", "pieces").alias("text"),
-        F.coalesce(template.unescaped(F.concat_ws("", learned)), F.lit("")).alias("learned"),
+    # pieces and marks of a conversation meet in one grouping
+    rows = stored.select("conv_id", F.struct("section", "place", "piece").alias("part"), F.lit(None).cast("struct<turns:bigint,loss_chars:bigint>").alias("span"), F.lit(None).cast("long").alias("stop"))
+    rows = rows.unionByName(marks.select("conv_id", F.lit(None).cast(rows.schema["part"].dataType).alias("part"), F.struct("turns", "loss_chars").alias("span"), "stop"))
+    whole = rows.groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list("part")), lambda p: p.piece).alias("pieces"), F.array_sort(F.collect_list("span")).alias("spans"),
+        F.sum("stop").alias("expanded_chars"), F.count("stop").alias("n_examples"),
     )
+    learned = F.transform("spans", lambda m: F.substring(F.element_at("pieces", m.turns.cast("int")), F.lit(1), m.loss_chars.cast("int")))
+    whole = whole.select("conv_id", "n_examples", F.coalesce("expanded_chars", F.lit(0)).alias("expanded_chars"), F.concat_ws("", "pieces").alias("text"), template.unescaped(F.concat_ws("", learned)).alias("learned"))
     whole = whole.select("*", template.turns(F.col("text")).alias("said"))
     lines = F.concat_ws("", F.transform("said", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
     return whole.select(

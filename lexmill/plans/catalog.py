@@ -11,6 +11,7 @@ from lexmill.operators import fields as D
 from lexmill.operators import formatting as FM
 from lexmill.operators import layout as L
 from lexmill.operators import merge as M
+from lexmill.operators import models as RM
 from lexmill.operators import references as R
 from lexmill.operators import validation as W
 from lexmill.plans import inputs
@@ -100,6 +101,11 @@ def ref_issue_counts(spark, sf_dir):
     return R.issue_counts(_refs(spark, sf_dir)).select("doc_id", "code", "n")
 
 
+def ref_models(spark, sf_dir):
+    rows = RM.modelled(inputs.spark_frame(spark, sf_dir, inputs.MODEL_REFERENCES))
+    return _longs(rows.drop("original").withColumn("model_warnings", F.array_join(F.array_sort("model_warnings"), " ")), "score", "lead")
+
+
 # fields
 
 
@@ -321,7 +327,7 @@ def queries() -> dict:
         ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
         selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
-        style_sheets, run_formats, paragraph_formats, format_breaches,
+        ref_models, style_sheets, run_formats, paragraph_formats, format_breaches,
     )
     marks = F.col
     by_field = {

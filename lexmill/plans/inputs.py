@@ -139,6 +139,40 @@ SELECT c_custkey AS doc_id, concat('<w:document><w:body>',
 FROM {customer}
 """
 
+#: References of every model, some short of a field, some of none.
+MODEL_REFERENCES = """
+SELECT o_custkey AS doc_id, o_orderkey AS ref_key,
+  CASE o_orderkey % 26
+    WHEN 0 THEN concat('PEREIRA, Ana. Solos do ', r_name, ': manejo ', o_orderkey, '. ', 1 + o_orderkey % 7, '. ed. Recife: Editora Sol, ', year(o_orderdate), '.')
+    WHEN 1 THEN concat('ROCHA, D. B.; LIMA, E. Obra ', o_orderkey, '. Natal: Sol, ', year(o_orderdate), '.')
+    WHEN 2 THEN concat('LIMA, Eva. Rios. ', 'Belém: Foz, ', year(o_orderdate), '. Disponível em: https://ex.test/', o_orderkey, '. Acesso em: ', 1 + o_orderkey % 28, ' jan. 2020.')
+    WHEN 3 THEN concat('DIAS, Rui. Raízes ', o_orderkey, '. In: SOUZA, A. (org.). Plantas do ', r_name, '. Natal: Sol, ', year(o_orderdate), '. p. ', o_orderkey % 90, '-', o_orderkey % 90 + 9, '.')
+    WHEN 4 THEN concat('LIMA, Caio. Ventos ', o_orderkey, '. ', year(o_orderdate), '. 90 p. Tese (Doutorado em Física) - Universidade ', r_name, ', Natal, ', year(o_orderdate), '.')
+    WHEN 5 THEN concat('SILVA, Bia. [Carta]. Destinatário: Ana ', o_orderkey, '. Lavras, 3 mar. ', year(o_orderdate), '. 1 carta.')
+    WHEN 6 THEN concat('REVISTA ', r_name, '. Brasília: Instituto Terra, ', year(o_orderdate), '- . ISSN 0034-', 1000 + o_orderkey % 9000, '. Trimestral.')
+    WHEN 7 THEN concat('COSTA, Bia. Rios ', o_orderkey, '. Revista ', r_name, ', Belém, v. ', o_orderkey % 40, ', n. 1, p. 4-9, ', year(o_orderdate), '.')
+    WHEN 8 THEN concat('COSTA, Bia. Rios ', o_orderkey, '. Revista Aquática, Belém, v. 3, n. ', o_orderkey % 12, ', ', year(o_orderdate), '. Disponível em: https://doi.org/10.1234/', o_orderkey, '. Acesso em: 2 fev. 2021.')
+    WHEN 9 THEN concat('MELO, F. Seca ', o_orderkey, '. Folha de ', r_name, ', Lavras, 12 maio ', year(o_orderdate), '. Caderno 2, p. 3.')
+    WHEN 10 THEN concat('REIS, Ana. Adubos. In: CONGRESSO DE SOLOS, 10., ', year(o_orderdate), ', Natal. Anais [...]. Natal: SBCS, ', year(o_orderdate), '. p. 30-31.')
+    WHEN 11 THEN concat('NETO, A. Bomba ', o_orderkey, '. Depositante: Empresa Z. BR n. PI', o_orderkey, '. Depósito: 3 jan. ', year(o_orderdate), '.')
+    WHEN 12 THEN concat('BRASIL. Lei nº ', o_orderkey, ', de 19 de março de ', year(o_orderdate), '. Dispõe. Brasília, DF, ', year(o_orderdate), '.')
+    WHEN 13 THEN concat('BAGÉ em cena ', o_orderkey, '. Direção: Ana Reis. Bagé: Sul, ', year(o_orderdate), '. 1 DVD (90 min).')
+    WHEN 14 THEN concat('CANTOS do rio. Intérprete: Eva Sol. ', r_name, ': Foz Discos, ', year(o_orderdate), '. 1 CD-áudio, faixa 2.')
+    WHEN 15 THEN concat('VILLA, H. Coros ', o_orderkey, '. Rio: Casa, ', year(o_orderdate), '. 1 partitura (23 p.).')
+    WHEN 16 THEN concat('KOB, K. Doenças ', o_orderkey, '. ', year(o_orderdate), '. 1 fotografia, color., 16 cm x 56 cm.')
+    WHEN 17 THEN concat('INSTITUTO GEO. Regiões de ', r_name, '. Lavras: IG, ', year(o_orderdate), '. 1 atlas. Escala 1:2.000.')
+    WHEN 18 THEN concat('DUCH, M. Vaso ', o_orderkey, '. ', year(o_orderdate), '. 1 escultura variável.')
+    WHEN 19 THEN concat('NUVEM. Agenda: software de ', r_name, '. Disponível em: https://ex.test/', o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '.' ELSE '. Acesso em: 5 jun. 2022.' END)
+    WHEN 20 THEN concat('SOUZA, Ana. Chuvas ', o_orderkey, '. Zenodo, ', year(o_orderdate), '. Conjunto de dados. Disponível em: https://ex.test/z', o_orderkey, '.')
+    WHEN 21 THEN concat('TEXTO SEM ESTRUTURA ', o_orderkey)
+    WHEN 22 THEN concat('COSTA, Bia. Rios sem ano. Revista ', r_name, ', v. 3, n. 1, p. 4-9.')
+    WHEN 23 THEN concat('  *ROCHA, D.* **Marcado ', o_orderkey, '**.   Natal: Sol, ', year(o_orderdate), '. ')
+    WHEN 24 THEN ''
+    ELSE concat('O estado das coisas em ', r_name, ', ', year(o_orderdate))
+  END AS original
+FROM {orders} JOIN {region} ON r_regionkey = o_orderkey % 5
+"""
+
 
 def duckdb(sql: str) -> str:
     """The SQL over DuckDB's views."""

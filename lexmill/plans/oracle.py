@@ -343,6 +343,47 @@ ORACLE |= {
 }
 
 
+def _values(rows: list[tuple], names: str) -> str:
+    """A literal table."""
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({names}))"
+
+
+def _ref_models() -> str:
+    """Cues, weights and fields as tables: texts joined to the cues they hold, weights summed, the first of a ranking taken."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    held = ", ".join(f"CASE WHEN regexp_matches(folded, {quoted(p)}) THEN '{c}' END" for c, p in V.MODEL_CUES.items())
+    weights = _values([(k, m, c, w) for k, (m, ws) in enumerate(V.MODEL_WEIGHTS.items()) for c, w in ws.items()], "place, model, cue, weight")
+    models = _values([(k, m) for k, m in enumerate(V.MODEL_WEIGHTS)], "place, model")
+    needs = _values([(m, f) for m, fs in V.MODEL_NEEDS.items() for f in fs], "model, field")
+    names = list(V.MODEL_FIELDS)
+
+    def read(text: str, of: str, fields: list[str]) -> str:
+        one = lambda f, k, w, p, ms: f"{{'field': '{f}', 'rank': {w * 100 - k}, 'value': {'CASE WHEN model IN (' + ', '.join(map(quoted, ms)) + ') THEN ' if ms else ''}nullif({_trim(f'regexp_extract({text}, {quoted(p)}, 1)')}, ''){' END' if ms else ''}}}"
+        alternatives = ", ".join(one(f, k, w, p, ms) for f in fields for k, (w, p, ms) in enumerate(V.MODEL_FIELDS[f]))
+        return f"SELECT ref_key, x.field AS field, arg_max(x.value, x.rank) AS value FROM (SELECT ref_key, unnest([{alternatives}]) AS x FROM {of}) WHERE x.value IS NOT NULL GROUP BY ref_key, x.field"
+
+    return rf"""
+WITH refs AS ({inputs.duckdb(inputs.MODEL_REFERENCES)}), weights AS {weights}, models AS {models}, needs AS {needs},
+tx AS (SELECT doc_id, ref_key, {_clean("replace(original, '*', '')")} AS text FROM refs),
+held AS (SELECT ref_key, unnest([{held}]) AS cue FROM (SELECT ref_key, lower(strip_accents(text)) AS folded FROM tx)),
+hits AS (SELECT ref_key, place, sum(weight) AS score FROM held JOIN weights USING (cue) GROUP BY ref_key, place),
+sums AS (SELECT ref_key, m.model, m.place, coalesce(h.score, 0)::BIGINT AS score FROM tx CROSS JOIN models m LEFT JOIN hits h USING (ref_key, place)),
+ranked AS (SELECT *, row_number() OVER o AS r, score - lead(score) OVER o AS ahead FROM sums WINDOW o AS (PARTITION BY ref_key ORDER BY score DESC, place)),
+first AS (SELECT tx.*, score, ahead, CASE WHEN score >= {V.LEAST_MODEL_SCORE} THEN model ELSE 'desconhecido' END AS model FROM tx JOIN ranked USING (ref_key) WHERE r = 1),
+authors AS ({read("text", "first", ["author"])}),
+best AS (SELECT f.*, a.value AS author, {_trim(r"regexp_replace(substring(text, length(coalesce(a.value, '')) + 1), '^\.', '')")} AS rest FROM first f LEFT JOIN authors a USING (ref_key)),
+found AS (SELECT * FROM authors UNION ALL {read("rest", "best", [f for f in names if f != "author"])}),
+told AS (SELECT ref_key, 'missing-' || field AS w FROM best JOIN needs USING (model) ANTI JOIN found USING (ref_key, field) UNION ALL SELECT ref_key, 'model-unknown' FROM best WHERE model = 'desconhecido' UNION ALL SELECT ref_key, 'model-unsure' FROM best WHERE model <> 'desconhecido' AND ahead = 0),
+wide AS (SELECT ref_key, {", ".join(f"any_value(value) FILTER (field = '{f}') AS {f}" for f in names)} FROM found GROUP BY ref_key),
+warned AS (SELECT ref_key, string_agg(w, ' ' ORDER BY w) AS model_warnings FROM told GROUP BY ref_key)
+SELECT doc_id, ref_key, text, model, greatest(score, 0) AS score, ahead AS lead, {", ".join(f"wide.{f}" for f in names)}, coalesce(model_warnings, '') AS model_warnings
+FROM best LEFT JOIN wide USING (ref_key) LEFT JOIN warned USING (ref_key)"""
+
+
+ORACLE["ref_models"] = _ref_models()
+
+
 def _rows(order: int, part: str, style: str, text: str, where: str = "true", before: int | None = None) -> str:
     """One layout row of each record."""
     return f"SELECT doc_id, {order} AS p, 0 AS k, '{part}' AS part, '{style}' AS style, {before or 'NULL'}::BIGINT AS before, {text} AS text FROM w WHERE {where}"

@@ -13,6 +13,7 @@ from lexmill.operators import layout as L
 from lexmill.operators import merge as M
 from lexmill.operators import models as RM
 from lexmill.operators import references as R
+from lexmill.operators import summary as SM
 from lexmill.operators import validation as W
 from lexmill.plans import inputs
 from lexmill.plans.oracle import ORACLE
@@ -289,6 +290,10 @@ def first_images(spark, sf_dir):
     return B.first_images(B.exploded(_word_blocks(spark, sf_dir)), image_asset_merge(spark, sf_dir))
 
 
+def summary_findings(spark, sf_dir):
+    return SM.summary_findings(B.text_blocks(inputs.spark_frame(spark, sf_dir, inputs.SUMMARY_WORKS)))
+
+
 # form
 
 
@@ -327,7 +332,7 @@ def queries() -> dict:
         ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
         selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
-        ref_models, style_sheets, run_formats, paragraph_formats, format_breaches,
+        ref_models, summary_findings, style_sheets, run_formats, paragraph_formats, format_breaches,
     )
     marks = F.col
     by_field = {

@@ -173,6 +173,19 @@ SELECT o_custkey AS doc_id, o_orderkey AS ref_key,
 FROM {orders} JOIN {region} ON r_regionkey = o_orderkey % 5
 """
 
+#: Texts with a table of contents that lacks, repeats, swaps or invents entries, or none.
+SUMMARY_WORKS = """
+SELECT c_custkey AS doc_id, concat_ws(chr(10), concat('Obra ', c_name), 'RESUMO', 'Resumo.',
+  CASE WHEN c_custkey % 9 = 8 THEN NULL ELSE concat_ws(chr(10), CASE WHEN c_custkey % 2 = 0 THEN 'SUMÁRIO' ELSE '  Sumário ' END,
+    CASE WHEN c_custkey % 5 = 2 THEN 'RESUMO ...... 2' ELSE NULL END, concat('1 INTRODUÇÃO ', repeat('.', 30), ' ', 9 + c_custkey % 3),
+    CASE c_custkey % 4 WHEN 1 THEN concat('3 DADOS', chr(9), '14', chr(10), '2 MÉTODOS', chr(9), '12') WHEN 2 THEN '2 MÉTODOS    12' ELSE concat('2 Métodos ... 12', chr(10), '3 Dados … 14') END,
+    CASE WHEN c_custkey % 7 = 3 THEN '3.1 Nada     15' ELSE NULL END, CASE WHEN c_custkey % 6 = 1 THEN concat('CONCLUSÃO ..... 20', chr(10), 'CONCLUSÃO ..... 21') ELSE 'CONCLUSÃO ..... 20' END,
+    CASE WHEN c_custkey % 8 = 5 THEN concat('ANEXOS.....30', chr(10), 'REFERÊNCIAS.....22') WHEN c_custkey % 3 = 0 THEN 'REFERÊNCIAS .... 22' ELSE NULL END) END,
+  '1 INTRODUÇÃO', 'Texto da obra.', '2 MÉTODOS', concat('Passos de ', c_mktsegment), '3 DADOS', CASE WHEN c_custkey % 10 = 4 THEN concat('3.1 Tabelas', chr(10), 'Linha ... 7') ELSE NULL END,
+  'CONCLUSÃO', 'Fim.', 'REFERÊNCIAS', 'SILVA, A. Obra.', CASE WHEN c_custkey % 4 <> 3 THEN 'ANEXOS' ELSE NULL END) AS text
+FROM {customer}
+"""
+
 
 def duckdb(sql: str) -> str:
     """The SQL over DuckDB's views."""

@@ -384,6 +384,35 @@ FROM best LEFT JOIN wide USING (ref_key) LEFT JOIN warned USING (ref_key)"""
 ORACLE["ref_models"] = _ref_models()
 
 
+_ENTRY = r"'^(.*?\S)\s*(?:\.{3,}|…|\t|\s{2,})\s*(\d{1,4})$'"
+#: The longest increasing run of headings' places is grown entry by entry by recursion.
+_CHOICE = "list_sort([{{'length': c.length, 'spot': -c.spot, 'path': c.path}} for c in {chains} if {able}], 'DESC')[1]"
+ORACLE["summary_findings"] = rf"""
+WITH RECURSIVE w AS ({inputs.duckdb(inputs.SUMMARY_WORKS)}),
+raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM w),
+ln AS (SELECT doc_id, i, {_trim("line")} AS text, {_fold("line")} AS norm, {_base(_fold("line"))} AS base FROM raw WHERE {_trim("line")} <> ''),
+st AS (SELECT doc_id, min(i) AS at FROM ln WHERE base = 'SUMARIO' GROUP BY doc_id),
+sp AS (SELECT l.doc_id, min(i) AS at FROM ln l JOIN st USING (doc_id) WHERE i > st.at AND NOT regexp_matches(text, {_ENTRY}) GROUP BY l.doc_id),
+e0 AS (SELECT l.doc_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY i) - 1 AS k, {_trim(f"regexp_extract(text, {_ENTRY}, 1)")} AS text, regexp_extract(text, {_ENTRY}, 2)::INT AS page FROM ln l JOIN st USING (doc_id) LEFT JOIN sp USING (doc_id) WHERE i > st.at AND i < coalesce(sp.at, 1000000)),
+h0 AS (SELECT l.doc_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY i) - 1 AS k, text, norm FROM ln l LEFT JOIN sp USING (doc_id) WHERE (sp.at IS NULL OR i >= sp.at) AND (regexp_matches(norm, '^\d+(\.\d+)*\s+\S+') OR base IN ('RESUMO', 'ABSTRACT', 'REFERENCIAS', 'ANEXOS', 'APENDICES', 'INTRODUCAO', 'CONCLUSAO', 'CONSIDERACOES FINAIS'))),
+e AS (SELECT *, {_fold("text")} AS key, row_number() OVER (PARTITION BY doc_id, {_fold("text")} ORDER BY k) AS nth, lag(page) OVER (PARTITION BY doc_id ORDER BY k) AS above FROM e0),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY k) AS nth FROM h0),
+m AS (SELECT e.doc_id, e.k, h.k AS place FROM e JOIN h ON h.doc_id = e.doc_id AND h.norm = e.key AND h.nth = e.nth),
+sq AS (SELECT doc_id, list(place ORDER BY k) AS places, list(k ORDER BY k) AS ks FROM m GROUP BY doc_id),
+grown AS (SELECT doc_id, 0 AS i, CAST([] AS STRUCT(length BIGINT, place BIGINT, spot BIGINT, path BIGINT[])[]) AS chains FROM sq
+  UNION ALL SELECT g.doc_id, g.i + 1, list_append(g.chains, {{'length': coalesce(x.b.length, 0) + 1, 'place': x.next, 'spot': g.i::BIGINT, 'path': list_append(coalesce(x.b.path, []), g.i::BIGINT)}})
+  FROM grown g JOIN sq ON sq.doc_id = g.doc_id, LATERAL (SELECT sq.places[g.i + 1] AS next, {_CHOICE.format(chains="g.chains", able="c.place < sq.places[g.i + 1]")} AS b) x WHERE g.i < len(sq.places)),
+kept AS (SELECT g.doc_id, unnest({_CHOICE.format(chains="g.chains", able="true")}.path) AS i FROM grown g JOIN sq USING (doc_id) WHERE g.i = len(sq.places)),
+ok AS (SELECT kept.doc_id, sq.ks[kept.i + 1] AS k FROM kept JOIN sq USING (doc_id))
+SELECT doc_id, 'absent' AS kind, NULL::BIGINT AS place, '' AS text FROM w ANTI JOIN st USING (doc_id)
+UNION ALL SELECT doc_id, 'pretextual', k, text FROM e WHERE {_base("key")} IN ({", ".join(f"'{x}'" for x in V.PRE_TEXTUAL_HEADINGS)})
+UNION ALL SELECT doc_id, 'no-references', NULL, '' FROM st WHERE doc_id NOT IN (SELECT doc_id FROM e WHERE {_base("key")} = 'REFERENCIAS')
+UNION ALL SELECT doc_id, 'missing', k, text FROM h SEMI JOIN st USING (doc_id) ANTI JOIN (SELECT doc_id, place AS k FROM m) USING (doc_id, k)
+UNION ALL SELECT doc_id, 'extra', k, text FROM e ANTI JOIN m USING (doc_id, k)
+UNION ALL SELECT doc_id, 'misplaced', k, text FROM e SEMI JOIN m USING (doc_id, k) ANTI JOIN ok USING (doc_id, k)
+UNION ALL SELECT doc_id, 'page', k, text FROM e WHERE page < above"""
+
+
 def _rows(order: int, part: str, style: str, text: str, where: str = "true", before: int | None = None) -> str:
     """One layout row of each record."""
     return f"SELECT doc_id, {order} AS p, 0 AS k, '{part}' AS part, '{style}' AS style, {before or 'NULL'}::BIGINT AS before, {text} AS text FROM w WHERE {where}"

@@ -168,3 +168,8 @@ MODEL_NEEDS = {
     "juridico": ("author", "title"), "audiovisual": ("title", "year"), "sonoro": ("title", "year"), "partitura": ("author", "title", "year"), "iconografico": ("title", "year"), "cartografico": ("title", "year"),
     "tridimensional": ("title", "year"), "eletronico": ("title", "url", "accessed"), "dados": ("author", "title", "year", "url"),
 }
+
+#: What titles of illustrations and tables begin with, folded; one names tables, one either.
+CAPTION_LABELS = ("FIGURA", "IMAGEM", "QUADRO", "GRAFICO", "FOTOGRAFIA", "MAPA", "DESENHO", "ESQUEMA", "FLUXOGRAMA", "ORGANOGRAMA", "PLANTA", "RETRATO", "TABELA")
+TABLE_LABEL = "TABELA"
+ANY_LABELS = ("QUADRO",)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.functions import values as V
 from lexmill.operators import blocks as B
+from lexmill.operators import captions as C
 from lexmill.operators import fields as D
 from lexmill.operators import formatting as FM
 from lexmill.operators import layout as L
@@ -294,6 +295,18 @@ def summary_findings(spark, sf_dir):
     return SM.summary_findings(B.text_blocks(inputs.spark_frame(spark, sf_dir, inputs.SUMMARY_WORKS)))
 
 
+def _caption_blocks(spark, sf_dir):
+    return B.exploded(B.docx_blocks(inputs.spark_frame(spark, sf_dir, inputs.CAPTION_FILES)))
+
+
+def captions(spark, sf_dir):
+    return _longs(C.captioned(_caption_blocks(spark, sf_dir)), "block_idx")
+
+
+def caption_breaches(spark, sf_dir):
+    return _longs(C.caption_breaches(_caption_blocks(spark, sf_dir)), "block_idx", "rule")
+
+
 # form
 
 
@@ -332,7 +345,7 @@ def queries() -> dict:
         ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
         selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
-        ref_models, summary_findings, style_sheets, run_formats, paragraph_formats, format_breaches,
+        ref_models, summary_findings, captions, caption_breaches, style_sheets, run_formats, paragraph_formats, format_breaches,
     )
     marks = F.col
     by_field = {

@@ -186,6 +186,23 @@ SELECT c_custkey AS doc_id, concat_ws(chr(10), concat('Obra ', c_name), 'RESUMO'
 FROM {customer}
 """
 
+#: Word files with images and tables: titles above, below, missing, of the wrong kind, shared or far; sources or none.
+CAPTION_FILES = """
+SELECT c_custkey AS doc_id, concat('<w:document><w:body><w:p><w:r><w:t>1 INTRODUÇÃO</w:t></w:r></w:p>',
+  CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '<w:p><w:r><w:t>Tabela 1 – Dados</w:t></w:r></w:p>' WHEN 2 THEN '<w:p><w:r><w:t>Quadro 1 - Partes</w:t></w:r></w:p>' ELSE concat('<w:p><w:r><w:t>Figura ', c_custkey, ' – Mapa de ', c_mktsegment, '</w:t></w:r></w:p>') END,
+  CASE WHEN c_custkey % 2 = 0 THEN '<w:p><w:r><w:t>Texto entre os dois.</w:t></w:r></w:p>' ELSE '' END,
+  '<w:p><w:r><w:drawing r:embed="rId', 1 + c_custkey % 2, '"/></w:r></w:p>',
+  CASE WHEN c_custkey % 3 = 0 THEN '<w:p><w:r><w:t>Fonte: Do autor (2020).</w:t></w:r></w:p>' ELSE '' END,
+  CASE WHEN c_custkey % 4 = 0 THEN '<w:p><w:r><w:drawing r:embed="rId2"/></w:r></w:p>' WHEN c_custkey % 4 = 1 THEN '<w:p><w:r><w:t>GRÁFICO 2.1: Chuvas</w:t></w:r></w:p>' ELSE '' END,
+  CASE WHEN c_custkey % 7 = 0 THEN '<w:p><w:r><w:t>2 DADOS</w:t></w:r></w:p>' ELSE '' END,
+  CASE WHEN c_custkey % 3 = 1 THEN '<w:p><w:r><w:t>Tabela 2.3 - Valores</w:t></w:r></w:p>' WHEN c_custkey % 3 = 2 THEN '<w:p><w:r><w:t>Fontes: IBGE.</w:t></w:r></w:p>' ELSE '' END,
+  '<w:tbl><w:tr><w:tc><w:p><w:r><w:t>', c_custkey, '</w:t></w:r></w:p></w:tc></w:tr></w:tbl>',
+  CASE c_custkey % 6 WHEN 0 THEN '<w:p><w:r><w:t>Tabela 9 - Abaixo</w:t></w:r></w:p><w:p><w:r><w:t>Fonte: Livro.</w:t></w:r></w:p>' WHEN 1 THEN '<w:p><w:r><w:t>Fonte: A.</w:t></w:r></w:p><w:p><w:r><w:t>Fonte: B.</w:t></w:r></w:p>' ELSE '<w:p><w:r><w:t>Fim.</w:t></w:r></w:p>' END,
+  '<w:p><w:r><w:t>REFERÊNCIAS</w:t></w:r></w:p><w:p><w:r><w:t>Fonte: fora.</w:t></w:r></w:p></w:body></w:document>') AS document_xml,
+  '' AS styles_xml, '<Relationships><Relationship Id="rId1" Target="media/a.png"/><Relationship Id="rId2" Target="media/b.png"/></Relationships>' AS rels_xml, false AS has_numbering
+FROM {customer}
+"""
+
 
 def duckdb(sql: str) -> str:
     """The SQL over DuckDB's views."""

@@ -413,6 +413,27 @@ UNION ALL SELECT doc_id, 'misplaced', k, text FROM e SEMI JOIN m USING (doc_id,
 UNION ALL SELECT doc_id, 'page', k, text FROM e WHERE page < above"""
 
 
+#: Objects meet the event before and after them by as-of joins.
+_CAPTIONS = rf"""
+WITH w AS ({inputs.duckdb(inputs.CAPTION_FILES)}),
+el AS (SELECT doc_id, unnest({_ELEMENTS}) AS xml, unnest(range(len({_ELEMENTS}))) AS k FROM w),
+bl AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, CASE WHEN starts_with(xml, '<w:tbl') THEN 'table' WHEN contains(xml, 'r:embed') THEN 'image' ELSE 'text' END AS type, regexp_replace(xml, '<[^>]+>', '', 'g') AS text FROM el),
+ev AS (SELECT doc_id, i, text, {_fold("text")} AS norm, CASE WHEN type <> 'text' THEN type WHEN regexp_matches({_fold("text")}, '^({"|".join(V.CAPTION_LABELS)})\s+\d') THEN 'caption' WHEN regexp_matches({_fold("text")}, '^FONTES? ?:') THEN 'source'
+  WHEN regexp_matches({_fold("text")}, '^\d+ \S') OR {_fold("text")} = 'REFERENCIAS' THEN 'heading' END AS event FROM bl),
+co AS (SELECT *, regexp_extract(norm, '^(\w+)\s+(\d+(\.\d+)*)', 1) AS label, regexp_extract(norm, '^(\w+)\s+(\d+(\.\d+)*)', 2) AS number FROM ev WHERE event IN ('caption', 'image', 'table', 'heading')),
+ob AS (SELECT * FROM co WHERE event IN ('image', 'table')),
+up AS (SELECT o.doc_id, o.i, c.text, c.label, c.number FROM ob o ASOF JOIN co c ON c.doc_id = o.doc_id AND c.i < o.i WHERE c.event = 'caption' AND (c.label = 'QUADRO' OR (c.label = 'TABELA') = (o.event = 'table'))),
+nx AS (SELECT c.doc_id, c.i, c.event, c.text, c.label, c.number, n.event AS next FROM co c ASOF LEFT JOIN co n ON n.doc_id = c.doc_id AND n.i > c.i),
+dn AS (SELECT o.doc_id, o.i, c.text, c.label, c.number FROM ob o ASOF JOIN nx c ON c.doc_id = o.doc_id AND c.i > o.i WHERE c.event = 'caption' AND (c.label = 'QUADRO' OR (c.label = 'TABELA') = (o.event = 'table'))
+  AND NOT coalesce(c.next IN ('image', 'table') AND (c.label = 'QUADRO' OR (c.label = 'TABELA') = (c.next = 'table')), false)),
+so AS (SELECT o.doc_id, o.i, arg_min(s.text, s.i) AS source FROM ev s ASOF JOIN (SELECT * FROM co WHERE event <> 'caption') o ON o.doc_id = s.doc_id AND o.i < s.i WHERE s.event = 'source' AND o.event <> 'heading' GROUP BY o.doc_id, o.i),
+ca AS (SELECT o.doc_id, o.i AS block_idx, o.event AS object, coalesce(up.text, dn.text) AS caption, coalesce(up.label, dn.label) AS label, coalesce(up.number, dn.number) AS number, CASE WHEN up.i IS NOT NULL THEN 'above' WHEN dn.i IS NOT NULL THEN 'below' END AS place, source
+  FROM ob o LEFT JOIN up USING (doc_id, i) LEFT JOIN dn USING (doc_id, i) LEFT JOIN so USING (doc_id, i))
+"""
+ORACLE["captions"] = _CAPTIONS + "SELECT * FROM ca"
+ORACLE["caption_breaches"] = _CAPTIONS + "SELECT doc_id, block_idx, CASE object WHEN 'table' THEN 42 ELSE 40 END::BIGINT AS rule FROM ca WHERE caption IS NULL UNION ALL SELECT doc_id, block_idx, CASE object WHEN 'table' THEN 43 ELSE 41 END FROM ca WHERE source IS NULL"
+
+
 def _rows(order: int, part: str, style: str, text: str, where: str = "true", before: int | None = None) -> str:
     """One layout row of each record."""
     return f"SELECT doc_id, {order} AS p, 0 AS k, '{part}' AS part, '{style}' AS style, {before or 'NULL'}::BIGINT AS before, {text} AS text FROM w WHERE {where}"

@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.functions import values as V
 
-_CAPTION = rf"^({'|'.join(V.CAPTION_LABELS)})\s+(\d+(?:\.\d+)*)\s*[-:.]?\s*(.*)$"
+#: The label, number and title of a folded caption.
+CAPTION = rf"^({'|'.join(V.CAPTION_LABELS)})\s+(\d+(?:\.\d+)*)\s*[-:.]?\s*(.*)$"
 
 
 def _events(blocks: DataFrame) -> DataFrame:
     """doc_id, block_idx, event (caption, source, image, table, heading), text and for captions label, number."""
     said = F.when(F.col("block_type").isin("paragraph", "longQuote", "heading"), F.coalesce("text", F.lit("")))
     rows = blocks.withColumn("_folded", T.fold_upper(said))
-    caption = F.col("_folded").rlike(_CAPTION)
+    caption = F.col("_folded").rlike(CAPTION)
     event = F.when(F.col("block_type").isin("image", "table"), F.col("block_type")).when(caption, "caption").when(F.col("_folded").rlike(r"^FONTES?\s*:"), "source").when(F.col("block_type") == "heading", "heading")
-    part = lambda k: F.when(caption, F.regexp_extract("_folded", _CAPTION, k))
+    part = lambda k: F.when(caption, F.regexp_extract("_folded", CAPTION, k))
     return rows.select("doc_id", "block_idx", event.alias("event"), said.alias("text"), part(1).alias("label"), part(2).alias("number")).where("event IS NOT NULL")
 
 

@@ -13,6 +13,7 @@ from lexmill.operators import formatting as FM
 from lexmill.operators import layout as L
 from lexmill.operators import merge as M
 from lexmill.operators import models as RM
+from lexmill.operators import pages as P
 from lexmill.operators import references as R
 from lexmill.operators import summary as SM
 from lexmill.operators import validation as W
@@ -307,6 +308,29 @@ def caption_breaches(spark, sf_dir):
     return _longs(C.caption_breaches(_caption_blocks(spark, sf_dir)), "block_idx", "rule")
 
 
+# pages
+
+
+def _long_layout(spark, sf_dir):
+    """Layout rows whose paragraphs fill pages, with titles of tables in place of quotes."""
+    rows = layout_rows(spark, sf_dir)
+    quote, plain = F.col("style") == "longQuote", (F.col("style") == "paragraph") & ~F.col("text").startswith("Figura")
+    text = F.when(quote, F.concat(F.lit("Tabela "), F.col("doc_id"), F.lit(" - Valores"))).when(plain, F.repeat(F.concat(F.col("text"), F.lit(" ")), (F.col("doc_id") % 97 + 1).cast("int"))).otherwise(F.col("text"))
+    return rows.withColumn("text", text).withColumn("style", F.when(quote, "paragraph").otherwise(F.col("style")))
+
+
+def page_rows(spark, sf_dir):
+    return P.paged(_long_layout(spark, sf_dir)).select("doc_id", "seq", "part", "style", "page")
+
+
+def contents_pages(spark, sf_dir):
+    return _longs(P.contents(P.paged(_long_layout(spark, sf_dir))), "level")
+
+
+def illustration_lists(spark, sf_dir):
+    return P.with_lists(_long_layout(spark, sf_dir)).select("doc_id", "seq", "start_page", "style", F.md5("text").alias("said"), "page")
+
+
 # form
 
 
@@ -345,7 +369,7 @@ def queries() -> dict:
         ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
         selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
-        ref_models, summary_findings, captions, caption_breaches, style_sheets, run_formats, paragraph_formats, format_breaches,
+        ref_models, summary_findings, captions, caption_breaches, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
     )
     marks = F.col
     by_field = {

@@ -507,6 +507,44 @@ def _layout() -> str:
       SELECT doc_id, start_page, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) - 1 AS seq, part, style, before, text FROM al JOIN sp USING (doc_id)"""
 
 
+def _pages() -> dict[str, str]:
+    """Pages by running sums, and lists whose entries are laid out once without and once with their pages."""
+    from lexmill.operators.layout import STYLES
+
+    styles = _values([(k, v[0], v[3], v[4], v[5], v[6], v[7]) for k, v in STYLES.items()], "style, size, line, above, after, indent, first")
+    # text width 9071 and height 14003 twips; a character is 45, a line 115 hundredths of the size
+    long = f"""SELECT doc_id, start_page, seq, part, CASE WHEN style = 'longQuote' THEN 'paragraph' ELSE style END AS style, before, CASE WHEN style = 'longQuote' THEN 'Tabela ' || doc_id || ' - Valores'
+      WHEN style = 'paragraph' AND NOT starts_with(text, 'Figura') THEN repeat(text || ' ', doc_id % 97 + 1) ELSE text END AS text FROM ({ORACLE["layout_rows"]})"""
+
+    def paged(rows: str, tag: str) -> str:
+        """CTEs that end in pg_<tag>: the rows with a page."""
+        return f"""ht_{tag} AS (SELECT r.*, coalesce(r.before, s.above) AS up, s.size * s.line * 1150 // 24000 AS one, CASE WHEN r.style = 'pageBreak' THEN 0 ELSE coalesce(r.before, s.above) + s.after + (s.size * s.line * 1150 // 24000) *
+            list_sum(list_transform(string_split(r.text, chr(10)), lambda x, k: greatest(ceil((length(x) + CASE WHEN r.style = 'toc' THEN 5 ELSE 0 END + CASE WHEN k = 1 THEN s.first * 100 // (s.size * 450) ELSE 0 END) / ((9071 - s.indent) * 100 // (s.size * 450))), 1)))::BIGINT END AS height FROM {rows} r JOIN {styles} s ON s.style = r.style),
+          sg_{tag} AS (SELECT *, count(*) FILTER (style = 'pageBreak') OVER (PARTITION BY doc_id, part ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS segment FROM ht_{tag}),
+          tl_{tag} AS (SELECT doc_id, part, segment, greatest(ceil(sum(height) / 14003), 1) AS pages FROM sg_{tag} GROUP BY ALL),
+          er_{tag} AS (SELECT doc_id, part, segment, coalesce(sum(pages) OVER (PARTITION BY doc_id, part ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM tl_{tag}),
+          in_{tag} AS (SELECT s.*, earlier, coalesce(sum(height) OVER (PARTITION BY doc_id, part, segment ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM sg_{tag} s JOIN er_{tag} USING (doc_id, part, segment)),
+          pg_{tag} AS (SELECT * EXCLUDE (up, one, height, segment, earlier, ahead), (CASE WHEN part = 'body' THEN start_page ELSE 1 END + earlier + floor(CASE WHEN style = 'pageBreak' THEN greatest(ahead - 1, 0) ELSE ahead + up + one - 1 END / 14003))::BIGINT AS page FROM in_{tag})"""
+
+    label = f"regexp_extract({_fold('text')}, '^({'|'.join(V.CAPTION_LABELS)})\\s+\\d', 1)"
+    plain = f"WITH lr AS ({long}), {paged('lr', 'a')}"
+    lists = f"""WITH lr AS ({long}), cp AS (SELECT doc_id, seq AS own, text, ({label} = 'TABELA')::INT AS tables, row_number() OVER (PARTITION BY doc_id, {label} = 'TABELA' ORDER BY seq) AS nth FROM lr WHERE part = 'body' AND style IN ('paragraph', 'simple') AND {label} <> ''),
+      mk AS (SELECT doc_id, start_page, seq - 1 AS spot FROM lr WHERE part = 'front' AND style = 'title'),
+      nw AS (SELECT doc_id, start_page, spot, tables, nth, 'toc' AS style, text, own FROM cp JOIN mk USING (doc_id) UNION ALL SELECT doc_id, start_page, spot, tables, 0, 'sectionTitle', ['LISTA DE ILUSTRAÇÕES', 'LISTA DE TABELAS'][tables + 1], NULL FROM cp JOIN mk USING (doc_id) WHERE nth = 1
+        UNION ALL SELECT doc_id, start_page, spot, tables, -1, 'pageBreak', '', NULL FROM cp JOIN mk USING (doc_id) WHERE nth = 1),
+      al AS (SELECT doc_id, start_page, part, style, before, text, seq AS k1, 1 AS k2, 0 AS k3, 0 AS k4, NULL AS own FROM lr UNION ALL SELECT doc_id, start_page, 'front', style, NULL, text, spot, 0, tables, nth, own FROM nw),
+      nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2, k3, k4) - 1 AS seq FROM al), {paged('nb', 'a')},
+      ad AS (SELECT doc_id, count(DISTINCT page) AS added FROM pg_a WHERE k2 = 0 AND style <> 'pageBreak' GROUP BY doc_id),
+      mv AS (SELECT p.doc_id, p.start_page + coalesce(added, 0) AS start_page, part, style, before, text, seq, own, k1 FROM pg_a p LEFT JOIN ad USING (doc_id)), {paged('mv', 'b')}
+      SELECT m.doc_id, m.seq, m.start_page, m.style, md5(m.text || coalesce(chr(9) || c.page, '')) AS said, m.page FROM pg_b m LEFT JOIN (SELECT doc_id, k1, page FROM pg_b WHERE part = 'body') c ON c.doc_id = m.doc_id AND c.k1 = m.own"""
+    level = "CASE style WHEN 'sectionTitle' THEN 1 WHEN 'heading1' THEN 1 WHEN 'heading2' THEN 2 WHEN 'heading3' THEN 3 END"
+    return {
+        "page_rows": f"{plain} SELECT doc_id, seq, part, style, page FROM pg_a",
+        "contents_pages": f"{plain} SELECT doc_id, seq, {level}::BIGINT AS level, text, page FROM pg_a WHERE part = 'body' AND {level} IS NOT NULL AND trim(text) <> ''",
+        "illustration_lists": lists,
+    }
+
+
 def _detected() -> str:
     """All fields of the texts, put together from their parts."""
     other = ORACLE["next_line_label"].replace("ORIENTADOR", "COORIENTADOR")
@@ -602,3 +640,4 @@ ORACLE |= {
       SELECT d.doc_id, ['txt', 'md', 'docx', 'pdf'][d.doc_id % 4 + 1] AS kind, ['text', 'text', 'unreadable archive: BadZipFile', 'unsupported format'][d.doc_id % 4 + 1] AS outcome, CASE WHEN d.doc_id % 4 < 2 THEN coalesce(n.n, 0) END AS n_blocks FROM documents d LEFT JOIN n USING (doc_id)""",
     "first_images": "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 4 = 2 THEN 'media/b.JPG' ELSE 'media/a.png' END AS target FROM supplier",
 }
+ORACLE |= _pages()

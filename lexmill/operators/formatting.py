@@ -19,7 +19,7 @@ from lexmill.operators import blocks as B
 
 #: Marks of paragraphs and of runs, and what the format takes where nothing sets them. Lengths are twips (line: 240ths
 #: of a line if its rule is auto), sizes half points.
-PARAGRAPH = {"indent": ("int", 0), "first_line": ("int", 0), "line": ("int", 240), "line_rule": ("string", "auto"), "align": ("string", "left"), "page_before": ("boolean", False)}
+PARAGRAPH = {"indent": ("int", 0), "first_line": ("int", 0), "above": ("int", 0), "after": ("int", 0), "line": ("int", 240), "line_rule": ("string", "auto"), "align": ("string", "left"), "page_before": ("boolean", False)}
 RUN = {"font": ("string", "Times New Roman"), "size": ("int", 20), "bold": ("boolean", False), "italic": ("boolean", False), "underline": ("boolean", False), "color": ("string", "auto")}
 MARKS = PARAGRAPH | RUN
 
@@ -50,6 +50,8 @@ def paragraph_marks(xml: Column) -> dict[str, Column]:
     return {
         "indent": _number(p, r'<w:ind\b[^>]*\bw:(?:left|start)="(-?\d+)"'),
         "first_line": F.coalesce(hanging, _number(p, r'<w:ind\b[^>]*\bw:firstLine="(\d+)"')),
+        "above": _number(p, r'<w:spacing\b[^>]*\bw:before="(\d+)"'),
+        "after": _number(p, r'<w:spacing\b[^>]*\bw:after="(\d+)"'),
         "line": _number(p, r'<w:spacing\b[^>]*\bw:line="(\d+)"'),
         "line_rule": _first(p, r'<w:spacing\b[^>]*\bw:lineRule="(\w+)"'),
         "align": _first(p, r'<w:jc\b[^>]*\bw:val="(\w+)"'),

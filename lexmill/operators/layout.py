@@ -202,8 +202,9 @@ def _run_xml(text: str, size: int, bold, italics) -> str:
     return f'<w:r><w:rPr><w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman"/>{marks}<w:color w:val="000000"/><w:sz w:val="{size}"/></w:rPr><w:t xml:space="preserve">{lines}</w:t></w:r>'
 
 
-def _field(instruction: str, hidden: bool = False) -> str:
-    props = "<w:rPr><w:vanish/></w:rPr>" if hidden else ""
+def _field(instruction: str, hidden: bool = False, size: int | None = None) -> str:
+    look = f'<w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman"/><w:color w:val="000000"/><w:sz w:val="{size}"/>' if size else ""
+    props = "<w:rPr><w:vanish/></w:rPr>" if hidden else f"<w:rPr>{look}</w:rPr>" if look else ""
     char = lambda kind: f'<w:r>{props}<w:fldChar w:fldCharType="{kind}"/></w:r>'
     return char("begin") + f'<w:r>{props}<w:instrText xml:space="preserve"> {instruction} </w:instrText></w:r>' + char("separate") + char("end")
 
@@ -232,11 +233,20 @@ def _image(width: int, height: int) -> str:
     return f'<w:r><w:drawing><wp:inline xmlns:wp="{drawn}/wordprocessingDrawing"><wp:extent {size}/><wp:docPr id="1" name="logo" descr="{V.INSTITUTION}"/><a:graphic xmlns:a="{drawn}/main"><a:graphicData uri="{drawn}/picture">{shape}</a:graphicData></a:graphic></wp:inline></w:drawing></w:r>'
 
 
+#: Properties of a file, and the size of its page numbers in half points.
+CREATOR = "Lexmill"
+UNTITLED = "Trabalho acadêmico"
+DESCRIPTION = "Documento acadêmico gerado conforme as regras do manual."
+NUMBER_SIZE = 22
+
 _NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 _DECL = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
 _RELS = "http://schemas.openxmlformats.org/package/2006/relationships"
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_CORE = 'xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"'
+_CORE_TYPE = "application/vnd.openxmlformats-package.core-properties+xml"
+_CORE_REL = "http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties"
 _WORD = "application/vnd.openxmlformats-officedocument.wordprocessingml"
 
 
@@ -247,10 +257,11 @@ def _section(start: int | None) -> str:
     return f'<w:sectPr>{header}<w:pgSz w:w="{PAGE[0]}" w:h="{PAGE[1]}"/><w:pgMar w:top="{top}" w:right="{right}" w:bottom="{bottom}" w:left="{left}" w:header="1134" w:footer="1134"/>{number}</w:sectPr>'
 
 
-def docx_bytes(rows: list[dict], start: int, logo: bytes | None = None, logo_size: tuple[int, int] = LOGO_SIZE) -> bytes:
+def docx_bytes(rows: list[dict], start: int, logo: bytes | None = None, logo_size: tuple[int, int] = LOGO_SIZE, title: str | None = None, creator: str = CREATOR) -> bytes:
     """A Word file of layout rows: an unnumbered front section and a body section numbered from ``start``.
 
-    ``logo`` is a PNG or JPEG file for the place that ``layout_rows`` left for it.
+    ``logo`` is a PNG or JPEG file for the place that ``layout_rows`` left for it. ``title`` and ``creator`` are properties of
+    the file; without a title the default one stands there.
     """
     front, body, listed, image = [], [], False, _image(*logo_size) if logo else ""
     for r in rows:
@@ -258,11 +269,12 @@ def docx_bytes(rows: list[dict], start: int, logo: bytes | None = None, logo_siz
         listed = listed or r["style"] == "note"
     document = f"{_DECL}<w:document {_NS}><w:body>{''.join(front)}<w:p><w:pPr>{_section(None)}</w:pPr></w:p>{''.join(body)}{_section(start)}</w:body></w:document>"
     files = {
-        "[Content_Types].xml": f'{_DECL}<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{_WORD}.document.main+xml"/><Override PartName="/word/header1.xml" ContentType="{_WORD}.header+xml"/><Override PartName="/word/settings.xml" ContentType="{_WORD}.settings+xml"/></Types>',
-        "_rels/.rels": f'{_DECL}<Relationships xmlns="{_RELS}"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="word/document.xml"/></Relationships>',
+        "[Content_Types].xml": f'{_DECL}<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{_WORD}.document.main+xml"/><Override PartName="/word/header1.xml" ContentType="{_WORD}.header+xml"/><Override PartName="/word/settings.xml" ContentType="{_WORD}.settings+xml"/><Override PartName="/docProps/core.xml" ContentType="{_CORE_TYPE}"/></Types>',
+        "_rels/.rels": f'{_DECL}<Relationships xmlns="{_RELS}"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="word/document.xml"/><Relationship Id="rId2" Type="{_CORE_REL}" Target="docProps/core.xml"/></Relationships>',
         "word/document.xml": document,
         "word/_rels/document.xml.rels": f'{_DECL}<Relationships xmlns="{_RELS}"><Relationship Id="rId1" Type="{_OFFICE}/header" Target="header1.xml"/><Relationship Id="rId2" Type="{_OFFICE}/settings" Target="settings.xml"/></Relationships>',
-        "word/header1.xml": f'{_DECL}<w:hdr {_NS}><w:p><w:pPr><w:jc w:val="right"/></w:pPr>{_field("PAGE")}</w:p></w:hdr>',
+        "word/header1.xml": f'{_DECL}<w:hdr {_NS}><w:p><w:pPr><w:jc w:val="right"/></w:pPr>{_field("PAGE", size=NUMBER_SIZE)}</w:p></w:hdr>',
+        "docProps/core.xml": f'{_DECL}<cp:coreProperties {_CORE}><dc:title>{_xml(title or UNTITLED)}</dc:title><dc:creator>{_xml(creator)}</dc:creator><dc:description>{DESCRIPTION}</dc:description></cp:coreProperties>',
         "word/settings.xml": f'{_DECL}<w:settings {_NS}><w:updateFields w:val="true"/></w:settings>',
     }
     files = {name: data.encode() for name, data in files.items()}
@@ -285,22 +297,15 @@ def _plain(row) -> dict:
     return {k: row[k] for k in ("part", "style", "text", "runs")} | {"before": None if before is None or before != before else int(before)}
 
 
-def render(rows: DataFrame, logo: bytes | None = None, logo_size: tuple[int, int] = LOGO_SIZE) -> DataFrame:
-    """doc_id, docx: one Word file per document of layout rows with runs."""
+def render(rows: DataFrame, logo: bytes | None = None, logo_size: tuple[int, int] = LOGO_SIZE, titles: DataFrame | None = None, creator: str = CREATOR) -> DataFrame:
+    """doc_id, docx: one Word file per document of layout rows with runs; ``titles`` (doc_id, title) name the files inside."""
     packed = F.array_sort(F.collect_list(F.struct("seq", "part", "style", "before", "text", "runs")))
     docs = rows.groupBy("doc_id").agg(F.max("start_page").alias("start_page"), packed.alias("rows"))
+    docs = docs.withColumn("title", F.lit(None).cast("string")) if titles is None else docs.join(titles.select("doc_id", "title"), "doc_id", "left")
 
     def write(batches):
         for b in batches:
-            made = [docx_bytes([_plain(r) for r in rows], int(start), logo, logo_size) for rows, start in zip(b["rows"], b["start_page"], strict=True)]
+            made = [docx_bytes([_plain(r) for r in rows], int(start), logo, logo_size, title, creator) for rows, start, title in zip(b["rows"], b["start_page"], b["title"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "docx": made})
 
     return docs.mapInPandas(write, "doc_id long, docx binary")
-
-
-def decoded_text(xml: str) -> str:
-    """All text of a paragraph's XML."""
-    x = "".join(re.findall(r"<w:t(?:\s[^>]*)?>(.*?)</w:t>", xml, re.S))
-    for a, b in reversed(_ESCAPES):
-        x = x.replace(b, a)
-    return x.strip()

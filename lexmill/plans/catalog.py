@@ -258,9 +258,36 @@ def layout_rows(spark, sf_dir):
     return L.layout_rows(_full_records(spark, sf_dir), YEAR).withColumns({"seq": F.col("seq").cast("long"), "start_page": F.col("start_page").cast("long")})
 
 
+def _rendered(spark, sf_dir):
+    """Every record as a Word file."""
+    records = _full_records(spark, sf_dir)
+    files = L.render(L.layout_runs(layout_rows(spark, sf_dir)), titles=records.select("doc_id", "title"))
+    return files.select("doc_id", F.lit("docx").alias("kind"), F.lit("made").alias("path"), F.col("docx").alias("content"))
+
+
+def rendered_formats(spark, sf_dir):
+    """How the paragraphs of every record's Word file look, read back."""
+    rows = FM.paragraph_formats(readers.docx_parts(_rendered(spark, sf_dir)).where("error IS NULL"))
+    joined = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("fonts", "sizes")]
+    marks = ("indent", "first_line", "above", "after", "line")
+    return _longs(rows.select("doc_id", "idx", *marks, "align", *joined), "idx", *marks)
+
+
+def rendered_properties(spark, sf_dir):
+    """Title, page numbers and sections of every record's Word file, read back."""
+    files = _rendered(spark, sf_dir)
+    parts = readers.docx_parts(files).select("doc_id", "document_xml").join(readers.docx_properties(files), "doc_id")
+    got = lambda c, pattern: F.regexp_extract(c, pattern, 1)
+    return parts.select(
+        "doc_id", got("document_xml", r'<w:pgNumType w:start="(\d+)"').cast("long").alias("start_page"), T.decode_xml(got("core_xml", "(?s)<dc:title>(.*?)</dc:title>")).alias("title"),
+        got("header_xml", r'<w:rFonts w:ascii="([^"]+)"').alias("number_font"), got("header_xml", r'<w:sz w:val="(\d+)"').cast("long").alias("number_size"), got("header_xml", r'<w:jc w:val="(\w+)"').alias("number_align"),
+        F.regexp_count("document_xml", F.lit("<w:sectPr>")).cast("long").alias("sections"),
+    )
+
+
 def rendered_files(spark, sf_dir):
     """Every record as a Word file, read back: its paragraphs, page breaks, entries for the contents, and a digest of its text."""
-    files = L.render(L.layout_runs(layout_rows(spark, sf_dir))).select("doc_id", F.lit("docx").alias("kind"), F.lit("made").alias("path"), F.col("docx").alias("content"))
+    files = _rendered(spark, sf_dir)
     xml = F.col("document_xml")
     count = lambda pattern: F.regexp_count(xml, F.lit(pattern)).cast("long")
     said = F.array_join(F.regexp_extract_all(xml, F.lit('<w:t xml:space="preserve">([^<]*)</w:t>'), F.lit(1)), "")
@@ -369,7 +396,7 @@ def queries() -> dict:
         ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
         selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
-        ref_models, summary_findings, captions, caption_breaches, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
+        ref_models, summary_findings, captions, caption_breaches, rendered_formats, rendered_properties, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
     )
     marks = F.col
     by_field = {

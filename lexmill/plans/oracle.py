@@ -269,6 +269,8 @@ def _style_marks(paragraph: str, run: str) -> dict[str, str]:
     return {
         "indent": f"""CAST({got(paragraph, '<w:ind [^>]*w:(?:left|start)="(-?[0-9]+)"')} AS BIGINT)""",
         "first_line": f"""coalesce(-CAST({got(paragraph, 'w:hanging="([0-9]+)"')} AS BIGINT), CAST({got(paragraph, 'w:firstLine="([0-9]+)"')} AS BIGINT))""",
+        "above": f"""CAST({got(paragraph, 'w:before="([0-9]+)"')} AS BIGINT)""",
+        "after": f"""CAST({got(paragraph, 'w:after="([0-9]+)"')} AS BIGINT)""",
         "line": f"""CAST({got(paragraph, 'w:line="([0-9]+)"')} AS BIGINT)""",
         "line_rule": got(paragraph, 'w:lineRule="([a-z]+)"'),
         "align": got(paragraph, '<w:jc w:val="([a-z]+)"'),
@@ -283,7 +285,7 @@ def _style_marks(paragraph: str, run: str) -> dict[str, str]:
 
 
 _MARKS = tuple(_style_marks("p", "r"))
-_PLAIN_MARKS = {"indent": "0", "first_line": "0", "line": "240", "line_rule": "'auto'", "align": "'left'", "page_before": "false", "font": "'Times New Roman'", "size": "20", "bold": "false", "italic": "false", "underline": "false", "color": "'auto'"}
+_PLAIN_MARKS = {"indent": "0", "first_line": "0", "above": "0", "after": "0", "line": "240", "line_rule": "'auto'", "align": "'left'", "page_before": "false", "font": "'Times New Roman'", "size": "20", "bold": "false", "italic": "false", "underline": "false", "color": "'auto'"}
 _OWN_MARKS = ", ".join(f"{sql} AS {m}" for m, sql in _style_marks("p", "r").items())
 _ELEMENTS = r"regexp_extract_all(regexp_extract(document_xml, '(?s)<w:body>(.*?)</w:body>', 1), '(?s)<w:p>.*?</w:p>|<w:tbl>.*?</w:tbl>')"
 
@@ -545,6 +547,22 @@ def _pages() -> dict[str, str]:
     }
 
 
+def _rendered() -> dict[str, str]:
+    """What the paragraphs of rendered files must look like, in the rules' units: points, lines, centimetres."""
+    looks = [
+        ("cover", 12, "center", 1.0, 0, 12, 0.0, 0.0), ("coverBold", 12, "center", 1.0, 0, 12, 0.0, 0.0), ("title", 12, "center", 1.5, 12, 12, 0.0, 0.0), ("sectionTitle", 12, "center", 1.5, 12, 12, 0.0, 0.0),
+        ("heading1", 12, "left", 1.5, 12, 9, 0.0, 0.0), ("heading2", 12, "left", 1.5, 9, 6, 0.0, 0.0), ("heading3", 12, "left", 1.5, 6, 5, 0.0, 0.0), ("paragraph", 12, "both", 1.5, 0, 6, 0.0, 1.5),
+        ("simple", 12, "both", 1.0, 0, 6, 0.0, 0.0), ("nature", 12, "both", 1.0, 0, 9, 4.0, 0.0), ("longQuote", 11, "both", 1.0, 0, 6, 4.0, 0.0), ("reference", 12, "left", 1.0, 0, 6, 0.0, 0.0), ("note", 11, "center", 1.0, 6, 6, 0.0, 0.0),
+    ]
+    rows = ", ".join(f"('{s}', {pt}, '{a}', {line}, {up}, {dn}, {left}, {first})" for s, pt, a, line, up, dn, left, first in looks)
+    twips = lambda cm: f"CAST(round({cm} * 1440 / 2.54) AS BIGINT)"
+    return {
+        "rendered_formats": f"""SELECT doc_id, seq + CASE WHEN part = 'body' THEN 1 ELSE 0 END AS idx, {twips("left_cm")} AS indent, {twips("first_cm")} AS first_line, coalesce(before, up * 20) AS above, (dn * 20)::BIGINT AS after, CAST(240 * line AS BIGINT) AS line, align, 'Times New Roman' AS fonts, CAST(2 * pt AS VARCHAR) AS sizes
+          FROM ({ORACLE["layout_rows"]}) JOIN (VALUES {rows}) AS v(style, pt, align, line, up, dn, left_cm, first_cm) USING (style) WHERE trim(regexp_replace(text, '[*]', '', 'g')) <> ''""",
+        "rendered_properties": f"""SELECT doc_id, start_page::BIGINT AS start_page, CASE WHEN title = '' THEN 'Trabalho acadêmico' ELSE title END AS title, 'Times New Roman' AS number_font, 22::BIGINT AS number_size, 'right' AS number_align, 2::BIGINT AS sections FROM ({ORACLE["start_page"]}) JOIN (SELECT doc_id, title FROM ({_RECORDS})) USING (doc_id)""",
+    }
+
+
 def _detected() -> str:
     """All fields of the texts, put together from their parts."""
     other = ORACLE["next_line_label"].replace("ORIENTADOR", "COORIENTADOR")
@@ -641,3 +659,4 @@ ORACLE |= {
     "first_images": "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 4 = 2 THEN 'media/b.JPG' ELSE 'media/a.png' END AS target FROM supplier",
 }
 ORACLE |= _pages()
+ORACLE |= _rendered()

@@ -18,6 +18,7 @@ from lexmill.operators.blocks import docx_blocks, text_blocks
 
 TEXT_KINDS = ("txt", "md")
 _MAIN, _STYLES, _RELS, _NUMBERS = "word/document.xml", "word/styles.xml", "word/_rels/document.xml.rels", "word/numbering.xml"
+_CORE, _HEADER = "docProps/core.xml", "word/header1.xml"
 _MEDIA = "word/media/"
 #: What a damaged archive raises, be it in its directory, a part's data or the way it is packed.
 _BROKEN = (zipfile.BadZipFile, zlib.error, struct.error, OSError, EOFError, RuntimeError, ValueError)
@@ -84,6 +85,23 @@ def docx_media(found: DataFrame) -> DataFrame:
     return found.where("kind = 'docx'").select("doc_id", "content").mapInPandas(run, "doc_id long, target string, data binary")
 
 
+def docx_properties(found: DataFrame) -> DataFrame:
+    """doc_id, core_xml, header_xml: the properties and the first header of the Word files; null where a file has none or is damaged."""
+
+    def part(content: bytes | None, name: str) -> str | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                return z.read(name).decode("utf-8", "replace") if name in z.namelist() else None
+        except _BROKEN:
+            return None
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "core_xml": [part(c, _CORE) for c in b["content"]], "header_xml": [part(c, _HEADER) for c in b["content"]]}, index=b.index)
+
+    return found.where("kind = 'docx'").select("doc_id", "content").mapInPandas(run, "doc_id long, core_xml string, header_xml string")
+
+
 def docx_documents(found: DataFrame) -> DataFrame:
     """doc_id, path, kind, text, blocks, has_numbering of the Word files that could be read."""
     parts = docx_parts(found).where("error is null")

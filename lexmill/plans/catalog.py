@@ -19,6 +19,7 @@ from lexmill.operators import summary as SM
 from lexmill.operators import validation as W
 from lexmill.plans import inputs
 from lexmill.plans.oracle import ORACLE
+from lexmill.sources import packages as K
 from lexmill.sources import readers
 
 YEAR = 2026
@@ -335,6 +336,42 @@ def caption_breaches(spark, sf_dir):
     return _longs(C.caption_breaches(_caption_blocks(spark, sf_dir)), "block_idx", "rule")
 
 
+# packages
+
+
+def _packages(spark, sf_dir):
+    """Word files with media, as bytes; every other one with numbering."""
+    parts = inputs.spark_frame(spark, sf_dir, inputs.CAPTION_FILES)
+    media = inputs.spark_frame(spark, sf_dir, inputs.PACKAGE_MEDIA).groupBy("doc_id").agg(F.collect_list(F.struct("target", F.col("said").cast("binary").alias("data"))).alias("media"))
+    numbering = F.when(F.col("doc_id") % 2 == 0, "<w:numbering/>")
+    return _as_files(K.packed(parts.withColumn("numbering_xml", numbering).join(media, "doc_id")))
+
+
+def _as_files(made):
+    return made.select("doc_id", F.lit("docx").alias("kind"), F.lit("made").alias("path"), F.col("docx").alias("content"))
+
+
+def package_media(spark, sf_dir):
+    """The media of every Word file, by the bytes that are in it, and whether it has numbering."""
+    files = _packages(spark, sf_dir)
+    parts = readers.docx_parts(files)
+    rels = parts.select("doc_id", F.explode(B.relationships(F.col("rels_xml"))).alias("rel_id", "target"))
+    found = B.image_assets(rels, readers.docx_media(files)).join(parts.select("doc_id", "has_numbering"), "doc_id")
+    return found.select("doc_id", "rel_id", "target", "mime_type", F.length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"), "has_numbering")
+
+
+def package_roundtrip(spark, sf_dir):
+    """Every Word file read, written with media by content, and read again: what each relationship leads to, and the tables' cells."""
+    files = _packages(spark, sf_dir)
+    parts = readers.docx_parts(files).drop("media").withColumn("numbering_xml", F.lit(None).cast("string"))
+    again = _as_files(K.packed(K.readdressed(parts, readers.docx_media(files))))
+    read = readers.docx_parts(again)
+    media = K.links(read, readers.docx_media(again))
+    cells = F.array_join(F.flatten(F.flatten(F.transform(F.filter(B.body_elements(B.body_xml(F.col("document_xml"))), lambda x: F.startswith(x, F.lit("<w:tbl"))), B.table_rows))), "|")
+    held = read.select("doc_id", cells.alias("cells"), F.size("media").cast("long").alias("n_parts"))
+    return media.join(held, "doc_id").select("doc_id", "rel_id", F.md5("data").alias("digest"), "cells", "n_parts")
+
+
 # pages
 
 
@@ -396,7 +433,7 @@ def queries() -> dict:
         ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
         selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
-        ref_models, summary_findings, captions, caption_breaches, rendered_formats, rendered_properties, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
+        ref_models, summary_findings, captions, caption_breaches, package_media, package_roundtrip, rendered_formats, rendered_properties, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
     )
     marks = F.col
     by_field = {

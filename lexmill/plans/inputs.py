@@ -203,6 +203,13 @@ SELECT c_custkey AS doc_id, concat('<w:document><w:body><w:p><w:r><w:t>1 INTRODU
 FROM {customer}
 """
 
+#: What the media files of CAPTION_FILES hold: two with relationships, equal in some documents, and one without.
+PACKAGE_MEDIA = """
+SELECT c_custkey AS doc_id, 'media/a.png' AS target, concat('picture ', c_custkey % 7) AS said FROM {customer}
+UNION ALL SELECT c_custkey, 'media/b.png', CASE WHEN c_custkey % 3 = 0 THEN concat('picture ', c_custkey % 7) ELSE concat('other ', c_custkey) END FROM {customer}
+UNION ALL SELECT c_custkey, 'media/c.bin', c_name FROM {customer} WHERE c_custkey % 4 = 0
+"""
+
 
 def duckdb(sql: str) -> str:
     """The SQL over DuckDB's views."""

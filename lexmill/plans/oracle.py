@@ -509,6 +509,11 @@ def _layout() -> str:
       SELECT doc_id, start_page, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) - 1 AS seq, part, style, before, text FROM al JOIN sp USING (doc_id)"""
 
 
+_MEDIA_ROWS = f"SELECT doc_id, target, encode(said) AS data, CASE target WHEN 'media/a.png' THEN 'rId1' WHEN 'media/b.png' THEN 'rId2' END AS rel_id FROM ({inputs.duckdb(inputs.PACKAGE_MEDIA)})"
+ORACLE["package_media"] = f"SELECT doc_id, rel_id, target, CASE WHEN ends_with(target, 'png') THEN 'image/png' ELSE 'application/octet-stream' END AS mime_type, octet_length(data)::BIGINT AS n_bytes, md5(data) AS digest, doc_id % 2 = 0 AS has_numbering FROM ({_MEDIA_ROWS})"
+ORACLE["package_roundtrip"] = f"SELECT doc_id, rel_id, md5(data) AS digest, doc_id::VARCHAR AS cells, count(DISTINCT data || encode(split_part(target, '.', 2))) OVER (PARTITION BY doc_id)::BIGINT AS n_parts FROM ({_MEDIA_ROWS})"
+
+
 def _pages() -> dict[str, str]:
     """Pages by running sums, and lists whose entries are laid out once without and once with their pages."""
     from lexmill.operators.layout import STYLES

@@ -13,6 +13,7 @@ from lexmill.operators import formatting as FM
 from lexmill.operators import layout as L
 from lexmill.operators import merge as M
 from lexmill.operators import models as RM
+from lexmill.operators import numbering as N
 from lexmill.operators import pages as P
 from lexmill.operators import references as R
 from lexmill.operators import summary as SM
@@ -336,6 +337,11 @@ def caption_breaches(spark, sf_dir):
     return _longs(C.caption_breaches(_caption_blocks(spark, sf_dir)), "block_idx", "rule")
 
 
+def list_numbers(spark, sf_dir):
+    rows = N.numbered(inputs.spark_frame(spark, sf_dir, inputs.NUMBERED_FILES))
+    return _longs(rows.withColumnRenamed("number", "shown"), "idx", "num_id", "ilvl", "level")
+
+
 # packages
 
 
@@ -433,7 +439,7 @@ def queries() -> dict:
         ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
         selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
-        ref_models, summary_findings, captions, caption_breaches, package_media, package_roundtrip, rendered_formats, rendered_properties, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
+        ref_models, summary_findings, captions, caption_breaches, list_numbers, package_media, package_roundtrip, rendered_formats, rendered_properties, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
     )
     marks = F.col
     by_field = {

@@ -210,6 +210,21 @@ UNION ALL SELECT c_custkey, 'media/b.png', CASE WHEN c_custkey % 3 = 0 THEN conc
 UNION ALL SELECT c_custkey, 'media/c.bin', c_name FROM {customer} WHERE c_custkey % 4 = 0
 """
 
+#: Thirty paragraphs, the list and level of each from the document's number and its own place.
+_LINES = ", ".join(
+    f"""concat('<w:p><w:pPr><w:numPr><w:ilvl w:val="', (c_custkey * {x} + {x * x}) % 3, '"/><w:numId w:val="{2 if x % 7 == 3 else 3 if x % 11 == 5 else 0 if x % 13 == 6 else 1}"/></w:numPr></w:pPr><w:r><w:t>Item {x}</w:t></w:r></w:p>')"""
+    for x in range(30)
+)
+#: Word files with two lists: levels passed over, overridden starts, several formats, a list without a definition.
+NUMBERED_FILES = f"""
+SELECT c_custkey AS doc_id, concat('<w:document><w:body>', {_LINES}, '</w:body></w:document>') AS document_xml,
+  concat('<w:numbering><w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1"/></w:lvl><w:lvl w:ilvl="1"><w:start w:val="', 1 + c_custkey % 3, '"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1.%2"/></w:lvl>',
+  '<w:lvl w:ilvl="2"><w:start w:val="1"/><w:numFmt w:val="', CASE c_custkey % 3 WHEN 0 THEN 'decimal' WHEN 1 THEN 'lowerLetter' ELSE 'upperRoman' END, '"/><w:lvlText w:val="%1.%2.%3."/></w:lvl></w:abstractNum>',
+  '<w:abstractNum w:abstractNumId="8"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="', CASE c_custkey % 2 WHEN 0 THEN 'upperLetter' ELSE 'lowerRoman' END, '"/><w:lvlText w:val="(%1)"/></w:lvl></w:abstractNum>',
+  '<w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="8"/>', CASE WHEN c_custkey % 5 = 0 THEN '<w:lvlOverride w:ilvl="0"><w:startOverride w:val="25"/></w:lvlOverride>' ELSE '' END, '</w:num></w:numbering>') AS numbering_xml
+FROM {{customer}}
+"""
+
 
 def duckdb(sql: str) -> str:
     """The SQL over DuckDB's views."""

@@ -514,6 +514,32 @@ ORACLE["package_media"] = f"SELECT doc_id, rel_id, target, CASE WHEN ends_with(t
 ORACLE["package_roundtrip"] = f"SELECT doc_id, rel_id, md5(data) AS digest, doc_id::VARCHAR AS cells, count(DISTINCT data || encode(split_part(target, '.', 2))) OVER (PARTITION BY doc_id)::BIGINT AS n_parts FROM ({_MEDIA_ROWS})"
 
 
+def _list_numbers() -> str:
+    """Counters by joining every paragraph of a list to those before it: how many of a level stand behind its last reset."""
+    count = lambda k: f"count(*) FILTER (b.ilvl = {k} AND b.idx > coalesce((SELECT max(z.idx) FROM p z WHERE z.doc_id = a.doc_id AND z.num_id = a.num_id AND z.idx <= a.idx AND z.ilvl < {k}), -1))"
+    got = lambda x, p: f"nullif(regexp_extract({x}, '{p}', 1), '')"
+    letters = "repeat(chr(96 + ((v - 1) % 26 + 1)::INT), ((v - 1) // 26 + 1)::INT)"
+    roman = "concat(['', 'X', 'XX', 'XXX'][v // 10 + 1], ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][v % 10 + 1])"
+    show = lambda v, f: f"CASE {f} WHEN 'lowerLetter' THEN {letters} WHEN 'upperLetter' THEN upper({letters}) WHEN 'lowerRoman' THEN lower({roman}) WHEN 'upperRoman' THEN {roman} ELSE v::VARCHAR END".replace("v::", f"({v})::").replace("(v ", f"(({v}) ").replace("[v ", f"[({v}) ")
+    start = lambda k: f"CASE WHEN c{k} > 0 THEN s{k} + c{k} - 1 ELSE s{k} END::BIGINT"
+    return rf"""
+WITH w AS ({inputs.duckdb(inputs.NUMBERED_FILES)}),
+el AS (SELECT doc_id, unnest({_ELEMENTS}) AS xml, unnest(range(len({_ELEMENTS}))) AS idx FROM w),
+p AS (SELECT doc_id, idx, {got("xml", '<w:numId w:val="([0-9]+)"')}::BIGINT AS num_id, {got("xml", '<w:ilvl w:val="([0-9]+)"')}::BIGINT AS ilvl, regexp_replace(xml, '<[^>]+>', '', 'g') AS text FROM el WHERE {got("xml", '<w:numId w:val="([0-9]+)"')} <> '0'),
+ct AS (SELECT a.doc_id, a.idx, a.num_id, a.ilvl, a.text, {", ".join(f"{count(k)} AS c{k}" for k in range(3))} FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.num_id = a.num_id AND b.idx <= a.idx GROUP BY ALL),
+kd AS (SELECT doc_id, unnest(regexp_extract_all(numbering_xml, '(?s)<w:abstractNum .*?</w:abstractNum>')) AS x FROM w),
+lv AS (SELECT doc_id, regexp_extract(x, 'abstractNumId="(\d+)"', 1) AS kind, unnest(regexp_extract_all(x, '(?s)<w:lvl .*?</w:lvl>')) AS y FROM kd),
+df AS (SELECT doc_id, kind, {", ".join(f"max({value}) FILTER (contains(y, 'ilvl=\"{k}\"')) AS {n}{k}" for k in range(3) for n, value in (("s", "regexp_extract(y, 'start w:val=\"([0-9]+)\"', 1)::BIGINT"), ("f", "regexp_extract(y, 'numFmt w:val=\"([A-Za-z]+)\"', 1)"), ("t", "regexp_extract(y, 'lvlText w:val=\"([^\"]+)\"', 1)")))} FROM lv GROUP BY doc_id, kind),
+nm AS (SELECT doc_id, unnest(regexp_extract_all(numbering_xml, '(?s)<w:num .*?</w:num>')) AS x FROM w),
+ls AS (SELECT doc_id, regexp_extract(x, 'numId="(\d+)"', 1)::BIGINT AS num_id, regexp_extract(x, 'abstractNumId w:val="(\d+)"', 1) AS kind, {got("x", 'startOverride w:val="([0-9]+)"')}::BIGINT AS own FROM nm),
+al AS (SELECT ct.*, coalesce(own, s0) AS s0, s1, s2, f0, f1, f2, CASE ilvl WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t2 END AS t FROM ct LEFT JOIN ls USING (doc_id, num_id) LEFT JOIN df USING (doc_id, kind)),
+sh AS (SELECT doc_id, idx, num_id, ilvl, text, replace(replace(replace(t, '%1', coalesce({show(start(0), "f0")}, '')), '%2', coalesce({show(start(1), "f1")}, '')), '%3', coalesce({show(start(2), "f2")}, '')) AS shown FROM al)
+SELECT *, CASE WHEN regexp_matches(shown, '^\d+(\.\d+)*\.?$') THEN len(string_split(regexp_replace(shown, '\.$', ''), '.')) END::BIGINT AS level FROM sh"""
+
+
+ORACLE["list_numbers"] = _list_numbers()
+
+
 def _pages() -> dict[str, str]:
     """Pages by running sums, and lists whose entries are laid out once without and once with their pages."""
     from lexmill.operators.layout import STYLES

@@ -135,17 +135,9 @@ def table_rows(xml: Column) -> Column:
     return F.filter(F.transform(_all(xml, r"(?s)<w:tr\b.*?</w:tr>"), cells), lambda r: F.exists(r, lambda c: T.trim(c) != ""))
 
 
-def run_flags(xml: Column) -> Column:
-    """bold, italic, underline and style of a run's XML."""
-    on = lambda tag, off: xml.rlike(rf"<w:{tag}\b") & ~xml.rlike(rf'(?i)<w:{tag}\b[^>]*\bw:val="(?:{off})"')
-    style = F.regexp_extract(xml, r'<w:rStyle\b[^>]*w:val="([^"]+)"', 1)
-    return F.struct(on("b", "false|0").alias("bold"), on("i", "false|0").alias("italic"), on("u", "none|false|0").alias("underline"), F.when(style != "", style).alias("style"))
-
-
-def paragraph_runs(xml: Column) -> Column:
-    """The runs of a paragraph with text and flags."""
-    runs = F.transform(_all(xml, r"(?s)<w:r\b.*?</w:r>"), lambda r: F.struct(xml_raw_text(r).alias("text"), run_flags(r).alias("flags")))
-    return F.filter(runs, lambda r: r["text"] != "")
+def is_on(xml: Column, tag: str, off: str) -> Column:
+    """Whether a mark is there and not switched off."""
+    return xml.rlike(rf"<w:{tag}\b") & ~xml.rlike(rf'(?i)<w:{tag}\b[^>]*\bw:val="(?:{off})"')
 
 
 def body_xml(xml: Column) -> Column:
@@ -159,10 +151,11 @@ def body_elements(body: Column) -> Column:
     return _all(body, r"(?s)<w:p\b.*?</w:p>|<w:tbl\b.*?</w:tbl>")
 
 
-def docx_blocks(parts: DataFrame) -> DataFrame:
+def docx_blocks(parts: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """doc_id, text, blocks, rels, has_numbering of (doc_id, document_xml, styles_xml, rels_xml, has_numbering).
 
-    Elements become rows only to carry the section forward; the blocks of a document are collected in order.
+    Elements become rows only to carry the section forward; the blocks of a document are collected in order. With ``marked``
+    (doc_id, idx, marked: ``formatting.marked_paragraphs``) paragraphs and quotes keep their bold and italics as inline marks.
     """
     df = parts.withColumn("rels", relationships(F.col("rels_xml"))).withColumn("styles", style_names(F.col("styles_xml"))).withColumn("body", body_xml(F.col("document_xml")))
     keep = df.select("doc_id", "rels", "has_numbering")
@@ -177,7 +170,11 @@ def docx_blocks(parts: DataFrame) -> DataFrame:
     section = F.col("section")
     kind = F.when(F.col("level").isNotNull(), "heading").when(is_long_quote(F.col("xml"), F.col("folded_style")), "longQuote").otherwise("paragraph")
     none = F.array().cast(f"array<{BLOCK}>")
-    said = F.when(F.col("text") != "", F.array(block(kind, level=F.col("level"), text=F.col("text"), raw_text=F.col("raw_text"), style_id=F.col("style_id"), style_name=F.col("style_name"), section=section))).otherwise(none)
+    shown = F.col("text")
+    if marked is not None:
+        el = el.join(marked.select("doc_id", "idx", "marked"), ["doc_id", "idx"], "left")
+        shown = F.when(F.col("level").isNull(), F.coalesce(T.clean_text(F.col("marked")), shown)).otherwise(shown)
+    said = F.when(F.col("text") != "", F.array(block(kind, level=F.col("level"), text=shown, raw_text=F.col("raw_text"), style_id=F.col("style_id"), style_name=F.col("style_name"), section=section))).otherwise(none)
     images = F.transform(image_ids(F.col("xml"), F.col("rels")), lambda i: block(F.lit("image"), rel_id=i, target=F.try_element_at(F.col("rels"), i), section=section))
     breaks = F.when(F.col("xml").rlike(r'<w:br\b[^>]*w:type="page"|<w:lastRenderedPageBreak\b'), F.array(block(F.lit("pageBreak")))).otherwise(none)
     rows = table_rows(F.col("xml"))

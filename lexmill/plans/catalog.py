@@ -378,6 +378,13 @@ def package_roundtrip(spark, sf_dir):
     return media.join(held, "doc_id").select("doc_id", "rel_id", F.md5("data").alias("digest"), "cells", "n_parts")
 
 
+def imported_marks(spark, sf_dir):
+    """The marks that Word runs leave in the editor's text, and the runs that the editor's text then gives."""
+    rows = FM.marked_paragraphs(_styled(spark, sf_dir))
+    again = F.transform(F.filter(R.merge_runs(R.marked_runs(F.col("marked"))), lambda r: F.coalesce(r["bold"], F.lit(False)) | F.coalesce(r["italics"], F.lit(False))), lambda r: r["text"])
+    return _longs(rows.select("doc_id", "idx", "marked", F.array_join(again, "|").alias("marks_read")), "idx")
+
+
 # pages
 
 
@@ -439,7 +446,7 @@ def queries() -> dict:
         ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
         selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
-        ref_models, summary_findings, captions, caption_breaches, list_numbers, package_media, package_roundtrip, rendered_formats, rendered_properties, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
+        ref_models, summary_findings, captions, caption_breaches, imported_marks, list_numbers, package_media, package_roundtrip, rendered_formats, rendered_properties, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
     )
     marks = F.col
     by_field = {

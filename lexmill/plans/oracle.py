@@ -332,6 +332,11 @@ ju AS (SELECT *, CASE WHEN line_rule = 'auto' THEN line ELSE -line END AS spacin
 ORACLE |= {
     "style_sheets": _STYLED + f"SELECT sheet, id AS style_id, name AS style_name, {', '.join(_MARKS)} FROM eff",
     "run_formats": _STYLED + "SELECT * FROM rf",
+    "imported_marks": _STYLED
+    + """, mk AS (SELECT rf.doc_id, rf.idx, rf.run_idx, rf.text, CASE WHEN trim(rf.text) = '' THEN '' WHEN rf.bold AND NOT pf.bold THEN '**' WHEN rf.italic AND NOT pf.italic THEN '*' ELSE '' END AS mark FROM rf JOIN pf USING (doc_id, idx)),
+      gp AS (SELECT *, count(*) FILTER (mark <> before) OVER (PARTITION BY doc_id, idx ORDER BY run_idx) AS g FROM (SELECT *, lag(mark, 1, mark) OVER (PARTITION BY doc_id, idx ORDER BY run_idx) AS before FROM mk)),
+      sg AS (SELECT doc_id, idx, g, mark, string_agg(text, '' ORDER BY run_idx) AS text FROM gp GROUP BY doc_id, idx, g, mark)
+      SELECT doc_id, idx, string_agg(CASE mark WHEN '' THEN text ELSE regexp_extract(text, '^( *)', 1) || mark || trim(text) || mark || regexp_extract(text, '( *)$', 1) END, '' ORDER BY g) AS marked, coalesce(string_agg(trim(text), '|' ORDER BY g) FILTER (mark <> ''), '') AS marks_read FROM sg GROUP BY doc_id, idx""",
     "paragraph_formats": _STYLED
     + "SELECT doc_id, idx, style_id, kind, part, indent, first_line, line, line_rule, align, page_before, all_bold AS bold, array_to_string(fonts, ' ') AS fonts, array_to_string(sizes, ' ') AS sizes, array_to_string(colors, ' ') AS colors FROM ki",
     "format_breaches": _STYLED

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators.blocks import docx_blocks, text_blocks
+from lexmill.operators.formatting import marked_paragraphs
 
 TEXT_KINDS = ("txt", "md")
 _MAIN, _STYLES, _RELS, _NUMBERS = "word/document.xml", "word/styles.xml", "word/_rels/document.xml.rels", "word/numbering.xml"
@@ -102,10 +103,10 @@ def docx_properties(found: DataFrame) -> DataFrame:
     return found.where("kind = 'docx'").select("doc_id", "content").mapInPandas(run, "doc_id long, core_xml string, header_xml string")
 
 
-def docx_documents(found: DataFrame) -> DataFrame:
-    """doc_id, path, kind, text, blocks, has_numbering of the Word files that could be read."""
+def docx_documents(found: DataFrame, marks: bool = False) -> DataFrame:
+    """doc_id, path, kind, text, blocks, has_numbering of the Word files that could be read; with ``marks``, bold and italics as inline marks."""
     parts = docx_parts(found).where("error is null")
-    return parts.select("doc_id", "path").join(docx_blocks(parts), "doc_id").select("doc_id", "path", F.lit("docx").alias("kind"), "text", "blocks", "has_numbering")
+    return parts.select("doc_id", "path").join(docx_blocks(parts, marked_paragraphs(parts) if marks else None), "doc_id").select("doc_id", "path", F.lit("docx").alias("kind"), "text", "blocks", "has_numbering")
 
 
 def documents(found: DataFrame) -> DataFrame:

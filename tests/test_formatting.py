@@ -1,8 +1,14 @@
 """Style chains and marks of hand-made Word parts."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexmill.functions import values as V
+from lexmill.operators import blocks as B
+from lexmill.operators import fields as D
 from lexmill.operators import formatting as FM
+from lexmill.operators import layout as L
+from lexmill.sources import readers
 
 
 def sheet(*styles, defaults=""):
@@ -69,3 +75,29 @@ def test_parts_that_lack_or_are_empty(spark):
     assert [(r.doc_id, r.section, r.found) for r in FM.margin_breaches(given).collect()] == [(4, 0, "0,0,0,0")]
     standard = FM.effective_styles(given).where("style_id IS NULL and default_id IS NOT NULL").collect()
     assert [r.default_id for r in standard] == ["a"]
+
+
+def test_marks_of_runs(spark):
+    """Neighbours join, bold goes before italic, blanks stay outside, an asterisk or a bold style leaves no mark."""
+    xml = document(
+        paragraph(("<w:b/>", "um "), ('<w:b/><w:sz w:val="20"/>', " dois "), ("", "resto"), ("<w:i/><w:b/>", "x"), ("<w:i/>", "y"), ("<w:b/>", "2*3"), ("<w:b/>", " ")),
+        paragraph(("", "forte"), ('<w:b w:val="0"/><w:i/>', "claro"), p='<w:pStyle w:val="Strong"/>'),
+    )
+    rows = FM.marked_paragraphs(files(spark, (xml, sheet(style("Strong", r="<w:b/>"))))).orderBy("idx").collect()
+    assert [r.marked for r in rows] == ["**um  dois** resto**x***y*2*3 ", "forte*claro*"]
+
+
+def test_marks_survive_import_edit_and_export(spark):
+    """Word to blocks, to the editor's text, to layout rows, to Word: the same words are bold and italic."""
+    xml = document(paragraph(("", "1 INTRODUÇÃO")), paragraph(("", "Antes "), ("<w:b/>", "forte"), ("", " e "), ("<w:i/>", "fino"), ("", " depois.")), paragraph(("<w:b/>", "tudo")))
+    parts = files(spark, (xml, sheet())).select("*", F.lit("").alias("rels_xml"), F.lit(False).alias("has_numbering"))
+    blocks = B.docx_blocks(parts, FM.marked_paragraphs(parts))
+    assert [b.text for b in blocks.first().blocks] == ["1 INTRODUÇÃO", "Antes **forte** e *fino* depois.", "**tudo**"]
+    editor = D.annotated(blocks).select("doc_id", D.editor_text(F.col("marks")).alias("editor_text"))
+    assert "**forte**" in editor.first().editor_text
+    works = editor.select("doc_id", "editor_text", F.lit("tese").alias("work_type"), *[F.lit("").alias(k) for k in V.FIELD_KEYS])
+    made = L.render(L.layout_runs(L.layout_rows(works, 2026))).select("doc_id", F.lit("docx").alias("kind"), F.lit("x").alias("path"), F.col("docx").alias("content"))
+    again = readers.docx_parts(made)
+    runs = FM.run_formats(FM.paragraphs(again), again).where("text IN ('forte', 'fino', 'tudo', 'Antes ')").collect()
+    assert {(r.text, r.bold, r.italic) for r in runs} == {("forte", True, False), ("fino", False, True), ("tudo", True, False), ("Antes ", False, False)}
+    assert readers.docx_documents(made, marks=True).first().text.count("**forte**") == 1

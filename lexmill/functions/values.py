@@ -173,3 +173,6 @@ MODEL_NEEDS = {
 CAPTION_LABELS = ("FIGURA", "IMAGEM", "QUADRO", "GRAFICO", "FOTOGRAFIA", "MAPA", "DESENHO", "ESQUEMA", "FLUXOGRAMA", "ORGANOGRAMA", "PLANTA", "RETRATO", "TABELA")
 TABLE_LABEL = "TABELA"
 ANY_LABELS = ("QUADRO",)
+
+#: Characters that three lines hold; a quotation of more is a block of its own.
+THREE_LINES = 270

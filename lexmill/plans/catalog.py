@@ -15,6 +15,7 @@ from lexmill.operators import merge as M
 from lexmill.operators import models as RM
 from lexmill.operators import numbering as N
 from lexmill.operators import pages as P
+from lexmill.operators import quotations as Q
 from lexmill.operators import references as R
 from lexmill.operators import summary as SM
 from lexmill.operators import validation as W
@@ -342,6 +343,10 @@ def list_numbers(spark, sf_dir):
     return _longs(rows.withColumnRenamed("number", "shown"), "idx", "num_id", "ilvl", "level")
 
 
+def citations(spark, sf_dir):
+    return _longs(Q.citations(inputs.spark_frame(spark, sf_dir, inputs.CITED_BLOCKS)), "block_idx", "nth", "start", "rule")
+
+
 # packages
 
 
@@ -446,7 +451,7 @@ def queries() -> dict:
         ref_issue_counts, section_carry, detected_fields, docx_fields, work_issues, blocking_works, issue_messages, import_merge, manual_edits, editor_seed,
         selection_edits, file_kinds, first_images, editor_blocks, body_blocks, ref_union, start_page,
         safe_file_name, layout_rows, rendered_files, docx_blocks, docx_text, image_asset_merge,
-        ref_models, summary_findings, captions, caption_breaches, imported_marks, list_numbers, package_media, package_roundtrip, rendered_formats, rendered_properties, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
+        ref_models, summary_findings, captions, caption_breaches, imported_marks, list_numbers, citations, package_media, package_roundtrip, rendered_formats, rendered_properties, page_rows, contents_pages, illustration_lists, style_sheets, run_formats, paragraph_formats, format_breaches,
     )
     marks = F.col
     by_field = {

@@ -225,6 +225,16 @@ SELECT c_custkey AS doc_id, concat('<w:document><w:body>', {_LINES}, '</w:body><
 FROM {{customer}}
 """
 
+#: Paragraphs with citations: in quotes of either kind, nested, unclosed, over sentences, none, several a paragraph, in blocks.
+CITED_BLOCKS = """
+SELECT c_custkey AS doc_id, c_custkey % 5 AS block_idx, CASE WHEN c_custkey % 7 = 0 THEN 'longQuote' WHEN c_custkey % 11 = 0 THEN 'heading' ELSE 'paragraph' END AS block_type,
+  concat(CASE c_custkey % 9 WHEN 0 THEN 'Diz-se "o rio corre" ' WHEN 1 THEN 'Para ele, “a ''terra'' é "boa" e fértil. Sempre.” ' WHEN 2 THEN 'Sem marcas no texto ' WHEN 3 THEN 'Aspas “abertas sem fim ' WHEN 4 THEN 'Fecha” sem abrir «mas cita» '
+    WHEN 5 THEN concat('“', repeat('muitas palavras ', 20), '” ') WHEN 6 THEN '"dentro “fora” de" novo ' WHEN 7 THEN concat('Antes. «', c_name, '» ') ELSE '""vazio"" ' END,
+  CASE c_custkey % 4 WHEN 0 THEN concat('(SILVA, ', 1980 + c_custkey % 40, ', p. ', c_custkey % 90, ')') WHEN 1 THEN '(SOUZA; LIMA, 2001)' WHEN 2 THEN 'Costa e Reis (2010, p. 3-4)' ELSE 'sem fonte' END,
+  CASE c_custkey % 6 WHEN 0 THEN ' e "outra" frase (BRASIL, 1998, p. 7).' WHEN 1 THEN ' (SILVA, 1999) repete (SILVA, 1999).' ELSE '.' END) AS text
+FROM {customer}
+"""
+
 
 def duckdb(sql: str) -> str:
     """The SQL over DuckDB's views."""

@@ -545,6 +545,28 @@ SELECT *, CASE WHEN regexp_matches(shown, '^\d+(\.\d+)*\.?$') THEN len(string_sp
 ORACLE["list_numbers"] = _list_numbers()
 
 
+_CITED = r"\(\p{Lu}[^()]*,\s*(?:19|20)\d{2}[^()]*\)|\p{Lu}\p{Ll}+(?: (?:e|et al\.) ?\p{L}*)? \((?:19|20)\d{2}[^()]*\)"
+#: Quotes one by one by recursion, with the stack as a string; citations placed by what stands before each of them.
+ORACLE["citations"] = rf"""
+WITH RECURSIVE w AS ({inputs.duckdb(inputs.CITED_BLOCKS)}),
+tx AS (SELECT * FROM w WHERE block_type <> 'heading' AND regexp_matches(text, '{_CITED}')),
+ch AS (SELECT doc_id, p, substring(text, p, 1) AS m FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS p FROM tx) WHERE substring(text, p, 1) IN ('"', '“', '”', '«', '»')),
+tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM ch),
+sc AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS p, '' AS stack, 0::BIGINT AS first, 0::BIGINT AS start, 0::BIGINT AS stop FROM tx
+  UNION ALL SELECT s.doc_id, t.i, t.p, CASE WHEN x.closes THEN left(s.stack, length(s.stack) - 1) WHEN t.m IN ('”', '»') THEN s.stack ELSE s.stack || t.m END,
+    CASE WHEN s.stack = '' AND NOT x.closes AND t.m NOT IN ('”', '»') THEN t.p ELSE s.first END, CASE WHEN x.closes AND length(s.stack) = 1 THEN s.first ELSE 0 END, CASE WHEN x.closes AND length(s.stack) = 1 THEN t.p ELSE 0 END
+  FROM sc s JOIN tk t ON t.doc_id = s.doc_id AND t.i = s.i + 1, LATERAL (SELECT (t.m = '"' AND right(s.stack, 1) = '"') OR (t.m = '”' AND right(s.stack, 1) = '“') OR (t.m = '»' AND right(s.stack, 1) = '«') AS closes) x),
+sp AS (SELECT doc_id, start, stop FROM sc WHERE stop > 0),
+pc AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_CITED}')) AS citation, unnest(range(len(regexp_extract_all(text, '{_CITED}')))) AS nth, unnest(list_slice(string_split_regex(text, '{_CITED}'), 1, -2)) AS ahead FROM tx),
+ct AS (SELECT *, (sum(length(ahead) + length(citation)) OVER (PARTITION BY doc_id ORDER BY nth))::BIGINT AS stop FROM pc),
+cs AS (SELECT *, stop - length(citation) + 1 AS start, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY nth), 0) AS behind FROM ct),
+qu AS (SELECT c.doc_id, c.nth, max(s.start) AS a, max(s.stop) AS b FROM cs c JOIN sp s ON s.doc_id = c.doc_id AND s.stop < c.start AND s.start > c.behind GROUP BY c.doc_id, c.nth),
+ro AS (SELECT t.doc_id, t.block_idx, c.nth, c.start, c.citation, nullif(regexp_extract(c.citation, '\bp\.\s*(\d+(?:-\d+)?)', 1), '') AS page, q.a IS NOT NULL AS quoted, t.block_type = 'longQuote' AS block,
+  CASE WHEN t.block_type = 'longQuote' THEN {_trim("substring(t.text, 1, c.start - 1)")} WHEN q.a IS NOT NULL THEN substring(t.text, q.a + 1, q.b - q.a - 1) END AS quote FROM cs c JOIN tx t USING (doc_id) LEFT JOIN qu q USING (doc_id, nth))
+SELECT doc_id, block_idx::BIGINT AS block_idx, nth, start, citation, page, quote, CASE WHEN length(quote) > {V.THREE_LINES} THEN 'long' WHEN quote IS NOT NULL THEN 'short' END AS length_class,
+  CASE WHEN block THEN 'indent' WHEN quoted THEN 'quotes' ELSE 'none' END AS mark, CASE WHEN block AND quoted THEN 28 WHEN NOT block AND NOT quoted AND page IS NOT NULL THEN 27 END::BIGINT AS rule FROM ro"""
+
+
 def _pages() -> dict[str, str]:
     """Pages by running sums, and lists whose entries are laid out once without and once with their pages."""
     from lexmill.operators.layout import STYLES

@@ -241,9 +241,6 @@ ORACLE: dict[str, str] = {
     "work_type": rf"WITH works AS ({_WORKS}), x AS (SELECT doc_id, {_fold('text')} AS t FROM works) SELECT doc_id, CASE WHEN regexp_matches(t, '\bTESE\b') THEN 'tese' WHEN regexp_matches(t, '\bDISSERTACAO\b') THEN 'dissertacao' WHEN regexp_matches(t, '\bMONOGRAFIA\b|\bTCC\b') THEN 'monografia' WHEN regexp_matches(t, '\bARTIGO\b') THEN 'artigo' ELSE '' END AS work_type FROM x",
     "work_issues": _ALL_ISSUES + "SELECT doc_id, ordinal::BIGINT AS ordinal, severity, code, n FROM al",
     "blocking_works": _ALL_ISSUES + "SELECT doc_id, bool_or(severity = 'error') AS blocking, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM al GROUP BY doc_id",
-    "import_merge": f"""WITH w AS ({_RECORDS}), a AS (SELECT doc_id, title, author, CASE WHEN doc_id % 2 = 0 THEN 'alta' ELSE 'nao-identificado' END AS c FROM w WHERE doc_id % 3 <> 0),
-      n AS (SELECT doc_id, 'novo ' || title AS title, 'Novo Autor' AS author, CASE WHEN doc_id % 5 = 0 THEN 'alta' ELSE 'nao-identificado' END AS c FROM w WHERE doc_id % 3 <> 1)
-      SELECT doc_id, coalesce(nullif(a.title, ''), n.title, '') AS title, coalesce(nullif(a.author, ''), n.author, '') AS author, CASE WHEN coalesce(n.c, 'nao-identificado') <> 'nao-identificado' THEN n.c ELSE coalesce(a.c, 'nao-identificado') END AS title_confidence FROM a FULL JOIN n USING (doc_id)""",
     "editor_blocks": _E + " SELECT doc_id, idx, type, text FROM ed",
     "body_blocks": _E
     + rf""", hs AS (SELECT doc_id, coalesce(bool_or(type IN ('heading1', 'heading2') AND contains({_fold("text")}, 'INTRODUCAO')), false) AS opened, coalesce(bool_or(type IN ('heading1', 'heading2') AND {_base(_fold("text"))} IN ('CONCLUSAO', 'CONSIDERACOES FINAIS')), false) AS closed FROM ed GROUP BY doc_id),

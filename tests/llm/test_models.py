@@ -166,8 +166,8 @@ def test_vocabulary_and_near_copies_equal_brute_force(spark, monkeypatch):
 
 def test_toxicity_scores_are_the_models(spark, larger):
     model = toxicity.Model({"bad": 1.5, "ugly*": 0.5, "fine": -2.0}, -0.25)
-    for text, z in (("Bad, BAD; uglyness", -0.25 + 1.5), ("uglys fine", -0.25 + 0.5 - 2.0), ("", -0.25), (None, -0.25)):
-        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-12 or "uglyness" in (text or "")
+    for text, z in (("Bad, BAD; uglyness", -0.25 + 1.5 + 0.5), ("uglys fine", -0.25 + 0.5 - 2.0), ("", -0.25), (None, -0.25)):
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
     assert abs(model.score("x ugly1 uglyx") - 1 / (1 + np.exp(-0.25))) < 1e-12
 
 

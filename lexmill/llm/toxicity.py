@@ -32,8 +32,6 @@ THRESHOLD = 0.3
 POSITIVES = 3_000
 UNLABELLED = 9_000
 VOCABULARY = 600
-#: Labelled texts that the prior is estimated from at least; where fewer are left without near copies, from all labels.
-LEAST_LABELLED = 100
 #: A word counts for the vocabulary from this many positives and this share of them on: a few copies of one
 #: text don't suffice.
 LEAST_POSITIVES = 3
@@ -160,7 +158,7 @@ def learn(docs: DataFrame, toxic: DataFrame, positives: int = POSITIVES, unlabel
 
     Positives are rows marked 1; unlabelled are all rows of ``docs``, whatever their label. Near copies of a text count
     once. ``prior`` is the toxic share of the unlabelled texts; by default that of those labelled ones that are left
-    without near copies, or of all labels if these are fewer than LEAST_LABELLED.
+    without near copies, or of all labels if none is left.
     """
     marks = toxic.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.where("doc_id is not null").select("doc_id").distinct().join(marks, "doc_id", "left")
@@ -177,7 +175,7 @@ def learn(docs: DataFrame, toxic: DataFrame, positives: int = POSITIVES, unlabel
         return _constant(prior if prior is not None else share)
     if prior is None:
         known = [r["toxic"] for r in texts[False] if r["toxic"] is not None]
-        prior = float(np.mean(known)) if len(known) >= LEAST_LABELLED else share
+        prior = float(np.mean(known)) if known else share
     prior = min(max(prior, 0.005), 0.9)
     # texts that share a doc_id and a hash are equal in words
     wanted = {(r["positive"], r["doc_id"], r["hash"]) for x in texts.values() for r in x}
@@ -209,7 +207,7 @@ def learn(docs: DataFrame, toxic: DataFrame, positives: int = POSITIVES, unlabel
     # the sign and order of the scores are the fit's; labelled texts among the unlabelled make probabilities of them
     marked = ~positive & table.column("toxic").is_valid().to_numpy(zero_copy_only=False)
     y = table.column("toxic").fill_null(0).to_numpy()[marked].astype(float)
-    if len(y) >= LEAST_LABELLED and 0 < y.sum() < len(y):
+    if 0 < y.sum() < len(y):
         scale, slope, bias = fit_curve(features[marked] @ w[:-1] + w[-1], y, np.ones(len(y)))
         if slope > 0:
             w *= slope / scale

@@ -45,7 +45,8 @@ def readdressed(parts: DataFrame, media: DataFrame) -> DataFrame:
     """``parts`` with rels_xml led to content addresses, and ``media`` array<struct<target, data>>, each content once."""
     rows = addressed(links(parts, media))
     held = rows.groupBy("doc_id", "part").agg(F.first("data").alias("data")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("part").alias("target"), "data"))).alias("media"))
-    tag = F.concat(F.lit('<Relationship Id="'), T.escape_xml(F.col("rel_id")), F.lit(f'" Type="{_OFFICE}/image" Target="'), T.escape_xml(F.col("part")), F.lit('"/>'))
+    # ids are read as they are written, targets decoded
+    tag = F.concat(F.lit('<Relationship Id="'), F.col("rel_id"), F.lit(f'" Type="{_OFFICE}/image" Target="'), T.escape_xml(F.col("part")), F.lit('"/>'))
     led = rows.where("rel_id IS NOT NULL").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(tag)), "").alias("led"))
     tags = F.regexp_extract_all(F.coalesce("rels_xml", F.lit("")), F.lit(r"<Relationship\b[^>]*>"), F.lit(0))
     other = F.array_join(F.filter(tags, lambda t: ~t.rlike(r'\bTarget="media/')), "")

@@ -11,7 +11,7 @@ from lexmill.operators.layout import layout_rows, layout_runs, render
 
 def rendered(works: DataFrame, as_of_year: int, logo: bytes | None = None) -> DataFrame:
     """doc_id, file_name, docx of every work record; ``logo`` is a PNG or JPEG file for the covers, or the institution's name stands there."""
-    files = render(layout_runs(layout_rows(works, as_of_year, logo is not None)), logo)
+    files = render(layout_runs(layout_rows(works, as_of_year, logo is not None)), logo, titles=works.select("doc_id", "title"))
     return works.select("doc_id", T.safe_file_name(F.col("title")).alias("file_name")).join(files, "doc_id")
 
 
@@ -27,7 +27,9 @@ def write_files(files: DataFrame, path: str) -> int:
     for r in files.toLocalIterator():
         target = hadoop.Path(f"{path.rstrip('/')}/{r['doc_id']}-{r['file_name']}")
         stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-        stream.write(bytes(r["docx"]))
-        stream.close()
+        try:
+            stream.write(bytes(r["docx"]))
+        finally:
+            stream.close()
         n += 1
     return n

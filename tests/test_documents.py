@@ -9,7 +9,7 @@ from lexmill.operators import fields as D
 from lexmill.operators import layout as L
 from lexmill.operators import merge as M
 from lexmill.operators import validation as W
-from lexmill.sources import readers, writers
+from lexmill.sources import packages, readers, writers
 
 WORK = """Autor:
 Maria da Silva
@@ -147,6 +147,36 @@ def test_rendered_file_reads_back(spark, tmp_path):
     assert texts["md"] == WORK and "Solos do cerrado: manejo" in texts["docx"]
 
 
+def test_files_are_written_and_named(spark, tmp_path):
+    """As a table and one by one; the page number's look, title and description stand in each file."""
+    works = _fields(spark, WORK)
+    files = writers.rendered(works, 2026).cache()
+    writers.write_table(files, f"file://{tmp_path}/table")
+    assert [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/table").collect()] == [tuple(r) for r in files.collect()]
+    assert writers.write_files(files, f"file://{tmp_path}/single/") == files.count() == 1
+    row = files.first()
+    data = (tmp_path / "single" / f"{row.doc_id}-{row.file_name}").read_bytes()
+    assert data == bytes(row.docx)
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        header, core, types = (z.read(n).decode() for n in ("word/header1.xml", "docProps/core.xml", "[Content_Types].xml"))
+    assert header.count('<w:sz w:val="22"/>') == 4 and 'w:ascii="Times New Roman"' in header and 'w:val="right"' in header and "core-properties" in types
+    assert f"<dc:title>{works.first().title}</dc:title>" in core and f"<dc:creator>{L.CREATOR}</dc:creator>" in core and "<dc:description>" in core
+
+
+def test_media_are_kept_once_by_content(spark):
+    """Equal bytes are one part; relationships to other things, media without one and odd names stay."""
+    rels = '<Relationships><Relationship Id="a" Target="media/1.PNG"/><Relationship Id="b" Target="media/2.png"/><Relationship Id="s" Target="styles.xml"/><Relationship Id="gone" Target="media/9.png"/><Relationship Id="q&amp;" Target="media/x"/></Relationships>'
+    parts = spark.createDataFrame([(1, "<w:document/>", None, rels, None), (2, "<w:document/>", "<w:styles/>", None, "<w:numbering/>")], "doc_id long, document_xml string, styles_xml string, rels_xml string, numbering_xml string")
+    media = spark.createDataFrame([(1, "media/1.PNG", b"same"), (1, "media/2.png", b"same"), (1, "media/x", b"odd"), (1, "media/free.gif", b"")], "doc_id long, target string, data binary")
+    made = packages.packed(packages.readdressed(parts, media)).select("doc_id", F.lit("docx").alias("kind"), F.lit("p").alias("path"), F.col("docx").alias("content"))
+    read = readers.docx_parts(made)
+    assert {r.doc_id: (r.error, r.has_numbering, len(r.media)) for r in read.collect()} == {1: (None, False, 3), 2: (None, True, 0)}
+    led = {(r.rel_id, bytes(r.data)) for r in packages.links(read, readers.docx_media(made)).collect()}
+    assert led == {("a", b"same"), ("b", b"same"), ("q&amp;", b"odd"), (None, b"")}
+    assert 'Target="styles.xml"' in read.where("doc_id = 1").first().rels_xml
+    assert packages.package("<a/>", None, None, None, []) == packages.package("<a/>", None, None, None, [])
+
+
 def test_word_parts(spark):
     xml = (
         '<w:body><w:p><w:pPr><w:pStyle w:val="T1"/></w:pPr><w:r><w:t>Obra</w:t></w:r></w:p>'

@@ -101,7 +101,7 @@ SELECT s_suppkey AS doc_id, concat('<w:document><w:body>',
   '<w:p><w:r><w:drawing r:embed="rId', s_suppkey % 4, '"/></w:r></w:p>',
   '<w:p><w:r><w:t>REFERÊNCIAS</w:t></w:r></w:p><w:p><w:r><w:t>Item</w:t></w:r></w:p></w:body></w:document>') AS document_xml,
   '<w:styles><w:style w:styleId="Ttulo1"><w:name w:val="heading 1"/></w:style></w:styles>' AS styles_xml,
-  '<Relationships><Relationship Id="rId1" Target="media/a.png"/><Relationship Id="rId2" Target="media/b.JPG"/><Relationship Id="rId3" Target="styles.xml"/></Relationships>' AS rels_xml,
+  concat('<Relationships><Relationship Id="rId1" Target="media/a.png"/>', CASE WHEN s_suppkey % 5 = 0 THEN '<Relationship Id="rId09" Target="media/a.png"/>' ELSE '' END, '<Relationship Id="rId2" Target="media/b.', CASE s_suppkey % 3 WHEN 0 THEN 'gif' WHEN 1 THEN 'jpeg' ELSE 'JPG' END, '"/><Relationship Id="rId3" Target="styles.xml"/></Relationships>') AS rels_xml,
   s_suppkey % 2 = 0 AS has_numbering
 FROM {supplier}
 """

@@ -255,7 +255,6 @@ ORACLE: dict[str, str] = {
     "safe_file_name": rf"WITH w AS ({_RECORDS}), x AS (SELECT doc_id, lower(regexp_replace(regexp_replace(strip_accents(title), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS n FROM w) SELECT doc_id, CASE WHEN n = '' THEN 'trabalho' ELSE n END || '.docx' AS file_name FROM x",
     "docx_blocks": _DOCX + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, m) - 1 AS block_idx, block_type, level, text, section FROM bl",
     "docx_text": _DOCX + "SELECT doc_id, string_agg(text, chr(10) ORDER BY k, m) FILTER (block_type <> 'pageBreak') AS text, doc_id % 2 = 0 AS has_numbering FROM bl GROUP BY doc_id",
-    "image_asset_merge": "SELECT s_suppkey AS doc_id, x.rel_id, x.target, x.file_name, x.extension, x.mime_type FROM supplier, (VALUES ('rId1', 'media/a.png', 'a.png', 'png', 'image/png'), ('rId2', 'media/b.JPG', 'b.JPG', 'jpg', 'image/jpeg'), (NULL, 'media/c.webp', 'c.webp', 'webp', 'image/webp')) AS x(rel_id, target, file_name, extension, mime_type)",
 }
 
 
@@ -564,6 +563,21 @@ SELECT doc_id, block_idx::BIGINT AS block_idx, nth, start, citation, page, quote
   CASE WHEN block THEN 'indent' WHEN quoted THEN 'quotes' ELSE 'none' END AS mark, CASE WHEN block AND quoted THEN 28 WHEN NOT block AND NOT quoted AND page IS NOT NULL THEN 27 END::BIGINT AS rule FROM ro"""
 
 
+#: Relationships from the XML met in full with the media that every file of that input is said to hold.
+_ASSETS = rf"""
+WITH w AS ({inputs.duckdb(inputs.WORD_FILES)}),
+tg AS (SELECT doc_id, unnest(regexp_extract_all(rels_xml, '<Relationship [^>]*>')) AS x FROM w),
+rl AS (SELECT doc_id, regexp_extract(x, 'Id="([^"]+)"', 1) AS rel_id, regexp_extract(x, 'Target="([^"]+)"', 1) AS target FROM tg WHERE contains(x, 'Target="media/')),
+nm AS (SELECT doc_id, target, min(rel_id) AS rel_id FROM rl GROUP BY doc_id, target),
+md AS (SELECT doc_id, unnest(['media/a.png', 'media/c.webp']) AS target FROM w),
+av AS (SELECT doc_id, target, rel_id, split_part(target, '/', -1) AS file_name, lower(regexp_extract(target, '\.([^./]+)$', 1)) AS extension FROM nm FULL JOIN md USING (doc_id, target)),
+us AS (SELECT doc_id, unnest(regexp_extract_all(document_xml, 'r:embed="([^"]+)"', 1)) AS rel_id, generate_subscripts(regexp_extract_all(document_xml, 'r:embed="([^"]+)"', 1), 1) AS k FROM w),
+fi AS (SELECT us.doc_id, arg_min(target, k) AS target FROM us JOIN rl USING (doc_id, rel_id) GROUP BY us.doc_id)
+"""
+ORACLE["image_asset_merge"] = _ASSETS + "SELECT doc_id, rel_id, target, file_name, extension, CASE extension WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' ELSE 'image/' || extension END AS mime_type FROM av"
+ORACLE["first_images"] = _ASSETS + "SELECT a.doc_id, coalesce(any_value(fi.target), min(a.target)) AS target FROM av a LEFT JOIN fi ON fi.doc_id = a.doc_id GROUP BY a.doc_id"
+
+
 def _pages() -> dict[str, str]:
     """Pages by running sums, and lists whose entries are laid out once without and once with their pages."""
     from lexmill.operators.layout import STYLES
@@ -711,7 +725,6 @@ ORACLE |= {
         left(t, s0) || '**' || substr(t, s0 + 1, s1 - s0) || '**' || substr(t, s1 + 1) AS bold FROM l""",
     "file_kinds": f"""WITH {_blocks('documents')}, n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id)
       SELECT d.doc_id, ['txt', 'md', 'docx', 'pdf'][d.doc_id % 4 + 1] AS kind, ['text', 'text', 'unreadable archive: BadZipFile', 'unsupported format'][d.doc_id % 4 + 1] AS outcome, CASE WHEN d.doc_id % 4 < 2 THEN coalesce(n.n, 0) END AS n_blocks FROM documents d LEFT JOIN n USING (doc_id)""",
-    "first_images": "SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 4 = 2 THEN 'media/b.JPG' ELSE 'media/a.png' END AS target FROM supplier",
 }
 ORACLE |= _pages()
 ORACLE |= _rendered()

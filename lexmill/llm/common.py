@@ -128,6 +128,21 @@ def one_text_each(docs: DataFrame, chosen: DataFrame, *by: str) -> DataFrame:
     return texts.groupBy(*chosen.columns).agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def with_least_text(docs: DataFrame, *by: str) -> DataFrame:
+    """``by`` and h: the least hash of the texts that rows with these values have. No text is shuffled."""
+    return docs.groupBy(*by).agg(F.min(text_hash()).alias("h"))
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, *by: str) -> DataFrame:
+    """The columns of ``chosen`` (``by``, h and others) with the texts of that hash; rows of ``docs`` that are equal in all give a row each."""
+    texts = docs.select(*by, text_hash().alias("h"), F.col("text").cast("string").alias("text"))
+    return texts.join(chosen, [*by, "h"])
+
+
 def bounded_sample(rows: DataFrame, label: str, per_label: int | dict, seed: int = 42) -> DataFrame:
     """At most ``per_label`` rows of each value of ``label`` (or a number by value), those with the least seeded hash of doc_id.
 

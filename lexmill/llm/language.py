@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from lexmill.llm.common import bounded_sample, fresh, split_remainder, staged
+from lexmill.llm.common import bounded_sample, fresh, split_remainder, staged, texts_of, with_least_text
 
 UNDETERMINED = "und"
 #: Length of a profile, and the longest n-gram.
@@ -153,11 +153,9 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
     Only the ids are ranked; the sampled texts are counted where they are read, and the counts added up by
     (lang, n-gram). The driver gets PROFILE rows for each language.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64(F.col("text").cast("string")).alias("h"), "text").where("lang is not null and doc_id is not null")
-    # of an id's texts the one of least hash; no text goes through a shuffle
-    ids = known.groupBy("doc_id", "lang").agg(F.min("h").alias("h"))
-    chosen = staged(bounded_sample(ids, "lang", per_language), "language-sample")
-    texts = known.where("text is not null").join(chosen, ["doc_id", "lang", "h"], "left_semi").select("lang", "text")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("lang is not null and doc_id is not null and text is not null")
+    chosen = staged(bounded_sample(with_least_text(known, "doc_id", "lang"), "lang", per_language), "language-sample")
+    texts = texts_of(known, chosen, "doc_id", "lang").select("lang", "text")
     counted = texts.mapInArrow(_sample_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked: dict[str, list[int]] = {}

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import bounded_sample, one_text_each, split_remainder, staged
+from lexmill.llm.common import bounded_sample, split_remainder, staged, texts_of, with_least_text
 
 THRESHOLD = 0.3
 BLOCK = 2048
@@ -112,10 +112,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     if len(share) < 2:
         return Model(base=base)
     # the seeded hash that chooses the rows also deals them: every other one trains the curve
-    chosen = bounded_sample(docs.select("doc_id").distinct().join(marks, "doc_id"), "good", rows_per_class)
+    chosen = bounded_sample(with_least_text(docs, "doc_id").join(marks, "doc_id"), "good", rows_per_class)
     chosen = staged(chosen.withColumn("curve", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)) == 1), "quality-sample")
-    texts = staged(one_text_each(docs, chosen, "doc_id"), "quality-texts")
-    table = texts.where("not curve").select("doc_id", "good", "text").mapInArrow(_sampled_blocks, "doc_id long, good int, k int, block binary").toArrow().sort_by([("doc_id", "ascending"), ("k", "ascending")])
+    texts = staged(texts_of(docs, chosen, "doc_id"), "quality-texts")
+    table = texts.where("not curve").select("doc_id", "good", "text").mapInArrow(_sampled_blocks, "doc_id long, good int, k int, block binary").distinct().toArrow().sort_by([("doc_id", "ascending"), ("k", "ascending")])
     samples: dict[int, list[bytes]] = {0: [], 1: []}
     for kind, block in zip(table.column("good").to_pylist(), table.column("block").to_pylist(), strict=True):
         samples[kind].append(block)
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
             x = [found.evidence(t.as_py()) for t in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.float64())], ["doc_id", "good", "x"])
 
-    table = texts.where("curve").select("doc_id", "good", "text").mapInArrow(weigh, "doc_id long, good int, x double").toArrow().sort_by("doc_id")
+    table = texts.where("curve").select("doc_id", "good", "text").mapInArrow(weigh, "doc_id long, good int, x double").distinct().toArrow().sort_by("doc_id")
     x, y = table.column("x").to_numpy(), table.column("good").to_numpy().astype(float)
     if len(set(y)) < 2:
         return Model(base=base)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import bounded_sample, one_text_each, split_remainder, staged
+from lexmill.llm.common import bounded_sample, split_remainder, staged, texts_of, with_least_text
 from lexmill.llm.quality import fit_curve
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -161,13 +161,13 @@ def learn(docs: DataFrame, toxic: DataFrame, positives: int = POSITIVES, unlabel
     without near copies, or of all labels if none is left.
     """
     marks = toxic.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().join(marks, "doc_id", "left")
+    ids = with_least_text(docs.where("doc_id is not null"), "doc_id").join(marks, "doc_id", "left")
     kinds = ids.withColumn("positive", F.explode(F.when(F.col("toxic") == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
     chosen = staged(bounded_sample(kinds, "positive", {True: positives, False: unlabelled}), "toxicity-sample")
-    found = one_text_each(docs, chosen, "doc_id").select("doc_id", "positive", "toxic", "text")
+    found = texts_of(docs, chosen, "doc_id").select("doc_id", "positive", "toxic", "text")
     rows = staged(found.mapInArrow(_word_rows, "doc_id long, positive boolean, toxic int, hash binary, words array<string>"), "toxicity-words")
     # at most POSITIVES + UNLABELLED rows of some 50 bytes
-    table = rows.select("doc_id", "positive", "toxic", "hash").toArrow().sort_by([("positive", "ascending"), ("doc_id", "ascending"), ("hash", "ascending")]).to_pylist()
+    table = rows.select("doc_id", "positive", "toxic", "hash").distinct().toArrow().sort_by([("positive", "ascending"), ("doc_id", "ascending"), ("hash", "ascending")]).to_pylist()
     texts = {kind: [r for r in table if r["positive"] == kind] for kind in (True, False)}
     texts = {kind: [x[k] for k in distinct([r["hash"] for r in x])] for kind, x in texts.items()}
     share = marks.agg(F.avg("toxic")).first()[0]

@@ -11,6 +11,8 @@ from lexmill.functions import values as V
 
 #: Every character that counts as white space, for a regular expression class.
 WS = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same as a class of its own. Visible ASCII is ruled out by one range, before the many parts of WS are tried.
+SPACE = rf"[[^!-~]&&[{WS}]]"
 #: A word boundary between ASCII word characters, whatever the Java version.
 AB = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -35,12 +37,12 @@ def let(value: Column, body) -> Column:
 
 def trim(x: Column) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(x, f"^[{WS}]+|[{WS}]+$", "")
+    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def clean(x: Column) -> Column:
     """White space collapsed to single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(x, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(x, f"{SPACE}+", " "))
 
 
 def unaccent(x: Column) -> Column:

@@ -17,6 +17,10 @@ from lexmill.functions import values as V
 #: The label, number and title of a folded caption.
 CAPTION = rf"^({'|'.join(V.CAPTION_LABELS)})\s+(\d+(?:\.\d+)*)\s*[-:.]?\s*(.*)$"
 
+#: Texts that may fold to a caption: only white space and combining marks before one of the labels' first letters, or before a
+#: letter that folding changes. No other text can, so no other is folded.
+MAYBE_CAPTION = rf"^(?:{T.SPACE}|[\x{{300}}-\x{{36F}}])*(?:[{''.join(sorted({x for label in V.CAPTION_LABELS for x in (label[0], label[0].lower())}))}]|\P{{ASCII}})"
+
 
 def _events(blocks: DataFrame) -> DataFrame:
     """doc_id, block_idx, event (caption, source, image, table, heading), text and for captions label, number."""

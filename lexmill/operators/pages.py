@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.functions import values as V
 from lexmill.operators import layout as L
-from lexmill.operators.captions import CAPTION
+from lexmill.operators.captions import CAPTION, MAYBE_CAPTION
 
 #: In hundredths of the size of the font.
 CHARACTER = 45
@@ -67,16 +67,15 @@ def paged(rows: DataFrame) -> DataFrame:
     A row is on the page of its first line. A page break is on the page that it ends.
     """
     order = Window.partitionBy("doc_id", "part").orderBy("seq")
-    df = heights(rows).withColumn("_segment", F.coalesce(F.sum((F.col("style") == "pageBreak").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("doc_id", "part", "_segment").orderBy("seq")
-    upto = F.coalesce(F.sum("height").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = df.withColumn("_ahead", upto)
-    whole = F.sum("height").over(Window.partitionBy("doc_id", "part", "_segment"))
-    # the last row of a segment brings its pages to the next
-    closes = F.lead("seq").over(inside).isNull()
-    df = df.withColumn("_pages", F.when(closes, F.greatest(_div(whole + _HEIGHT - 1, F.lit(_HEIGHT)), F.lit(1))).otherwise(0))
-    earlier = F.coalesce(F.sum("_pages").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    into = F.when(F.col("style") == "pageBreak", F.greatest(F.col("_ahead") - 1, F.lit(0))).otherwise(F.col("_ahead") + F.col("above") + F.col("line") - 1)
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.coalesce(F.col("style") == "pageBreak", F.lit(False))
+    df = heights(rows).withColumn("_sum", F.coalesce(F.sum("height").over(before), F.lit(0))).withColumn("_opens", F.lag(cut, 1, True).over(order))
+    # a segment's rows count from the sum at its first row, so all segments share one sort
+    df = df.withColumn("_ahead", F.col("_sum") - F.last(F.when(F.col("_opens"), F.col("_sum")), ignorenulls=True).over(upto))
+    # the break that closes a segment brings its pages to the next
+    df = df.withColumn("_pages", F.when(cut, F.greatest(_div(F.col("_ahead") + F.col("height") + _HEIGHT - 1, F.lit(_HEIGHT)), F.lit(1))).otherwise(0))
+    earlier = F.coalesce(F.sum("_pages").over(before), F.lit(0))
+    into = F.when(cut, F.greatest(F.col("_ahead") - 1, F.lit(0))).otherwise(F.col("_ahead") + F.col("above") + F.col("line") - 1)
     first = F.when(F.col("part") == "body", F.col("start_page")).otherwise(1)
     return df.withColumn("page", (first + earlier + _div(into, F.lit(_HEIGHT))).cast("long")).select(*rows.columns, "page")
 
@@ -94,30 +93,41 @@ def with_lists(rows: DataFrame) -> DataFrame:
     An entry is the title of a caption in the body and its page; documents without captions stay as they are. seq counts anew;
     start_page grows by the pages of the lists.
     """
+    body, kind = F.col("part") == "body", rows.schema["seq"].dataType
     caption = F.regexp_extract(T.fold_upper(F.coalesce("text", F.lit(""))), CAPTION, 1)
-    titles = rows.where((F.col("part") == "body") & F.col("style").isin("paragraph", "simple")).withColumn("_label", caption).where("_label <> ''")
-    titles = titles.select("doc_id", "seq", "text", (F.col("_label") == V.TABLE_LABEL).alias("of_tables"))
+    df = rows.withColumn("_label", F.nullif(F.when(body & F.col("style").isin("paragraph", "simple") & F.col("text").rlike(MAYBE_CAPTION), caption), F.lit("")))
+    df = df.withColumn("of_tables", F.when(F.col("_label").isNotNull(), F.col("_label") == V.TABLE_LABEL))
     # in front of the break that leads to the table of contents, or behind all of the front
-    front = rows.where("part = 'front'").groupBy("doc_id").agg(F.max(F.when(F.col("style") == "title", F.col("seq") - 1)).alias("contents"), (F.max("seq") + 1).alias("end"), F.first("start_page").alias("start_page"))
-    entries = titles.join(front, "doc_id").withColumn("at", F.coalesce("contents", "end"))
-    order = Window.partitionBy("doc_id", "of_tables").orderBy("seq")
-    entries = entries.withColumn("nth", F.row_number().over(order))
-    made = lambda style, text, place, own: F.struct(F.lit(style).alias("style"), text.alias("text"), place.cast("long").alias("nth"), own.alias("entry_of"))
-    none = F.lit(None).cast(rows.schema["seq"].dataType)
+    whole, front = Window.partitionBy("doc_id"), F.col("part") == "front"
+    contents_at, end = F.max(F.when(front & (F.col("style") == "title"), F.col("seq") - 1)).over(whole), F.max(F.when(front, F.col("seq"))).over(whole) + 1
+    upto = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    nth = [F.sum(F.when(F.col("of_tables") == tables, 1).otherwise(0)).over(upto) for tables in (False, True)]
+    df = df.withColumns({"at": F.coalesce(contents_at, end), "_of_illustrations": nth[0], "_of_tables": nth[1]})
+    df = df.withColumn("nth", F.when(F.col("of_tables"), F.col("_of_tables")).otherwise(F.col("_of_illustrations")))
+
+    def made(part: str | Column, style: str | Column, before: Column, text: Column, keys: tuple, own: Column) -> Column:
+        as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+        places = [k.cast(t).alias(f"k{n}") for n, (k, t) in enumerate(zip(keys, (kind, "int", "int", "long"), strict=True), 1)]
+        return F.struct(as_column(part).alias("part"), as_column(style).alias("style"), before.cast("long").alias("before"), text.alias("text"), *places, own.cast(kind).alias("entry_of"))
+
+    none = F.lit(None)
+    entry = lambda style, text, place, own: made("front", style, none, text, (F.col("at"), F.lit(0), F.col("of_tables"), place), own)
     title = F.when(F.col("of_tables"), LISTS[1][0]).otherwise(LISTS[0][0])
-    head = F.array(made("pageBreak", F.lit(""), F.lit(-1), none), made("sectionTitle", title, F.lit(0), none))
-    own = F.array(made("toc", F.col("text"), F.col("nth"), F.col("seq")))
-    new = entries.select("doc_id", "start_page", "at", "of_tables", F.explode(F.when(F.col("nth") == 1, F.concat(head, own)).otherwise(own)).alias("x"))
-    new = new.select("doc_id", "start_page", F.lit("front").alias("part"), "x.style", F.lit(None).cast("long").alias("before"), "x.text", F.col("at").alias("k1"), F.lit(0).alias("k2"), F.col("of_tables").cast("int").alias("k3"), F.col("x.nth").alias("k4"), "x.entry_of")
-    old = rows.select("doc_id", "start_page", "part", "style", "before", "text", F.col("seq").alias("k1"), F.lit(1).alias("k2"), F.lit(0).alias("k3"), F.lit(0).cast("long").alias("k4"), none.alias("entry_of"))
-    both = old.unionByName(new).withColumn("seq", (F.row_number().over(Window.partitionBy("doc_id").orderBy("k1", "k2", "k3", "k4")) - 1).cast(rows.schema["seq"].dataType))
+    head = (entry("pageBreak", F.lit(""), F.lit(-1), none), entry("sectionTitle", title, F.lit(0), none))
+    listed = entry("toc", F.col("text"), F.col("nth"), F.col("seq"))
+    itself = made(F.col("part"), F.col("style"), F.col("before"), F.col("text"), (F.col("seq"), F.lit(1), F.lit(0), F.lit(0)), none)
+    # a caption's row brings its entry with it, the first one of a list the list's head too
+    shown = F.when(F.col("of_tables").isNull() | F.col("at").isNull(), F.array(itself)).when(F.col("nth") == 1, F.array(itself, *head, listed)).otherwise(F.array(itself, listed))
+    both = df.select("doc_id", "start_page", F.inline(shown))
+    both = both.withColumn("seq", (F.row_number().over(Window.partitionBy("doc_id").orderBy("k1", "k2", "k3", "k4")) - 1).cast(kind))
     # first pass: how many pages the lists take
-    sheets = paged(both.select("doc_id", "start_page", "seq", "part", "style", "before", "text", "k2", "k3", "k1", "entry_of"))
+    sheets = paged(both)
     front_lists = (F.col("k2") == 0) & (F.col("style") != "pageBreak")
-    added = sheets.where(front_lists).groupBy("doc_id").agg(F.countDistinct("page").alias("added"))
-    moved = sheets.join(added, "doc_id", "left").withColumn("start_page", F.col("start_page") + F.coalesce("added", F.lit(0))).withColumn("page", F.col("page") + F.when(F.col("part") == "body", F.coalesce("added", F.lit(0))).otherwise(0))
-    # second pass: the pages of the captions
-    pages = moved.where("part = 'body'").select(F.col("doc_id").alias("d"), F.col("k1").alias("own"), F.col("page").alias("own_page"))
-    filled = moved.join(pages, (F.col("doc_id") == F.col("d")) & (F.col("entry_of") == F.col("own")), "left")
-    text = F.when(F.col("own_page").isNotNull(), F.concat("text", F.lit("\t"), F.col("own_page").cast("string"))).otherwise(F.col("text"))
+    moved = sheets.withColumn("_added", F.size(F.collect_set(F.when(front_lists, F.col("page"))).over(whole)))
+    moved = moved.withColumn("start_page", F.col("start_page") + F.col("_added")).withColumn("page", F.col("page") + F.when(body, F.col("_added")).otherwise(0))
+    # second pass: a caption and its entry share a key, which brings the page of the one to the other
+    own = F.coalesce("entry_of", F.when(body, F.col("k1")))
+    own_page = F.max(F.when(body, F.col("page"))).over(Window.partitionBy("doc_id", own))
+    filled = moved.withColumn("_own_page", F.when(F.col("entry_of").isNotNull(), own_page))
+    text = F.when(F.col("_own_page").isNotNull(), F.concat("text", F.lit("\t"), F.col("_own_page").cast("string"))).otherwise(F.col("text"))
     return filled.select("doc_id", "start_page", "seq", "part", "style", "before", text.alias("text"), "page")

@@ -1,10 +1,10 @@
 """What keeps tasks small and the driver empty as tables grow, read off plans and partitions."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators import formatting as FM
+from lexmill.operators import pages as P
 from lexmill.plans import inputs
 
 SF = "/root/testdata/sf0.1"
@@ -25,3 +25,27 @@ def test_white_space_is_the_same_set(spark):
     chars = spark.range(0x10000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
     assert chars.where(F.col("c").rlike(f"^[{T.WS}]$") != F.col("c").rlike(f"^{T.SPACE}$")).count() == 0
     assert chars.where(F.col("c").rlike(f"^{T.SPACE}$")).count() > 20
+
+
+def test_pages_take_one_sort_and_lists_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, 4, 0, "front", "title", None, "A"), (1, 4, 1, "body", "simple", None, "Figura 1 - B")], "doc_id long, start_page int, seq int, part string, style string, before long, text string")
+    paged = plan(P.paged(rows))
+    assert paged.count("Exchange") == 1 and paged.count("Sort [") == 1
+    lists = plan(P.with_lists(rows))
+    assert lists.count("Exchange") == 1 and "Join" not in lists
+
+
+def test_captions_are_folded_whatever_their_first_letters(spark):
+    """The quick look at a text lets every caption through: accents, combining marks, white space and letters that fold."""
+    said = ["Figura 1 - A", "\u00a0 gra\u0301fico 2: B", "GRÁFICO 2", "\u0301Tabela 3 - C", "\ufb01gura 4", "Órgão 5", "xFigura 6", "", "Texto"]
+    rows = [(1, 4, k, "body", "simple", None, x) for k, x in enumerate(said)] + [(1, 4, 50, "front", "title", None, "S")]
+    found = P.with_lists(spark.createDataFrame(rows, "doc_id long, start_page int, seq int, part string, style string, before long, text string"))
+    entries = [r.text.split("\t")[0] for r in found.where("style = 'toc'").orderBy("seq").collect()]
+    assert entries == [said[0], said[1], said[2], said[4], said[3]]
+
+
+def test_sheets_are_not_sorted(spark):
+    """Distinct sheets are held in a hash table; no task sorts the sheets of all its files."""
+    files = spark.createDataFrame([(1, "<w:document/>", "<w:styles/>"), (2, "<w:document/>", None)], "doc_id long, document_xml string, styles_xml string")
+    made = plan(FM.effective_styles(files))
+    assert "SortAggregate" not in made and "Sort [" not in made

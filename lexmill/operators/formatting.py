@@ -94,7 +94,8 @@ def effective_styles(files: DataFrame) -> DataFrame:
     sheet: the digest of styles_xml. Each sheet has a row with a null style_id, for paragraphs without a style that it knows:
     default_id (of several default styles the least), its name and marks, and in ``base`` the document defaults.
     """
-    sheets = files.select(F.md5(_sheet().cast("binary")).alias("sheet"), _sheet().alias("xml")).groupBy("sheet").agg(F.first("xml").alias("xml"))
+    # distinct holds each sheet once in a hash table; a first sheet by digest would sort the sheets of all files
+    sheets = files.select(_sheet().alias("xml")).distinct().withColumn("sheet", F.md5(F.col("xml").cast("binary")))
     tags = F.regexp_extract_all(F.col("xml"), F.lit(r"(?s)<w:style\b.*?</w:style>"), F.lit(0))
     head = lambda s: F.regexp_extract(s, r"^<w:style\b[^>]*>", 0)
 
@@ -252,7 +253,7 @@ def marked_paragraphs(files: DataFrame) -> DataFrame:
 
     def written(r: Column) -> Column:
         mark = F.when(F.coalesce(r["bold"], F.lit(False)), "**").when(F.coalesce(r["italics"], F.lit(False)), "*").otherwise("")
-        lead, tail = F.regexp_extract(r["text"], rf"(?s)^([{T.WS}]*)", 1), F.regexp_extract(r["text"], rf"(?s)([{T.WS}]*)$", 1)
+        lead, tail = F.regexp_extract(r["text"], rf"(?s)^({T.SPACE}*)", 1), F.regexp_extract(r["text"], rf"(?s)({T.SPACE}*)$", 1)
         return F.when(mark == "", r["text"]).otherwise(F.concat(lead, mark, T.trim(r["text"]), mark, tail))
 
     return merged.select("doc_id", "idx", "runs", F.array_join(F.transform("runs", written), "").alias("marked"))

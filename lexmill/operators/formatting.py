@@ -188,7 +188,8 @@ def paragraph_formats(files: DataFrame) -> DataFrame:
     up_to = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     part = F.last(F.when(F.col("level").isNotNull(), T.heading_base(F.col("folded"))), ignorenulls=True).over(up_to)
     rows = found.select("doc_id", "idx", "text", "style_id", "style_name", "level", kind.alias("kind"), F.coalesce(part, F.lit("")).alias("part"), *PARAGRAPH)
-    return rows.join(looks, ["doc_id", "idx"], "left")
+    # both sides have a row for each paragraph: neither is small, whatever the plan makes of composed texts
+    return rows.join(looks.hint("merge"), ["doc_id", "idx"], "left")
 
 
 #: The parts that are set in single spacing.
@@ -243,7 +244,7 @@ def marked_paragraphs(files: DataFrame) -> DataFrame:
     """
     found = paragraphs(files).where("text <> ''")
     under = found.select("doc_id", "idx", F.col("under.bold").alias("style_bold"), F.col("under.italic").alias("style_italic"))
-    rows = run_formats(found, files).join(under, ["doc_id", "idx"])
+    rows = run_formats(found, files).join(under.hint("merge"), ["doc_id", "idx"])
     able = ~F.contains("text", F.lit("*")) & (T.trim(F.col("text")) != "")
     bold = able & F.col("bold") & ~F.col("style_bold")
     italic = able & F.col("italic") & ~F.col("style_italic") & ~bold

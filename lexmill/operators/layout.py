@@ -301,7 +301,8 @@ def render(rows: DataFrame, logo: bytes | None = None, logo_size: tuple[int, int
     """doc_id, docx: one Word file per document of layout rows with runs; ``titles`` (doc_id, title) name the files inside."""
     packed = F.array_sort(F.collect_list(F.struct("seq", "part", "style", "before", "text", "runs")))
     docs = rows.groupBy("doc_id").agg(F.max("start_page").alias("start_page"), packed.alias("rows"))
-    docs = docs.withColumn("title", F.lit(None).cast("string")) if titles is None else docs.join(titles.select("doc_id", "title"), "doc_id", "left")
+    # titles are as many as documents, however few bytes the plan expects of them: merged, never gathered at the driver
+    docs = docs.withColumn("title", F.lit(None).cast("string")) if titles is None else docs.join(titles.select("doc_id", "title").hint("merge"), "doc_id", "left")
 
     def write(batches):
         for b in batches:

@@ -270,7 +270,9 @@ def _rendered(spark, sf_dir):
 
 def rendered_formats(spark, sf_dir):
     """How the paragraphs of every record's Word file look, read back."""
-    rows = FM.paragraph_formats(readers.docx_parts(_rendered(spark, sf_dir)).where("error IS NULL"))
+    # Python hides how its rows are dealt, and files much alike pack to so few bytes that tasks cut by bytes would hold too many
+    parts = readers.docx_parts(_rendered(spark, sf_dir)).where("error IS NULL").repartition(inputs.tasks(spark, sf_dir, "customer"), "doc_id")
+    rows = FM.paragraph_formats(parts)
     joined = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("fonts", "sizes")]
     marks = ("indent", "first_line", "above", "after", "line")
     return _longs(rows.select("doc_id", "idx", *marks, "align", *joined), "idx", *marks)
@@ -278,8 +280,7 @@ def rendered_formats(spark, sf_dir):
 
 def rendered_properties(spark, sf_dir):
     """Title, page numbers and sections of every record's Word file, read back."""
-    files = _rendered(spark, sf_dir)
-    parts = readers.docx_parts(files).select("doc_id", "document_xml").join(readers.docx_properties(files), "doc_id")
+    parts = readers.docx_properties(_rendered(spark, sf_dir))
     got = lambda c, pattern: F.regexp_extract(c, pattern, 1)
     return parts.select(
         "doc_id", got("document_xml", r'<w:pgNumType w:start="(\d+)"').cast("long").alias("start_page"), T.decode_xml(got("core_xml", "(?s)<dc:title>(.*?)</dc:title>")).alias("title"),
@@ -355,7 +356,7 @@ def _packages(spark, sf_dir):
     parts = inputs.spark_frame(spark, sf_dir, inputs.CAPTION_FILES)
     media = inputs.spark_frame(spark, sf_dir, inputs.PACKAGE_MEDIA).groupBy("doc_id").agg(F.collect_list(F.struct("target", F.col("said").cast("binary").alias("data"))).alias("media"))
     numbering = F.when(F.col("doc_id") % 2 == 0, "<w:numbering/>")
-    return _as_files(K.packed(parts.withColumn("numbering_xml", numbering).join(media, "doc_id")))
+    return _as_files(K.packed(parts.withColumn("numbering_xml", numbering).join(media.hint("merge"), "doc_id")))
 
 
 def _as_files(made):
@@ -367,7 +368,7 @@ def package_media(spark, sf_dir):
     files = _packages(spark, sf_dir)
     parts = readers.docx_parts(files)
     rels = parts.select("doc_id", F.explode(B.relationships(F.col("rels_xml"))).alias("rel_id", "target"))
-    found = B.image_assets(rels, readers.docx_media(files)).join(parts.select("doc_id", "has_numbering"), "doc_id")
+    found = B.image_assets(rels, readers.docx_media(files)).join(parts.select("doc_id", "has_numbering").hint("merge"), "doc_id")
     return found.select("doc_id", "rel_id", "target", "mime_type", F.length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"), "has_numbering")
 
 
@@ -380,7 +381,7 @@ def package_roundtrip(spark, sf_dir):
     media = K.links(read, readers.docx_media(again))
     cells = F.array_join(F.flatten(F.flatten(F.transform(F.filter(B.body_elements(B.body_xml(F.col("document_xml"))), lambda x: F.startswith(x, F.lit("<w:tbl"))), B.table_rows))), "|")
     held = read.select("doc_id", cells.alias("cells"), F.size("media").cast("long").alias("n_parts"))
-    return media.join(held, "doc_id").select("doc_id", "rel_id", F.md5("data").alias("digest"), "cells", "n_parts")
+    return media.join(held.hint("merge"), "doc_id").select("doc_id", "rel_id", F.md5("data").alias("digest"), "cells", "n_parts")
 
 
 def imported_marks(spark, sf_dir):

@@ -246,13 +246,14 @@ def duckdb(sql: str) -> str:
 TASKS = {"customer": ("c_custkey", 2_000), "supplier": ("s_suppkey", 2_000), "orders": ("o_orderkey", 20_000)}
 
 
+def tasks(spark, sf_dir: str, name: str) -> int:
+    """How many tasks a table's documents make; its rows are counted from the files' footers."""
+    return -(-spark.read.parquet(f"{sf_dir}/{name}.parquet").count() // TASKS[name][1]) or 1
+
+
 def _table(spark, sf_dir: str, name: str):
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name not in TASKS:
-        return table
-    key, rows = TASKS[name]
-    # the count comes from the files' footers
-    return table.repartition(-(-table.count() // rows) or 1, key)
+    return table.repartition(tasks(spark, sf_dir, name), TASKS[name][0]) if name in TASKS else table
 
 
 def spark_frame(spark, sf_dir: str, sql: str):

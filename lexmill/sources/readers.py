@@ -87,7 +87,10 @@ def docx_media(found: DataFrame) -> DataFrame:
 
 
 def docx_properties(found: DataFrame) -> DataFrame:
-    """doc_id, core_xml, header_xml: the properties and the first header of the Word files; null where a file has none or is damaged."""
+    """doc_id, document_xml, core_xml, header_xml: the text, the properties and the first header of the Word files, read in one pass.
+
+    Null where a file has no such part or is damaged.
+    """
 
     def part(content: bytes | None, name: str) -> str | None:
         try:
@@ -98,9 +101,9 @@ def docx_properties(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "core_xml": [part(c, _CORE) for c in b["content"]], "header_xml": [part(c, _HEADER) for c in b["content"]]}, index=b.index)
+            yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [part(x, name) for x in b["content"]] for c, name in (("document_xml", _MAIN), ("core_xml", _CORE), ("header_xml", _HEADER))}}, index=b.index)
 
-    return found.where("kind = 'docx'").select("doc_id", "content").mapInPandas(run, "doc_id long, core_xml string, header_xml string")
+    return found.where("kind = 'docx'").select("doc_id", "content").mapInPandas(run, "doc_id long, document_xml string, core_xml string, header_xml string")
 
 
 def docx_documents(found: DataFrame, marks: bool = False) -> DataFrame:

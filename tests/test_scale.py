@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import formatting as FM
 from lexmill.operators import pages as P
-from lexmill.plans import inputs
+from lexmill.plans import catalog, inputs
 
 SF = "/root/testdata/sf0.1"
 
@@ -49,3 +49,17 @@ def test_sheets_are_not_sorted(spark):
     files = spark.createDataFrame([(1, "<w:document/>", "<w:styles/>"), (2, "<w:document/>", None)], "doc_id long, document_xml string, styles_xml string")
     made = plan(FM.effective_styles(files))
     assert "SortAggregate" not in made and "Sort [" not in made
+
+
+def test_files_are_rendered_once_and_never_broadcast(spark):
+    """Properties come from one pass over the files, and titles are joined without gathering them at the driver."""
+    made = plan(catalog.rendered_properties(spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in made and made.count("MapInPandas") == 2
+
+
+def test_runs_meet_paragraphs_without_broadcast(spark):
+    files = inputs.spark_frame(spark, "/root/testdata/sf0.001", inputs.STYLED_FILES)
+    looks = plan(FM.paragraph_formats(files))
+    assert "SortMergeJoin [doc_id" in looks and "BroadcastHashJoin [doc_id" not in looks
+    for name in ("captions", "list_numbers", "package_roundtrip", "docx_text"):
+        assert "Broadcast" not in plan(catalog.queries()[name](spark, "/root/testdata/sf0.001")), name

@@ -172,7 +172,7 @@ def docx_blocks(parts: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     none = F.array().cast(f"array<{BLOCK}>")
     shown = F.col("text")
     if marked is not None:
-        el = el.join(marked.select("doc_id", "idx", "marked"), ["doc_id", "idx"], "left")
+        el = el.join(marked.select("doc_id", "idx", "marked").hint("merge"), ["doc_id", "idx"], "left")
         shown = F.when(F.col("level").isNull(), F.coalesce(T.clean_text(F.col("marked")), shown)).otherwise(shown)
     said = F.when(F.col("text") != "", F.array(block(kind, level=F.col("level"), text=shown, raw_text=F.col("raw_text"), style_id=F.col("style_id"), style_name=F.col("style_name"), section=section))).otherwise(none)
     images = F.transform(image_ids(F.col("xml"), F.col("rels")), lambda i: block(F.lit("image"), rel_id=i, target=F.try_element_at(F.col("rels"), i), section=section))
@@ -182,7 +182,8 @@ def docx_blocks(parts: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     el = el.select("doc_id", "idx", F.when(F.col("is_table"), tables).otherwise(F.concat(said, images, breaks)).alias("made"))
     ordered = F.array_sort(F.collect_list(F.struct("idx", "made")))
     grouped = el.groupBy("doc_id").agg(F.flatten(F.transform(ordered, lambda x: x["made"])).alias("blocks"))
-    out = keep.join(grouped, "doc_id", "left").withColumn("blocks", F.coalesce("blocks", none))
+    # a row for each document on both sides, whose bytes the plan can't know: merged, never broadcast
+    out = keep.join(grouped.hint("merge"), "doc_id", "left").withColumn("blocks", F.coalesce("blocks", none))
     return out.withColumn("text", document_text(F.col("blocks")))
 
 

@@ -60,7 +60,8 @@ def captioned(blocks: DataFrame) -> DataFrame:
     owner = F.last(F.when(F.col("event").isin("image", "table", "heading"), F.struct("event", "block_idx")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     sources = events.withColumn("owner", owner).where("event = 'source' AND owner.event IN ('image', 'table')")
     first = sources.groupBy("doc_id", F.col("owner.block_idx").alias("block_idx")).agg(F.min_by("text", "block_idx").alias("source"))
-    return objects.join(first, ["doc_id", "block_idx"], "left")
+    # as many sources as objects: merged, however few bytes the plan expects of composed texts
+    return objects.join(first.hint("merge"), ["doc_id", "block_idx"], "left")
 
 
 def caption_breaches(blocks: DataFrame) -> DataFrame:

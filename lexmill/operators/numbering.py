@@ -35,7 +35,7 @@ def definitions(parts: DataFrame) -> DataFrame:
     kinds = parts.select("doc_id", F.explode(tags(xml, "abstractNum")).alias("x")).select("doc_id", _got(F.col("x"), r'^<w:abstractNum\b[^>]*\bw:abstractNumId="(\d+)"').alias("kind"), F.transform(tags(F.col("x"), "lvl"), level).alias("made"))
     override = lambda x: F.struct(_got(x, r'^<w:lvlOverride\b[^>]*\bw:ilvl="(\d+)"').cast("int").alias("ilvl"), _got(x, r'<w:startOverride\b[^>]*\bw:val="(\d+)"').cast("int").alias("start"))
     lists = parts.select("doc_id", F.explode(tags(xml, "num")).alias("x")).select("doc_id", _got(F.col("x"), r'^<w:num\b[^>]*\bw:numId="(\d+)"').cast("int").alias("num_id"), _got(F.col("x"), r'<w:abstractNumId\b[^>]*\bw:val="(\d+)"').alias("kind"), F.transform(tags(F.col("x"), "lvlOverride"), override).alias("own"))
-    found = lists.join(kinds, ["doc_id", "kind"])
+    found = lists.join(kinds.hint("merge"), ["doc_id", "kind"])
 
     def of(k: int) -> Column:
         defined = F.get(F.filter("made", lambda m: m["ilvl"] == k), F.lit(0))
@@ -72,7 +72,8 @@ def numbered(parts: DataFrame) -> DataFrame:
     el = el.select("doc_id", "idx", "num_id", "ilvl", "text", *[F.sum((F.col("ilvl") == k).cast("int")).over(upto).alias(f"_r{k}") for k in range(LEVELS)])
     since = lambda k: F.col(f"_r{k}") - F.coalesce(F.last(F.when(F.col("ilvl") < k, F.col(f"_r{k}")), ignorenulls=True).over(upto), F.lit(0))
     el = el.select("doc_id", "idx", "num_id", "ilvl", "text", F.array(*[since(k) for k in range(LEVELS)]).alias("counts"))
-    el = el.join(definitions(parts), ["doc_id", "num_id"], "left")
+    # each document brings its lists, so they are merged, never broadcast
+    el = el.join(definitions(parts).hint("merge"), ["doc_id", "num_id"], "left")
     asked = F.get(F.col("levels"), F.col("ilvl"))["text"]
 
     def place(k: int) -> Column:

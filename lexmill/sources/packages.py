@@ -31,7 +31,8 @@ def links(parts: DataFrame, media: DataFrame) -> DataFrame:
     parts: doc_id, rels_xml. media: doc_id, target, data. A relationship to media that are missing gives no row.
     """
     rels = parts.select("doc_id", F.explode(B.relationships(F.col("rels_xml"))).alias("rel_id", "target")).where(F.startswith("target", F.lit("media/")))
-    return media.join(rels, ["doc_id", "target"], "left").select("doc_id", "rel_id", "target", "data")
+    # both sides grow with the documents: merged, however well their bytes pack
+    return media.join(rels.hint("merge"), ["doc_id", "target"], "left").select("doc_id", "rel_id", "target", "data")
 
 
 def addressed(rows: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def readdressed(parts: DataFrame, media: DataFrame) -> DataFrame:
     tags = F.regexp_extract_all(F.coalesce("rels_xml", F.lit("")), F.lit(r"<Relationship\b[^>]*>"), F.lit(0))
     other = F.array_join(F.filter(tags, lambda t: ~t.rlike(r'\bTarget="media/')), "")
     whole = F.concat(F.lit(f'<Relationships xmlns="{_PACKAGE}/relationships">'), other, F.coalesce("led", F.lit("")), F.lit("</Relationships>"))
-    out = parts.drop("media").join(led, "doc_id", "left").join(held, "doc_id", "left")
+    out = parts.drop("media").join(led.hint("merge"), "doc_id", "left").join(held.hint("merge"), "doc_id", "left")
     return out.withColumn("rels_xml", whole).withColumn("media", F.coalesce("media", F.array().cast(_MEDIA))).drop("led")
 
 

@@ -54,6 +54,33 @@ def fold_upper(x: Column) -> Column:
     return clean(F.regexp_replace(F.upper(unaccent(x)), "[–—]", "-"))
 
 
+#: Lines of visible characters with single blanks between them: in ASCII, and in Latin-1. They have nothing to trim or clean,
+#: no dash but the plain one and no combining mark, so folding is upper case, and for the latter a table of letters.
+_ASCII_LINE = r"^[!-~]++(?: [!-~]++)*+\z"
+_LATIN_LINE = r"^[!-~\x{A1}-\x{FF}]++(?: [!-~\x{A1}-\x{FF}]++)*+\z"
+
+
+def trim_line(x: Column) -> Column:
+    """``trim`` of a value that costs nothing to name twice: most lines are found to need none by one quick test."""
+    return F.when(x.rlike(_LATIN_LINE), x).otherwise(trim(x))
+
+
+def fold_line(x: Column) -> Column:
+    """``fold_upper`` of a value that costs nothing to name twice; quick for plain lines."""
+    return F.when(x.rlike(_ASCII_LINE), F.upper(x)).when(x.rlike(_LATIN_LINE), F.upper(F.translate(x, ACCENTED, PLAIN))).otherwise(fold_upper(x))
+
+
+def fold_upper_text(x: Column) -> Column:
+    """``fold_upper`` of a text of many lines, folded line by line."""
+    return F.array_join(F.filter(F.transform(F.split(x, "\n"), fold_line), lambda f: f != ""), " ")
+
+
+def line_forms(x: Column) -> Column:
+    """struct<text, line, norm> of a line that costs nothing to name: trimmed, cleaned, folded."""
+    made = lambda text, line, norm: F.struct(text.alias("text"), line.alias("line"), norm.alias("norm"))
+    return F.when(x.rlike(_ASCII_LINE), made(x, x, F.upper(x))).when(x.rlike(_LATIN_LINE), made(x, x, F.upper(F.translate(x, ACCENTED, PLAIN)))).otherwise(made(trim(x), clean(trim(x)), fold_upper(x)))
+
+
 def fold_upper_keep_dashes(x: Column) -> Column:
     return clean(F.upper(unaccent(x)))
 
@@ -107,8 +134,13 @@ def heading_base(folded: Column) -> Column:
     return F.regexp_replace(folded, r"^\d+(?:\.\d+)*\s*", "")
 
 
+def line_base(folded: Column) -> Column:
+    """``heading_base`` of a value that costs nothing to name twice; only lines that a digit leads are changed."""
+    return F.when((folded >= "0") & (folded < ":"), heading_base(folded)).otherwise(folded)
+
+
 def is_year(x: Column) -> Column:
-    return trim(x).rlike(r"^(19|20)\d{2}$")
+    return x.rlike(rf"^{SPACE}*(19|20)\d{{2}}{SPACE}*$")
 
 
 def has_year(x: Column) -> Column:

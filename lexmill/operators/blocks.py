@@ -33,12 +33,12 @@ _MAYBE_HEADING = r"(?s)^(?:[0-9]|[rRaAiI].{0,10}$|(?=[rRaAiI]|\P{ASCII}).*\P{ASC
 
 def text_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with blocks: a heading or paragraph for each non-blank line. Null text: no blocks."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), T.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), T.trim_line), lambda x: x != "")
 
     def build(x: Column) -> Column:
         plain = block(F.lit("paragraph"), text=x, raw_text=x)
         level = lambda f: F.when(is_text_heading(f), F.when(f.rlike(r"^\d+\.\d+\s+"), 2).otherwise(1))
-        folded = T.let(T.let(T.fold_upper(x), level), lambda n: F.when(n.isNull(), plain).otherwise(block(F.lit("heading"), level=n, text=x, raw_text=x)))
+        folded = T.let(T.let(T.fold_line(x), level), lambda n: F.when(n.isNull(), plain).otherwise(block(F.lit("heading"), level=n, text=x, raw_text=x)))
         return F.when(x.rlike(_MAYBE_HEADING), folded).otherwise(plain)
 
     return docs.withColumn("blocks", F.transform(lines, build))

@@ -7,6 +7,9 @@ number of sections.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +21,10 @@ _NEVER = 1 << 30
 
 
 def annotated(docs: DataFrame) -> DataFrame:
-    """``docs`` (blocks) with ``marks``: for each block its place, type, level, text, and the folded forms of the text."""
-    said = F.transform("blocks", lambda b, k: F.struct(k.alias("i"), b["block_type"].alias("type"), b["level"].alias("level"), b["text"].alias("own"), T.trim(block_text(b)).alias("text"), T.fold_upper(block_text(b)).alias("norm")))
-    full = lambda s: F.struct(s["i"].alias("i"), s["type"].alias("type"), s["level"].alias("level"), s["own"].alias("own"), s["text"].alias("text"), s["norm"].alias("norm"), T.heading_base(s["norm"]).alias("base"))
-    return docs.withColumn("_said", said).withColumn("marks", F.transform("_said", full)).drop("_said")
+    """``docs`` (blocks) with ``marks``: for each block its place, type, level, text, and the cleaned and folded forms of the text."""
+    said = F.transform(F.transform("blocks", block_text), T.line_forms)
+    full = lambda b, k, f: F.struct(k.alias("i"), b["block_type"].alias("type"), b["level"].alias("level"), b["text"].alias("own"), *[f[c].alias(c) for c in ("text", "line", "norm")], T.line_base(f["norm"]).alias("base"))
+    return docs.withColumn("marks", T.let(said, lambda forms: F.transform("blocks", lambda b, k: full(b, k, F.get(forms, k)))))
 
 
 def is_references(m: Column) -> Column:
@@ -29,11 +32,11 @@ def is_references(m: Column) -> Column:
 
 
 def is_annex(m: Column) -> Column:
-    return (m["base"] == "ANEXOS") | m["base"].rlike(r"^ANEXO\s+[A-Z0-9]")
+    return (m["base"] == "ANEXOS") | (F.startswith(m["base"], F.lit("ANEXO")) & m["base"].rlike(r"^ANEXO\s+[A-Z0-9]"))
 
 
 def is_appendix(m: Column) -> Column:
-    return (m["base"] == "APENDICES") | m["base"].rlike(r"^APENDICE\s+[A-Z0-9]")
+    return (m["base"] == "APENDICES") | (F.startswith(m["base"], F.lit("APENDICE")) & m["base"].rlike(r"^APENDICE\s+[A-Z0-9]"))
 
 
 def is_introduction(m: Column) -> Column:
@@ -41,7 +44,8 @@ def is_introduction(m: Column) -> Column:
 
 
 def is_primary(m: Column) -> Column:
-    return ((m["type"] == "heading") & (m["level"] <= 1)) | m["norm"].rlike(r"^\d+\s+\S+") | m["base"].isin(*V.UNNUMBERED_HEADINGS)
+    # a line that leads with a number differs from its base; no other is tried
+    return ((m["type"] == "heading") & (m["level"] <= 1)) | ((m["norm"] != m["base"]) & m["norm"].rlike(r"^\d+\s+\S+")) | m["base"].isin(*V.UNNUMBERED_HEADINGS)
 
 
 def first(marks: Column, test) -> Column:
@@ -51,7 +55,7 @@ def first(marks: Column, test) -> Column:
 
 def span(marks: Column, start: Column, stop) -> Column:
     """The text after ``start`` up to the first mark that stops it; empty without a start."""
-    inside = lambda after, end: T.join_lines(F.transform(F.filter(after, lambda m: (m["i"] < end) & (m["text"] != "")), lambda m: m["text"]))
+    inside = lambda after, end: F.array_join(F.transform(F.filter(after, lambda m: (m["i"] < end) & (m["text"] != "")), lambda m: m["line"]), "\n")
     said = lambda at: T.let(F.filter(marks, lambda m: m["i"] > at), lambda after: T.let(F.coalesce(first(after, stop), F.lit(_NEVER)), lambda end: inside(after, end)))
     return T.let(start, lambda at: F.when(at.isNull(), "").otherwise(said(at)))
 
@@ -75,20 +79,25 @@ def cover_lines(marks: Column) -> Column:
 def is_author_name(x: Column, folded: Column) -> Column:
     terms = "|".join(rf"\Q{t}\E" for t in V.INSTITUTIONAL_TERMS)
     words = F.size(F.filter(F.split(T.clean(x), " "), lambda w: w != ""))
-    usual = ~T.is_generic_cover_line(folded) & ~T.is_location(folded) & ~T.is_year(x) & ~x.rlike(r"[:;]|\d") & ~folded.rlike(V.NOT_AN_AUTHOR) & ~F.upper(x).rlike(terms) & words.between(2, 8)
+    # the cheap tests go first; a year has digits
+    usual = ~T.is_generic_cover_line(folded) & F.contains(folded, F.lit(" ")) & ~x.rlike(r"[:;]|\d") & ~T.is_location(folded) & words.between(2, 8) & ~folded.rlike(V.NOT_AN_AUTHOR) & ~F.upper(x).rlike(terms)
     return (folded == V.AUTHOR_PLACEHOLDER) | usual
 
 
 def cover_year(cover: Column, as_of_year: int) -> tuple[Column, Column]:
     """(year, confidence): a labelled year, else the last one outside references and links, else ``as_of_year``."""
-    labelled = F.filter(F.transform(cover, lambda c: F.regexp_extract(c["text"], r"(?i)^\s*ano\s*[:\-]\s*((?:19|20)\d{2})\s*$", 1)), lambda y: y != "")
-    safe = F.filter(cover, lambda c: ~c["text"].rlike(rf"(?iu){T.AB}{V.UNSAFE_YEAR}{T.AB}"))
+    out = _cover_year(cover, as_of_year)
+    return out["year"], out["sure"]
+
+
+def _cover_year(cover: Column, as_of_year: int) -> Column:
+    """struct<year, sure> of ``cover_year``. Few lines hold a year; no other is looked at closely."""
+    labelled = lambda dated: F.filter(F.transform(dated, lambda c: F.regexp_extract(c["text"], r"(?i)^\s*ano\s*[:\-]\s*((?:19|20)\d{2})\s*$", 1)), lambda y: y != "")
+    safe = lambda dated: F.filter(dated, lambda c: ~c["text"].rlike(rf"(?iu){T.AB}{V.UNSAFE_YEAR}{T.AB}"))
     years = lambda c: F.transform(F.regexp_extract_all(c["text"], F.lit(rf"{T.AB}((?:19|20)\d{{2}}){T.AB}"), F.lit(1)), lambda y: F.struct(y.alias("year"), (T.trim(c["text"]) == y).alias("whole")))
-    last = F.try_element_at(F.flatten(F.transform(safe, years)), F.lit(-1))
-    found = F.struct(F.try_element_at(labelled, F.lit(1)).alias("label"), last.alias("last"))
+    found = lambda dated: F.struct(F.try_element_at(labelled(dated), F.lit(1)).alias("label"), F.try_element_at(F.flatten(F.transform(safe(dated), years)), F.lit(-1)).alias("last"))
     judged = lambda f: F.struct(F.coalesce(f["label"], f["last"]["year"], F.lit(str(as_of_year))).alias("year"), F.when(f["label"].isNotNull() | f["last"]["whole"], "alta").when(f["last"].isNotNull(), "media").otherwise("baixa").alias("sure"))
-    out = T.let(found, judged)
-    return out["year"], out["sure"]
+    return T.let(F.filter(cover, lambda c: c["text"].rlike(r"(?:19|20)\d{2}")), lambda dated: T.let(found(dated), judged))
 
 
 def occurrences(lines: Column, value: Column) -> Column:
@@ -97,7 +106,9 @@ def occurrences(lines: Column, value: Column) -> Column:
 
 
 def cover_author(cover: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.filter(cover, lambda c: is_author_name(c["text"], c["norm"])), F.lit(1))["text"], F.lit(""))
+    # once a name is found, no later line is tested
+    seen = F.aggregate(cover, F.lit(None).cast("string"), lambda name, c: F.when(name.isNotNull(), name).when(is_author_name(c["text"], c["norm"]), c["text"]))
+    return F.coalesce(seen, F.lit(""))
 
 
 def cover_title(cover: Column, author: Column) -> Column:
@@ -111,35 +122,45 @@ def cover_title(cover: Column, author: Column) -> Column:
 
 def following_label(lines: Column, labels: tuple[str, ...]) -> Column:
     """The value of the first line that is one of the labels: after its colon, or the next line unless a label too."""
-    inline = lambda m: m["norm"].rlike("^(?:" + "|".join(labels) + "):")
+    inline = lambda m: reduce(or_, [F.startswith(m["norm"], F.lit(f"{x}:")) for x in labels])
     numbered = F.transform(lines, lambda m, k: F.struct(m["text"].alias("text"), m["norm"].alias("norm"), F.try_element_at(lines, k + 2)["text"].alias("next"), F.try_element_at(lines, k + 2)["base"].alias("next_base")))
     hit = F.try_element_at(F.filter(numbered, lambda m: inline(m) | (m["norm"].isin(*labels) & m["next"].isNotNull() & ~m["next_base"].isin(*labels))), F.lit(1))
     value = lambda h: F.when(inline(h), F.substring(h["text"], F.position(F.lit(":"), h["text"]) + 1, F.length(h["text"]))).otherwise(h["next"])
     return F.coalesce(T.clean(T.let(hit, value)), F.lit(""))
 
 
-def _keyword_section(marks: Column, heading: str, keyword: str, stop) -> tuple[Column, Column]:
-    """(text, keywords) of a section that a keyword line closes. ``stop`` gets a mark and its place in the section."""
-    words = lambda m: F.regexp_extract(m["text"], keyword, 1)
+def _keyword_section(marks: Column, heading: str, keyword: str, lead: str, stop) -> Column:
+    """struct<text, words> of a section that a keyword line closes. ``stop`` gets a mark and its place in the section; ``lead``
+    is what a keyword line folds to at its start, so no other is tried."""
+    words = lambda m: F.when(F.startswith(m["norm"], F.lit(lead)), F.regexp_extract(m["text"], keyword, 1)).otherwise("")
     inside = lambda at: F.filter(marks, lambda m: (m["i"] > at) & (m["text"] != ""))
-    placed = lambda at: F.transform(inside(at), lambda m, k: F.struct(k.alias("i"), m["text"].alias("text"), words(m).alias("words"), ((words(m) != "") | stop(m, k)).alias("ends")))
+    placed = lambda at: F.transform(inside(at), lambda m, k: F.struct(k.alias("i"), m["line"].alias("line"), words(m).alias("words"), ((words(m) != "") | stop(m, k)).alias("ends")))
     end = lambda p: F.try_element_at(F.filter(p, lambda x: x["ends"]), F.lit(1))
     kept = lambda p, e: F.filter(p, lambda x: x["i"] < F.coalesce(e["i"], F.lit(_NEVER)))
-    closed = lambda p: T.let(end(p), lambda e: F.struct(T.join_lines(F.transform(kept(p, e), lambda x: x["text"])).alias("text"), F.coalesce(T.clean(e["words"]), F.lit("")).alias("words")))
-    out = T.let(first(marks, lambda m: m["base"] == heading), lambda at: F.when(at.isNull(), F.struct(F.lit("").alias("text"), F.lit("").alias("words"))).otherwise(T.let(placed(at), closed)))
-    return out["text"], out["words"]
+    closed = lambda p: T.let(end(p), lambda e: F.struct(F.array_join(F.transform(kept(p, e), lambda x: x["line"]), "\n").alias("text"), F.coalesce(T.clean(e["words"]), F.lit("")).alias("words")))
+    return T.let(first(marks, lambda m: m["base"] == heading), lambda at: F.when(at.isNull(), F.struct(F.lit("").alias("text"), F.lit("").alias("words"))).otherwise(T.let(placed(at), closed)))
+
+
+def _resumo(marks: Column) -> Column:
+    return _keyword_section(marks, "RESUMO", r"(?i)^palavras[- ]chave\s*[:\-]\s*(.+)$", "PALAVRAS", lambda m, k: m["base"].isin("ABSTRACT", "SUMARIO") | (is_primary(m) & (k > 0)))
+
+
+def _abstract(marks: Column) -> Column:
+    return _keyword_section(marks, "ABSTRACT", r"(?i)^keywords\s*[:\-]\s*(.+)$", "KEYWORDS", lambda m, k: m["base"].isin("INDICADORES DE IMPACTO", "IMPACT INDICATORS", "SUMARIO", "INTRODUCAO"))
 
 
 def resumo(marks: Column) -> tuple[Column, Column]:
-    return _keyword_section(marks, "RESUMO", r"(?i)^palavras[- ]chave\s*[:\-]\s*(.+)$", lambda m, k: m["base"].isin("ABSTRACT", "SUMARIO") | (is_primary(m) & (k > 0)))
+    out = _resumo(marks)
+    return out["text"], out["words"]
 
 
 def abstract(marks: Column) -> tuple[Column, Column]:
-    return _keyword_section(marks, "ABSTRACT", r"(?i)^keywords\s*[:\-]\s*(.+)$", lambda m, k: m["base"].isin("INDICADORES DE IMPACTO", "IMPACT INDICATORS", "SUMARIO", "INTRODUCAO"))
+    out = _abstract(marks)
+    return out["text"], out["words"]
 
 
 def introduction(marks: Column) -> Column:
-    return span(marks, first(marks, is_introduction), lambda m: m["norm"].rlike(r"^2\s+\S+") | is_references(m) | is_annex(m) | is_appendix(m))
+    return span(marks, first(marks, is_introduction), lambda m: (F.startswith(m["norm"], F.lit("2")) & m["norm"].rlike(r"^2\s+\S+")) | is_references(m) | is_annex(m) | is_appendix(m))
 
 
 def conclusion(marks: Column) -> Column:
@@ -179,16 +200,16 @@ def detect_fields(docs: DataFrame, as_of_year: int) -> DataFrame:
     df = annotated(docs).withColumn("lines", F.filter("marks", lambda m: m["text"] != "")).withColumn("cover", cover_lines(F.col("marks")))
     text = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.array_join(F.transform("lines", lambda m: m["text"]), "\n"))
     df = df.withColumn("_text", text)
-    for key in V.LABELS:
-        df = df.withColumn(f"_label_{key}", label_value(F.col("_text"), key))
+    df = df.withColumns({f"_label_{k}": label_value(F.col("_text"), k) for k in V.LABELS})
     label, marks, lines, cover = (lambda k: F.nullif(F.col(f"_label_{k}"), F.lit(""))), F.col("marks"), F.col("lines"), F.col("cover")
-    df = df.withColumn("_author", cover_author(cover)).withColumn("author", F.coalesce(label("author"), "_author"))
-    df = df.withColumn("_title", cover_title(cover, F.col("author"))).withColumn("title", F.coalesce(label("title"), "_title"))
-    nature = F.coalesce(F.try_element_at(F.filter(lines, lambda m: m["text"].rlike(rf"(?iu){V.WORK_NATURE}")), F.lit(1))["text"], F.lit(""))
+    df = df.withColumn("author", F.coalesce(label("author"), cover_author(cover)))
+    df = df.withColumn("title", F.coalesce(label("title"), cover_title(cover, F.col("author"))))
+    said = lambda m: (F.contains(m["norm"], F.lit("UNIVERSIDADE")) | F.contains(m["norm"], F.lit("TITULO"))) & m["text"].rlike(rf"(?iu){V.WORK_NATURE}")
+    nature = F.coalesce(F.try_element_at(F.filter(lines, said), F.lit(1))["text"], F.lit(""))
     df = df.withColumn("workNature", nature)
-    year, year_sure = cover_year(cover, as_of_year)
-    short, words = resumo(marks)
-    english, keywords = abstract(marks)
+    # columns of their own, as each is made once and read twice
+    df = df.withColumns({"_year": _cover_year(cover, as_of_year), "_resumo": _resumo(marks), "_abstract": _abstract(marks)})
+    year, year_sure, (short, words), (english, keywords) = F.col("_year.year"), F.col("_year.sure"), *[(F.col(f"{c}.text"), F.col(f"{c}.words")) for c in ("_resumo", "_abstract")]
     images = F.size(F.filter("blocks", lambda b: b["block_type"] == "image"))
     program = T.trim(F.regexp_extract("workNature", r"(?iu)programa de p[óo]s-gradua[cç][aã]o em ([^,]+)", 1))
     values = {
@@ -226,6 +247,6 @@ def detect_fields(docs: DataFrame, as_of_year: int) -> DataFrame:
         **{k: F.lit("alta") for k in ("subtitle", "course", "resumo", "abstractText", "introducao", "referencias")},
         **{k: F.when(label(k).isNotNull(), "alta").otherwise("media") for k in ("program", "location")},
     }
-    df = df.select("doc_id", work_type(T.fold_upper(F.col("_text"))).alias("work_type"), *[values[k].alias(k) for k in V.FIELD_KEYS], *[sure.get(k, F.lit("media")).alias(f"_sure_{k}") for k in V.FIELD_KEYS], editor_text(marks).alias("editor_text"))
+    df = df.select("doc_id", work_type(T.fold_upper_text(F.col("_text"))).alias("work_type"), *[values[k].alias(k) for k in V.FIELD_KEYS], *[sure.get(k, F.lit("media")).alias(f"_sure_{k}") for k in V.FIELD_KEYS], editor_text(marks).alias("editor_text"))
     confidence = F.create_map(*[x for k in V.FIELD_KEYS for x in (F.lit(k), F.when(F.col(k) == "", "nao-identificado").otherwise(F.col(f"_sure_{k}")))])
     return df.select("doc_id", "work_type", *V.FIELD_KEYS, confidence.alias("confidence"), "editor_text")

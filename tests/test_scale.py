@@ -63,3 +63,21 @@ def test_runs_meet_paragraphs_without_broadcast(spark):
     assert "SortMergeJoin [doc_id" in looks and "BroadcastHashJoin [doc_id" not in looks
     for name in ("captions", "list_numbers", "package_roundtrip", "docx_text"):
         assert "Broadcast" not in plan(catalog.queries()[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_quick_line_forms_are_the_plain_ones(spark):
+    """Lines that skip trimming, cleaning and folding have the same forms as by the full functions."""
+    said = ["", " ", "a  b", " a", "a ", "a\n", "é - b", "a b", " ", "é", "ab – c", "1.2 Dados", "12", ":x", "2", "ßÿ­", "x\u0085", "a\tb", "́", "TÍTULO", "a\x1eb", "ﬁm", "9:"]
+    chars = spark.range(0x10000).where("id NOT BETWEEN 55296 AND 57343").select(F.concat(F.lit("a"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"), F.lit("b")).alias("x"))
+    x, rows = F.col("x"), spark.createDataFrame([(s,) for s in said], "x string").union(chars)
+    form = T.line_forms(x)
+    wrong = (form["text"] != T.trim(x)) | (form["line"] != T.clean(T.trim(x))) | (form["norm"] != T.fold_upper(x)) | (T.trim_line(x) != T.trim(x)) | (T.fold_line(x) != T.fold_upper(x)) | (T.line_base(T.fold_upper(x)) != T.heading_base(T.fold_upper(x)))
+    assert rows.where(wrong).count() == 0
+    texts = spark.createDataFrame([("\n".join(said),), ("",), ("A\r\ń\n b  c\n",)], "x string")
+    assert texts.where(T.fold_upper_text(x) != T.fold_upper(x)).count() == 0
+
+
+def test_fields_of_two_values_are_made_once(spark):
+    """Year, abstracts and their keywords come from one search each, and no cover line without a year is searched for links."""
+    made = catalog.detected_fields(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("palavras[- ]chave") <= 2 and made.count("^keywords") <= 2 and made.count("cita[c") == 1

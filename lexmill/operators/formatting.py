@@ -126,26 +126,38 @@ def _sheet() -> Column:
     return F.coalesce(F.col("styles_xml"), F.lit(""))
 
 
+def _sheets(files: DataFrame) -> DataFrame:
+    """s (digest), standard (default_id, default_name, default_marks, base) and known (style id to name and marks): a row for each distinct sheet."""
+    styles = effective_styles(files)
+    standard = F.struct("default_id", F.col("style_name").alias("default_name"), F.col("marks").alias("default_marks"), "base")
+    entry = F.struct("style_id", F.struct("style_name", "marks").alias("style"))
+    made = styles.groupBy(F.col("sheet").alias("s")).agg(F.first(F.when(F.col("style_id").isNull(), standard), ignorenulls=True).alias("standard"), F.collect_list(F.when(F.col("style_id").isNotNull(), entry)).alias("entries"))
+    return made.select("s", "standard", F.map_from_entries("entries").alias("known"))
+
+
 def _elements(files: DataFrame) -> DataFrame:
-    """doc_id, sheet, idx (place among the body's elements), xml of the paragraphs outside tables."""
-    body = B.body_xml(F.col("document_xml"))
-    el = files.select("doc_id", F.md5(_sheet().cast("binary")).alias("sheet"), F.posexplode(B.body_elements(body)).alias("idx", "xml"))
-    return el.where(~F.startswith("xml", F.lit("<w:tbl")))
+    """doc_id, sheet, standard, known (``_sheets``), idx (place among the body's elements), xml of the paragraphs outside tables.
+
+    Files meet their sheet before they are taken apart, once for all styles that are asked for. Every file has a sheet: the
+    outer join says so to the plan, which so can never gather the files at the driver.
+    """
+    body = F.filter(F.transform(B.body_elements(B.body_xml(F.col("document_xml"))), lambda x, k: F.struct(k.alias("idx"), x.alias("xml"))), lambda e: ~F.startswith(e["xml"], F.lit("<w:tbl")))
+    rows = files.select("doc_id", F.md5(_sheet().cast("binary")).alias("sheet"), body.alias("elements"))
+    met = rows.join(_sheets(files), F.col("sheet") == F.col("s"), "left").drop("s")
+    return met.select("doc_id", "sheet", "standard", "known", F.inline("elements"))
 
 
 def paragraphs(files: DataFrame) -> DataFrame:
-    """doc_id, sheet, idx, text, style_id, style_name, level, is_quote, runs, the paragraph's marks, and in ``under`` what runs inherit.
+    """doc_id, sheet, idx, text, folded, style_id, style_name, level, is_quote, runs, the paragraph's marks, in ``under`` what runs inherit, and
+    in ``known`` the sheet's styles by id.
 
     files: doc_id, document_xml, styles_xml. style_id is the style that counts, null where the sheet has no default one.
     """
-    styles = effective_styles(files)
-    standard = styles.where("style_id IS NULL").select(F.col("sheet").alias("s"), "default_id", F.col("style_name").alias("default_name"), F.col("marks").alias("default_marks"), "base")
-    named = styles.where("style_id IS NOT NULL").select(F.col("sheet").alias("s"), F.col("style_id").alias("i"), F.col("style_name").alias("asked_name"), F.col("marks").alias("asked_marks"))
     el = _elements(files).withColumn("asked", _first(F.col("xml"), r'<w:pStyle\b[^>]*\bw:val="([^"]+)"'))
-    el = el.join(standard, F.col("sheet") == F.col("s")).drop("s").join(named, (F.col("sheet") == F.col("s")) & (F.col("asked") == F.col("i")), "left").drop("s")
-    known = F.col("i").isNotNull()
-    el = el.withColumn("style_id", F.when(known, F.col("asked")).otherwise(F.col("default_id"))).withColumn("style_name", F.when(known, F.col("asked_name")).otherwise(F.col("default_name")))
-    el = el.withColumn("of", F.when(known, F.col("asked_marks")).otherwise(F.col("default_marks")))
+    el = el.withColumn("found", F.try_element_at("known", F.col("asked"))).withColumn("base", F.col("standard.base"))
+    known = F.col("found").isNotNull()
+    el = el.withColumn("style_id", F.when(known, F.col("asked")).otherwise(F.col("standard.default_id"))).withColumn("style_name", F.when(known, F.col("found.style_name")).otherwise(F.col("standard.default_name")))
+    el = el.withColumn("of", F.when(known, F.col("found.marks")).otherwise(F.col("standard.default_marks")))
     el = el.withColumn("raw", B.xml_raw_text(F.col("xml"))).withColumn("text", T.clean_text(F.col("raw")))
     el = el.withColumn("folded_style", T.fold_upper(F.concat_ws(" ", F.coalesce("asked", "style_id", F.lit("")), F.coalesce("style_name", F.lit(""))))).withColumn("folded", T.fold_upper(F.col("text")))
     marks = paragraph_marks(F.col("xml"))
@@ -154,7 +166,7 @@ def paragraphs(files: DataFrame) -> DataFrame:
     runs = F.regexp_extract_all(F.regexp_replace("xml", r"(?s)<w:pPr\b.*?</w:pPr>", ""), F.lit(r"(?s)<w:r\b.*?</w:r>"), F.lit(0))
     level = F.when(F.col("text") != "", B.heading_level(F.col("folded"), F.col("folded_style")))
     quote = B.is_long_quote(F.col("xml"), F.col("folded_style")) | _long_cited(F.col("text"))
-    return el.select("doc_id", "sheet", "idx", "text", "folded", "style_id", "style_name", level.alias("level"), quote.alias("is_quote"), runs.alias("runs"), *shown, under.alias("under"))
+    return el.select("doc_id", "sheet", "idx", "text", "folded", "style_id", "style_name", level.alias("level"), quote.alias("is_quote"), runs.alias("runs"), *shown, under.alias("under"), "known")
 
 
 def _long_cited(text: Column) -> Column:
@@ -167,10 +179,9 @@ def run_formats(found: DataFrame, files: DataFrame) -> DataFrame:
 
     start: characters of the paragraph's runs before it.
     """
-    rows = found.select("doc_id", "sheet", "idx", "under", F.posexplode("runs").alias("run_idx", "xml")).withColumn("text", B.xml_raw_text(F.col("xml"))).where("text <> ''")
+    rows = found.select("doc_id", "idx", "under", "known", F.posexplode("runs").alias("run_idx", "xml")).withColumn("text", B.xml_raw_text(F.col("xml"))).where("text <> ''")
     rows = rows.withColumn("char_style", _first(F.col("xml"), r'<w:rStyle\b[^>]*\bw:val="([^"]+)"'))
-    styles = effective_styles(files).where("style_id IS NOT NULL").select(F.col("sheet").alias("s"), F.col("style_id").alias("i"), F.col("marks").alias("of"))
-    rows = rows.join(styles, (F.col("sheet") == F.col("s")) & (F.col("char_style") == F.col("i")), "left")
+    rows = rows.withColumn("of", F.try_element_at("known", F.col("char_style"))["marks"])
     marks = run_marks(F.col("xml"))
     shown = [F.coalesce(marks[m].cast(kind), F.col("of")[m], F.col("under")[m]).alias(m) for m, (kind, _) in RUN.items()]
     before = F.sum(F.length("text")).over(Window.partitionBy("doc_id", "idx").orderBy("run_idx").rowsBetween(Window.unboundedPreceding, -1))
@@ -243,14 +254,21 @@ def marked_paragraphs(files: DataFrame) -> DataFrame:
     outside its marks, and a run that holds an asterisk stays unmarked, as marks couldn't be told from it.
     """
     found = paragraphs(files).where("text <> ''")
-    under = found.select("doc_id", "idx", F.col("under.bold").alias("style_bold"), F.col("under.italic").alias("style_italic"))
-    rows = run_formats(found, files).join(under.hint("merge"), ["doc_id", "idx"])
-    able = ~F.contains("text", F.lit("*")) & (T.trim(F.col("text")) != "")
-    bold = able & F.col("bold") & ~F.col("style_bold")
-    italic = able & F.col("italic") & ~F.col("style_italic") & ~bold
-    run = F.struct("run_idx", F.struct(F.col("text"), F.when(bold, True).when(italic, False).alias("bold"), F.when(bold, False).when(italic, True).alias("italics")).alias("run"))
-    ordered = F.transform(F.array_sort(F.collect_list(run)), lambda x: x["run"])
-    merged = rows.groupBy("doc_id", "idx").agg(R.merge_runs(ordered).alias("runs"))
+
+    def read(xml: Column, text: Column) -> Column:
+        """A run as the editor has it, by its marks and those of its style and paragraph."""
+        marks, of = run_marks(xml), F.try_element_at("known", _first(xml, r'<w:rStyle\b[^>]*\bw:val="([^"]+)"'))["marks"]
+        set_ = lambda m: F.coalesce(marks[m], of[m], F.col("under")[m]) & ~F.col("under")[m]
+        plain = F.struct(text.alias("text"), F.lit(None).cast("boolean").alias("bold"), F.lit(None).cast("boolean").alias("italics"))
+        marked = lambda is_: F.struct(text.alias("text"), F.when(is_["b"], True).when(is_["i"], False).alias("bold"), F.when(is_["b"], False).when(is_["i"], True).alias("italics"))
+        # a run that sets no mark and names no style looks like its paragraph
+        able = ~F.contains(text, F.lit("*")) & (T.trim(text) != "") & (F.contains(xml, F.lit("<w:rPr")) | F.contains(xml, F.lit("<w:rStyle")))
+        return F.when(able, T.let(F.struct(set_("bold").alias("b"), set_("italic").alias("i")), lambda m: marked(F.struct(m["b"].alias("b"), (m["i"] & ~m["b"]).alias("i"))))).otherwise(plain)
+
+    # a paragraph's runs stay in its row: neither joined nor grouped
+    said = F.filter(F.transform("runs", lambda x: F.struct(x.alias("xml"), B.xml_raw_text(x).alias("text"))), lambda r: r["text"] != "")
+    rows = found.select("doc_id", "idx", F.transform(said, lambda r: read(r["xml"], r["text"])).alias("made"))
+    merged = rows.where(F.size("made") > 0).select("doc_id", "idx", R.merge_runs(F.col("made")).alias("runs"))
 
     def written(r: Column) -> Column:
         mark = F.when(F.coalesce(r["bold"], F.lit(False)), "**").when(F.coalesce(r["italics"], F.lit(False)), "*").otherwise("")

@@ -81,3 +81,19 @@ def test_fields_of_two_values_are_made_once(spark):
     """Year, abstracts and their keywords come from one search each, and no cover line without a year is searched for links."""
     made = catalog.detected_fields(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert made.count("palavras[- ]chave") <= 2 and made.count("^keywords") <= 2 and made.count("cita[c") == 1
+
+
+def test_marked_runs_stay_in_their_row(spark):
+    """Files meet their sheets once, never as the side that is broadcast; their runs are neither joined nor grouped."""
+    files = inputs.spark_frame(spark, "/root/testdata/sf0.001", inputs.STYLED_FILES)
+    made = plan(FM.marked_paragraphs(files))
+    assert made.count("Join [sheet") == 1 and "BuildLeft" not in made and "Join [doc_id" not in made and "hashpartitioning(doc_id" not in made
+    assert "BuildLeft" not in plan(FM.run_formats(FM.paragraphs(files), files))
+
+
+def test_runs_without_marks_look_like_their_paragraph(spark):
+    """A style named by a run counts, with or without other marks; a run that sets none has none."""
+    xml = '<w:document><w:body><w:p><w:r><w:t>a </w:t></w:r><w:r><w:rPr><w:rStyle w:val="F"/></w:rPr><w:t>b</w:t></w:r><w:r><w:rPr><w:i/></w:rPr><w:t> c </w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>*</w:t></w:r></w:p><w:p/></w:body></w:document>'
+    sheet = '<w:styles><w:style w:type="character" w:styleId="F"><w:rPr><w:b/></w:rPr></w:style></w:styles>'
+    rows = FM.marked_paragraphs(spark.createDataFrame([(1, xml, sheet), (2, xml, None)], "doc_id long, document_xml string, styles_xml string")).orderBy("doc_id", "idx").collect()
+    assert [(r["doc_id"], r["idx"], r["marked"]) for r in rows] == [(1, 0, "a **b** *c* *"), (2, 0, "a b *c* *")]

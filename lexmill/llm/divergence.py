@@ -34,10 +34,13 @@ SCALE = 1_000_000_000
 LEAST_DOCUMENTS = 3
 #: Terms a group is reported with.
 TOP_TERMS = 200
-#: Bytes of a text cut into terms at once; entries a task counts or sums before it hands them on.
-SLICE = 1 << 22
+#: Bytes of text cut into terms at once; entries a task counts or sums before it hands them on, some at a time.
+SLICE = 1 << 20
 ENTRIES = 1 << 20
 PAIRS = 1 << 20
+ROWS = 1 << 15
+#: Bytes of distinct terms that weigh as much as an entry.
+ENTRY_BYTES = 32
 
 _COUNTS = "lang string, source string, term string, n long, docs long"
 #: Bytes of terms as they are, A-Z in lower case, all else a space.
@@ -55,7 +58,7 @@ def _slices(text: bytes) -> Iterator[bytes]:
         first = last
 
 
-def _of_texts(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+def _of_texts(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray, np.ndarray]:
     """(group, term, occurrences, documents) of the terms of a slice of texts, whose groups are numbered."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().translate(_TERM_BYTES), np.uint8)
@@ -78,57 +81,100 @@ def _of_texts(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, pa.Array,
     key, docs = key[first], np.diff(np.append(first, len(key)))
     # per key the occurrences: the runs between the first rows of two keys
     n = np.add.reduceat(n, first) if len(first) else n
-    return key // max(1, len(terms.dictionary)), terms.dictionary.take(pa.array(key % max(1, len(terms.dictionary)))), n, docs
+    group, term = np.divmod(key, max(1, len(terms.dictionary)))
+    return group, pa.DictionaryArray.from_arrays(pa.array(term, pa.int32()), terms.dictionary), n, docs
 
 
-def _of_long_text(text: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+def _of_long_text(text: bytes, group: int) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray, np.ndarray]:
     """The same for one text over SLICE, which is cut into terms a slice at a time."""
     found: Counter = Counter()
     for part in _slices(text):
         found.update(part.translate(_TERM_BYTES).split())
-    return np.zeros(len(found), np.int64), pa.array(found, pa.binary()), np.fromiter(found.values(), np.int64, len(found)), np.ones(len(found), np.int64)
+    terms = pa.DictionaryArray.from_arrays(pa.array(np.arange(len(found)), pa.int32()), pa.array(found, pa.binary()))
+    return np.full(len(found), group, np.int64), terms, np.fromiter(found.values(), np.int64, len(found)), np.ones(len(found), np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms of whole texts, summed by (lang, source) within the task; an entry without term stands for the group itself."""
-    names, measures = ["lang", "source", "term"], ["n", "docs"]
-    held: list[pa.RecordBatch] = []
+    """Terms of whole texts, summed by (lang, source) within the task.
 
-    def add(groups: list[pa.Array], group: np.ndarray, terms: pa.Array, n: np.ndarray, docs: np.ndarray) -> None:
-        held.append(pa.RecordBatch.from_arrays([*[g.take(pa.array(group)) for g in groups], terms.cast(pa.string()), pa.array(n), pa.array(docs)], names=names + measures))
-
-    def summed() -> pa.Table:
-        found = pa.Table.from_batches(held).group_by(names, use_threads=False).aggregate([(m, "sum") for m in measures])
-        return found.select([*names, *[f"{m}_sum" for m in measures]]).rename_columns([*names, *measures])
+    What waits is numbers: an entry holds those of its group and its term, and a term's bytes are held once a slice.
+    """
+    names: dict[tuple, int] = {}
+    held: list[tuple[np.ndarray, pa.DictionaryArray, np.ndarray, np.ndarray]] = []
+
+    def weight(group: np.ndarray, entries: pa.DictionaryArray, *_: np.ndarray) -> int:
+        return len(group) + entries.dictionary.nbytes // ENTRY_BYTES
+
+    def merge() -> None:
+        chunked = pa.chunked_array([x[1] for x in held]).unify_dictionaries()
+        terms = chunked.chunk(0).dictionary
+        key = np.concatenate([x[0] * len(terms) + c.indices.to_numpy() for x, c in zip(held, chunked.chunks, strict=True)])
+        n, docs = (np.concatenate([x[k] for x in held]) for k in (2, 3))
+        held.clear()
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        group, term = np.divmod(key[first], len(terms))
+        held.append((group, pa.DictionaryArray.from_arrays(pa.array(term, pa.int32()), terms), *(np.add.reduceat(x[order], first) for x in (n, docs))))
 
+    def handed() -> Iterator[pa.RecordBatch]:
+        ((group, entries, n, docs),) = held
+        held.clear()
+        langs, sources = (pa.array(c, pa.string()) for c in zip(*names, strict=True))
+        terms = entries.dictionary.cast(pa.string())
+        for at in range(0, len(group), ROWS):
+            some = slice(at, at + ROWS)
+            own = pa.array(group[some])
+            columns = [langs.take(own), sources.take(own), terms.take(entries.indices[some]), pa.array(n[some]), pa.array(docs[some])]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+
+    waiting = 0
     for batch in batches:
+        if held and len(names) > ENTRIES:
+            merge()
+            yield from handed()
+        if not held:
+            names.clear()
+            waiting = 0
         lang, source = (batch.column(k).dictionary_encode() for k in (1, 2))
         both, group = np.unique(lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(), return_inverse=True)
-        groups = [x.dictionary.take(pa.array(k)) for x, k in ((lang, both // max(1, len(source.dictionary))), (source, both % max(1, len(source.dictionary))))]
-        add(groups, np.arange(len(both)), pa.nulls(len(both), pa.binary()), np.zeros(len(both), np.int64), np.bincount(group, minlength=len(both)))
+        groups = [x.dictionary.take(pa.array(k)).to_pylist() for x, k in zip((lang, source), np.divmod(both, max(1, len(source.dictionary))), strict=True)]
+        group = np.array([names.setdefault(g, len(names)) for g in zip(*groups, strict=True)], np.int64)[group]
         at = 0
         for texts in chunks(batch.column(0), SLICE):
             own, texts = group[at : at + len(texts)], texts.cast(pa.binary())
             at += len(texts)
-            if len(texts) == 1 and pc.binary_length(texts)[0].as_py() > SLICE:
-                _, *found = _of_long_text(texts[0].as_py())
-                add(groups, np.repeat(own, len(found[0])), *found)
-            elif pc.sum(pc.binary_length(texts)).as_py():
-                add(groups, *_of_texts(texts, own.astype(np.int64)))
-            if sum(map(len, held)) > ENTRIES:
-                found = summed()
-                held[:] = found.to_batches()
-                if len(found) > ENTRIES // 2:
-                    yield from held
-                    held.clear()
+            size = pc.sum(pc.binary_length(texts)).as_py()
+            if not size:
+                continue
+            found = _of_long_text(texts[0].as_py(), own[0]) if len(texts) == 1 and size > SLICE else _of_texts(texts, own)
+            if not len(found[0]):
+                continue
+            held.append(found)
+            waiting += weight(*held[-1])
+            if waiting > ENTRIES:
+                merge()
+                waiting = weight(*held[0])
+                if waiting > ENTRIES // 2:
+                    yield from handed()
+                    waiting = 0
     if held:
-        yield from summed().to_batches()
+        merge()
+        yield from handed()
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
-    """Occurrences n and documents docs of each term by lang and source; a null term: the group itself."""
-    rows = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return rows.mapInArrow(_count, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """Occurrences n and documents docs of each term by lang and source; the rows lie by lang and term.
+
+    Tasks sum their terms before they are dealt; a sum by Spark there would hold all of them again and merge few.
+    """
+    rows = documents.select(*[_text(c) for c in ("text", "lang", "source")])
+    counts = rows.mapInArrow(_count, _COUNTS).repartition("lang", "term")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)
 
 
 def _share(count: Column, total: Column) -> Column:
@@ -202,14 +248,14 @@ def divergence(documents: DataFrame, least_documents: int = LEAST_DOCUMENTS, top
     Part ``pair``: an item is another source of the language, the value the summed divergence of the source from it.
     Part ``term``: an item is a term that the source holds more often than its language, the value its divergence.
     """
-    counts = staged(term_counts(documents), "divergence-counts")
     vector = F.array_sort(F.collect_list(F.struct("source", "n"))).alias("vector")
-    kept = counts.where(F.col("term").isNotNull()).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), vector)
+    kept = term_counts(documents).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), vector)
     kept = staged(kept.where(F.col("docs") >= least_documents).drop("docs"), "divergence-kept")
     vectors = kept.groupBy("lang", "vector").agg(F.count("*").alias("m"), F.first("n").alias("n"))
     vectors = staged(vectors.withColumn("id", F.monotonically_increasing_id()), "divergence-vectors")
 
-    base = staged(_groups(counts.where(F.col("term").isNull()).select("lang", "source"), vectors), "divergence-groups")
+    groups = documents.select(_text("lang"), _text("source")).distinct()
+    base = staged(_groups(groups, vectors), "divergence-groups")
     found = vectors.select("lang", "id", "m", F.explode("vector").alias("x")).select("lang", "id", "m", F.col("x.source").alias("source"), F.col("x.n").alias("n"))
     entries = found.join(base, ["lang", "source"]).select("lang", "id", "m", "source", "n", _share(F.col("n"), F.col("size")).alias("p"), "p0")
     entries = staged(entries, "divergence-entries")

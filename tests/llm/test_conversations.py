@@ -4,7 +4,10 @@ import hashlib
 import heapq
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import duckdb
 import pyarrow as pa
@@ -267,6 +270,47 @@ def test_tasks_hand_on_early_without_loss(monkeypatch):
         assert summed(a, keys, values) == summed(b, keys, values)
 
 
+COUNTED = """
+import random, sys
+import pyarrow as pa
+from lexmill.llm import divergence
+
+rng = random.Random(3)
+words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(60_000)]
+rows = 16_000
+docs = pa.table({"text": [" ".join(rng.choices(words, k=300)) for _ in range(rows)], "lang": ["en"] * rows, "source": [f"source {k % 40}" for k in range(rows)]})
+status = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmHWM"))
+open("/proc/self/clear_refs", "w").write("5")
+before, entries, n = status(), 0, 0
+for batch in divergence._count(iter(docs.to_batches(8_000))):
+    entries, n = max(entries, len(batch)), n + sum(batch.column("n").to_pylist())
+print((status() - before) // 1024, entries, n)
+"""
+
+
+def test_counting_terms_takes_little_memory():
+    """A task that holds a million entries and their texts' terms grows by little; nothing is lost."""
+    found = subprocess.run([sys.executable, "-c", COUNTED], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    grown_mb, entries, n = map(int, found.stdout.split())
+    assert n == 16_000 * 300 and entries <= divergence.ROWS and grown_mb < 220
+
+
+def test_terms_are_dealt_once(spark, sf_dir):
+    """Counts lie by language and term, so that terms are gathered without a second shuffle."""
+    counts = divergence.term_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plan = counts.groupBy("lang", "term").agg(F.sum("docs"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("entries", [3, 1 << 20])
+def test_many_sources_without_terms(monkeypatch, entries):
+    """Groups are forgotten in between, those without terms too; each entry keeps its own."""
+    monkeypatch.setattr(divergence, "ENTRIES", entries)
+    docs = pa.table({"text": ["one Two" if k % 3 == 0 else "1 2" for k in range(90)], "lang": ["en"] * 90, "source": [f"s{k}" for k in range(90)]})
+    got = summed(divergence._count(iter(docs.to_batches(7))), ["source", "term"], ["n", "docs"])
+    assert got == {(f"s{k}", term): (1, 1) for k in range(0, 90, 3) for term in ("one", "two")}
+
+
 def test_divergence_of_languages_without_terms(spark, no_docs):
     assert divergence.divergence(no_docs).count() == 0
     docs = spark.createDataFrame([(1, "one", "en", "a"), (2, None, "en", "b"), (3, "", "fr", "a")], "doc_id long, text string, lang string, source string")

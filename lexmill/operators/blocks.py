@@ -104,6 +104,15 @@ def xml_raw_text(xml: Column) -> Column:
     return F.array_join(F.transform(tokens, one), "")
 
 
+#: An element of text that starts with a character that is neither white space nor markup. A tag that closes itself may be inside another.
+_QUICK = r"<w:t(?:\s[^>]*)?(?<!/)>[!-%'-;=-~\x{A1}-\x{FF}][^<]*</w:t>"
+
+
+def says_something(xml: Column, pattern: str = f"[^{T.WS}]") -> Column:
+    """Whether the raw text of a value that costs nothing to name twice has a character of a kind, by default one that isn't white space."""
+    return F.when(xml.rlike(_QUICK), True).otherwise(xml_raw_text(xml).rlike(pattern))
+
+
 def relationships(xml: Column) -> Column:
     """Id to target of every relationship; a later one of the same id wins."""
     tags = _all(F.coalesce(xml, F.lit("")), r"<Relationship\b[^>]*>")
@@ -142,8 +151,11 @@ def is_on(xml: Column, tag: str, off: str) -> Column:
 
 def body_xml(xml: Column) -> Column:
     """What the body element of a document part holds; the whole part without one."""
-    body = r"(?s)<w:body\b[^>]*>(.*?)</w:body>"
-    return F.when(xml.rlike(body), F.regexp_extract(xml, body, 1)).otherwise(xml)
+    end = "</w:body>"
+    # the text is cut by places, as a lazy pattern would try its end at every character
+    after = lambda tag: F.substring(xml, F.position(tag, xml) + F.length(tag), F.length(xml))
+    inner = lambda rest: F.when(F.contains(rest, F.lit(end)), F.substring_index(rest, end, 1)).otherwise(xml)
+    return T.let(F.regexp_extract(xml, r"<w:body\b[^>]*>", 0), lambda tag: F.when(tag == "", xml).otherwise(T.let(after(tag), inner)))
 
 
 def body_elements(body: Column) -> Column:

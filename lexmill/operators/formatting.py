@@ -43,9 +43,13 @@ def _part(x: Column, tag: str) -> Column:
     return F.regexp_extract(x, rf"(?s)<w:{tag}\b[^>]*(?<!/)>(.*?)</w:{tag}>", 1)
 
 
-def paragraph_marks(xml: Column) -> dict[str, Column]:
-    """The marks that the w:pPr of an element's XML sets itself."""
-    p = F.regexp_replace(_part(xml, "pPr"), r"(?s)<w:rPr\b.*?</w:rPr>", "")
+def _paragraph_part(xml: Column) -> Column:
+    return F.regexp_replace(_part(xml, "pPr"), r"(?s)<w:rPr\b.*?</w:rPr>", "")
+
+
+def paragraph_marks(xml: Column, part: Column | None = None) -> dict[str, Column]:
+    """The marks that the w:pPr of an element's XML sets itself; ``part``: ``_paragraph_part`` of it, if it is had."""
+    p = _paragraph_part(xml) if part is None else part
     hanging = -_number(p, r'<w:ind\b[^>]*\bw:hanging="(\d+)"')
     return {
         "indent": _number(p, r'<w:ind\b[^>]*\bw:(?:left|start)="(-?\d+)"'),
@@ -59,9 +63,13 @@ def paragraph_marks(xml: Column) -> dict[str, Column]:
     }
 
 
-def run_marks(xml: Column) -> dict[str, Column]:
-    """The marks that the w:rPr of an element's XML sets itself, one inside a w:pPr left out."""
-    r = _part(F.regexp_replace(xml, r"(?s)<w:pPr\b.*?</w:pPr>", ""), "rPr")
+def _run_part(xml: Column) -> Column:
+    return _part(F.regexp_replace(xml, r"(?s)<w:pPr\b.*?</w:pPr>", ""), "rPr")
+
+
+def run_marks(xml: Column, part: Column | None = None) -> dict[str, Column]:
+    """The marks that the w:rPr of an element's XML sets itself, one inside a w:pPr left out; ``part``: ``_run_part`` of it, if it is had."""
+    r = _run_part(xml) if part is None else part
     return {
         "font": T.decode_xml(_first(r, r'<w:rFonts\b[^>]*\bw:(?:ascii|hAnsi)="([^"]+)"')),
         "size": _number(r, r'<w:sz\b[^>]*\bw:val="(\d+)"'),
@@ -135,15 +143,17 @@ def _sheets(files: DataFrame) -> DataFrame:
     return made.select("s", "standard", F.map_from_entries("entries").alias("known"))
 
 
-def _elements(files: DataFrame) -> DataFrame:
+def _elements(files: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
     """doc_id, sheet, standard, known (``_sheets``), idx (place among the body's elements), xml of the paragraphs outside tables.
 
     Files meet their sheet before they are taken apart, once for all styles that are asked for. Every file has a sheet: the
-    outer join says so to the plan, which so can never gather the files at the driver.
+    outer join says so to the plan, which so can never gather the files at the driver. ``sheets`` (styles_xml) holds the sheets
+    of all files where they are few, as of files that one sink wrote: these are broadcast, since a shuffle by sheet would put all files into one task.
     """
     body = F.filter(F.transform(B.body_elements(B.body_xml(F.col("document_xml"))), lambda x, k: F.struct(k.alias("idx"), x.alias("xml"))), lambda e: ~F.startswith(e["xml"], F.lit("<w:tbl")))
     rows = files.select("doc_id", F.md5(_sheet().cast("binary")).alias("sheet"), body.alias("elements"))
-    met = rows.join(_sheets(files), F.col("sheet") == F.col("s"), "left").drop("s")
+    known = _sheets(files) if sheets is None else _sheets(sheets).hint("broadcast")
+    met = rows.join(known, F.col("sheet") == F.col("s"), "left").drop("s")
     return met.select("doc_id", "sheet", "standard", "known", F.inline("elements"))
 
 
@@ -203,6 +213,31 @@ def paragraph_formats(files: DataFrame) -> DataFrame:
     return rows.join(looks.hint("merge"), ["doc_id", "idx"], "left")
 
 
+def paragraph_looks(files: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """doc_id, idx, its marks, and fonts, sizes of each paragraph with text, as ``paragraph_formats`` has them.
+
+    No kinds and no bold of the whole: so its runs stay in the paragraph's row, neither joined nor grouped, and no text is made that nobody
+    asks for. ``sheets``: styles_xml of all files if these are few (``_elements``), else read from them.
+    """
+    el = _elements(files, sheets).withColumns({"asked": _first(F.col("xml"), r'<w:pStyle\b[^>]*\bw:val="([^"]+)"'), "base": F.col("standard.base")})
+    el = el.withColumn("found", F.try_element_at("known", F.col("asked")))
+    el = el.withColumn("of", F.when(F.col("found").isNotNull(), F.col("found.marks")).otherwise(F.col("standard.default_marks")))
+    # a paragraph's text is trimmed and no more, so it is empty if all is white space
+    el = el.where(B.says_something(F.col("xml"))).withColumn("set", _paragraph_part(F.col("xml")))
+    marks = paragraph_marks(F.col("xml"), F.col("set"))
+    shown = [F.coalesce(marks[m].cast(kind), F.col("of")[m], F.col("base")[m], F.lit(plain)).alias(m) for m, (kind, plain) in PARAGRAPH.items()]
+    runs = F.filter(F.regexp_extract_all(F.regexp_replace("xml", r"(?s)<w:pPr\b.*?</w:pPr>", ""), F.lit(r"(?s)<w:r\b.*?</w:r>"), F.lit(0)), lambda x: B.says_something(x, "(?s)."))
+
+    def look(xml: Column, part: Column) -> Column:
+        set_ = run_marks(xml, part)
+        of = F.when(F.contains(xml, F.lit("<w:rStyle")), F.try_element_at("known", _first(xml, r'<w:rStyle\b[^>]*\bw:val="([^"]+)"'))["marks"])
+        return F.struct(*[F.coalesce(set_[m].cast(RUN[m][0]), of[m], F.col("of")[m], F.col("base")[m], F.lit(RUN[m][1])).alias(m) for m in ("font", "size")])
+
+    rows = el.withColumn("looks", F.array_distinct(F.transform(runs, lambda x: T.let(_run_part(x), lambda part: look(x, part)))))
+    each = lambda m: F.when(F.size("looks") > 0, F.array_sort(F.array_distinct(F.col("looks")[m]))).alias(f"{m}s")
+    return rows.select("doc_id", "idx", *shown, each("font"), each("size"))
+
+
 #: The parts that are set in single spacing.
 SINGLE_SPACED = ("RESUMO", "ABSTRACT", "REFERENCIAS")
 

@@ -187,37 +187,57 @@ def layout_runs(rows: DataFrame) -> DataFrame:
     return refs.withColumn("runs", runs).select(*[F.col("own").alias("text") if c == "text" else F.col(c) for c in rows.columns], "runs")
 
 
-_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
+_LOOK = '<w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman"/>'
+_COLOR = '<w:color w:val="000000"/>'
+_TEXT = '<w:t xml:space="preserve">'
 
 
 def _xml(x: str) -> str:
-    for a, b in _ESCAPES:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         x = x.replace(a, b)
     return x
 
 
-def _run_xml(text: str, size: int, bold, italics) -> str:
-    marks = ("<w:b/>" if bold else "") + ("<w:i/>" if italics else "")
-    lines = '</w:t><w:br/><w:t xml:space="preserve">'.join(_xml(p) for p in text.split("\n"))
-    return f'<w:r><w:rPr><w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman"/>{marks}<w:color w:val="000000"/><w:sz w:val="{size}"/></w:rPr><w:t xml:space="preserve">{lines}</w:t></w:r>'
-
-
 def _field(instruction: str, hidden: bool = False, size: int | None = None) -> str:
-    look = f'<w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman"/><w:color w:val="000000"/><w:sz w:val="{size}"/>' if size else ""
+    look = f'{_LOOK}{_COLOR}<w:sz w:val="{size}"/>' if size else ""
     props = "<w:rPr><w:vanish/></w:rPr>" if hidden else f"<w:rPr>{look}</w:rPr>" if look else ""
     char = lambda kind: f'<w:r>{props}<w:fldChar w:fldCharType="{kind}"/></w:r>'
     return char("begin") + f'<w:r>{props}<w:instrText xml:space="preserve"> {instruction} </w:instrText></w:r>' + char("separate") + char("end")
 
 
-def paragraph_xml(style: str, text: str, runs: list, listed: bool, before: int | None = None, image: str = "") -> str:
-    """One layout row as a paragraph. ``listed`` headings carry a hidden entry for the table of contents, no heading style."""
-    size, align, bold, line, above, after, left, first = STYLES.get(style, STYLES["paragraph"])
-    if style == "pageBreak":
-        return '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
-    body = _field(text) if style == "toc" else image if style == "logo" else "".join(_run_xml(r["text"], size, r["bold"] or bold, r["italics"] or style == "note") for r in runs)
-    entry = _field(f"TC &quot;{_xml(text.strip())}&quot; \\l {LEVELS[style]}", hidden=True) if listed and style in LEVELS and text.strip() else ""
-    props = f'<w:pPr><w:spacing w:before="{above if before is None else before}" w:line="{line}" w:lineRule="auto" w:after="{after}"/><w:ind w:left="{left}" w:firstLine="{first}"/><w:jc w:val="{align}"/></w:pPr>'
-    return f"<w:p>{props}{entry}{body}</w:p>"
+def _around(made: str, *inner: Column) -> Column:
+    """A text with columns in the places that ``made`` marks by line feeds."""
+    pieces = made.split("\n")
+    return F.concat(F.lit(pieces[0]), *[x for c, piece in zip(inner, pieces[1:], strict=True) for x in (c, F.lit(piece))])
+
+
+def _of_style(value) -> Column:
+    """What ``value`` makes of the style's numbers; a style that isn't known looks like a paragraph."""
+    table = F.create_map(*[F.lit(x) for name, look in STYLES.items() for x in (name, value(*look))])
+    return F.coalesce(F.try_element_at(table, F.col("style")), F.lit(value(*STYLES["paragraph"])))
+
+
+def _run_xml(r: Column) -> Column:
+    marks = F.concat(F.when(F.coalesce(r["bold"], F.lit(False)) | F.col("_bold"), "<w:b/>").otherwise(""), F.when(F.coalesce(r["italics"], F.lit(False)) | (F.col("style") == "note"), "<w:i/>").otherwise(""))
+    lines = F.replace(T.escape_xml(r["text"]), F.lit("\n"), F.lit(f"</w:t><w:br/>{_TEXT}"))
+    return _around(f"<w:r><w:rPr>{_LOOK}\n{_COLOR}\n{_TEXT}\n</w:t></w:r>", marks, F.col("_size"), lines)
+
+
+def paragraph_xml(rows: DataFrame, image: str = "") -> DataFrame:
+    """Layout rows with runs as opening, entry and rest, the three pieces of each row's paragraph.
+
+    The entry is a heading's hidden one for the table of contents, which counts after the page of contents; no row has a heading style.
+    """
+    sized = lambda size, align, bold, line, above, after, left, first: f'<w:sz w:val="{size}"/></w:rPr>'
+    spaced = lambda size, align, bold, line, above, after, left, first: f'" w:line="{line}" w:lineRule="auto" w:after="{after}"/><w:ind w:left="{left}" w:firstLine="{first}"/><w:jc w:val="{align}"/></w:pPr>'
+    df = rows.withColumns({"_size": _of_style(sized), "_bold": _of_style(lambda *look: look[2])}).withColumn("_said", F.when(F.col("style").isin(*LEVELS), T.trim(F.col("text"))))
+    above = F.coalesce(F.col("before").cast("string"), _of_style(lambda *look: str(look[4])))
+    body = F.when(F.col("style") == "toc", _around(_field("\n"), F.col("text"))).when(F.col("style") == "logo", image).otherwise(F.array_join(F.transform("runs", _run_xml), ""))
+    levels = F.create_map(*[F.lit(x) for name, level in LEVELS.items() for x in (name, str(level))])
+    entry = F.when(F.col("_said") != "", _around(_field("TC &quot;\n&quot; \\l \n", hidden=True), T.escape_xml(F.col("_said")), F.try_element_at(levels, F.col("style")))).otherwise("")
+    page = F.col("style") == "pageBreak"
+    opening = F.when(page, '<w:p><w:r><w:br w:type="page"/></w:r></w:p>').otherwise(_around('<w:p><w:pPr><w:spacing w:before="\n\n', above, _of_style(spaced)))
+    return df.select(*rows.columns, opening.alias("opening"), entry.alias("entry"), F.when(page, "").otherwise(F.concat(body, F.lit("</w:p>"))).alias("rest"))
 
 
 #: Size of the logo in pixels, and English metric units of a pixel.
@@ -257,17 +277,13 @@ def _section(start: int | None) -> str:
     return f'<w:sectPr>{header}<w:pgSz w:w="{PAGE[0]}" w:h="{PAGE[1]}"/><w:pgMar w:top="{top}" w:right="{right}" w:bottom="{bottom}" w:left="{left}" w:header="1134" w:footer="1134"/>{number}</w:sectPr>'
 
 
-def docx_bytes(rows: list[dict], start: int, logo: bytes | None = None, logo_size: tuple[int, int] = LOGO_SIZE, title: str | None = None, creator: str = CREATOR) -> bytes:
-    """A Word file of layout rows: an unnumbered front section and a body section numbered from ``start``.
+def docx_bytes(front: str, body: str, start: int, logo: bytes | None = None, title: str | None = None, creator: str = CREATOR) -> bytes:
+    """A Word file of paragraphs: an unnumbered front section and a body section numbered from ``start``.
 
     ``logo`` is a PNG or JPEG file for the place that ``layout_rows`` left for it. ``title`` and ``creator`` are properties of
     the file; without a title the default one stands there.
     """
-    front, body, listed, image = [], [], False, _image(*logo_size) if logo else ""
-    for r in rows:
-        (front if r["part"] == "front" else body).append(paragraph_xml(r["style"], r["text"], r["runs"], listed, r["before"], image))
-        listed = listed or r["style"] == "note"
-    document = f"{_DECL}<w:document {_NS}><w:body>{''.join(front)}<w:p><w:pPr>{_section(None)}</w:pPr></w:p>{''.join(body)}{_section(start)}</w:body></w:document>"
+    document = f"{_DECL}<w:document {_NS}><w:body>{front}<w:p><w:pPr>{_section(None)}</w:pPr></w:p>{body}{_section(start)}</w:body></w:document>"
     files = {
         "[Content_Types].xml": f'{_DECL}<Types xmlns="{_TYPES}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{_WORD}.document.main+xml"/><Override PartName="/word/header1.xml" ContentType="{_WORD}.header+xml"/><Override PartName="/word/settings.xml" ContentType="{_WORD}.settings+xml"/><Override PartName="/docProps/core.xml" ContentType="{_CORE_TYPE}"/></Types>',
         "_rels/.rels": f'{_DECL}<Relationships xmlns="{_RELS}"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="word/document.xml"/><Relationship Id="rId2" Type="{_CORE_REL}" Target="docProps/core.xml"/></Relationships>',
@@ -291,22 +307,23 @@ def docx_bytes(rows: list[dict], start: int, logo: bytes | None = None, logo_siz
     return out.getvalue()
 
 
-def _plain(row) -> dict:
-    """A layout row as it comes through pandas, whose whole numbers may be floats and whose nulls may be no numbers."""
-    before = row["before"]
-    return {k: row[k] for k in ("part", "style", "text", "runs")} | {"before": None if before is None or before != before else int(before)}
-
-
 def render(rows: DataFrame, logo: bytes | None = None, logo_size: tuple[int, int] = LOGO_SIZE, titles: DataFrame | None = None, creator: str = CREATOR) -> DataFrame:
-    """doc_id, docx: one Word file per document of layout rows with runs; ``titles`` (doc_id, title) name the files inside."""
-    packed = F.array_sort(F.collect_list(F.struct("seq", "part", "style", "before", "text", "runs")))
-    docs = rows.groupBy("doc_id").agg(F.max("start_page").alias("start_page"), packed.alias("rows"))
+    """doc_id, docx: one Word file per document of layout rows with runs; ``titles`` (doc_id, title) name the files inside.
+
+    Paragraphs are columns; Python gets two texts a document and writes its archive.
+    """
+    made = paragraph_xml(rows, _image(*logo_size) if logo else "")
+    packed = F.array_sort(F.collect_list(F.struct("seq", "part", "opening", "entry", "rest")))
+    # headings up to the page of contents have no entry there
+    docs = made.groupBy("doc_id").agg(F.max("start_page").alias("start_page"), F.min(F.when(F.col("style") == "note", F.col("seq"))).alias("noted"), packed.alias("rows"))
     # titles are as many as documents, however few bytes the plan expects of them: merged, never gathered at the driver
     docs = docs.withColumn("title", F.lit(None).cast("string")) if titles is None else docs.join(titles.select("doc_id", "title").hint("merge"), "doc_id", "left")
+    paragraph = lambda r: F.concat(r["opening"], F.when(r["seq"] > F.col("noted"), r["entry"]).otherwise(""), r["rest"])
+    of = lambda front: F.array_join(F.transform(F.filter("rows", lambda r: (r["part"] == "front") == front), paragraph), "")
 
     def write(batches):
         for b in batches:
-            made = [docx_bytes([_plain(r) for r in rows], int(start), logo, logo_size, title, creator) for rows, start, title in zip(b["rows"], b["start_page"], b["title"], strict=True)]
+            made = [docx_bytes(front, body, int(start), logo, title, creator) for front, body, start, title in zip(b["front"], b["body"], b["start_page"], b["title"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "docx": made})
 
-    return docs.mapInPandas(write, "doc_id long, docx binary")
+    return docs.select("doc_id", "start_page", "title", of(F.lit(True)).alias("front"), of(F.lit(False)).alias("body")).mapInPandas(write, "doc_id long, docx binary")

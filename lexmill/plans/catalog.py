@@ -270,9 +270,10 @@ def _rendered(spark, sf_dir):
 
 def rendered_formats(spark, sf_dir):
     """How the paragraphs of every record's Word file look, read back."""
-    # Python hides how its rows are dealt, and files much alike pack to so few bytes that tasks cut by bytes would hold too many
-    parts = readers.docx_parts(_rendered(spark, sf_dir)).where("error IS NULL").repartition(inputs.tasks(spark, sf_dir, "customer"), "doc_id")
-    rows = FM.paragraph_formats(parts)
+    # files are dealt before they are read, so that both readers find the ones that are rendered once; Python hides how its rows are
+    # dealt, and files much alike pack to so few bytes that tasks cut by bytes would hold too many
+    files = _as_files(_rendered(spark, sf_dir).select("doc_id", F.col("content").alias("docx")).repartition(inputs.tasks(spark, sf_dir, "customer"), "doc_id"))
+    rows = FM.paragraph_looks(readers.docx_parts(files).where("error IS NULL"), readers.docx_sheets(files))
     joined = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("fonts", "sizes")]
     marks = ("indent", "first_line", "above", "after", "line")
     return _longs(rows.select("doc_id", "idx", *marks, "align", *joined), "idx", *marks)

@@ -69,6 +69,23 @@ def docx_parts(found: DataFrame) -> DataFrame:
     return found.where("kind = 'docx'").select("doc_id", "path", "content").mapInPandas(run, schema)
 
 
+def docx_sheets(found: DataFrame) -> DataFrame:
+    """styles_xml of the Word files, as ``docx_parts`` has it: each sheet once for every batch of files, none for damaged ones."""
+
+    def run(batches):
+        for b in batches:
+            sheets = set()
+            for content in b["content"]:
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                        sheets.add(z.read(_STYLES).decode("utf-8", "replace") if _STYLES in z.NameToInfo else "")
+                except _BROKEN:
+                    continue
+            yield pd.DataFrame({"styles_xml": sorted(sheets)}, dtype=object)
+
+    return found.where("kind = 'docx'").select("content").mapInPandas(run, "styles_xml string")
+
+
 def docx_media(found: DataFrame) -> DataFrame:
     """doc_id, target, data of every media file in the Word files."""
 
